@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import mixing, near_dedup, packing, quality_rules
+from tidepool.llm import mixing, near_dedup, packing, quality_rules, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_near_dedup, op6_mixing, op7_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op3_repeats, op5_near_dedup, op6_mixing, op7_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
