@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import mixing, near_dedup, ngram, packing, quality_rules, repeats
+from tidepool.llm import line_dedup, mixing, near_dedup, ngram, packing, quality_rules, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_repeats, op5_near_dedup, op6_mixing, op7_quality_rules, op9_lm_scoring, op10_packing)}
+    return {f.__name__: f for f in (op3_repeats, op5_near_dedup, op6_mixing, op7_quality_rules, op8_line_dedup, op9_lm_scoring, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
