@@ -25,38 +25,45 @@ SAMPLE, LABELLED = 6000, 4000
 SIZE = 1 << 16
 #: A document is kept if it is at least this likely to be good, and at most this likely to insult.
 GOOD, INSULTS = 0.5, 0.5
-#: labeller -> (numerator, denominator, bad beyond, good up to); a labeller for low values has bad < good.
-LABELLERS = {
-    "capitals": ("n_upper", "n_letters", 0.4, 0.15),
-    "symbols": ("n_symbols", "n_words", 0.15, 0.03),
-    "repeated_words": ("n_repeat_words", "n_words", 0.4, 0.1),
-    "repeated_lines": ("n_dup_lines", "n_lines", 0.4, 0.1),
-    "marks": ("n_marks", "n_words", 0.25, 0.05),
-    "variety": ("n_distinct", "n_words", -0.25, -0.4),
-    "length": ("n_words", None, -15, -40),
+#: labeller -> (numerator, denominator, bad beyond): votes bad or nothing.
+SUSPICIOUS = {
+    "capitals": ("n_upper", "n_letters", 0.4),
+    "symbols": ("n_symbols", "n_words", 0.15),
+    "repeated_words": ("n_repeat_words", "n_words", 0.35),
+    "repeated_lines": ("n_dup_lines", "n_lines", 0.4),
+    "marks": ("n_marks", "n_words", 0.2),
 }
+#: Beyond this share of a suspicious labeller's limit a text is no longer ordinary.
+ORDINARY = 0.4
+#: All labellers, in the order of their votes.
+LABELLERS = [*SUSPICIOUS, "variety", "length", "ordinary"]
 
 
 def votes() -> Column:
     """The vote pattern of a measured document: per labeller 0 bad, 1 nothing, 2 good, as digits of a number to base three."""
+    value = {k: F.col(top) / F.greatest(F.col(bottom), F.lit(1)) for k, (top, bottom, _) in SUSPICIOUS.items()}
+    variety = F.col("n_distinct") / F.greatest(F.col("n_words"), F.lit(1))
+    ordinary = F.lit(True)
+    for k, (_, _, bad) in SUSPICIOUS.items():
+        ordinary = ordinary & (value[k] <= ORDINARY * bad)
+    each = [F.when(value[k] > bad, 0).otherwise(1) for k, (_, _, bad) in SUSPICIOUS.items()]
+    each.append(F.when(variety < 0.25, 0).when(variety >= 0.4, 2).otherwise(1))
+    each.append(F.when(F.col("n_words") < 15, 0).when(F.col("n_words") >= 40, 2).otherwise(1))
+    each.append(F.when(ordinary, 2).otherwise(1))
     out = F.lit(0)
-    for top, bottom, bad, good in LABELLERS.values():
-        value = F.col(top) / F.greatest(F.col(bottom), F.lit(1)) if bottom else F.col(top)
-        if bad < 0:
-            value = -value
-        vote = F.when(value > bad, 0).when(value <= good, 2).otherwise(1)
+    for vote in each:
         out = out * 3 + vote
     return out.cast("int")
 
 
 def posteriors(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
-    """P(good) of each pattern, by expectation maximisation from the majority vote."""
+    """P(good) of each pattern, by expectation maximisation from a weighted vote: a suspicion counts twice."""
     if not patterns:
         return {}
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     digits = np.array([[k // 3**j % 3 for j in range(len(LABELLERS))] for k in keys])
-    p = 1 / (1 + np.exp(-(digits - 1).sum(axis=1).astype(float)))
+    p = 1 / (1 + np.exp(-((digits == 2).sum(axis=1) - 2.0 * (digits == 0).sum(axis=1))))
     for _ in range(rounds):
         prior = (n @ p + 1) / (n.sum() + 2)
         log = np.log(prior) - np.log(1 - prior)
