@@ -8,7 +8,6 @@ texts again.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidepool.llm import textarrays as ta
+from tidepool.llm import store, textarrays as ta
 
 #: Bytes of text in a block, about, and blocks in a bucket, about.
 BLOCK, PER_BUCKET = 4 << 20, 3
@@ -70,7 +69,5 @@ def write(docs: DataFrame, n: int, extra: list[str] | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze(ids, known, off, buf, *more)], pa.binary())], ["block", "blob"])
                 number += 1
 
-    spark, name = docs.sparkSession, f"tidepool_blocks_{uuid.uuid4().hex}"
     made = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("long") for c in extra]).mapInArrow(run, "block long, blob binary")
-    made.write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return store.keep_bucketed(made, "blocks", n, "block")

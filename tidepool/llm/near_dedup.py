@@ -126,3 +126,10 @@ def link(docs: DataFrame) -> DataFrame:
     own = F.when(F.col("n_shingles") > 0, F.col("_of")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs``; of rows with the kept doc_id, one. Rows without a doc_id all stay."""
+    gone = link(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

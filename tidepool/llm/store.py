@@ -1,7 +1,7 @@
 """Tables written to the folder that the whole cluster shares.
 
-A lineage is cut by writing a table below ``spark.checkpoint.dir``: every executor
-can read it again, so a lost executor costs its own tasks and nothing else.
+A lineage is cut by writing a table below ``spark.checkpoint.dir``: every executor can
+read it again, so a lost executor costs its own tasks and nothing else.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: Folders and catalogue tables that operators wrote for themselves.
+_SCRATCH: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,33 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table that was written."""
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table that was written; ``release`` spares a lasting one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _WRITTEN.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if not lasting:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in the list of kept tables, for ``release``."""
-    return len(_WRITTEN)
+def keep_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """The same as a table in the warehouse, bucketed by ``key``; for columns that are compressed already."""
+    table = f"tidepool_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "none").saveAsTable(table)
+    _TABLES.append(table)
+    return df.sparkSession.table(table)
 
 
-def release(spark: SparkSession, upto: int | None = None) -> None:
-    """Delete the tables kept so far (or those kept before ``upto``); call it once the results built on them are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    upto = len(_WRITTEN) if upto is None else upto
-    for path in _WRITTEN[:upto]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    del _WRITTEN[:upto]
-
-
-def drop(spark: SparkSession, since: int, upto: int) -> None:
-    """Delete the tables kept between two marks, for scratch that no later table reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for i in range(since, min(upto, len(_WRITTEN))):
-        where = jvm.org.apache.hadoop.fs.Path(_WRITTEN[i])
+def release(spark: SparkSession) -> None:
+    """Delete what operators wrote for themselves so far; call it once the results built on it are stored."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         where.getFileSystem(conf).delete(where, True)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
