@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import line_dedup, mixing, near_dedup, ngram, packing, quality_model, quality_rules, repeats, token_counts
+from tidepool.llm import line_dedup, media, mixing, near_dedup, ngram, packing, quality_model, quality_rules, repeats, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.copies(media.pictures(table(spark, sf_dir, "embeddings")))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_repeats, op4_quality_model, op5_near_dedup, op6_mixing, op7_quality_rules, op8_line_dedup, op9_lm_scoring, op10_packing)}
+    return {f.__name__: f for f in (op1_media_copies, op2_token_counts, op3_repeats, op4_quality_model, op5_near_dedup, op6_mixing, op7_quality_rules, op8_line_dedup, op9_lm_scoring, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
