@@ -165,8 +165,7 @@ class Tokens:
         self.ids, self.known, off, buf, held = blocks.expand(data)
         self.held = held.astype(bool)
         n = len(self.ids)
-        start, end, doc = ta.words(buf, off)
-        h = ta.span_hash(ta.prefix_hash(ta.LOWER[buf]), start, end)
+        h, doc = ta.word_hashes(buf, off)
         count = ta.counts(doc, n)
         # every document is followed by its end, and the end before it is its first context
         to = np.cumsum(count)

@@ -25,33 +25,45 @@ LEAST = 100
 #: Bytes of an anchor, and windows of that size in a string of LEAST bytes.
 K = 32
 #: Suffixes that a shard sorts at once, about; groups of one anchor stay together.
-SORTED = 60_000
+SORTED = 30_000
+#: Bytes of text searched for anchors at once, about: what a processor's cache holds.
+PART = 1 << 18
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, document, hash of its k bytes) of the anchors of all strings of ``least`` bytes."""
+def anchors(buf: np.ndarray, off: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, ...]:
+    """(position, document, hash of its k bytes, hash of all bytes that a string through it reaches) of the anchors of all strings of ``least`` bytes."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+    for i, j in ta.parts(off, PART):
+        got = _anchors(buf[off[i] : off[j]], off[i : j + 1] - off[i], least, k)
+        for x, y, add in zip(out, got, (off[i], i, np.uint64(0), np.uint64(0)), strict=True):
+            x.append(y + add)
+    return tuple(map(np.concatenate, out))
+
+
+def _anchors(buf: np.ndarray, off: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
     n, width = len(buf), least - k + 1
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     running = ta.prefix_hash(buf)
-    at = np.arange(n - k + 1)
-    value = ta.span_hash(running, at, at + k)
-    where, done = at.astype(np.int32 if n < 1 << 31 else np.int64), 1
-    h = value
+    # all spans are equally long, so the lengths needn't enter the hash
+    h = value = ta.mix((running[k:] - running[:-k]) * ta._powers(n)[1][: n - k + 1])
+    where, done = np.arange(len(h), dtype=np.int32 if n < 1 << 31 else np.int64), 1
     while done < width:  # leftmost smallest of `done` windows, then of more
         step = min(done, width - done)
-        left, right = value[:-step], value[step:]
-        take = left <= right
-        value, where = np.where(take, left, right), np.where(take, where[:-step], where[step:])
+        take = value[:-step] <= value[step:]
+        where = np.where(take, where[:-step], where[step:])
+        value = np.minimum(value[:-step], value[step:])
         done += step
     # strings that cross documents don't count
-    start = np.arange(len(where))
-    doc = np.searchsorted(off, start, "right") - 1
-    inside = start + least <= off[doc + 1]
-    where, doc = where[inside].astype(np.int64), doc[inside]
+    size = np.maximum(np.diff(off) - least + 1, 0)
+    doc = np.repeat(np.arange(len(size)), size)
+    start = np.arange(len(doc)) + np.repeat(off[:-1] - (np.cumsum(size) - size), size)
+    where = where[start].astype(np.int64)
     new = np.ones(len(where), bool)
     new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
-    return where[new], doc[new], h[where[new]]
+    at, doc = where[new], doc[new]
+    a, b = np.minimum(least - k, at - off[doc]), np.minimum(least, off[doc + 1] - at)
+    return at, doc, h[at], ta.mix(ta.span_hash(running, at - a, at + b) + a.astype(np.uint64))
 
 
 def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,17 +153,14 @@ def _send(shards: int, least: int) -> Callable:
         dest, blob = [], []
         for data in block.column("blob").to_pylist():
             ids, _, off, buf = blocks.expand(data)[:4]
-            at, doc, h = anchors(buf, off, least)
+            at, doc, h, whole = anchors(buf, off, least)
             if len(found):
                 k = np.minimum(np.searchsorted(found, h), len(found) - 1)
-                at, doc, h = at[found[k] == h], doc[found[k] == h], h[found[k] == h]
-            else:
-                at, doc, h = at[:0], doc[:0], h[:0]
-            if not len(at):
+                hit = found[k] == h
+                at, doc, h, whole = at[hit], doc[hit], h[hit], whole[hit]
+            if not len(found) or not len(at):
                 continue
-            running = ta.prefix_hash(buf)
             n_left, n_right = np.minimum(left, at - off[doc]), np.minimum(right, off[doc + 1] - at)
-            whole = ta.mix(ta.span_hash(running, at - n_left, at + n_right) + n_left.astype(np.uint64))
             # of anchors whose surroundings are equal, the first stands for the others of its block
             order = np.lexsort((at, doc, ids[doc], whole))
             head = np.ones(len(order), bool)

@@ -15,11 +15,11 @@ LOWER[65:91] += 32
 #: Bytes that begin a code point in UTF-8.
 LEADS = (np.arange(256) & 0xC0) != 0x80
 #: Bytes of text handled at once; one longer document is handled alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.ones(0, np.uint64)] * 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,14 +36,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-        up[1:], down[1:] = _P, _PINV
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) <= n:
+        size = 1 << max(16, int(n).bit_length())
+        for k, base in enumerate((_P, _PINV)):
+            _POWERS[k] = np.ones(size, np.uint64)
+            _POWERS[k][1:] = base
+            np.multiply.accumulate(_POWERS[k], out=_POWERS[k])
+    return _POWERS
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -75,10 +75,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
     if not batch.num_rows:
         return
     buf, off = texts(batch.column(batch.schema.get_field_index(column)))
-    at, n = 0, batch.num_rows
+    for at, to in parts(off, limit):
+        yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
+
+
+def parts(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of whole documents of about ``limit`` bytes."""
+    at, n = 0, len(off) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-        yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
+        yield at, to
         at = to
 
 
@@ -93,6 +99,17 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+def word_hashes(buf: np.ndarray, off: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of every word of any amount of text, in bounded memory; ``fold`` maps bytes first."""
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in parts(off, SLICE):
+        own, bounds = fold[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+        start, end, doc = words(own, bounds)
+        hashes.append(span_hash(prefix_hash(own), start, end))
+        docs.append(doc + i)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document) of every line split at \\n; an empty text has one empty line."""
     breaks = np.flatnonzero(buf == 10)
@@ -104,6 +121,17 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start[a], end[b], owner[a]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, which one each item is)."""
+    order = np.argsort(h)
+    in_order = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = in_order[1:] != in_order[:-1]
+    index = np.empty(len(h), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return in_order[new], order[new], index
+
+
 def per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of a value per byte (or per item) over each document."""
     total = np.zeros(len(flags) + 1, np.int64)

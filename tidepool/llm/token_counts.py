@@ -93,7 +93,7 @@ class WordCounts:
 
     def of(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = ta.span_hash(ta.prefix_hash(buf), start, end)
-        distinct, example, index = np.unique(h, return_index=True, return_inverse=True)
+        distinct, example, index = ta.distinct(h)
         keys = distinct.tolist()
         if len(self.known) > REMEMBERED:
             self.known = {}
