@@ -22,7 +22,7 @@ def local(instant: Column, zone: str = ZONE) -> Column:
 
 
 def plus(instant: Column, seconds) -> Column:
-    return F.timestamp_micros(F.unix_micros(instant) + (seconds if isinstance(seconds, Column) else F.lit(seconds)) * 1_000_000)
+    return F.timestamp_micros(F.unix_micros(instant) + (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("long") * 1_000_000)
 
 
 def parse_instant(text: Column) -> Column:
