@@ -33,7 +33,7 @@ scalar("str_escape_html", "pages", "page_id", lambda: X.escape_html(F.col("html"
 _HM = lambda k: F.concat(F.lpad((F.col(k) % 24).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col(k) % 60).cast("string"), 2, "0"))
 _HM_SQL = "lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0')"
 scalar("str_format_time", "orders", "o_orderkey", lambda: X.format_time(_HM("o_orderkey")), "CASE WHEN o_orderkey % 24 % 12 = 0 THEN 12 ELSE o_orderkey % 24 % 12 END || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || CASE WHEN o_orderkey % 24 < 12 THEN ' AM' ELSE ' PM' END")
-scalar("str_format_distance", "orders", "o_orderkey", lambda: X.format_distance((F.col("o_orderkey") % 64) / 16), "CASE WHEN (o_orderkey % 64) / 16 < 0.1 THEN 'Nearby' WHEN (o_orderkey % 64) / 16 < 1 THEN printf('%.1f', (o_orderkey % 64) / 16 * 5280 / 1000) || 'k ft' ELSE printf('%.1f', round((o_orderkey % 64) / 16 + 1e-9, 1)) || ' mi' END")
+scalar("str_format_distance", "orders", "o_orderkey", lambda: X.format_distance((F.col("o_orderkey") % 97) / 13.7), "CASE WHEN (o_orderkey % 97) / 13.7::DOUBLE < 0.1 THEN 'Nearby' WHEN (o_orderkey % 97) / 13.7::DOUBLE < 1 THEN printf('%.1f', (o_orderkey % 97) / 13.7::DOUBLE * 5280 / 1000) || 'k ft' ELSE printf('%.1f', (o_orderkey % 97) / 13.7::DOUBLE) || ' mi' END")
 scalar("str_plan_normalise", "claims", "claim_id", lambda: X.plan_name(F.col("plan")), "CASE regexp_replace(lower(trim(plan)), '[ -]+', '_', 'g') WHEN 'paid' THEN 'pro' WHEN 'pro' THEN 'pro' WHEN 'founding' THEN 'founding_partner' WHEN 'founding_partner' THEN 'founding_partner' ELSE 'free' END")
 scalar("str_truncate", "documents", "doc_id", lambda: F.concat_ws("|", *[F.substring("text", 1, n) for n in (20, 80, 200, 1000)]), "concat_ws('|', substring(text, 1, 20), substring(text, 1, 80), substring(text, 1, 200), substring(text, 1, 1000))")
 _MESSY = lambda: F.concat(F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("o_orderkey") % 70).cast("string"), 2, "0"))
