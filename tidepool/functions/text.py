@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: White space of all kinds, also the non-breaking and zero-width ones.
 SPACES = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
@@ -30,7 +31,7 @@ def slugify(x: Column, most: int | None = None) -> Column:
     return F.regexp_replace(F.substring(slug, 1, most), "-+$", "") if most else slug
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unaccented(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
 

@@ -52,11 +52,10 @@ register("win_cooldown_greedy", None)(lambda d: A.cooled(d.sends(), ["user_id",
 register("win_rank_bucket_sort", "SELECT submission_id, row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END, created_at DESC, submission_id) AS place FROM submissions")(lambda d: ranked(d.submissions(), [F.when(F.col("status") == "pending", 0).when(F.col("status") == "approved", 1).otherwise(2), F.desc("created_at"), F.col("submission_id")], ["submission_id"]))
 register("win_ordinal_append", "SELECT photo_id, (sort_max + row_number() OVER (PARTITION BY venue_id ORDER BY photo_id))::BIGINT AS sort_order FROM (SELECT *, max(sort_order) OVER (PARTITION BY venue_id) AS sort_max FROM photos)")(lambda d: d.photos().select("photo_id", (F.max("sort_order").over(W.partitionBy("venue_id")) + F.row_number().over(W.partitionBy("venue_id").orderBy("photo_id"))).cast("long").alias("sort_order")))
 
-_VENUE = W.partitionBy("venue_id")
 
 
 def placed(d: Domain, where: Column, order: list[Column]) -> DataFrame:
-    return d.campaigns().where(where).select("campaign_id", F.row_number().over(_VENUE.orderBy(*order, "campaign_id")).alias("place"))
+    return d.campaigns().where(where).select("campaign_id", F.row_number().over(W.partitionBy("venue_id").orderBy(*order, "campaign_id")).alias("place"))
 
 
 register("sort_created_desc", "SELECT campaign_id, row_number() OVER (PARTITION BY venue_id ORDER BY created_at DESC NULLS FIRST, campaign_id) AS place FROM campaigns")(lambda d: placed(d, F.lit(True), [F.desc_nulls_first("created_at")]))
