@@ -12,6 +12,7 @@ cell is left, so the waste of a cell does not add up over the cluster.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,11 +31,14 @@ CELL = 8192
 #: A bin with fewer tokens than this share of a sequence is opened again in the next round.
 UNDERFULL = 0.985
 #: Words whose ids a worker remembers; beyond that it forgets all and goes on.
-REMEMBERED = 600_000
+REMEMBERED = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
+#: A byte that texts hardly have, and what sets words apart in a text of many.
+MARK, APART = b"\x01", b" \x01 "
+
 _WORKER: dict = {}
 
 
@@ -44,6 +48,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_STOP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _folded(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes with words of ASCII characters in lower case, as this tokenizer reads them.
+
+    Other words keep their case, as composing characters comes before lower case, and so
+    do all words where the name of a special token may stand, which is read as written.
+    """
+    if b"<|" in buf.tobytes():
+        return buf
+    wide = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(buf >= 128, out=wide[1:])
+    other = wide[end] > wide[start]
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start[other]] += 1
+    edge[end[other]] -= 1
+    return np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, buf, ta.LOWER[buf])
+
+
 class WordIds:
     """Ids of texts, word by word: this tokenizer never joins what white space separates, so equal words have equal ids."""
 
@@ -55,6 +81,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -63,31 +90,51 @@ class WordIds:
         self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def learn(self, hashes: list[int], found: list[bytes]) -> None:
-        for h, enc in zip(hashes, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in found], add_special_tokens=False), strict=True):
-            got = enc.ids
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            k = len(self.place)
-            if k >= len(self.first):
-                self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.place[h], self.first[k], self.size[k] = k, self.used, len(got)
-            self.ids[self.used : self.used + len(got)] = got
-            self.used += len(got)
+        if any(MARK in w for w in found):
+            ids, size = self._alone(found)
+        else:  # many words as one text, with a mark between that is one token and joins nothing
+            texts = [(APART.join(found[i : i + 200]) + APART).decode("utf-8", "replace") for i in range(0, len(found), 200)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            at = np.flatnonzero(ids == self.mark)
+            ids, size = np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        total, k = len(ids), len(self.place)
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
+        if k + len(size) > len(self.first):
+            more = np.zeros(max(len(size), len(self.first)), np.int64)
+            self.first, self.size = np.concatenate([self.first, more]), np.concatenate([self.size, more])
+        self.ids[self.used : self.used + total] = ids
+        self.size[k : k + len(size)] = size
+        self.first[k : k + len(size)] = self.used + np.cumsum(size) - size
+        self.place.update(zip(hashes, range(k, k + len(size)), strict=True))
+        self.used += total
+
+    def _alone(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)]
+        return np.array(list(itertools.chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         start, end, doc = ta.words(buf, off)
+        buf = _folded(buf, start, end)
+        # a full stop or comma after an ASCII letter or digit is a token of its own; without it words recur far more often
+        mark = (end - start > 1) & _STOP[buf[end - 1]] & _PLAIN[buf[np.maximum(end - 2, 0)]]
+        cut = end[mark] - 1
+        at = np.flatnonzero(mark) + 1
+        start, doc, end = np.insert(start, at, cut), np.insert(doc, at, doc[mark]), np.insert(end, at - 1, cut)
         h = ta.span_hash(ta.prefix_hash(buf), start, end)
-        known, example, index = np.unique(h, return_index=True, return_inverse=True)
+        known, example, index = ta.distinct(h)
         if len(self.place) > REMEMBERED:
             self.forget()
         keys = known.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.place]
-        raw = buf.tobytes()
+        which = np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(which < 0)
+        raw, first, last = buf.tobytes(), start[example].tolist(), end[example].tolist()
+        which[new] = len(self.place) + np.arange(len(new))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.learn([keys[i] for i in part], [raw[start[example[i]] : end[example[i]]] for i in part])
-        which = np.fromiter((self.place[k] for k in keys), np.int64, len(keys))[index]
+            part = new[at : at + 20_000].tolist()
+            self.learn([keys[i] for i in part], [raw[first[i] : last[i]] for i in part])
+        which = which[index]
         size = self.size[which]
         to = np.cumsum(size)
         shift = np.repeat(self.first[which] - (to - size), size)
@@ -105,7 +152,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
         if path not in _WORKER:
             _WORKER[path] = WordIds(path)
         for batch in batches:
-            for rows, buf, off in ta.slices(batch):
+            for rows, buf, off in ta.slices(batch, limit=2 * ta.SLICE):
                 ids, bounds = _WORKER[path].encode(buf, off)
                 out: list[tuple] = []
                 for k, doc_id in enumerate(rows.column(0).to_pylist()):
