@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidepool.llm import store
 
-#: Pairs that one round may form for each member of a bucket; a bucket that needs more takes more rounds.
-PAIRS_PER_MEMBER = 16
-#: Pairs that any round may form.
-PAIRS_ANYWAY = 200_000
+#: Pairs of a bucket that are formed at once; a bucket with more takes rounds of 1, 4, 16 ... ids.
+FEW = 64
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -38,44 +36,50 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return found.union(found.select("component", "component").distinct()).distinct()
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped") -> tuple[DataFrame, DataFrame]:
+def centres(members: DataFrame) -> DataFrame:
+    """(key, x, size_a): the id of the highest score in each bucket of two or more."""
+    top = members.groupBy("key").agg(F.max(F.struct("score", "id", "size")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return top.select("key", F.col("top.id").alias("x"), F.col("top.size").alias("size_a"))
+
+
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true") -> tuple[DataFrame, DataFrame]:
     """Components over all pairs of ids that share a bucket and that ``verify`` confirms: (components, verified links).
 
-    members: (key, id). verify takes distinct pairs (a, b), a < b, and returns those that
-    hold. The result is that of verifying every pair of every bucket, but pairs are
-    formed in rounds: first each bucket's smallest id with every other; then, in buckets
-    that still span several components, a growing number of further ids with every
-    other, and at last all pairs that are neither tested nor joined already. A bucket of
-    mutual copies thus costs as many pairs as it has members, and a bucket of strangers
-    costs its pairs once, in rounds of bounded size.
+    members: (key, id, score, size), score and size being those of the id. verify takes
+    distinct pairs (a, b), a < b, and returns those that hold; pairs whose sizes don't
+    satisfy ``compatible`` (SQL over size_a and size_b) can't hold. The result is that
+    of verifying every pair of every bucket, but pairs are formed in rounds. First each
+    bucket's id of the highest score meets every other: in a bucket of copies of one
+    thing, that thing, which shares most with the others, links all. Only buckets that
+    still span several components go on: there, ids outside the largest component meet
+    those of other components, all at once where that is few pairs, else as many ids as
+    the round allows, highest score first. So a bucket of mutual copies costs as many
+    pairs as it has members, and only a large bucket of strangers costs more, in rounds.
     """
     members = store.keep(members.distinct(), f"{name}-members")
-    first = members.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = store.keep(members.join(first, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), f"{name}-pairs")
+    first = centres(members)
+
+    def pairs_of(turn: DataFrame, others: DataFrame, unless: str) -> DataFrame:
+        both = turn.join(others.withColumnRenamed("id", "y").withColumnRenamed("size", "size_b"), "key").where(f"NOT ({unless})").where(compatible)
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    pairs = store.keep(pairs_of(first, members.drop("score"), "x = y"), f"{name}-pairs")
     links = store.keep(verify(pairs), f"{name}-links")
-    tested, done = pairs, first.select("key", F.col("a").alias("id"))
+    tested, done, quota = pairs, first.select("key", F.col("x").alias("id")), 1
     while True:
         found = store.keep(components(links, name), f"{name}-found")
-        labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         whole = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.component").alias("largest"), "n")
-        # what is left to test in a bucket: ids outside its largest component, and not tested against all others before
-        open_ = labelled.join(whole, "key").join(done.withColumn("done", F.lit(True)), ["key", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        open_ = store.keep(open_.withColumn("rest", (F.col("component") != F.col("largest")) & ~F.col("done")), f"{name}-open")
-        cost, rest, size = open_.where("rest").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.countDistinct("key")).first()
-        if not rest:
+        marked = labelled.join(whole, "key").join(done.withColumn("done", F.lit(True)), ["key", "id"], "left").where("done IS NULL").drop("done")
+        # what is left to test in a bucket: ids outside its largest component that haven't met all others
+        open_ = store.keep(marked.withColumn("rest", F.col("component") != F.col("largest")), f"{name}-open")
+        place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "id"))
+        some = open_.where("rest").withColumn("place", place).where((F.col("place") <= quota) | (F.col("place") * F.col("n") <= FEW))
+        turn = store.keep(some.select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("component").alias("of_x")), f"{name}-turn")
+        if not turn.limit(1).count():
             return found, links
-        allowed = max(PAIRS_ANYWAY, PAIRS_PER_MEMBER * open_.count())
-        turn = open_.where("rest")
-        if cost > allowed:  # as many ids of each bucket as the round may test, at least one
-            share = allowed / cost
-            order = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
-            turn = turn.withColumn("_at", order).where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
-        turn = store.keep(turn.select("key", F.col("id").alias("x"), F.col("component").alias("cx")), f"{name}-turn")
-        others = open_.where("NOT done").select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-        new = turn.join(others, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = store.keep(new, f"{name}-pairs")
-        more = store.keep(verify(new), f"{name}-links")
-        links, tested, done = links.union(more), tested.union(new), done.union(turn.select("key", F.col("x").alias("id")))
-        if cost <= allowed:
-            return (store.keep(components(links, name), f"{name}-found") if more.limit(1).count() else found), links
+        others = open_.select("key", "id", "size", F.col("component").alias("of_y"))
+        new = store.keep(pairs_of(turn, others, "of_x = of_y").join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+        links, tested, done = links.union(store.keep(verify(new), f"{name}-links")), tested.union(new), done.union(turn.select("key", F.col("x").alias("id")))
+        quota *= 4
