@@ -29,6 +29,9 @@ def corpus(seed=5, n=60):
         texts[k] = f"{texts[k]} {passage} {sentence(rng, 5)}"
     for k, edit in ((20, ""), (21, "!"), (22, "s"), (23, "")):
         texts[k] += "\n" + line.replace("2024", str(2000 + k)) + edit
+    notice = " ".join(f"{sentence(rng, 9)} clause {k}" for k in range(40))
+    for k, edit in ((20, ""), (21, "!"), (22, "s"), (23, " indeed")):  # so long that an edit hardly turns the hash
+        texts[k] += "\n" + notice + edit
     texts[25] = "again and again and again and again and again"
     texts[26] = "\n".join(["the same line every time " * 2] * 12)
     texts[30], texts[31], texts[32], texts[33] = None, "", " \t\n\r ", "one"

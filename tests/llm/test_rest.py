@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from functools import cache
+from itertools import combinations
 
 import brute
 import numpy as np
@@ -13,11 +15,15 @@ from oracle import compare, connect
 from tidepool.llm import line_dedup, media, mixing, packing, quality_model, queries, token_counts
 
 
-def direct_ids(text, end=True):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = direct_ids.__dict__.setdefault("t", Tokenizer.from_file(packing.tokenizer_path()))
-    return t.encode(text or "", add_special_tokens=False).ids + [packing.END] * end
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def direct_ids(text, end=True):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [packing.END] * end
 
 
 def check_packed(rows, texts):
@@ -45,11 +51,11 @@ def test_ids_are_those_of_whole_texts():
     odd = ["a", "B", "7", ".", ",", "..", "'s", "'", "n't", "é", "é", "İ", "ß", "日", "🙂", " ", " ", "\u0085", "​", "\x00", "\x01", "\x1f", "<|", "<|endoftext|>", "<|startoftext|>", "|>", "-", "_", " ", " ", "\n", "\t", "\x0b", "ǅ", "́", "Ω", "x.", "9,"]
     texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 25))) for _ in range(600)]
     texts += ["".join(x for x in t if x.isascii() and ord(x) > 2) for t in texts]
-    for t in texts:  # one at a time: what stands in another text must not matter
+    words = packing.WordIds(packing.tokenizer_path())
+    for t in texts:
         data = t.encode()
-        got, _ = packing.WordIds.encode(words := test_ids_are_those_of_whole_texts.__dict__.setdefault("w", packing.WordIds(packing.tokenizer_path())), np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        got, _ = words.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
         assert got.tolist() == direct_ids(t, end=False), repr(t)
-    assert words.used > 0
 
 
 def test_swaps_only_improve():
@@ -98,26 +104,28 @@ def test_mixing_meets_targets(docs):
 
 
 def test_lines(docs, texts):
-    """Groups of lines: each removed line has a like one that is kept; equal lines always meet."""
+    """The groups are those of all pairs of lines that agree in a block and are few edits apart; the first occurrence of each stays."""
+    everything, sims = brute.lines(texts), {}
+    for i, t in texts:
+        data = (t or "").encode()
+        _, number, _, _, _, sim, _ = line_dedup._lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        sims.update({(i, k): s.view(np.uint32).tolist() for k, s in zip(number.tolist(), sim, strict=True)})
+    assert sorted(sims) == [(i, k) for i, k, _, _ in everything]
+    blocks = {n: sims[i, k] for i, k, _, n in everything}
+    linked = [(a, b) for a, b in combinations(sorted(blocks), 2) if any(x == y for x, y in zip(blocks[a], blocks[b], strict=True)) and brute.edit_distance(a, b) <= int(0.1 * max(len(a), len(b)))]
+    of, first = brute.groups(blocks, linked), {}
+    for i, k, _, n in everything:
+        first.setdefault(of[n], (i, k))
+    gone = {i: {k for j, k, _, n in everything if j == i and first[of[n]] != (i, k)} for i, _ in texts}
+    assert len(linked) > 0 and any(gone.values())
+
     left = {r["doc_id"]: r["text"] for r in line_dedup.clean(docs).collect()}
     digest = {r["doc_id"]: r for r in line_dedup.clean(docs, digest=True).collect()}
-    everything = brute.lines(texts)
-    first = {}
-    for i, k, _, normal in everything:
-        first.setdefault(normal, (i, k))
-    gone = {r["doc_id"]: set(r["lines"]) for r in line_dedup.dropped(docs).collect()}
-    kept = [n for i, k, _, n in everything if k not in gone.get(i, ())]
-    assert len(kept) == len(set(kept))
-    for i, k, _, normal in everything:
-        if k in gone.get(i, ()):
-            assert normal in kept or any(brute.edit_distance(normal, other) <= 0.1 * max(len(normal), len(other)) for n in first if n != normal for other in [n] if abs(len(n) - len(normal)) <= 6)
-    assert sum(20 in [i] for i in gone) == 0 and all(any("weather" in x for x in (texts[i - 1][1] or "").split("\n")) for i in (21, 22, 23, 24))
-    assert sum("weather in" in (left[i] or "") for i in (21, 22, 23, 24)) == 1
     for i, t in texts:
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
         assert left[i] == want
         assert digest[i]["kept_sha256"] == hashlib.sha256((want or "").encode()).hexdigest()
-        assert digest[i]["n_removed"] == len(gone.get(i, ()))
+        assert digest[i]["n_removed"] == len(gone[i])
 
 
 def test_token_counts(docs, texts):
