@@ -20,14 +20,14 @@ def ranked(df: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
 
 
 register("agg_count_filtered", "SELECT count(*) AS n FROM photos WHERE status = 'pending' AND photo_type = 'menu'")(lambda d: d.photos().where("status = 'pending' AND photo_type = 'menu'").agg(F.count(F.lit(1)).alias("n")))
-register("agg_count_by_status", "SELECT count(*) AS total, count_if(status = 'pending') AS pending, count_if(status = 'approved') AS approved, count_if(status = 'denied') AS denied FROM submissions")(lambda d: d.submissions().agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "approved", "denied")]))
+register("agg_count_by_status", "SELECT count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, count_if(status = 'approved')::BIGINT AS approved, count_if(status = 'denied')::BIGINT AS denied FROM submissions")(lambda d: d.submissions().agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "approved", "denied")]))
 register("agg_max_plus_one", "SELECT s.section_id, (coalesce(max(i.sort_order) + 1, 0))::INT AS next FROM sections s LEFT JOIN items i ON s.section_id = i.section_id GROUP BY s.section_id")(lambda d: d.sections().select("section_id").join(d.items().groupBy("section_id").agg(F.max("sort_order").alias("m")), "section_id", "left").select("section_id", F.coalesce(F.col("m") + 1, F.lit(0)).alias("next")))
 register("agg_group_collect", "SELECT user_id, string_agg(alert_id::VARCHAR, ',' ORDER BY created_at, alert_id) AS alerts FROM alerts WHERE active GROUP BY user_id")(lambda d: d.alerts().where("active").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "alert_id"))), lambda x: x["alert_id"].cast("string")), ",").alias("alerts")))
 _SENT_TODAY = f"channel = 'text' AND sent_at >= date_trunc('day', {_LOG}) AND sent_at < {_LOG}"
 register("agg_count_distinct_per_key", f"SELECT user_id, count(DISTINCT sent_at) AS n FROM sends WHERE {_SENT_TODAY} GROUP BY user_id")(lambda d: d.sends().where((F.col("channel") == "text") & (F.col("sent_at") >= F.date_trunc("day", instant(LOG_NOW))) & (F.col("sent_at") < instant(LOG_NOW))).groupBy("user_id").agg(F.countDistinct("sent_at").alias("n")))
 register("agg_bool_or", "SELECT user_id, bool_or(channel_email) AS wants_email, bool_or(channel_text) AS wants_text FROM alerts GROUP BY user_id")(lambda d: d.alerts().groupBy("user_id").agg(F.bool_or("channel_email").alias("wants_email"), F.bool_or("channel_text").alias("wants_text")))
 register("agg_set_union_matches", f"SELECT a.user_id, v.venue_id, min(a.alert_id) AS first_alert FROM alerts a JOIN (SELECT * FROM venues WHERE {ON}) v ON {_MATCH} WHERE a.active GROUP BY a.user_id, v.venue_id")(lambda d: S.matches(d.alerts().where("active"), d.venues().where(on())).groupBy("user_id", "venue_id").agg(F.min("alert_id").alias("first_alert")))
-_COUNTED = f"""SELECT venue_id, strftime({local('starts_at')}, '%Y-%m') AS month, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at)) AS consumed, count_if(starts_at > {NOW} AND cancelled_at IS NULL) AS reserved
+_COUNTED = f"""SELECT venue_id, strftime({local('starts_at')}, '%Y-%m') AS month, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at))::BIGINT AS consumed, count_if(starts_at > {NOW} AND cancelled_at IS NULL)::BIGINT AS reserved
   FROM campaigns WHERE published_at IS NOT NULL AND starts_at IS NOT NULL GROUP BY ALL"""
 register("agg_monthly_usage", _COUNTED)(lambda d: A.usage(d.campaigns(), instant(CAMPAIGN_NOW)))
 register("agg_entitlement", f"""WITH u AS ({_COUNTED}), p AS (SELECT venue_id, max(CASE plan WHEN ' founding-partner' THEN 2 WHEN 'Pro' THEN 1 ELSE 0 END) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id)

@@ -88,7 +88,7 @@ scalar("arr_any", "venues", "venue_id", lambda: F.exists("days", lambda x: x.sta
 scalar("arr_all_nonempty_strings", "venues", "venue_id", lambda: (F.size("deal_types") > 0) & F.forall("deal_types", lambda x: F.trim(x) != ""), "len(deal_types) > 0")
 scalar("json_encode", "venues", "venue_id", lambda: F.to_json(F.struct("venue_id", "neighborhood")), "'{\"venue_id\":' || venue_id || ',\"neighborhood\":\"' || neighborhood || '\"}'")
 scalar("json_decode", "events", "event_id", lambda: F.to_json(F.from_json("props", "map<string,string>")).isNotNull(), "json_valid(props)")
-scalar("json_string_list", "documents", "doc_id", lambda: F.array_join(F.slice(F.filter(F.transform(F.split(F.lower("text"), "\\."), F.trim), lambda x: x != ""), 1, 12), "|"), "array_to_string(list_slice(list_filter([trim(x) FOR x IN string_split(lower(text), '.')], lambda x: x <> ''), 1, 12), '|')")
+scalar("json_string_list", "documents", "doc_id", lambda: F.array_join(F.slice(F.filter(F.transform(F.split(F.lower("text"), "\\."), X.clean), lambda x: x != ""), 1, 12), "|"), f"array_to_string(list_slice(list_filter([{_clean('x')} FOR x IN string_split(lower(text), '.')], lambda x: x <> ''), 1, 12), '|')")
 scalar("json_key_presence", "events", "event_id", lambda: F.array_join(F.array_sort(F.json_object_keys("props")), ","), "array_to_string(list_sort(json_keys(props)), ',')")
 scalar("cond_coalesce", "campaigns", "campaign_id", lambda: F.coalesce("deal_code", "title", F.lit("-")), "coalesce(deal_code, title, '-')")
 scalar("cond_nullif", "campaigns", "campaign_id", lambda: F.nullif("title", F.lit("")), "nullif(title, '')")
