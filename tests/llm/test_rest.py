@@ -128,6 +128,25 @@ def test_lines(docs, texts):
         assert digest[i]["n_removed"] == len(gone[i])
 
 
+def test_lines_on_all_pairs_by_edit_distance_alone(spark):
+    """Lines of 9 to 60 words, each again with a letter added and with a word changed: groups are those of all pairs few edits apart."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for n in (9, 13, 13, 20, 20, 35, 60):
+        words = [word() for _ in range(n)]
+        at = rng.randrange(n)
+        rows += [" ".join(words), " ".join(words[:at] + [words[at] + "x"] + words[at + 1 :]), " ".join(words[:at] + ["zqzq"] + words[at + 1 :])]
+    texts = list(enumerate(rows, 1))
+    linked = [(a, b) for a, b in combinations(rows, 2) if brute.edit_distance(a, b) <= int(0.1 * max(len(a), len(b)))]
+    of, first = brute.groups(set(rows), linked), {}
+    for i, t in texts:
+        first.setdefault(of[t], i)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.clean(spark.createDataFrame(texts, "doc_id long, text string"), digest=True).collect()}
+    assert len(linked) >= 14
+    assert got == {i: int(first[of[t]] != i) for i, t in texts}
+
+
 def test_token_counts(docs, texts):
     path = token_counts.vocabulary_path()
     scores = token_counts.piece_scores(path)
