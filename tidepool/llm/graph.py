@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidepool.llm import store
 
-#: Pairs of a bucket that are formed at once; a bucket with more takes rounds of 1, 4, 16 ... ids.
-FEW = 64
+#: A bucket of so many ids has all its pairs formed at once; a larger one begins with one id against all others.
+SMALL = 8
+#: Pairs of a larger bucket that a round forms beyond its quota of 1, 8, 64 ... ids.
+FEW = 256
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -20,20 +22,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     bring every id to its smallest one. Each round is a written table.
     """
     edges = store.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("u", "m")).distinct()
-        edges = store.keep(hung, name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, edges = edges, store.keep(hung, name)
+        del both, least, large, small, hung
+        store.discard(before)
     found = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return found.union(found.select("component", "component").distinct()).distinct()
+    return found.union(found.select("component", "component").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every a (> b) has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    off = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+    return not off.limit(1).count()
 
 
 def centres(members: DataFrame) -> DataFrame:
@@ -42,44 +48,64 @@ def centres(members: DataFrame) -> DataFrame:
     return top.select("key", F.col("top.id").alias("x"), F.col("top.size").alias("size_a"))
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true") -> tuple[DataFrame, DataFrame]:
-    """Components over all pairs of ids that share a bucket and that ``verify`` confirms: (components, verified links).
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true") -> DataFrame:
+    """(id, component) of the ids in ``members``, by all pairs of ids that share a bucket and that ``verify`` confirms.
 
     members: (key, id, score, size), score and size being those of the id. verify takes
-    distinct pairs (a, b), a < b, and returns those that hold; pairs whose sizes don't
-    satisfy ``compatible`` (SQL over size_a and size_b) can't hold. The result is that
-    of verifying every pair of every bucket, but pairs are formed in rounds. First each
-    bucket's id of the highest score meets every other: in a bucket of copies of one
-    thing, that thing, which shares most with the others, links all. Only buckets that
-    still span several components go on: there, ids outside the largest component meet
-    those of other components, all at once where that is few pairs, else as many ids as
-    the round allows, highest score first. So a bucket of mutual copies costs as many
-    pairs as it has members, and only a large bucket of strangers costs more, in rounds.
+    distinct pairs (a, b, ...), a < b, and returns the rows of those that hold; pairs whose
+    sizes don't satisfy ``compatible`` (SQL over size_a and size_b) can't hold. The result
+    is that of verifying every pair of every bucket, but pairs are formed in rounds. First
+    each bucket's id of the highest score meets every other: in a bucket of copies of one
+    thing, that thing, which shares most with the others, links all; in buckets of up to
+    SMALL ids all meet. Only larger buckets that still span several components go on:
+    there, ids outside the largest component meet those of other components, all at once
+    where that is few pairs, else as many ids as the round allows. So a bucket of mutual
+    copies costs as many pairs as it has members, and only a large bucket of strangers
+    costs more, in rounds. From round to round components are carried on: a round's links
+    join components, not ids.
     """
-    members = store.keep(members.distinct(), f"{name}-members")
-    first = centres(members)
+    in_bucket = W.partitionBy("key")
+    ranked = members.distinct().withColumn("place", F.row_number().over(in_bucket.orderBy(F.desc("score"), "id"))).withColumn("n", F.count(F.lit(1)).over(in_bucket))
+    ranked = store.keep(ranked.where("n > 1").drop("score"), f"{name}-members")
 
-    def pairs_of(turn: DataFrame, others: DataFrame, unless: str) -> DataFrame:
-        both = turn.join(others.withColumnRenamed("id", "y").withColumnRenamed("size", "size_b"), "key").where(f"NOT ({unless})").where(compatible)
-        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def pairs_of(turn: DataFrame, others: DataFrame, unless: str, *more: str) -> DataFrame:
+        both = turn.join(others, "key").where(f"NOT ({unless})").where(compatible)
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *more).distinct()
 
-    pairs = store.keep(pairs_of(first, members.drop("score"), "x = y"), f"{name}-pairs")
-    links = store.keep(verify(pairs), f"{name}-links")
-    tested, done, quota = pairs, first.select("key", F.col("x").alias("id")), 1
+    turn = ranked.where(f"place = 1 OR n <= {SMALL}").select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("place").alias("place_x"))
+    others = ranked.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("place").alias("place_y"))
+    links = store.keep(verify(pairs_of(turn, others, "place_x >= place_y")), f"{name}-links")
+    joined = components(links, name)
+    ids = ranked.select("id").distinct()
+    found = store.keep(ids.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"{name}-found")
+    # the first of a large bucket has met all others
+    left = ranked.where(f"n > {SMALL} AND place > 1").select("key", "id", "size", "place", "n").join(found, "id")
+    quota = 1
+    del turn, others, joined, ids
+    store.discard(links)
     while True:
-        found = store.keep(components(links, name), f"{name}-found")
-        labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        whole = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.component").alias("largest"), "n")
-        marked = labelled.join(whole, "key").join(done.withColumn("done", F.lit(True)), ["key", "id"], "left").where("done IS NULL").drop("done")
-        # what is left to test in a bucket: ids outside its largest component that haven't met all others
-        open_ = store.keep(marked.withColumn("rest", F.col("component") != F.col("largest")), f"{name}-open")
-        place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "id"))
-        some = open_.where("rest").withColumn("place", place).where((F.col("place") <= quota) | (F.col("place") * F.col("n") <= FEW))
-        turn = store.keep(some.select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("component").alias("of_x")), f"{name}-turn")
+        sizes = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.component").alias("largest"))
+        open_ = store.keep(left.join(split, "key").withColumn("rest", F.col("component") != F.col("largest")).drop("largest"), f"{name}-open")
+        mine = F.row_number().over(W.partitionBy("key").orderBy("place"))
+        some = open_.where("rest").withColumn("turn", mine)
+        turn = store.keep(some.where(f"turn <= {quota} OR turn * n <= {FEW}").select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("component").alias("of_x"), "turn"), f"{name}-turn")
         if not turn.limit(1).count():
-            return found, links
-        others = open_.select("key", "id", "size", F.col("component").alias("of_y"))
-        new = store.keep(pairs_of(turn, others, "of_x = of_y").join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
-        links, tested, done = links.union(store.keep(verify(new), f"{name}-links")), tested.union(new), done.union(turn.select("key", F.col("x").alias("id")))
-        quota *= 4
+            store.discard(open_, turn)
+            return found
+        # an id of the turn meets all of other components but those whose turn was before its own
+        theirs = open_.join(turn.select("key", F.col("x").alias("id"), F.col("turn").alias("turn_y")), ["key", "id"], "left")
+        others = theirs.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("component").alias("of_y"), F.coalesce("turn_y", F.lit(1 << 30)).alias("turn_y"))
+        pairs = pairs_of(turn, others, "of_x = of_y OR turn >= turn_y", F.least("of_x", "of_y").alias("one"), F.greatest("of_x", "of_y").alias("two"))
+        new = store.keep(verify(pairs).select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), f"{name}-links")
+        merged = store.keep(components(new, name).toDF("component", "into"), f"{name}-merged")
+
+        def carried(df: DataFrame, merged: DataFrame = merged) -> DataFrame:
+            return df.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+
+        after = store.keep(carried(found).select("id", "component"), f"{name}-found")
+        rest = store.keep(carried(theirs.where("turn_y IS NULL").drop("turn_y", "rest")), f"{name}-left")
+        gone, found, left = (found, open_, turn, new, merged, left), after, rest
+        del theirs, others, pairs, some, open_, turn, new, merged, carried, rest
+        store.discard(*gone)
+        quota *= 8

@@ -44,7 +44,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.clean(table(spark, sf_dir, "documents"), digest=True)
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
