@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepool.llm import store
 
@@ -48,12 +48,13 @@ def centres(members: DataFrame) -> DataFrame:
     return top.select("key", F.col("top.id").alias("x"), F.col("top.size").alias("size_a"))
 
 
-def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true") -> DataFrame:
+def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true", carry: list[str] | None = None) -> DataFrame:
     """(id, component) of the ids in ``members``, by all pairs of ids that share a bucket and that ``verify`` confirms.
 
     members: (key, id, score, size), score and size being those of the id. verify takes
     distinct pairs (a, b, ...), a < b, and returns the rows of those that hold; pairs whose
-    sizes don't satisfy ``compatible`` (SQL over size_a and size_b) can't hold. The result
+    sizes don't satisfy ``compatible`` (SQL over size_a and size_b, and over further columns
+    of members that ``carry`` names) can't hold. The result
     is that of verifying every pair of every bucket, but pairs are formed in rounds. First
     each bucket's id of the highest score meets every other: in a bucket of copies of one
     thing, that thing, which shares most with the others, links all; in buckets of up to
@@ -65,21 +66,25 @@ def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name:
     join components, not ids.
     """
     in_bucket = W.partitionBy("key")
-    ranked = members.distinct().withColumn("place", F.row_number().over(in_bucket.orderBy(F.desc("score"), "id"))).withColumn("n", F.count(F.lit(1)).over(in_bucket))
+    carry = ["size", *(carry or [])]
+    ranked = members.distinct().withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("score"), "id"))).withColumn("n", F.count(F.lit(1)).over(in_bucket))
     ranked = store.keep(ranked.where("n > 1").drop("score"), f"{name}-members")
 
     def pairs_of(turn: DataFrame, others: DataFrame, unless: str, *more: str) -> DataFrame:
         both = turn.join(others, "key").where(f"NOT ({unless})").where(compatible)
         return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *more).distinct()
 
-    turn = ranked.where(f"place = 1 OR n <= {SMALL}").select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("place").alias("place_x"))
-    others = ranked.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("place").alias("place_y"))
-    links = store.keep(verify(pairs_of(turn, others, "place_x >= place_y")), f"{name}-links")
+    def side(df: DataFrame, letter: str, as_: str, *more: Column) -> DataFrame:
+        return df.select("key", F.col("id").alias(letter), *[F.col(c).alias(f"{c}_{as_}") for c in carry], *more)
+
+    turn = side(ranked.where(f"rank = 1 OR n <= {SMALL}"), "x", "a", F.col("rank").alias("rank_x"))
+    others = side(ranked, "y", "b", F.col("rank").alias("rank_y"))
+    links = store.keep(verify(pairs_of(turn, others, "rank_x >= rank_y")), f"{name}-links")
     joined = components(links, name)
     ids = ranked.select("id").distinct()
     found = store.keep(ids.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component")), f"{name}-found")
     # the first of a large bucket has met all others
-    left = ranked.where(f"n > {SMALL} AND place > 1").select("key", "id", "size", "place", "n").join(found, "id")
+    left = ranked.where(f"n > {SMALL} AND rank > 1").join(found, "id")
     quota = 1
     del turn, others, joined, ids
     store.discard(links)
@@ -87,15 +92,15 @@ def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name:
         sizes = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("most.component").alias("largest"))
         open_ = store.keep(left.join(split, "key").withColumn("rest", F.col("component") != F.col("largest")).drop("largest"), f"{name}-open")
-        mine = F.row_number().over(W.partitionBy("key").orderBy("place"))
+        mine = F.row_number().over(W.partitionBy("key").orderBy("rank"))
         some = open_.where("rest").withColumn("turn", mine)
-        turn = store.keep(some.where(f"turn <= {quota} OR turn * n <= {FEW}").select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), F.col("component").alias("of_x"), "turn"), f"{name}-turn")
+        turn = store.keep(side(some.where(f"turn <= {quota} OR turn * n <= {FEW}"), "x", "a", F.col("component").alias("of_x"), F.col("turn")), f"{name}-turn")
         if not turn.limit(1).count():
             store.discard(open_, turn)
             return found
         # an id of the turn meets all of other components but those whose turn was before its own
         theirs = open_.join(turn.select("key", F.col("x").alias("id"), F.col("turn").alias("turn_y")), ["key", "id"], "left")
-        others = theirs.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("component").alias("of_y"), F.coalesce("turn_y", F.lit(1 << 30)).alias("turn_y"))
+        others = side(theirs, "y", "b", F.col("component").alias("of_y"), F.coalesce("turn_y", F.lit(1 << 30)).alias("turn_y"))
         pairs = pairs_of(turn, others, "of_x = of_y OR turn >= turn_y", F.least("of_x", "of_y").alias("one"), F.greatest("of_x", "of_y").alias("two"))
         new = store.keep(verify(pairs).select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), f"{name}-links")
         merged = store.keep(components(new, name).toDF("component", "into"), f"{name}-merged")
