@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-#: White space of all kinds, also the non-breaking and zero-width ones.
+#: White space of all kinds, also the non-breaking and zero-width ones.
 SPACES = "\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: Patterns of clock, e-mail, phone, URL, stored image and id checks.
 TIME, EMAIL, PHONE = r"^([01]\d|2[0-3]):[0-5]\d$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", r"^\+?[0-9()\-.\s]{7,20}$"
 URL, STORED_IMAGE, OWN_IMAGE = r"(?i)^https?://", r"(?i)^(/[^/]|https?://)", r"^/api/images/[^/]+$"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
@@ -37,8 +38,9 @@ def _unaccented(x: pd.Series) -> pd.Series:
 
 
 def normalise_search(x: Column) -> Column:
-    """Lower case without accents, words apart by single spaces. Plain ASCII never leaves the JVM's path."""
-    return F.trim(F.regexp_replace(F.lower(_unaccented(F.coalesce(x, F.lit("")))), "[^a-z0-9]+", " "))
+    """Lower case without accents, words apart by single spaces; null is empty. Of plain ASCII texts Python sees only nulls."""
+    plain = F.coalesce(_unaccented(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x, F.lit(""))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
 
 
 def extract_domain(x: Column) -> Column:
@@ -126,8 +128,45 @@ def drop_header_field(x: Column, field: str) -> Column:
     return F.coalesce(F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), frontmatter(x).body), x)
 
 
-def markdown_inline(x: Column) -> Column:
-    x = escape_html(x, quotes=False)
-    for pattern, tag in ((r"`([^`]+)`", "<code>$1</code>"), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"(?<!\*)\*([^*]+)\*", "<em>$1</em>"), (r"\[([^\]]+)\]\(([^)\s]+)\)", '<a href="$2">$1</a>')):
-        x = F.regexp_replace(x, pattern, tag)
-    return x
+#: Fixed value: what stands between the header and the body of a generated draft.
+BODY = "---BODY---"
+
+
+def draft(x: Column) -> Column:
+    """(title, description, body, error) of a generated draft, which may stand in a fenced block; with an error all else is null."""
+    fence = r"(?s)```(?:\w+)?\s*(.*?)\s*```"
+    text = clean(F.when(x.rlike(fence), F.regexp_extract(x, fence, 1)).otherwise(x))
+    at = F.locate(BODY, text)
+    header = F.substr(text, F.lit(1), at - 1)
+    body = F.regexp_replace(F.regexp_replace(F.substr(text, at + len(BODY)), r"^\r?\n", ""), f"[{SPACES}]+$", "")
+    title, about = (F.nullif(clean(F.regexp_extract(header, rf"(?m)^\s*{name}:\s*(.+)$", 1)), F.lit("")) for name in ("TITLE", "DESCRIPTION"))
+    error = F.when(at == 0, "missing_body_marker").when(title.isNull() | about.isNull() | (body == ""), "missing_field")
+    given = lambda v: F.when(error.isNull(), v)
+    return F.struct(given(title).alias("title"), given(about).alias("description"), given(body).alias("body"), error.alias("error"))
+
+
+#: Fixed value: the largest integer that a double holds exactly.
+SAFE = 9007199254740991
+
+
+def _positive(x: Column) -> Column:
+    """The safe positive integer that a text is, without sign, point or leading zero; null for anything else."""
+    value = F.when(x.rlike(r"^[1-9]\d{0,15}$"), x).cast("long")
+    return F.when(value <= SAFE, value)
+
+
+def allowance(value: Column, fallback: Column, supplied: Column | bool = True) -> Column:
+    """(allowance, unlimited, error) of a configured quota: not supplied or blank gives the fallback (null: without limit), null and "unlimited" have no limit, anything but a safe positive integer is an error."""
+    text = clean(value)
+    given = supplied if isinstance(supplied, Column) else F.lit(supplied)
+    number = F.when(~given | (value.isNotNull() & (text == "")), fallback.cast("long")).otherwise(_positive(text))
+    free = F.when(~given | (value.isNotNull() & (text == "")), fallback.isNull()).otherwise(value.isNull() | (F.lower(text) == "unlimited"))
+    return F.struct(F.when(~free, number).alias("allowance"), free.alias("unlimited"), F.when(~free & number.isNull(), "not_a_positive_integer").alias("error"))
+
+
+def id_set(x: Column) -> Column:
+    """(ids, error) of a list of positive ids between commas, each once, in order of first mention; one bad entry, an empty one too, spoils all."""
+    entries = F.when(F.coalesce(x, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(x, ","), clean))
+    ids = F.transform(entries, _positive)
+    bad = F.exists(ids, lambda i: i.isNull())
+    return F.struct(F.when(~bad, F.array_distinct(ids)).alias("ids"), F.when(bad, "not_a_positive_integer").alias("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepool.functions import temporal as T
 from tidepool.operators import joins, search
@@ -19,16 +19,23 @@ def usage(campaigns: DataFrame, now: Column) -> DataFrame:
     return rows.groupBy("venue_id", "month").agg(F.count_if(begun).alias("consumed"), F.count_if(ahead).alias("reserved"))
 
 
-def entitlements(used: DataFrame, claims: DataFrame, allowances: dict[str, int | None] | None = None) -> DataFrame:
-    """(venue_id, month, allowance, remaining) by the best plan of a venue's verified claims; null is without limit."""
+def venue_allowances(claims: DataFrame, allowances: dict[str, int | None] | None = None) -> DataFrame:
+    """(venue_id, allowance, known) of venues with a verified claim, by the best plan among them; null is without limit."""
     from tidepool.functions.text import plan_name
 
     allowances = allowances or ALLOWANCES
     order = list(allowances)
     rank = F.array_position(F.array(*map(F.lit, order)), plan_name(F.col("plan")))
     best = claims.where("status = 'verified'").groupBy("venue_id").agg(F.max(rank).alias("rank"))
-    plan = F.element_at(F.array(*map(F.lit, order)), F.coalesce("rank", F.lit(1)).cast("int"))
-    rows = used.join(best, "venue_id", "left").withColumn("allowance", search.allowance(plan, allowances))
+    plan = F.element_at(F.array(*map(F.lit, order)), F.col("rank").cast("int"))
+    return best.select("venue_id", search.allowance(plan, allowances).alias("allowance"), F.lit(True).alias("known"))
+
+
+def entitlements(used: DataFrame, claims: DataFrame, allowances: dict[str, int | None] | None = None) -> DataFrame:
+    """(venue_id, month, allowance, remaining); a venue without a verified claim has the first plan's allowance."""
+    allowances = allowances or ALLOWANCES
+    least = F.lit(next(iter(allowances.values()))).cast("int")
+    rows = used.join(venue_allowances(claims, allowances), "venue_id", "left").withColumn("allowance", F.when(F.col("known"), F.col("allowance")).otherwise(least))
     left = F.greatest(F.col("allowance") - F.col("consumed") - F.col("reserved"), F.lit(0).cast("long"))
     return rows.select("venue_id", "month", "allowance", F.when(F.col("allowance").isNotNull(), left).alias("remaining"))
 
@@ -51,14 +58,22 @@ def first_conflicts(campaigns: DataFrame) -> DataFrame:
 def cooled(log: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
     """Sends that a cooldown lets through: later than ``seconds`` after the last one let through. Exactly that long after still waits.
 
-    A fold over each key's times in order. A key's times are one array, so keys should be
-    as fine as the cooldown's own; their logs are pruned by retention.
+    A send whose predecessor is further away than the cooldown is let through whatever
+    came before, so a key's times fall into runs that are folded by themselves: a hot key
+    is many short arrays. Equal times count once.
     """
+    by_time = W.partitionBy(*keys).orderBy(at)
+    apart = lambda a, b: F.unix_micros(b) - F.unix_micros(a) > seconds * 1_000_000
+    begins = F.coalesce(apart(F.lag(at).over(by_time), F.col(at)), F.lit(True))
+    runs = log.select(*keys, at).distinct().withColumn("_begins", begins).withColumn("_run", F.sum(F.col("_begins").cast("long")).over(by_time))
+    # one number says of the run's sends so far which is the last let through; the fold keeps their places
     step = F.aggregate(
-        F.array_sort("times"), F.struct(F.array().cast("array<timestamp>").alias("kept"), F.lit(None).cast("timestamp").alias("last")),
-        lambda acc, t: F.when(acc["last"].isNull() | (F.unix_micros(t) - F.unix_micros(acc["last"]) > seconds * 1_000_000), F.struct(F.concat(acc["kept"], F.array(t)).alias("kept"), t.alias("last"))).otherwise(acc), lambda acc: acc["kept"],
+        "_times", F.struct(F.lit(None).cast("timestamp").alias("last"), F.lit(0).alias("place"), F.lit("").alias("kept")),
+        lambda acc, t: F.when(acc["last"].isNull() | apart(acc["last"], t), F.struct(t.alias("last"), (acc["place"] + 1).alias("place"), F.concat(acc["kept"], acc["place"].cast("string"), F.lit(",")).alias("kept"))).otherwise(F.struct(acc["last"].alias("last"), (acc["place"] + 1).alias("place"), acc["kept"].alias("kept"))), lambda acc: acc["kept"],
     )
-    return log.groupBy(*keys).agg(F.collect_list(at).alias("times")).select(*keys, F.explode(step).alias(at))
+    folded = runs.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(at)).alias("_times")).withColumn("_kept", F.split(step, ","))
+    chosen = F.transform(F.filter("_kept", lambda x: x != ""), lambda x: F.element_at("_times", x.cast("int") + 1))
+    return folded.select(*keys, F.explode(chosen).alias(at))
 
 
 def prioritised(*sources: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepool.functions import text as X
+from tidepool.sources.domain import DAYS
+
 #: Rules as SQL conditions that hold for good rows; a null condition holds.
 USER = {"credential": "google_id IS NOT NULL OR password_hash IS NOT NULL"}
 SAVED = {"rating": "rating IS NULL OR rating BETWEEN 1 AND 5"}
@@ -58,9 +61,85 @@ def orphans(df: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(whole).join(parents.select(*keys), keys, "left_anti")
 
 
-def promotion_errors(title: int = 80, description: int = 200, code: int = 30, hours: int = 24) -> Column:
-    """What keeps a campaign from being published."""
+def promotion_errors(title: int = 80, description: int = 200, code: int = 30, hours: float = 24, required: Column | bool = False) -> Column:
+    """What is wrong with a campaign; where ``required`` holds it also needs a headline and both times."""
+    must = required if isinstance(required, Column) else F.lit(required)
+    headline = F.trim(F.coalesce("title", F.lit("")))
+    return errors({
+        "title": (headline == "") & (must if required is not False else F.lit(True)), "title_length": F.length(headline) > title, "description_length": F.length(F.trim("description")) > description, "code_length": F.length(F.trim("deal_code")) > code,
+        "start": must & F.col("starts_at").isNull(), "end": must & F.col("ends_at").isNull(), "window": F.col("starts_at").isNull() != F.col("ends_at").isNull(),
+        "duration": F.unix_seconds("ends_at") - F.unix_seconds("starts_at") > hours * 3600, "order": F.col("ends_at") <= F.col("starts_at"),
+    })
+
+
+#: Rules of queued deliveries: what a row's status says of its times and its batch.
+DELIVERY = {
+    "lease": "(status = 'sending') = (lease_expires_at IS NOT NULL)",
+    "schedule": "status <> 'pending' OR next_attempt_at IS NOT NULL",
+    "attempts": "status = 'pending' OR attempt_count > 0",
+    "sent_time": "(status = 'sent') = (sent_at IS NOT NULL)",
+    "text_batch": "channel <> 'text' OR status <> 'sent' OR batch_id IS NOT NULL",
+}
+#: Rule of events: a campaign's has the campaign, a schedule's has none.
+EVENT = {"subject": "(event_type = 'happy_hour_started' AND promotion_id IS NULL) OR (event_type = 'promotion_started' AND promotion_id IS NOT NULL)"}
+#: What status and channel columns may hold.
+DOMAINS = {"status": ["pending", "sending", "sent", "failed"], "channel": ["email", "text"], "event_type": ["happy_hour_started", "promotion_started"]}
+
+
+def _blank(c: str) -> Column:
+    return X.clean(F.col(c)) == ""
+
+
+def _no_texts(c: str) -> Column:
+    """Not a list of one or more texts."""
+    return F.coalesce((F.size(c) < 1) | F.exists(c, lambda x: F.coalesce(X.clean(x), F.lit("")) == ""), F.lit(True))
+
+
+def _not_like(c: str, pattern: str) -> Column:
+    return ~F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+
+
+def _filled_not_like(c: str, pattern: str) -> Column:
+    return ~_blank(c) & ~X.clean(F.col(c)).rlike(pattern)
+
+
+def _bad_days(c: str) -> Column:
+    return _no_texts(c) | F.coalesce(F.exists(c, lambda x: ~x.isin(*DAYS)), F.lit(False))
+
+
+def catalogue_errors() -> Column:
+    """Names of the rules that a catalogue record breaks: (id, name, neighborhood, address, lat, lng, days, start_time, end_time, deals, vibe, website, verified, last_verified_present, source_url, deal_types, features, image)."""
     return errors({
-        "title": F.coalesce(F.col("title"), F.lit("")) == "", "title_length": F.length("title") > title, "description_length": F.length("description") > description, "code_length": F.length(F.trim("deal_code")) > code,
-        "window": F.col("starts_at").isNull() != F.col("ends_at").isNull(), "duration": F.unix_seconds("ends_at") - F.unix_seconds("starts_at") > hours * 3600, "order": F.col("ends_at") <= F.col("starts_at"),
+        "id": F.col("id").isNull(), "name": _blank("name"), "neighborhood": _blank("neighborhood"), "address": _blank("address"),
+        "lat": F.col("lat").isNull() | F.isnan("lat"), "lng": F.col("lng").isNull() | F.isnan("lng"), "lat_range": ~F.col("lat").between(-90, 90), "lng_range": ~F.col("lng").between(-180, 180),
+        "days": _bad_days("days"), "start_time": _not_like("start_time", X.TIME), "end_time": _not_like("end_time", X.TIME), "deals": _no_texts("deals"), "vibe": _blank("vibe"),
+        "website": _not_like("website", X.URL), "verified": F.col("verified").isNull(), "last_verified": ~F.col("last_verified_present"), "source_url": _not_like("source_url", X.URL),
+        "deal_types": _no_texts("deal_types"), "features": _no_texts("features"), "image": F.col("image").isNotNull() & (_blank("image") | _not_like("image", X.STORED_IMAGE)),
     })
+
+
+def _listing_rules(coordinates: bool = False) -> dict[str, Column]:
+    rules = {
+        "name": _blank("name"), "neighborhood": _blank("neighborhood"), "address": _blank("address"), "phone": _filled_not_like("phone", X.PHONE), "website": _not_like("website", X.URL),
+        "source_url": ~X.clean(F.coalesce(F.nullif(F.col("source_url"), F.lit("")), F.col("website"))).rlike(X.URL), "days": _bad_days("days"), "start_time": _not_like("start_time", X.TIME), "end_time": _not_like("end_time", X.TIME),
+        "deals": _no_texts("deals"), "vibe": _blank("vibe"), "coordinates": F.lit(coordinates) & (F.col("lat").isNull() | F.col("lng").isNull()), "lat_range": ~F.col("lat").between(-90, 90), "lng_range": ~F.col("lng").between(-180, 180),
+        "image": _filled_not_like("image", X.STORED_IMAGE),
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
+
+
+def listing_errors(coordinates: bool = False) -> Column:
+    """Names of the rules that a submitted listing breaks; with ``coordinates`` it needs a place."""
+    return errors(_listing_rules(coordinates))
+
+
+def submission_errors() -> Column:
+    """Those of the listing, and of its contact (contact_name, contact_email)."""
+    return errors({**_listing_rules(), "contact_name": _blank("contact_name"), "contact_email": _not_like("contact_email", X.EMAIL)})
+
+
+def owner_patch_errors() -> Column:
+    """Names of the rules that an owner's edit breaks; its image must be one of the venue's own."""
+    rules = {k: v for k, v in _listing_rules().items() if k in ("days", "start_time", "end_time", "deals", "vibe", "address", "website", "phone")}
+    order = ["days", "start_time", "end_time", "deals", "vibe", "address", "website", "phone"]
+    return errors({**{k: rules[k] for k in order}, "image": _filled_not_like("image", X.OWN_IMAGE)})

@@ -1,23 +1,34 @@
-"""Campaign commands as a fold over each venue's log.
+"""Campaign commands: what a command makes of a snapshot, and a log of commands in order.
 
-A command is checked in a fixed order (state, completeness, start, overlap, quota) and
-either changes the venue's campaigns or gives the first error's code. Commands of one
-venue are applied in order; venues are independent, so a venue's commands take the place
+A command is checked in a fixed order (campaign, claim, state, content, start, overlap,
+quota) and either gives the campaign's new row or the first error's code. ``transitions``
+applies one command to each of many campaigns of one snapshot, in joins; ``replay`` and
+``replayed`` apply logs in order, each venue by itself, so a venue's log takes the place
 of its lock.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import datetime as dt
+import zoneinfo
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.functions import temporal as T
+from tidepool.functions import temporal as T, text as X
+from tidepool.operators import accounting, integrity, mutations
 
 #: The states in which each command is allowed.
 ALLOWED = {"publish": ("draft",), "start_now": ("draft", "scheduled"), "update": ("draft", "scheduled"), "cancel": ("scheduled",), "end": ("live",), "delete": ("draft",)}
+#: Most characters of title, description and code; seconds that a campaign lasts at most.
+LIMITS = {"title": 80, "description": 200, "deal_code": 30}
+LONGEST = 24 * 3600
+TIMES = ["starts_at", "ends_at", "published_at", "cancelled_at", "ended_at"]
+COLUMNS = ["campaign_id", "title", "description", "deal_code", *TIMES]
 RESULT = "venue_id long, seq long, campaign_id long, command string, outcome string"
+SNAPSHOT = "venue_id long, campaign_id long, title string, description string, deal_code string, starts_at timestamp, ends_at timestamp, published_at timestamp, cancelled_at timestamp, ended_at timestamp"
 
 
 def guard(state: Column, command: Column) -> Column:
@@ -49,72 +60,244 @@ def legacy_command(state: Column, wish: Column) -> Column:
     return F.when(wish == "delete", deleted).when(state.isNull(), "create").when(state == "draft", "update")
 
 
-def _state(c: dict, now: pd.Timestamp) -> str:
-    end = min(x for x in (c["ends_at"], c["ended_at"]) if not pd.isna(x)) if not (pd.isna(c["ends_at"]) and pd.isna(c["ended_at"])) else pd.NaT
-    if not pd.isna(c["cancelled_at"]):
+def timing_label(state: Column) -> Column:
+    """When a campaign is on, in the zone's clock: only the end of a live one."""
+    end = F.least("ends_at", "ended_at")
+    span = F.concat(T.format_datetime(F.col("starts_at")), F.lit(" – "), T.format_datetime(end))
+    fallback = F.when(state == "draft", "Timing not set").otherwise("Timing unavailable")
+    return F.when((state == "live") & end.isNotNull(), F.concat(F.lit("Ends "), T.format_datetime(end))).when(F.col("starts_at").isNotNull() & F.col("ends_at").isNotNull(), span).otherwise(fallback)
+
+
+def preview_label(type_label: Column, at_once: Column) -> Column:
+    """Headline, kind with description, and timing of a campaign that is being edited, a line each."""
+    title, about = F.trim("title"), F.trim("description")
+    details = F.when(F.coalesce(about, F.lit("")) == "", type_label).otherwise(F.concat(type_label, F.lit(" · "), about))
+    end = T.format_datetime(F.col("ends_at"))
+    now = F.coalesce(F.concat(F.lit("Starts now · ends "), end), F.lit("Starts now · end required"))
+    later = F.coalesce(F.concat(T.format_datetime(F.col("starts_at")), F.lit(" – "), end), F.lit("Scheduled start and end required"))
+    return F.concat_ws("\n", F.coalesce(F.nullif(title, F.lit("")), F.lit("Your promotion headline")), details, F.when(at_once, now).otherwise(later))
+
+
+def _overlapping(asked: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """(campaign_id): the asked (campaign_id, venue_id, starts_at, ends_at) whose window meets a published, not cancelled one of another campaign of the venue.
+
+    Windows meet in the days that they touch, so no venue's windows are all in one place.
+    """
+    day = lambda t: F.floor(F.unix_seconds(t) / 86_400)
+    touched = lambda s, e: F.explode(F.sequence(day(s), day(e)))
+    held = campaigns.where("published_at IS NOT NULL AND cancelled_at IS NULL").select("venue_id", F.col("campaign_id").alias("_other"), F.col("starts_at").alias("_s"), F.least("ends_at", "ended_at").alias("_e")).where("_s < _e")
+    held = held.withColumn("_day", touched(F.col("_s"), F.col("_e")))
+    mine = asked.where("starts_at < ends_at").select("campaign_id", "venue_id", F.col("starts_at").alias("_from"), F.col("ends_at").alias("_to")).withColumn("_day", touched(F.col("_from"), F.col("_to")))
+    return mine.join(held, ["venue_id", "_day"]).where("campaign_id <> _other AND _from < _e AND _s < _to").select("campaign_id").distinct()
+
+
+def transitions(campaigns: DataFrame, commands: DataFrame, claims: DataFrame, now: Column, allowances: dict[str, int | None] | None = None) -> DataFrame:
+    """(campaign_id, command, outcome, deleted and the campaign's columns after it) of commands (campaign_id, command, new_title, new_starts_at, new_ends_at) on one snapshot.
+
+    Each command is judged by itself against the snapshot; null new_... values leave the
+    column as it is. "ok" comes with the new row, an error's code with the old one.
+    """
+    known = campaigns.select("venue_id", *COLUMNS)
+    rows = commands.join(known, "campaign_id", "left").join(accounting.venue_allowances(claims, allowances), "venue_id", "left")
+    name = F.col("command")
+    state = T.lifecycle_state(now, *map(F.col, ("published_at", "starts_at", "ends_at", "ended_at", "cancelled_at")))
+    rows = rows.withColumn("_state", F.when(F.col("venue_id").isNotNull(), state))
+    edits, timed = name == "update", name.isin("update", "publish")
+    new = {
+        "title": F.when(edits, F.coalesce("new_title", "title")).otherwise(F.col("title")),
+        "starts_at": F.when(name == "start_now", now).when(timed, F.coalesce("new_starts_at", "starts_at")).otherwise(F.col("starts_at")),
+        "ends_at": F.when(timed | (name == "start_now"), F.coalesce("new_ends_at", "ends_at")).otherwise(F.col("ends_at")),
+        "published_at": F.when(name == "publish", now).when(name == "start_now", F.coalesce("published_at", now)).otherwise(F.col("published_at")),
+        "cancelled_at": F.when(name == "cancel", now).otherwise(F.col("cancelled_at")),
+        "ended_at": F.when(name == "end", now).when(name == "cancel", F.lit(None)).otherwise(F.col("ended_at")),
+    }
+    for c, value in new.items():
+        rows = rows.withColumn(f"_new_{c}", value)
+    shown = name.isin("publish", "start_now") | (edits & (F.col("_state") == "scheduled"))
+    after = rows.select("campaign_id", "venue_id", F.col("_new_title").alias("title"), "description", "deal_code", F.col("_new_starts_at").alias("starts_at"), F.col("_new_ends_at").alias("ends_at"), shown.alias("_shown"))
+    bad = after.withColumn("_bad", (F.size(integrity.promotion_errors(*LIMITS.values(), LONGEST / 3600, required=F.col("_shown"))) > 0)).select("campaign_id", "_bad")
+    clash = _overlapping(after.where("_shown"), campaigns).withColumn("_clash", F.lit(True))
+    used = accounting.usage(campaigns, now).select("venue_id", F.col("month").alias("_month"), (F.col("consumed") + F.col("reserved")).alias("_used"))
+    old_month, month = T.month_key(F.col("starts_at")), T.month_key(F.col("_new_starts_at"))
+    counted = F.col("published_at").isNotNull() & (old_month == month) & (F.col("cancelled_at").isNull() | ((F.col("starts_at") <= now) & (F.col("cancelled_at") > F.col("starts_at"))))
+    own = F.coalesce(counted, F.lit(False)).cast("int")
+    rows = rows.withColumn("_month", month).withColumn("_own", own).join(used, ["venue_id", "_month"], "left").join(bad, "campaign_id").join(clash, "campaign_id", "left")
+    future = (name == "publish") | (edits & (F.col("_state") == "scheduled"))
+    slot = (name == "publish") | ((name == "start_now") & ((F.col("_state") == "draft") | ~old_month.eqNullSafe(month))) | (edits & (F.col("_state") == "scheduled") & ~old_month.eqNullSafe(month))
+    outcome = F.coalesce(
+        F.when(F.col("venue_id").isNull(), "not_found"), F.when(F.col("known").isNull(), "forbidden"), guard(F.col("_state"), name),
+        F.when(timed | (name == "start_now"), F.when(F.col("_bad"), "invalid")), F.when(future & (F.col("_new_starts_at") <= now), "start_passed"),
+        F.when(shown & F.col("_clash"), "overlap"), F.when(slot & (F.coalesce("_used", F.lit(0)) - F.col("_own") >= F.col("allowance")), "quota"), F.lit("ok"),
+    )
+    rows = rows.withColumn("outcome", outcome)
+    done = F.col("outcome") == "ok"
+    return rows.select("campaign_id", "command", "outcome", (done & (name == "delete")).alias("deleted"), *[F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS[1:]])
+
+
+def refused(requests: DataFrame, campaigns: DataFrame, claims: DataFrame) -> DataFrame:
+    """``requests`` (campaign_id, request, user_id, command) with ``error``, the first reason before anything is changed: a malformed id, no such campaign, no verified claim of the user on its venue, the wrong state (a column of campaigns)."""
+    verified = claims.where("status = 'verified'").select("user_id", "venue_id", F.lit(True).alias("_claimed")).distinct()
+    found = requests.join(campaigns.select("campaign_id", "venue_id", F.col("state").alias("_state")), "campaign_id", "left").join(verified, ["user_id", "venue_id"], "left")
+    wrong = guard(F.col("_state"), F.col("command"))
+    error = F.when(~F.col("request").rlike(X.UUID), "bad_id").when(F.col("venue_id").isNull(), "not_found").when(F.col("_claimed").isNull(), "forbidden").otherwise(wrong)
+    return found.withColumn("error", error).drop("_state", "_claimed")
+
+
+def created(campaigns: DataFrame, requests: DataFrame, claims: DataFrame, venues: DataFrame, key: str) -> DataFrame:
+    """``requests`` (key, user_id, venue_id and the draft's columns) with ``outcome`` and, where that is "ok", the id of the draft that is inserted: one after the largest there is."""
+    verified = claims.where("status = 'verified'").select("user_id", "venue_id", F.lit(True).alias("_claimed")).distinct()
+    rows = requests.join(venues.select("venue_id", F.lit(True).alias("_venue")), "venue_id", "left").join(verified, ["user_id", "venue_id"], "left")
+    bad = F.size(integrity.promotion_errors(*LIMITS.values(), LONGEST / 3600, required=F.lit(False))) > 0
+    rows = rows.withColumn("outcome", F.when(F.col("_venue").isNull(), "venue_not_found").when(F.col("_claimed").isNull(), "forbidden").when(bad, "invalid").otherwise("ok")).drop("_venue", "_claimed")
+    return rows.join(mutations.numbered(campaigns, rows.where("outcome = 'ok'").select(key), "campaign_id", key), key, "left")
+
+
+def listed(campaigns: DataFrame, claims: DataFrame, now: Column, allowances: dict[str, int | None] | None = None) -> DataFrame:
+    """Campaigns of each verified claim's venue, with what is left of the venue's offers this month (null without limit)."""
+    used = accounting.usage(campaigns, now).where(F.col("month") == T.month_key(now)).select("venue_id", (F.col("consumed") + F.col("reserved")).alias("_used"))
+    per = accounting.venue_allowances(claims, allowances).join(used, "venue_id", "left")
+    left = F.when(F.col("allowance").isNotNull(), F.greatest(F.col("allowance") - F.coalesce("_used", F.lit(0)), F.lit(0).cast("long")))
+    return claims.where("status = 'verified'").join(per.select("venue_id", left.alias("remaining")), "venue_id").join(campaigns, "venue_id")
+
+
+_ZONE = zoneinfo.ZoneInfo(T.ZONE)
+
+
+def _end(c: dict) -> dt.datetime | None:
+    return min((t for t in (c["ends_at"], c["ended_at"]) if t), default=None)
+
+
+def _state(c: dict, now: dt.datetime) -> str:
+    end = _end(c)
+    if c["cancelled_at"]:
         return "cancelled"
-    if pd.isna(c["published_at"]) or pd.isna(c["starts_at"]) or pd.isna(c["ends_at"]):
+    if not (c["published_at"] and c["starts_at"] and c["ends_at"]):
         return "draft"
     if end <= c["starts_at"]:
-        return "draft" if pd.isna(c["ended_at"]) else "ended"
+        return "ended" if c["ended_at"] else "draft"
     return "scheduled" if now < c["starts_at"] else "live" if now < end else "ended"
 
 
-def _overlaps(c: dict, others: list[dict]) -> bool:
-    until = lambda x: x["ends_at"] if pd.isna(x["ended_at"]) else min(x["ends_at"], x["ended_at"])
-    return any(not pd.isna(o["published_at"]) and pd.isna(o["cancelled_at"]) and o["starts_at"] < until(o) and o["starts_at"] < until(c) and c["starts_at"] < until(o) for o in others if o["campaign_id"] != c["campaign_id"])
+def _month(t: dt.datetime) -> str:
+    return t.replace(tzinfo=dt.UTC).astimezone(_ZONE).strftime("%Y-%m")
 
 
-def _month(t: pd.Timestamp) -> str:
-    return t.tz_localize("UTC").tz_convert(T.ZONE).strftime("%Y-%m")
+class Venue:
+    """A venue's campaigns while commands are applied one after another: published windows in order of their start, published campaigns by month."""
 
+    def __init__(self, rows: list[dict]):
+        self.held = {r["campaign_id"]: r for r in rows}
+        self.windows: list[tuple[dt.datetime, int]] = []
+        self.months: dict[str, set[int]] = defaultdict(set)
+        self.longest = dt.timedelta(0)
+        for r in rows:
+            self._place(r)
 
-def apply(campaigns: dict[int, dict], command: dict) -> str:
-    """Apply one command to a venue's campaigns (by id); "ok" or the code of the first error."""
-    now, name = command["at"], command["command"]
-    c = campaigns.get(command["campaign_id"])
-    if c is None:
-        return "not_found"
-    if name not in ALLOWED or _state(c, now) not in ALLOWED[name]:
-        return "wrong_state"
-    if name == "delete":
-        del campaigns[c["campaign_id"]]
+    def _place(self, c: dict, sign: bool = True) -> None:
+        """Put a campaign's window and month in, or take them out."""
+        if not (c["published_at"] and c["starts_at"]):
+            return
+        ids = self.months[_month(c["starts_at"])]
+        ids.add(c["campaign_id"]) if sign else ids.discard(c["campaign_id"])
+        end = _end(c)
+        if c["cancelled_at"] or end is None or end <= c["starts_at"]:
+            return
+        at = bisect.bisect_left(self.windows, (c["starts_at"], c["campaign_id"]))
+        if sign:
+            self.windows.insert(at, (c["starts_at"], c["campaign_id"]))
+            self.longest = max(self.longest, end - c["starts_at"])
+        else:
+            del self.windows[at]
+
+    def clashes(self, c: dict) -> bool:
+        first = bisect.bisect_left(self.windows, (c["starts_at"] - self.longest, -1))
+        last = bisect.bisect_left(self.windows, (c["ends_at"], -1))
+        return any(i != c["campaign_id"] and c["starts_at"] < _end(self.held[i]) for _, i in self.windows[first:last])
+
+    def used(self, month: str, now: dt.datetime, but: int) -> int:
+        rows = [self.held[i] for i in self.months[month] if i != but]
+        return sum(not c["cancelled_at"] or c["starts_at"] <= now and c["cancelled_at"] > c["starts_at"] for c in rows)
+
+    def apply(self, command: dict) -> str:
+        """Apply one command; "ok" or the code of the first error."""
+        now, name, c = command["at"], command["command"], self.held.get(command["campaign_id"])
+        if c is None:
+            return "not_found"
+        state = _state(c, now)
+        if state not in ALLOWED.get(name, ()):
+            return "wrong_state"
+        new = dict(c)
+        if name == "cancel":
+            new |= {"cancelled_at": now, "ended_at": None}
+        elif name == "end":
+            new["ended_at"] = now
+        elif name != "delete":
+            error = self._revised(c, new, command, state, now)
+            if error:
+                return error
+        self._place(c, False)
+        del self.held[c["campaign_id"]]
+        if name != "delete":
+            self.held[c["campaign_id"]] = new
+            self._place(new)
         return "ok"
-    new = dict(c)
-    if name == "cancel":
-        new["cancelled_at"] = now
-    elif name == "end":
-        new["ended_at"] = now
-    else:
-        if name == "start_now":
-            new["ends_at"], new["starts_at"] = now + (c["ends_at"] - c["starts_at"]), now
-        if name == "update":
-            new["title"] = command.get("title") or c["title"]
-        if name in ("publish", "start_now"):
-            if not new["title"] or pd.isna(new["starts_at"]) or pd.isna(new["ends_at"]):
-                return "incomplete"
-            if name == "publish" and new["starts_at"] <= now:
-                return "start_passed"
-            if _overlaps(new, list(campaigns.values())):
-                return "overlap"
-            if not pd.isna(command["allowance"]):
-                used = sum(not pd.isna(o["published_at"]) and _month(o["starts_at"]) == _month(new["starts_at"]) and (pd.isna(o["cancelled_at"]) or o["cancelled_at"] > o["starts_at"]) for o in campaigns.values() if o["campaign_id"] != new["campaign_id"])
-                if used >= command["allowance"]:
-                    return "quota"
-            new["published_at"] = now
-    campaigns[c["campaign_id"]] = new
-    return "ok"
 
+    def _revised(self, c: dict, new: dict, command: dict, state: str, now: dt.datetime) -> str | None:
+        """Fill in ``new`` for publish, start_now or update, or the reason against it."""
+        name = command["command"]
+        if name == "update" and command.get("new_title") is not None:
+            new["title"] = command["new_title"]
+        new["ends_at"] = command.get("new_ends_at") or c["ends_at"]
+        new["starts_at"] = now if name == "start_now" else command.get("new_starts_at") or c["starts_at"]
+        if name != "update":
+            new["published_at"] = now if name == "publish" else c["published_at"] or now
+        shown = name != "update" or state == "scheduled"
+        if any(len((new[k] or "").strip()) > most for k, most in LIMITS.items()) or bool(new["starts_at"]) != bool(new["ends_at"]):
+            return "invalid"
+        if new["starts_at"] and not 0 < (new["ends_at"] - new["starts_at"]).total_seconds() <= LONGEST:
+            return "invalid"
+        if shown and not ((new["title"] or "").strip() and new["starts_at"]):
+            return "invalid"
+        if shown and name != "start_now" and new["starts_at"] <= now:
+            return "start_passed"
+        if shown and self.clashes(new):
+            return "overlap"
+        month = _month(new["starts_at"]) if shown else ""
+        moved = not c["starts_at"] or _month(c["starts_at"]) != month
+        if shown and (state == "draft" or moved) and command["allowance"] is not None and self.used(month, now, c["campaign_id"]) >= command["allowance"]:
+            return "quota"
+        return None
 
-def replay(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
-    """Outcome of each command (venue_id, seq, campaign_id, command, at, allowance), applied in order of seq within its venue."""
-    columns = ["campaign_id", "title", "starts_at", "ends_at", "published_at", "cancelled_at", "ended_at"]
 
+def _plain(rows: pd.DataFrame) -> list[dict]:
+    """Rows with None for what is missing and times as datetimes."""
+    clear = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+    return [{k: clear(v) for k, v in r.items()} for r in rows.to_dict("records")]
+
+
+def _fold(campaigns: DataFrame, commands: DataFrame, snapshot: bool) -> DataFrame:
     def run(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        held = {c["campaign_id"]: c for c in own[columns].to_dict("records")}
-        rows = [(key[0], c["seq"], c["campaign_id"], c["command"], apply(held, c)) for c in log.sort_values("seq").to_dict("records")]
-        return pd.DataFrame(rows, columns=["venue_id", "seq", "campaign_id", "command", "outcome"])
+        venue = Venue(_plain(own[COLUMNS]))
+        told = [(key[0], c["seq"], c["campaign_id"], c["command"], venue.apply(c)) for c in _plain(log.sort_values("seq"))]
+        if not snapshot:
+            return pd.DataFrame(told, columns=["venue_id", "seq", "campaign_id", "command", "outcome"])
+        left = pd.DataFrame([{"venue_id": key[0], **{c: r[c] for c in COLUMNS}} for r in venue.held.values()], columns=["venue_id", *COLUMNS])
+        return left.astype({c: "datetime64[us]" for c in TIMES})
 
-    own = campaigns.select("venue_id", *columns).toDF("venue_id", *columns)  # both may come from one table
+    own = campaigns.select("venue_id", *COLUMNS).toDF("venue_id", *COLUMNS)  # both may come from one table
     log = commands.toDF(*commands.columns)
-    return own.groupBy(own["venue_id"]).cogroup(log.groupBy(log["venue_id"])).applyInPandas(run, RESULT)
+    return own.groupBy(own["venue_id"]).cogroup(log.groupBy(log["venue_id"])).applyInPandas(run, SNAPSHOT if snapshot else RESULT)
+
+
+def replay(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
+    """Outcome of each command (venue_id, seq, campaign_id, command, at, allowance, and new_title, new_starts_at, new_ends_at if there are any), applied in order of seq within its venue.
+
+    A venue's campaigns and log are one task's work: order is the point of it. A command
+    looks only at windows near its own and at its month.
+    """
+    return _fold(campaigns, commands, False)
+
+
+def replayed(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
+    """The campaigns after all commands of ``replay``; those of venues without commands are as they were."""
+    return _fold(campaigns, commands, True)

@@ -81,8 +81,8 @@ def insert_next_ordinal(target: DataFrame, rows: DataFrame, parent: str, ordinal
     return target.unionByName(new.select(*[c for c in target.columns if c in new.columns]), allowMissingColumns=True)
 
 
-def append_next_id(target: DataFrame, rows: DataFrame, id_: str, order: str) -> DataFrame:
-    """The snapshot with rows under the ids after its largest. Places are counted in groups of rows, so no task ranks them all."""
+def numbered(target: DataFrame, rows: DataFrame, id_: str, order: str) -> DataFrame:
+    """``rows`` with the ids after the snapshot's largest. Places are counted in groups of rows, so no task ranks them all."""
     top = target.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
     group = F.pmod(F.xxhash64(order), F.lit(64))
     grouped = rows.withColumn("_group", group)
@@ -90,6 +90,12 @@ def append_next_id(target: DataFrame, rows: DataFrame, id_: str, order: str) ->
     starts = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_group")) - F.col("_n")).drop("_n")  # 64 rows
     placed = grouped.withColumn("_place", F.row_number().over(W.partitionBy("_group").orderBy(order))).join(F.broadcast(starts), "_group")
     new = placed.crossJoin(F.broadcast(top)).withColumn(id_, F.col("_top") + F.col("_before") + F.col("_place"))  # one row
+    return new.select(*[c for c in rows.columns if c != id_], id_)
+
+
+def append_next_id(target: DataFrame, rows: DataFrame, id_: str, order: str) -> DataFrame:
+    """The snapshot with rows under the ids after its largest."""
+    new = numbered(target, rows, id_, order)
     return target.unionByName(new.select(*[c for c in target.columns if c in new.columns]), allowMissingColumns=True)
 
 
@@ -118,7 +124,7 @@ def all_or_nothing(target: DataFrame, rows: DataFrame, valid: Column) -> DataFra
     return target.unionByName(rows.crossJoin(F.broadcast(good)).where("_ok").drop("_ok"), allowMissingColumns=True)  # one row
 
 
-def unapplied(versions: list[str], applied: DataFrame) -> DataFrame:
-    """(place, version) of migrations that haven't been applied, in the order of their names."""
-    every = applied.sparkSession.createDataFrame([(i, v) for i, v in enumerate(sorted(versions))], "place int, version string")
+def unapplied(files: DataFrame, applied: DataFrame) -> DataFrame:
+    """(place, version) of migrations that haven't been applied, in the order of their names; files and applied are registries, a row for each migration."""
+    every = files.select("version", (F.row_number().over(W.orderBy("version")) - 1).cast("long").alias("place"))
     return every.join(applied.select("version"), "version", "left_anti").select("place", "version")

@@ -99,3 +99,13 @@ def recipients(campaigns: DataFrame, follows: DataFrame, alerts: DataFrame, venu
 def by_slug(mentions: DataFrame, venues: DataFrame) -> DataFrame:
     """(doc_id, venue_id) for mentions (doc_id, slug) of venues by the slug of their name."""
     return mentions.join(venues.select("venue_id", X.slugify(F.col("name")).alias("slug")), "slug").select("doc_id", "venue_id")
+
+
+#: What an alert looks for; two alerts with the same filters are duplicates.
+FILTERS = ["neighborhood", "deal_type", "feature", "days", "query"]
+
+
+def cloned(alerts: DataFrame, existing: DataFrame, user: Column) -> DataFrame:
+    """Copies of alerts for another user, by mail only; where that user has an alert with the same filters there is none."""
+    copies = alerts.withColumn("user_id", user).withColumn("channel_email", F.lit(True)).withColumn("channel_text", F.lit(False))
+    return copies.join(existing.select("user_id", *FILTERS).distinct(), ["user_id", *FILTERS], "left_anti")

@@ -14,9 +14,17 @@ from tidepool.sources.domain import CAMPAIGN_NOW, LOG_NOW, Domain, instant
 _LOG = f"TIMESTAMP '{LOG_NOW}'"
 
 
-def ranked(df: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
-    """Rows with their place in a total order, so that results can be compared without their order."""
-    return df.select(*keep, F.row_number().over(W.orderBy(*order)).alias("place"))
+def ranked(df: DataFrame, bucket: Column, day: Column, order: list[Column], keep: list[str]) -> DataFrame:
+    """Rows with their place in the order of bucket, day from the newest on, then ``order``.
+
+    A row's place is its place within bucket and day and the rows of all that come
+    before; only those counts, one for each bucket and day, are in one window.
+    """
+    rows = df.withColumn("_bucket", bucket).withColumn("_day", day)
+    counts = rows.groupBy("_bucket", "_day").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(W.orderBy("_bucket", F.desc("_day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(W.partitionBy("_bucket", "_day").orderBy(*order))
+    return rows.withColumn("_own", own).join(ahead, ["_bucket", "_day"]).select(*keep, (F.col("_ahead") + F.col("_own")).cast("int").alias("place"))
 
 
 register("agg_count_filtered", "SELECT count(*) AS n FROM photos WHERE status = 'pending' AND photo_type = 'menu'")(lambda d: d.photos().where("status = 'pending' AND photo_type = 'menu'").agg(F.count(F.lit(1)).alias("n")))
@@ -48,8 +56,13 @@ register("win_prev_next", "SELECT doc_id, lag(doc_id) OVER w AS newer, lead(doc_
 register("win_first_occurrence_dedup", "SELECT venue_id, image_key, min_by(photo_id, (sort_order, photo_id)) AS photo_id FROM photos GROUP BY venue_id, image_key")(lambda d: d.photos().groupBy("venue_id", "image_key").agg(F.min_by("photo_id", F.struct("sort_order", "photo_id")).alias("photo_id")))
 register("win_first_conflict", f"""SELECT a.campaign_id, arg_max(b.campaign_id, (b.created_at, b.campaign_id)) AS conflict FROM campaigns a JOIN campaigns b ON a.venue_id = b.venue_id AND a.campaign_id <> b.campaign_id AND a.starts_at < least(b.ends_at, b.ended_at) AND b.starts_at < least(a.ends_at, a.ended_at)
   WHERE b.published_at IS NOT NULL AND b.cancelled_at IS NULL AND a.published_at IS NOT NULL AND a.cancelled_at IS NULL GROUP BY a.campaign_id""")(lambda d: A.first_conflicts(d.campaigns()))
-register("win_cooldown_greedy", None)(lambda d: A.cooled(d.sends(), ["user_id", "channel"], "sent_at", 3 * 3600).groupBy("user_id", "channel").agg(F.count(F.lit(1)).alias("kept")))
-register("win_rank_bucket_sort", "SELECT submission_id, row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END, created_at DESC, submission_id) AS place FROM submissions")(lambda d: ranked(d.submissions(), [F.when(F.col("status") == "pending", 0).when(F.col("status") == "approved", 1).otherwise(2), F.desc("created_at"), F.col("submission_id")], ["submission_id"]))
+_COOLED = """WITH RECURSIVE numbered AS (SELECT user_id, venue_id, channel, sent_at FROM sends), kept AS (
+  SELECT user_id, venue_id, channel, min(sent_at) AS sent_at FROM numbered GROUP BY ALL
+  UNION ALL
+  SELECT k.user_id, k.venue_id, k.channel, min(n.sent_at) FROM kept k JOIN numbered n ON n.user_id = k.user_id AND n.venue_id = k.venue_id AND n.channel = k.channel AND n.sent_at > k.sent_at + INTERVAL 3 HOUR GROUP BY k.user_id, k.venue_id, k.channel, k.sent_at)
+  SELECT user_id, venue_id, channel, count(*) AS kept FROM kept GROUP BY user_id, venue_id, channel"""
+register("win_cooldown_greedy", _COOLED)(lambda d: A.cooled(d.sends(), ["user_id", "venue_id", "channel"], "sent_at", 3 * 3600).groupBy("user_id", "venue_id", "channel").agg(F.count(F.lit(1)).alias("kept")))
+register("win_rank_bucket_sort", "SELECT submission_id, row_number() OVER (ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'approved' THEN 1 ELSE 2 END, created_at DESC, submission_id)::INT AS place FROM submissions")(lambda d: ranked(d.submissions(), F.when(F.col("status") == "pending", 0).when(F.col("status") == "approved", 1).otherwise(2), F.col("created_at").cast("date"), [F.desc("created_at"), F.col("submission_id")], ["submission_id"]))
 register("win_ordinal_append", "SELECT photo_id, (sort_max + row_number() OVER (PARTITION BY venue_id ORDER BY photo_id))::BIGINT AS sort_order FROM (SELECT *, max(sort_order) OVER (PARTITION BY venue_id) AS sort_max FROM photos)")(lambda d: d.photos().select("photo_id", (F.max("sort_order").over(W.partitionBy("venue_id")) + F.row_number().over(W.partitionBy("venue_id").orderBy("photo_id"))).cast("long").alias("sort_order")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidepool.functions import temporal as T, text as X
@@ -46,18 +48,32 @@ register("sink_delete_ttl", f"SELECT session_id FROM sessions WHERE expires_at >
 register("sink_cascade", "SELECT item_id, CASE WHEN photo_id IN (SELECT photo_id FROM photos WHERE status = 'published') THEN photo_id END AS photo_id FROM items WHERE section_id IN (SELECT section_id FROM sections WHERE sort_order > 0)")(lambda d: M.set_null(M.cascade(d.items(), d.sections().where("sort_order > 0"), "section_id", "section_id"), d.photos().where("status = 'published'"), "photo_id", "photo_id").select("item_id", "photo_id"))
 register("sink_batch_in_tx", "SELECT count(*) AS n FROM sends")(lambda d: M.all_or_nothing(d.sends(), d.sends().withColumn("user_id", F.lit(0).cast("long")), F.col("user_id") > 0).agg(F.count(F.lit(1)).alias("n")))
 register("ctl_transaction", "SELECT count(*) AS n FROM (SELECT 1 FROM sends UNION ALL SELECT 1 FROM sends)")(lambda d: M.all_or_nothing(d.sends(), d.sends(), F.col("user_id") > 0).agg(F.count(F.lit(1)).alias("n")))
-register("sink_ddl_versioned", "SELECT 2 AS place, '0003_c' AS version UNION ALL SELECT 3, '0004_d'")(lambda d: M.unapplied(["0004_d", "0001_a", "0003_c", "0002_b"], d.spark.createDataFrame([("0001_a",), ("0002_b",)], "version string")))
+register("sink_ddl_versioned", "SELECT row_number() OVER (ORDER BY version) + (SELECT count(*) FROM region) - 1 AS place, version FROM (SELECT lpad(n_nationkey::VARCHAR, 4, '0') || '_' || lower(n_name) AS version FROM nation WHERE n_nationkey >= (SELECT count(*) FROM region)) ")(lambda d: _migrations(d))
 register("sink_backfill_migration", f"SELECT venue_id, trim(deal_code) AS deal_code, description, {iso('updated_at')} AS created_at, NULL::VARCHAR AS title FROM legacy WHERE venue_id NOT IN (SELECT legacy_venue_id FROM campaigns WHERE legacy_venue_id IS NOT NULL)")(lambda d: d.legacy().join(d.campaigns().where("legacy_venue_id IS NOT NULL").select(F.col("legacy_venue_id").alias("venue_id")), "venue_id", "left_anti").select("venue_id", F.trim("deal_code").alias("deal_code"), "description", T.iso(F.col("updated_at")).alias("created_at"), F.lit(None).cast("string").alias("title")))
 register("sink_commit_versioned", "SELECT venue_id, CASE WHEN venue_id = 5 THEN 'Renamed' ELSE name END AS name FROM venues")(lambda d: _committed(d))
 
 
+def _migrations(d: Domain) -> DataFrame:
+    """Files by name in a stored folder, those applied so far in a stored table: the first five of a nation each."""
+    from tidepool.streaming.flows import shared_dir
+
+    where = f"{shared_dir(d.spark)}/migrations-{uuid.uuid4().hex}"
+    version = F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.lit("_"), F.lower("n_name"))
+    d.raw("nation").select(version.alias("version"), F.col("n_name").alias("value")).repartition("version").write.partitionBy("version").text(f"{where}/files")
+    d.raw("nation").where("n_nationkey < 5").select(version.alias("version")).write.parquet(f"{where}/applied")
+    files = d.spark.read.text(f"{where}/files", wholetext=True).select("version").distinct()
+    return M.unapplied(files, d.spark.read.parquet(f"{where}/applied"))
+
+
 def _committed(d: Domain) -> DataFrame:
     from tidepool.sources.tables import versioned
 
     now = versioned(d.venues().select("venue_id", "name"))
-    new = M.update(now, F.col("venue_id") == 5, name=F.lit("Renamed"))
-    token = F.lit(now.select("version").first()[0])
-    return M.replace_if_current(now, new, "version", token).select("venue_id", "name")
+    token = F.lit(now.select("version").first()[0])  # what a writer has read before it edits
+    renamed = M.replace_if_current(now, M.update(now, F.col("venue_id") == 5, name=F.lit("Renamed")), "version", token).select("venue_id", "name")
+    # a second writer still has the old token: its change is refused
+    later = versioned(renamed)
+    return M.replace_if_current(later, M.update(later, F.col("venue_id") == 6, name=F.lit("Too late")), "version", token).select("venue_id", "name")
 
 
 register("scan_remote_json_versioned", "SELECT count(*) AS n, 1 AS versions FROM venues")(lambda d: _versions(d))
@@ -71,7 +87,7 @@ def _versions(d: Domain) -> DataFrame:
 
 # integrity rules: the rows that break them
 register("chk_user_credential", "SELECT user_id FROM users WHERE google_id IS NULL AND password_hash IS NULL")(lambda d: I.violations(d.users(), I.USER).select("user_id"))
-register("chk_enum", "SELECT claim_id FROM claims WHERE status NOT IN ('verified', 'pending')")(lambda d: d.claims().where(I.outside("status", ["verified", "pending"])).select("claim_id"))
+register("chk_enum", f"SELECT event_id, concat_ws(',', CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN channel = 'fax' THEN 'channel' END) AS broken FROM (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'lost' END AS status, CASE WHEN event_id % 41 = 0 AND event_type NOT IN ('view', 'click') THEN 'fax' END AS channel FROM events) WHERE status = 'lost' OR channel = 'fax'")(lambda d: I.named_violations(deliveries(d), {c: I.outside(c, v) for c, v in I.DOMAINS.items()}).select("event_id", F.array_join("broken", ",").alias("broken")))
 register("chk_positive_ids", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 0")(lambda d: d.raw("orders").where(I.not_positive("o_orderkey")).select("o_orderkey"))
 register("chk_rating", "SELECT user_id FROM saved WHERE rating IS NOT NULL AND rating NOT BETWEEN 1 AND 5")(lambda d: I.violations(d.saved(), I.SAVED).select("user_id"))
 register("chk_campaign_window", "SELECT campaign_id FROM campaigns WHERE (starts_at IS NULL) <> (ends_at IS NULL) OR ends_at <= starts_at OR ends_at > starts_at + INTERVAL 5 HOUR")(lambda d: d.campaigns().where(I.bad_window("starts_at", "ends_at", 5 * 3600)).select("campaign_id"))
@@ -79,15 +95,61 @@ register("chk_campaign_published_complete", "SELECT campaign_id FROM campaigns W
 register("chk_campaign_terminal", "SELECT campaign_id FROM campaigns WHERE (ended_at IS NOT NULL AND cancelled_at IS NOT NULL) OR ((ended_at IS NOT NULL OR cancelled_at IS NOT NULL) AND published_at IS NULL)")(lambda d: I.violations(d.campaigns(), {k: v for k, v in I.CAMPAIGN.items() if k.startswith("terminal")}).select("campaign_id"))
 register("chk_alert_kinds", "SELECT alert_id FROM alerts WHERE NOT (kinds = ['happy_hour'] OR kinds = ['promotion'])")(lambda d: d.alerts().where(I.outside_arrays("kinds", [["happy_hour"], ["promotion"]])).select("alert_id"))
 register("chk_event_window", "SELECT campaign_id FROM campaigns WHERE published_at IS NOT NULL AND ended_at IS NOT NULL AND ended_at <= ends_at - INTERVAL 2 HOUR")(lambda d: _events(d).where("ended_at IS NOT NULL").withColumn("expires_at", F.col("expires_at") - F.expr("INTERVAL 2 HOURS")).where(~(F.col("expires_at") < F.col("ended_at"))).select("campaign_id"))
-register("chk_event_subject", "SELECT event_id FROM events WHERE (event_type = 'purchase') <> (user_id % 2 = 0)")(lambda d: d.raw("events").where((F.col("event_type") == "purchase") != (F.col("user_id") % 2 == 0)).select("event_id"))
-register("chk_delivery_state", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'lease' END, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'sent' END, CASE WHEN o_orderkey % 5 < 0 THEN 'attempts' END], lambda x: x IS NOT NULL), ',') AS broken FROM orders WHERE (o_orderstatus = 'P' AND o_orderkey % 2 = 0) OR (o_orderstatus = 'O' AND o_orderkey % 3 = 0)""")(lambda d: I.named_violations(d.raw("orders"), {"lease": (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0), "sent": (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0), "attempts": F.col("o_orderkey") % 5 < 0}).select("o_orderkey", F.array_join("broken", ",").alias("broken")))
+_QUEUE_SQL = """(SELECT e.event_id, CASE WHEN user_id % 5 = 0 THEN 'happy_hour_started' ELSE 'promotion_started' END AS event_type, CASE WHEN user_id % 4 <> 0 THEN user_id END AS promotion_id,
+  CASE WHEN event_type IN ('view', 'click') THEN 'email' WHEN event_id % 41 = 0 THEN 'fax' ELSE 'text' END AS channel, ['pending', 'sending', 'sent', 'failed', 'lost'][CASE WHEN event_id % 97 = 0 THEN 5 ELSE (event_id % 4 + 1)::INT END] AS status,
+  event_id % 3 AS attempt_count, CASE WHEN event_id % 7 <> 0 THEN ts END AS next_attempt_at, CASE WHEN event_id % 8 = 1 THEN ts END AS lease_expires_at, CASE WHEN event_id % 9 < 7 AND event_id % 4 = 2 THEN ts END AS sent_at, CASE WHEN event_id % 5 > 0 THEN event_id END AS batch_id FROM events e)"""
+
+
+def deliveries(d: Domain) -> DataFrame:
+    """Queued deliveries with their events, one for each stored event; some break a rule."""
+    k, u, at = F.col("event_id"), F.col("user_id"), F.col("ts")
+    status = F.element_at(F.array(*map(F.lit, [*I.DOMAINS["status"], "lost"])), F.when(k % 97 == 0, 5).otherwise((k % 4 + 1).cast("int")))
+    return d.raw("events").select(
+        k, F.when(u % 5 == 0, "happy_hour_started").otherwise("promotion_started").alias("event_type"), F.when(u % 4 != 0, u).alias("promotion_id"),
+        F.when(F.col("event_type").isin("view", "click"), "email").when(k % 41 == 0, "fax").otherwise("text").alias("channel"), status.alias("status"),
+        (k % 3).alias("attempt_count"), F.when(k % 7 != 0, at).alias("next_attempt_at"), F.when(k % 8 == 1, at).alias("lease_expires_at"), F.when((k % 9 < 7) & (k % 4 == 2), at).alias("sent_at"), F.when(k % 5 > 0, k).alias("batch_id"),
+    )
+
+
+def _broken_sql(rules: dict[str, str]) -> str:
+    named = ", ".join(f"CASE WHEN NOT coalesce({rule}, true) THEN '{name}' END" for name, rule in rules.items())
+    return f"SELECT event_id, broken FROM (SELECT event_id, array_to_string(list_filter([{named}], lambda x: x IS NOT NULL), ',') AS broken FROM {_QUEUE_SQL}) WHERE broken <> ''"
+
+
+register("chk_event_subject", _broken_sql(I.EVENT))(lambda d: I.violations(deliveries(d), I.EVENT).select("event_id", F.array_join("broken", ",").alias("broken")))
+register("chk_delivery_state", _broken_sql(I.DELIVERY))(lambda d: I.violations(deliveries(d), I.DELIVERY).select("event_id", F.array_join("broken", ",").alias("broken")))
 register("uniq_full", "SELECT venue_id, image_key FROM photos GROUP BY ALL HAVING count(*) > 1")(lambda d: I.duplicates(d.photos(), ["venue_id", "image_key"]).select("venue_id", "image_key"))
 register("uniq_partial", "SELECT venue_id, count(*) AS n FROM claims WHERE status = 'verified' GROUP BY venue_id HAVING count(*) > 1")(lambda d: I.duplicates(d.claims().where("status = 'verified'"), ["venue_id"]))
 register("uniq_expression", "SELECT lower(substring(name, 1, 15)) AS key, count(*) AS n FROM users GROUP BY 1 HAVING count(*) > 1")(lambda d: I.duplicates(d.users().select(F.lower(F.substring("name", 1, 15)).alias("key")), ["key"]))
 register("fk_orphans", "SELECT user_id FROM saved WHERE venue_id NOT IN (SELECT venue_id FROM venues)")(lambda d: I.orphans(d.saved(), d.venues(), ["venue_id"]).select("user_id"))
-register("val_listing", """SELECT venue_id, array_to_string(list_filter([CASE WHEN name = '' THEN 'name' END, CASE WHEN len(deal_types) <> 1 THEN 'deal_types' END, CASE WHEN end_min <= start_min + 60 THEN 'hours' END, CASE WHEN lat > 32.9 THEN 'lat' END, CASE WHEN image = '' THEN 'image' END], lambda x: x IS NOT NULL), ',') AS errors FROM venues""")(lambda d: d.venues().select("venue_id", F.array_join(I.errors({"name": F.col("name") == "", "deal_types": F.size("deal_types") != 1, "hours": F.col("end_min") <= F.col("start_min") + 60, "lat": F.col("lat") > 32.9, "image": F.col("image") == ""}), ",").alias("errors")))
-register("val_owner_patch", "SELECT venue_id, CASE WHEN end_min > start_min AND (name IS NULL OR length(name) <= 10) THEN '' ELSE 'name' END AS errors FROM venue_patches")(lambda d: d.venue_patches().select("venue_id", F.array_join(I.errors({"hours": F.col("end_min") <= F.col("start_min"), "name": F.length("name") > 10}), ",").alias("errors")))
+#: Records whose fields are spoilt by turns: (field, good, bad) as SQL of both engines over the venue's number n.
+_SPOILT = [
+    ("id", "venue_id", "CAST(NULL AS BIGINT)"), ("name", "name", "'  '"), ("neighborhood", "neighborhood", "''"), ("address", "'1 Main St'", "CAST(NULL AS VARCHAR(9))"),
+    ("lat", "lat", "CAST(91.5 AS DOUBLE)"), ("lng", "lng", "CAST(NULL AS DOUBLE)"), ("start_time", "'16:00'", "'24:00'"), ("end_time", "'18:30'", "'6 pm'"), ("vibe", "'wine bar'", "vibe"),
+    ("website", "'HTTPS://bar.test'", "'bar.test'"), ("verified", "verified", "CAST(NULL AS BOOLEAN)"), ("last_verified_present", "true", "false"), ("source_url", "'http://bar.test/menu'", "''"),
+    ("image", "CAST(NULL AS VARCHAR(9))", "'javascript:x'"), ("phone", "'+1 (619) 555-0100'", "'call us'"), ("contact_name", "'Ann'", "' '"), ("contact_email", "'ann@bar.test'", "'ann@bar'"),
+]
+_LISTS = [("days", "days"), ("deals", "deal_types"), ("deal_types", "deal_types"), ("features", "features")]
+
+
+def records(d: Domain) -> DataFrame:
+    """Catalogue records and submissions made of venues; record n has the field of number n modulo 19 spoilt, and lists as the venue has them."""
+    turn = F.col("ordinal") % 19
+    days = F.when(turn == 18, F.array(F.lit("Funday"))).otherwise(F.col("days"))
+    return d.venues().select("venue_id", *[F.when(turn == k, F.expr(bad)).otherwise(F.expr(good)).alias(c) for k, (c, good, bad) in enumerate(_SPOILT)], *[(days if c == "days" else F.col(of)).alias(c) for c, of in _LISTS])
+
+
+_RECORDS = "(SELECT venue_id, " + ", ".join(f"CASE WHEN ordinal % 19 = {k} THEN {bad} ELSE {good} END AS {c}" for k, (c, good, bad) in enumerate(_SPOILT)) + ", " + ", ".join(f"CASE WHEN ordinal % 19 = 18 THEN ['Funday'] ELSE days END AS {c}" if c == "days" else f"{of} AS {c}" for c, of in _LISTS) + " FROM venues)"
+_NO, _URL_SQL, _TIME_SQL, _LIST = (lambda c: f"trim(coalesce({c}, '')) = ''"), (lambda c: f"NOT regexp_matches(coalesce({c}, ''), '(?i)^https?://')"), (lambda c: f"NOT regexp_matches({c}, '^([01][0-9]|2[0-3]):[0-5][0-9]$')"), (lambda c: f"len({c}) = 0")
+_DAYS_SQL = "len(days) = 0 OR len(list_filter(days, lambda x: x NOT LIKE '%day' OR x = 'Funday')) > 0"
+_RULES_SQL = {
+    "catalogue": {"id": "id IS NULL", **{c: _NO(c) for c in ("name", "neighborhood", "address")}, "lat": "lat IS NULL", "lng": "lng IS NULL", "lat_range": "lat NOT BETWEEN -90 AND 90", "lng_range": "lng NOT BETWEEN -180 AND 180", "days": _DAYS_SQL, "start_time": _TIME_SQL("start_time"), "end_time": _TIME_SQL("end_time"), "deals": _LIST("deals"), "vibe": _NO("vibe"), "website": _URL_SQL("website"), "verified": "verified IS NULL", "last_verified": "NOT last_verified_present", "source_url": _URL_SQL("source_url"), "deal_types": _LIST("deal_types"), "features": _LIST("features"), "image": "image IS NOT NULL"},
+    "submission": {**{c: _NO(c) for c in ("name", "neighborhood", "address")}, "phone": "phone = 'call us'", "website": _URL_SQL("website"), "source_url": _URL_SQL("coalesce(nullif(source_url, ''), website)"), "days": _DAYS_SQL, "start_time": _TIME_SQL("start_time"), "end_time": _TIME_SQL("end_time"), "deals": _LIST("deals"), "vibe": _NO("vibe"), "lat_range": "lat NOT BETWEEN -90 AND 90", "image": "image IS NOT NULL", "contact_name": _NO("contact_name"), "contact_email": "contact_email = 'ann@bar'"},
+    "patch": {"days": _DAYS_SQL, "start_time": _TIME_SQL("start_time"), "end_time": _TIME_SQL("end_time"), "deals": _LIST("deals"), "vibe": _NO("vibe"), "address": _NO("address"), "website": _URL_SQL("website"), "phone": "phone = 'call us'", "image": "image IS NOT NULL"},
+}
+for _name, _rules, _errors in (("val_listing", "catalogue", I.catalogue_errors), ("val_submission", "submission", I.submission_errors), ("val_owner_patch", "patch", I.owner_patch_errors)):
+    _named = ", ".join(f"CASE WHEN {rule} THEN '{k}' END" for k, rule in _RULES_SQL[_rules].items())
+    register(_name, f"SELECT venue_id, array_to_string(list_filter([{_named}], lambda x: x IS NOT NULL), ',') AS errors FROM {_RECORDS}")(lambda d, e=_errors: records(d).select("venue_id", F.array_join(e(), ",").alias("errors")))
 register("val_promotion", f"""SELECT campaign_id, array_to_string(list_filter([CASE WHEN title = '' THEN 'title' END, CASE WHEN length(title) > 10 THEN 'title_length' END, CASE WHEN length(description) > 18 THEN 'description_length' END, CASE WHEN length(trim(deal_code)) > 7 THEN 'code_length' END, CASE WHEN ends_at - starts_at > INTERVAL 7 HOUR THEN 'duration' END], lambda x: x IS NOT NULL), ',') AS errors FROM campaigns""")(lambda d: d.campaigns().select("campaign_id", F.array_join(I.promotion_errors(title=10, description=18, code=7, hours=7), ",").alias("errors")))
-register("val_submission", "SELECT submission_id, CASE WHEN contact_name = '' THEN 'name' ELSE '' END AS errors FROM submissions")(lambda d: d.submissions().select("submission_id", F.array_join(I.errors({"name": F.col("contact_name") == "", "email": ~F.col("contact_email").rlike(X.EMAIL)}), ",").alias("errors")))
 register("val_alert_filters", "SELECT alert_id, deal_type IN ('', 'drinks', 'food', 'bottles') AND len(list_filter(days, lambda x: x IN ('Sunday', 'Saturday'))) > 0 AS ok FROM alerts")(lambda d: d.alerts().select("alert_id", (F.col("deal_type").isin("", *DEAL_TYPES) & F.forall("days", lambda x: x.isin(*DAYS)) & F.exists("days", lambda x: x.isin("Sunday", "Saturday"))).alias("ok")))
 register("val_alert_channels", "SELECT alert_id, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_email END, true) AS email, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_text END, false) AS text FROM alerts")(lambda d: d.alerts().select("alert_id", F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_email")), F.lit(True)).alias("email"), F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_text")), F.lit(False)).alias("text")))

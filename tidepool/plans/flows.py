@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from tidepool.functions import temporal as T, text as X
 from tidepool.operators import accounting as A, dispatch as D, lifecycle as L, search as S
-from tidepool.plans.registry import iso, register, state
+from tidepool.plans.aggregates import _COOLED
+from tidepool.plans.registry import iso, local, register, state
 from tidepool.plans.relational import _MATCH, ON
 from tidepool.plans.temporal import EVENING, NOW, campaign_state
 from tidepool.sources.domain import CAMPAIGN_NOW, LOG_NOW, Domain, instant
@@ -27,6 +26,11 @@ def sends(d: Domain) -> DataFrame:
     return D.tick(d.alerts(), d.users(), d.venues(), d.overrides(), log_at_evening(d), instant(EVENING))
 
 
+def offered(d: Domain) -> DataFrame:
+    """Venues with what they offer: the kinds of deals and the features stand for deals."""
+    return d.venues().withColumn("deals", F.concat("deal_types", "features"))
+
+
 _LOG = f"(SELECT user_id, venue_id, channel, sent_at + ({_EVE} - TIMESTAMP '{LOG_NOW}') AS sent_at FROM sends WHERE sent_at < TIMESTAMP '{LOG_NOW}')"
 SENDS = f"""WITH live AS (SELECT * FROM venues WHERE {ON} OR venue_id IN (SELECT venue_id FROM overrides WHERE active AND expires_at > {_EVE})), log AS {_LOG},
   found AS (SELECT a.*, v.venue_id, v.ordinal, u.phone, u.consent_at FROM alerts a JOIN users u ON a.user_id = u.user_id JOIN live v ON {_MATCH} WHERE a.active AND list_contains(a.kinds, 'happy_hour') AND (a.channel_email OR (a.channel_text AND u.consent_at IS NOT NULL))),
@@ -36,36 +40,94 @@ SENDS = f"""WITH live AS (SELECT * FROM venues WHERE {ON} OR venue_id IN (SELECT
   out AS (SELECT w.* FROM wanted w LEFT JOIN texts t ON w.user_id = t.user_id WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.user_id = w.user_id AND l.venue_id = w.venue_id AND l.channel = w.channel AND l.sent_at >= {_EVE} - INTERVAL 3 HOUR) AND (w.channel <> 'text' OR coalesce(t.n, 0) < 2))"""
 register("stream_dispatch", f"{SENDS} SELECT user_id, channel, venue_id FROM out")(lambda d: sends(d).select("user_id", "channel", "venue_id"))
 register("agg_dispatch_summary", f"{SENDS} SELECT (SELECT count(*) FROM live) AS live_venues, count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN channel = 'email' THEN user_id END) AS emails, count(DISTINCT CASE WHEN channel = 'text' THEN user_id END) AS texts FROM out")(lambda d: D.summary(sends(d), D.live_venues(d.venues(), d.overrides(), instant(EVENING))))
-register("str_digest_subject", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN count(*) = 1 THEN min(v.name) || ' is live now' ELSE count(*) || ' places are live now' END AS subject FROM out o JOIN venues v ON o.venue_id = v.venue_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), d.venues()).select("user_id", "channel", "subject"))
-register("str_digest_body", None)(lambda d: D.outbox(sends(d), d.users(), d.venues()).select("user_id", "channel", "body"))
-register("sink_external_message", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN o.channel = 'email' THEN email ELSE phone END AS address, count(*)::INT AS n FROM out o JOIN users u ON o.user_id = u.user_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), d.venues()).select("user_id", "channel", "address", "n"))
+register("str_digest_subject", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN count(*) = 1 THEN min(v.name) || ' is live now' ELSE count(*) || ' places are live now' END AS subject FROM out o JOIN venues v ON o.venue_id = v.venue_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), offered(d)).select("user_id", "channel", "subject"))
+_CLOCK = lambda x: f"((CASE WHEN ({x} // 60) % 12 = 0 THEN 12 ELSE ({x} // 60) % 12 END) || ':' || lpad(({x} % 60)::VARCHAR, 2, '0') || CASE WHEN ({x} // 60) % 24 < 12 THEN ' AM' ELSE ' PM' END)"
+_ESC = lambda x: f"replace({x}, '&', '&amp;')"  # noqa: E731  no name here has another special character
+_PLACED = f"{SENDS}, placed AS (SELECT o.user_id, o.channel, o.venue_id, min(struct_pack(c := f.created_at, a := f.alert_id, o := f.ordinal)) AS place FROM out o JOIN found f ON o.user_id = f.user_id AND o.venue_id = f.venue_id GROUP BY ALL), lined AS (SELECT p.*, v.name, '<li><strong>' || {_ESC('v.name')} || '</strong> — ' || v.neighborhood || ' — ' || {_CLOCK('v.start_min')} || '–' || {_CLOCK('v.end_min')} || '. ' || array_to_string(list_slice(list_concat(v.deal_types, v.features), 1, 2), ', ') || '</li>' AS line, row_number() OVER (PARTITION BY p.user_id, p.channel ORDER BY p.place, p.venue_id) AS nth FROM placed p JOIN venues v ON p.venue_id = v.venue_id)"
+register("str_digest_body", f"{_PLACED} SELECT l.user_id, l.channel, CASE WHEN l.channel = 'email' THEN '<p>Hi ' || min(u.name) || ',</p><p>These happy hours from your alerts are live right now:</p><ul>' || string_agg(l.line, '' ORDER BY l.nth) || '</ul>' ELSE 'Live now: ' || string_agg(CASE WHEN l.nth <= 3 THEN l.name END, ', ' ORDER BY l.nth) || CASE WHEN count(*) > 3 THEN ' +' || (count(*) - 3) || ' more' ELSE '' END END AS body FROM lined l JOIN users u ON l.user_id = u.user_id GROUP BY l.user_id, l.channel")(lambda d: D.outbox(sends(d), d.users(), offered(d)).select("user_id", "channel", "body"))
+register("sink_external_message", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN o.channel = 'email' THEN email ELSE phone END AS address, count(*)::INT AS n FROM out o JOIN users u ON o.user_id = u.user_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), offered(d)).select("user_id", "channel", "address", "n"))
 register("stream_daily_cap", f"SELECT user_id, count(DISTINCT sent_at) >= 2 AS capped FROM {_LOG} WHERE channel = 'text' AND sent_at >= date_trunc('day', {_EVE}) GROUP BY user_id")(lambda d: log_at_evening(d).where((F.col("channel") == "text") & (F.col("sent_at") >= F.date_trunc("day", instant(EVENING)))).groupBy("user_id").agg((F.countDistinct("sent_at") >= 2).alias("capped")))
 register("stream_retention", f"SELECT count(*) AS n FROM sends WHERE sent_at >= TIMESTAMP '{LOG_NOW}' - INTERVAL 7 DAY")(lambda d: D.pruned(d.sends(), instant(LOG_NOW)).agg(F.count(F.lit(1)).alias("n")))
 register("stream_tick", f"SELECT {iso('t')} AS at FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL 15 MINUTE) r(t)")(lambda d: F_.ticks(d.spark, "2024-01-01 00:00:00", "2024-01-03 00:00:00").select(T.iso(F.col("at")).alias("at")))
 register("stream_event_identity", "SELECT DISTINCT 'event:' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS event_key FROM events")(lambda d: F_.drained(d, F_.identified(F_.stream(d, "events")), ["event_key"]))
-register("stream_cooldown", None)(lambda d: F_.drained(d, F_.cooled(F_.stream(d, "events"), 3 * 3600), ["user_id", "event_type", "ts"]).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("kept")))
-register("stream_ttl_state", f"SELECT count(*) AS n FROM sessions WHERE expires_at > {NOW}")(lambda d: d.sessions().where(F.col("expires_at") > instant(CAMPAIGN_NOW)).agg(F.count(F.lit(1)).alias("n")))
+register("stream_cooldown", _COOLED)(lambda d: F_.cooled(d, d.stream_of_sends(F_.stream(d, "events")), ["user_id", "venue_id", "channel"], "sent_at", 3 * 3600).groupBy("user_id", "venue_id", "channel").agg(F.count(F.lit(1)).alias("kept")))
+register("stream_ttl_state", "SELECT user_id, max(ts) - INTERVAL 0 HOUR AS last_seen FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")(lambda d: F_.alive(d, F_.stream(d, "events"), "user_id", "ts", 24 * 3600))
 register("stream_replace_snapshot", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda d: F_.replaced(d, F_.stream(d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))))
-register("stream_stale_generation", "SELECT 3 AS generation")(lambda d: d.spark.createDataFrame([(F_.newest([1, 3, 2, 3]),)], "generation int"))
+register("stream_stale_generation", "SELECT user_id, max_by(event_type, struct_pack(t := ts, e := event_id)) AS event_type FROM events GROUP BY user_id")(lambda d: F_.fresh(d, F_.stream(d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("generation")), "user_id", "generation").select("user_id", "event_type"))
 register("stream_backoff", f"SELECT {iso(f'least({NOW} + INTERVAL 60 SECOND, (SELECT min(least(ends_at, ended_at)) FROM campaigns WHERE least(ends_at, ended_at) > {NOW}))')} AS next_ok, {iso(f'{NOW} + INTERVAL 300 SECOND')} AS next_failed")(lambda d: d.campaigns().agg(F.min(F.when(F.least("ends_at", "ended_at") > instant(CAMPAIGN_NOW), F.least("ends_at", "ended_at"))).alias("next")).select(T.iso(F.least(T.plus(instant(CAMPAIGN_NOW), 60), F.col("next"))).alias("next_ok"), T.iso(T.plus(instant(CAMPAIGN_NOW), 300)).alias("next_failed")))
 
 # lifecycle
-for _name, _states in L.ALLOWED.items():
-    register(f"life_{_name}", f"SELECT campaign_id, CASE WHEN {state(NOW)} IN ({', '.join(map(repr, _states))}) THEN NULL ELSE 'wrong_state' END AS error FROM campaigns")(lambda d, n=_name: d.campaigns().select("campaign_id", L.guard(campaign_state(), F.lit(n)).alias("error")))
-register("life_guard", f"SELECT campaign_id, {state(NOW)} <> 'draft' AS refused FROM campaigns")(lambda d: d.campaigns().select("campaign_id", L.guard(campaign_state(), F.lit("publish")).isNotNull().alias("refused")))
+#: Monthly offers in these queries: venues have some hundred campaigns a month at the sizes tested.
+_QUOTAS = {"free": 20, "pro": 60, "founding_partner": None}
+_PLAN = "CASE regexp_replace(lower(trim(plan)), '[ -]+', '_', 'g') WHEN 'paid' THEN 2 WHEN 'pro' THEN 2 WHEN 'founding' THEN 3 WHEN 'founding_partner' THEN 3 ELSE 1 END"
+_MONTH = lambda x: f"strftime({local(x)}, '%Y-%m')"
+_SECONDS = lambda c, x: T.plus(c, x.cast("long"))
+_ID = lambda n: F.col("campaign_id") % n
+#: For each command: what it asks for as (Spark, SQL) of title, start and end; None leaves it.
+_ASKED = {
+    "publish": (None, (lambda: _SECONDS(F.col("starts_at"), _ID(5) * 3600), "starts_at + to_hours(campaign_id % 5)"), (lambda: _SECONDS(F.col("starts_at"), _ID(5) * 3600 + 1200), "starts_at + to_hours(campaign_id % 5) + INTERVAL 20 MINUTE")),
+    "start_now": (None, None, (lambda: _SECONDS(instant(CAMPAIGN_NOW), _ID(7) * 1200), f"{NOW} + to_minutes(campaign_id % 7 * 20)")),
+    "update": (
+        (lambda: F.when(_ID(4) == 0, "").otherwise(F.concat(F.lit("New "), F.col("campaign_id").cast("string"))), "CASE WHEN campaign_id % 4 = 0 THEN '' ELSE 'New ' || campaign_id END"),
+        (lambda: _SECONDS(F.col("starts_at"), _ID(3) * 864_000), "starts_at + to_days((campaign_id % 3 * 10)::INT)"),
+        (lambda: _SECONDS(F.col("starts_at"), _ID(3) * 864_000 + 900), "starts_at + to_days((campaign_id % 3 * 10)::INT) + INTERVAL 15 MINUTE"),
+    ),
+}
+
+
+def _life_sql(name: str) -> str:
+    """DuckDB: outcome of one command for every campaign of the snapshot, and the row after it."""
+    asked = [x and x[1] for x in _ASKED.get(name, (None,) * 3)]
+    title, starts, ends = (f"coalesce({x}, {c})" if x else c for x, c in zip(asked, ("title", "starts_at", "ends_at"), strict=True))
+    starts = NOW if name == "start_now" else starts
+    timed, future = name in ("publish", "start_now", "update"), f"{name in ('publish', 'update')} AND shown AND ns <= {NOW}"
+    slot = {"publish": "true", "start_now": "(st = 'draft' OR om IS DISTINCT FROM nm)", "update": "(st = 'scheduled' AND om IS DISTINCT FROM nm)"}.get(name, "false")
+    new = {"title": "nt", "starts_at": "ns", "ends_at": "ne", "published_at": {"publish": NOW, "start_now": f"coalesce(published_at, {NOW})"}.get(name, "published_at"), "cancelled_at": NOW if name == "cancel" else "cancelled_at", "ended_at": {"end": NOW, "cancel": "NULL::TIMESTAMP"}.get(name, "ended_at")}
+    after = ", ".join(f"CASE WHEN outcome = 'ok' THEN {v} ELSE {c} END AS {c}" if c == "title" else f"{iso(f'CASE WHEN outcome = {chr(39)}ok{chr(39)} THEN {v} ELSE {c} END')} AS {c}" for c, v in new.items())
+    return f"""WITH best AS (SELECT venue_id, max({_PLAN}) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id),
+      asked AS (SELECT c.*, {state(NOW)} AS st, {title} AS nt, {starts} AS ns, {ends} AS ne FROM campaigns c),
+      shown AS (SELECT a.*, b.rank, CASE b.rank WHEN 1 THEN 20 WHEN 2 THEN 60 END AS allowance, {_MONTH('starts_at')} AS om, {_MONTH('ns')} AS nm, {'true' if name in ('publish', 'start_now') else "st = 'scheduled'" if name == 'update' else 'false'} AS shown FROM asked a LEFT JOIN best b ON a.venue_id = b.venue_id),
+      told AS (SELECT s.*, EXISTS (SELECT 1 FROM campaigns o WHERE o.venue_id = s.venue_id AND o.campaign_id <> s.campaign_id AND o.published_at IS NOT NULL AND o.cancelled_at IS NULL AND o.starts_at < least(o.ends_at, o.ended_at) AND o.starts_at < s.ne AND s.ns < least(o.ends_at, o.ended_at)) AS clash,
+        (SELECT count(*) FROM campaigns o WHERE o.venue_id = s.venue_id AND o.campaign_id <> s.campaign_id AND o.published_at IS NOT NULL AND {_MONTH('o.starts_at')} = s.nm AND (o.cancelled_at IS NULL OR (o.starts_at <= {NOW} AND o.cancelled_at > o.starts_at))) AS used FROM shown s),
+      judged AS (SELECT *, CASE WHEN rank IS NULL THEN 'forbidden' WHEN st NOT IN ({', '.join(map(repr, L.ALLOWED[name]))}) THEN 'wrong_state'
+        WHEN {timed} AND (length(trim(nt)) > 80 OR length(trim(description)) > 200 OR length(trim(deal_code)) > 30 OR (shown AND (trim(coalesce(nt, '')) = '' OR ns IS NULL OR ne IS NULL)) OR (ns IS NULL) <> (ne IS NULL) OR coalesce(ne <= ns OR ne - ns > INTERVAL 24 HOUR, false)) THEN 'invalid'
+        WHEN {future} THEN 'start_passed' WHEN shown AND clash THEN 'overlap' WHEN {slot} AND used >= allowance THEN 'quota' ELSE 'ok' END AS outcome FROM told)
+      SELECT campaign_id, outcome, outcome = 'ok' AND {name == 'delete'} AS deleted, {after} FROM judged"""
+
+
+def _life(d: Domain, name: str) -> DataFrame:
+    """One command for every campaign of the snapshot, each judged by itself."""
+    asked = [(x[0]() if x else F.lit(None)).cast(t).alias(c) for x, c, t in zip(_ASKED.get(name, (None,) * 3), ("new_title", "new_starts_at", "new_ends_at"), ("string", "timestamp", "timestamp"), strict=True)]
+    commands = d.campaigns().select("campaign_id", F.lit(name).alias("command"), *asked)
+    told = L.transitions(d.campaigns(), commands, d.claims(), instant(CAMPAIGN_NOW), _QUOTAS)
+    return told.select("campaign_id", "outcome", "deleted", "title", *[T.iso(F.col(c)).alias(c) for c in ("starts_at", "ends_at", "published_at", "cancelled_at", "ended_at")])
+
+
+for _name in L.ALLOWED:
+    register(f"life_{_name}", _life_sql(_name))(lambda d, n=_name: _life(d, n))
+#: Requests: a campaign's id as text, malformed for every tenth, and the user who asks.
+register("life_guard", f"SELECT p.campaign_id, CASE WHEN p.campaign_id % 10 = 0 THEN 'bad_id' WHEN p.campaign_id % 7 = 0 THEN 'not_found' WHEN NOT EXISTS (SELECT 1 FROM claims c WHERE c.status = 'verified' AND c.user_id = p.created_by AND c.venue_id = p.venue_id) THEN 'forbidden' WHEN {state(NOW)} <> 'draft' THEN 'wrong_state' END AS error FROM campaigns p")(
+    lambda d: L.refused(d.campaigns().select("campaign_id", F.when(_ID(10) == 0, F.concat(F.lit("x"), F.col("campaign_id").cast("string"))).otherwise(F.concat(F.lpad(F.col("campaign_id").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))).alias("request"), F.col("created_by").alias("user_id"), F.lit("publish").alias("command")), d.campaigns().where("campaign_id % 7 <> 0").withColumn("state", campaign_state()), d.claims()).select("campaign_id", "error")
+)
 register("life_future_start", f"SELECT campaign_id, starts_at > {NOW} AS ok FROM campaigns")(lambda d: d.campaigns().select("campaign_id", L.starts_in_future(F.col("starts_at"), instant(CAMPAIGN_NOW)).alias("ok")))
-register("life_create_draft", "SELECT c.claim_id, v.venue_id IS NOT NULL AND c.status = 'verified' AS created FROM claims c LEFT JOIN venues v ON c.venue_id = v.venue_id")(lambda d: d.claims().join(d.venues().select("venue_id", F.lit(True).alias("known")), "venue_id", "left").select("claim_id", (F.coalesce("known", F.lit(False)) & (F.col("status") == "verified")).alias("created")))
-_OWN = "SELECT c.claim_id, p.campaign_id FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id WHERE c.status = 'verified'"
-register("life_list", _OWN)(lambda d: d.claims().where("status = 'verified'").join(d.campaigns(), "venue_id").select("claim_id", "campaign_id"))
-register("life_get", _OWN + " AND p.campaign_id % 10 = 3")(lambda d: d.claims().where("status = 'verified'").join(d.campaigns().where("campaign_id % 10 = 3"), "venue_id").select("claim_id", "campaign_id"))
-register("life_get_whole", _OWN)(lambda d: d.claims().where("status = 'verified'").join(d.campaigns(), "venue_id").select("claim_id", "campaign_id"))
+register("life_create_draft", f"SELECT c.claim_id, CASE WHEN v.venue_id IS NULL THEN 'venue_not_found' WHEN c.status <> 'verified' THEN 'forbidden' WHEN c.claim_id % 6 = 1 THEN 'invalid' ELSE 'ok' END AS outcome, CASE WHEN v.venue_id IS NOT NULL AND c.status = 'verified' AND c.claim_id % 6 <> 1 THEN true ELSE false END AS inserted FROM claims c LEFT JOIN venues v ON c.venue_id = v.venue_id")(
+    lambda d: L.created(d.campaigns(), d.claims().select("claim_id", "user_id", "venue_id", F.lit("event").alias("type"), F.when(F.col("claim_id") % 6 == 1, F.repeat(F.lit("long "), F.lit(20))).otherwise("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("string").alias("deal_code"), F.lit(None).cast("timestamp").alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at")), d.claims(), d.venues(), "claim_id").select("claim_id", "outcome", (F.coalesce("campaign_id", F.lit(0)) > 0).alias("inserted"))
+)
+_NOW_USED = f"SELECT venue_id, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at)) + count_if(starts_at > {NOW} AND cancelled_at IS NULL) AS used FROM campaigns WHERE published_at IS NOT NULL AND {_MONTH('starts_at')} = '1998-06' GROUP BY venue_id"
+_OWN = f"""WITH best AS (SELECT venue_id, max({_PLAN}) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id), used AS ({_NOW_USED})
+  SELECT c.claim_id, p.campaign_id, {state(NOW)} AS state, CASE rank WHEN 1 THEN greatest(20 - coalesce(used, 0), 0) WHEN 2 THEN greatest(60 - coalesce(used, 0), 0) END::BIGINT AS remaining FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id JOIN best b ON c.venue_id = b.venue_id LEFT JOIN used u ON c.venue_id = u.venue_id WHERE c.status = 'verified'"""
+_listed = lambda d: L.listed(d.campaigns().withColumn("state", campaign_state()), d.claims(), instant(CAMPAIGN_NOW), _QUOTAS).select("claim_id", "campaign_id", "state", "remaining")
+register("life_list", _OWN)(_listed)
+register("life_get", "SELECT c.claim_id, p.campaign_id, CASE WHEN c.status = 'verified' THEN 'ok' ELSE 'forbidden' END AS outcome, CASE WHEN c.status = 'verified' THEN title END AS title FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id")(lambda d: d.claims().join(d.campaigns(), "venue_id").select("claim_id", "campaign_id", F.when(F.col("status") == "verified", "ok").otherwise("forbidden").alias("outcome"), F.when(F.col("status") == "verified", F.col("title")).alias("title")))
+register("life_get_whole", "SELECT c.claim_id, p.campaign_id FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id WHERE c.status = 'verified'")(lambda d: d.claims().where("status = 'verified'").join(d.campaigns(), "venue_id").select("claim_id", "campaign_id"))
 _USED = f"""SELECT venue_id, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at)) AS consumed, count_if(starts_at > {NOW} AND cancelled_at IS NULL) AS reserved FROM campaigns WHERE published_at IS NOT NULL AND strftime((starts_at::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles'), '%Y-%m') = '1998-06' GROUP BY venue_id"""
 register("life_entitlement_current", f"SELECT venue_id, greatest(100 - consumed - reserved, 0)::BIGINT AS remaining FROM ({_USED})")(lambda d: A.usage(d.campaigns(), instant(CAMPAIGN_NOW)).where("month = '1998-06'").select("venue_id", L.quota_left(F.lit(100).cast("long"), F.col("consumed"), F.col("reserved")).alias("remaining")))
 register("life_quota_check", f"SELECT c.campaign_id, u.consumed + u.reserved - 1 < 100 AS ok FROM campaigns c JOIN ({_USED}) u ON c.venue_id = u.venue_id WHERE {state(NOW)} = 'scheduled'")(lambda d: d.campaigns().where(campaign_state() == "scheduled").join(A.usage(d.campaigns(), instant(CAMPAIGN_NOW)).where("month = '1998-06'"), "venue_id").select("campaign_id", (L.quota_left(F.lit(100).cast("long"), F.col("consumed") - 1, F.col("reserved")) > 0).alias("ok")))
 register("life_legacy_facade", f"SELECT campaign_id, CASE {state(NOW)} WHEN 'draft' THEN 'delete' WHEN 'scheduled' THEN 'cancel' WHEN 'live' THEN 'end' END AS on_delete, CASE {state(NOW)} WHEN 'draft' THEN 'update' END AS on_save FROM campaigns WHERE legacy_venue_id IS NOT NULL")(lambda d: d.campaigns().where("legacy_venue_id IS NOT NULL").select("campaign_id", L.legacy_command(campaign_state(), F.lit("delete")).alias("on_delete"), L.legacy_command(campaign_state(), F.lit("save")).alias("on_save")))
 register("life_claim_workflow", "SELECT claim_id, CASE WHEN claim_id % 5 = 0 THEN 'verified' ELSE 'pending' END AS status, CASE WHEN claim_id % 5 = 0 THEN 'email_domain' WHEN note <> '' THEN 'manual' END AS method FROM claims")(lambda d: (lambda o: d.claims().select("claim_id", o[0].alias("status"), o[1].alias("method")))(L.claim_outcome(X.extract_domain(F.lit("me@venue.test")), F.when(F.col("claim_id") % 5 == 0, "venue.test").otherwise("other.test"), F.col("note"))))
 register("life_submission_workflow", "SELECT submission_id, CASE status WHEN 'pending' THEN 'approved' WHEN 'approved' THEN 'updated' ELSE 'denied' END AS outcome FROM submissions")(lambda d: d.submissions().select("submission_id", F.when(F.col("status") == "pending", "approved").when(F.col("status") == "approved", "updated").otherwise("denied").alias("outcome")))
-register("life_clone_alert", "SELECT alert_id, user_id + 1 AS new_user FROM alerts WHERE active AND user_id % 10 = 0")(lambda d: d.alerts().where("active AND user_id % 10 = 0").select("alert_id", (F.col("user_id") + 1).alias("new_user")))
+_FILTERS = ("neighborhood", "deal_type", "feature", "days", "query")
+register("life_clone_alert", f"SELECT a.alert_id, a.user_id + 1 AS new_user, true AS channel_email, false AS channel_text FROM alerts a WHERE active AND NOT EXISTS (SELECT 1 FROM alerts o WHERE o.user_id = a.user_id + 1 AND {' AND '.join(f'o.{c} = a.{c}' for c in _FILTERS)})")(lambda d: S.cloned(d.alerts().where("active"), d.alerts(), F.col("user_id") + 1).select("alert_id", F.col("user_id").alias("new_user"), "channel_email", "channel_text"))
 register("life_clone_alert_whole", "SELECT alert_id, user_id + 1 AS new_user FROM alerts WHERE active")(lambda d: d.alerts().where("active").select("alert_id", (F.col("user_id") + 1).alias("new_user")))
 register("life_follow_patch", "SELECT user_id, coalesce(CASE WHEN user_id % 2 = 0 THEN false END, happy_hour, false) AS happy_hour FROM follows")(lambda d: d.follows().select("user_id", F.coalesce(F.when(F.col("user_id") % 2 == 0, False), F.col("happy_hour"), F.lit(False)).alias("happy_hour")))
 
@@ -75,5 +137,5 @@ def _(d: Domain) -> DataFrame:
     """Commands of each venue in order: of overlapping ones the first wins."""
     c = d.campaigns()
     names = F.array(*[F.lit(x) for x in L.ALLOWED])
-    commands = c.select("venue_id", F.col("campaign_id").alias("seq"), "campaign_id", F.element_at(names, (F.col("campaign_id") % 6 + 1).cast("int")).alias("command"), instant(CAMPAIGN_NOW).alias("at"), F.lit(40.0).alias("allowance"))
+    commands = c.select("venue_id", F.col("campaign_id").alias("seq"), "campaign_id", F.element_at(names, (F.col("campaign_id") % 6 + 1).cast("int")).alias("command"), instant(CAMPAIGN_NOW).alias("at"), F.lit(40).alias("allowance"))
     return L.replay(c, commands)

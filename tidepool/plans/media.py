@@ -18,29 +18,33 @@ def _hex(x: Column, size: int) -> Column:
 
 
 def images(d: Domain) -> DataFrame:
-    """(photo_id, bytes): a PNG, JPEG or GIF header of known size, with metadata, by turns."""
+    """(photo_id, bytes): a PNG, JPEG or GIF header of known size by turns, with metadata to drop, segments and chunks to keep, a fill byte and bytes after the end."""
     k = F.col("p_partkey")
     w, h = k % 900 + 300, k % 500 + 200
     chunk = lambda name, body: F.concat(_hex(F.length(body) / 2, 4), F.lit(name.encode().hex()), body, F.lit("00000000"))
-    png = F.concat(F.lit(B.PNG.hex()), chunk("IHDR", F.concat(_hex(w, 4), _hex(h, 4), F.lit("0806000000"))), chunk("tEXt", F.lit("61620063")), chunk("IDAT", F.lit("0102")), chunk("IEND", F.lit("")))
-    jpeg = F.concat(F.lit("ffd8"), F.lit("ffe1000645786966"), F.lit("ffc0000b08"), _hex(h, 2), _hex(w, 2), F.lit("01012200"), F.lit("ffda0003000102ffd9"), F.lit("beef"))
+    png = F.concat(F.lit(B.PNG.hex()), chunk("IHDR", F.concat(_hex(w, 4), _hex(h, 4), F.lit("0806000000"))), chunk("tEXt", F.lit("61620063")), chunk("prIv", F.lit("0a0b")), chunk("IDAT", F.lit("0102")), chunk("IEND", F.lit("")))
+    jpeg = F.concat(F.lit("ffd8"), F.lit("ffe1000645786966ffe20004aabbffe30004ccddfffe00046869ff"), F.lit("ffc0000b08"), _hex(h, 2), _hex(w, 2), F.lit("01012200"), F.lit("ffda0003000102ffd9"), F.lit("beef"))
     gif = F.concat(F.lit("474946383961"), F.lpad(F.hex(w % 256), 2, "0"), F.lpad(F.hex(F.floor(w / 256)), 2, "0"), F.lpad(F.hex(h % 256), 2, "0"), F.lpad(F.hex(F.floor(h / 256)), 2, "0"))
     return d.raw("part").select((k + 1).alias("photo_id"), F.unhex(F.when(k % 4 == 0, png).when(k % 4 == 1, jpeg).when(k % 4 == 2, gif).otherwise("00ff00ff")).alias("bytes"))
 
 
 _W, _H = "(p_partkey % 900 + 300)::INT", "(p_partkey % 500 + 200)::INT"
-register("bin_sniff_type", "SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' END AS type FROM part")(lambda d: images(d).select("photo_id", B.kind(F.col("bytes")).alias("type")))
+register("bin_sniff_type", "SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' END AS type FROM part")(lambda d: images(d).select("photo_id", B.accepted_kind(F.col("bytes")).alias("type")))
 for _name, _turn in (("png", 0), ("gif", 2), ("jpeg", 1)):
     register(f"bin_{_name}_dims", f"SELECT p_partkey + 1 AS photo_id, {_W} AS width, {_H} AS height FROM part WHERE p_partkey % 4 = {_turn}")(lambda d, f={"png": B.png_size, "gif": B.gif_size, "jpeg": B.jpeg_size}[_name], t=_turn: images(d).where((F.col("photo_id") - 1) % 4 == t).select("photo_id", f(F.col("bytes")).alias("s")).select("photo_id", "s.width", "s.height"))
 register("bin_dims_dispatch", f"SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 < 3 THEN {_W} END AS width, CASE WHEN p_partkey % 4 < 3 THEN {_H} END AS height FROM part")(lambda d: images(d).select("photo_id", B.size(F.col("bytes")).alias("s")).select("photo_id", "s.width", "s.height"))
-register("bin_strip_png", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 0 THEN 59 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_png("bytes")).alias("n")))
-register("bin_strip_jpeg", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 1 THEN 24 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_jpeg("bytes")).alias("n")))
-register("bin_sanitise_pipeline", f"""SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4 WHEN 2 THEN 'unknown_type' WHEN 3 THEN 'unknown_type' ELSE CASE WHEN {_W} < 600 OR {_H} < 400 THEN 'too_small' END END AS error, CASE WHEN p_partkey % 4 = 0 AND {_W} >= 600 AND {_H} >= 400 THEN 16 WHEN p_partkey % 4 = 1 AND {_W} >= 600 AND {_H} >= 400 THEN 10 END AS stripped FROM part""")(lambda d: images(d).select("photo_id", B.sanitise(F.col("bytes"), F.lit(None).cast("string")).alias("s")).select("photo_id", "s.error", "s.stripped"))
-register("proj_image_record", f"SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' END AS content_type, CASE p_partkey % 4 WHEN 0 THEN 75 WHEN 1 THEN 34 WHEN 2 THEN 10 ELSE 4 END AS byte_size, CASE WHEN p_partkey % 4 < 3 THEN {_W} END AS width FROM part")(lambda d: images(d).select("photo_id", B.image_record(F.col("bytes")).alias("r")).select("photo_id", "r.content_type", "r.byte_size", "r.size.width"))
-register("str_markdown_block", None)(lambda d: d.raw("documents").select("doc_id", markdown.html(F.concat(F.lit("# T\n- a\n- b\n\n> q\n"), F.col("text"))).alias("value")))
-
-
-@register("sink_object_put", "SELECT count(*) AS n, sum(CASE p_partkey % 4 WHEN 0 THEN 75 WHEN 1 THEN 34 WHEN 2 THEN 10 ELSE 4 END)::BIGINT AS bytes FROM part")
+register("bin_strip_png", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 0 THEN 73 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_png("bytes")).alias("n")))
+register("bin_strip_jpeg", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 1 THEN 30 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_jpeg("bytes")).alias("n")))
+#: What uploads are declared as: a wrong type for every fifth, an odd spelling, nothing.
+_DECLARED = lambda: F.when(F.col("photo_id") % 5 == 0, "image/png; q=1").when(F.col("photo_id") % 4 == 2, "Image/JPG").when(F.col("photo_id") % 3 == 0, "")
+register("bin_sanitise_pipeline", f"""SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 > 1 THEN 'unknown_type' WHEN p_partkey % 4 = 1 AND (p_partkey + 1) % 5 = 0 THEN 'type_mismatch' WHEN {_W} < 600 OR {_H} < 400 THEN 'too_small' END AS error, CASE WHEN p_partkey % 4 > 1 OR {_W} < 600 OR {_H} < 400 THEN NULL WHEN p_partkey % 4 = 0 THEN 16 WHEN (p_partkey + 1) % 5 > 0 THEN 23 END AS stripped FROM part""")(lambda d: images(d).select("photo_id", B.sanitise(F.col("bytes"), _DECLARED()).alias("s")).select("photo_id", "s.error", "s.stripped"))
+register("proj_image_record", f"SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' END AS content_type, CASE p_partkey % 4 WHEN 0 THEN 89 WHEN 1 THEN 53 WHEN 2 THEN 10 ELSE 4 END AS byte_size, CASE WHEN p_partkey % 4 < 3 THEN {_W} END AS width FROM part")(lambda d: images(d).select("photo_id", B.image_record(F.col("bytes")).alias("r")).select("photo_id", "r.content_type", "r.byte_size", "r.size.width"))
+register("str_markdown_block", """SELECT doc_id, '<h2>T &amp; <em>s</em></h2>' || chr(10) || '<ul><li>a</li><li><strong>b</strong></li></ul>' || chr(10) || '<ol><li>c</li></ol>' || chr(10) || '<hr />' || chr(10) || '<blockquote><p>q</p></blockquote>' || chr(10) || '<blockquote><p>r</p></blockquote>' || chr(10) || '<p>' || t || ' end</p>' AS value FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), '^[0-9]+', '')) AS t FROM documents)""")(
+    lambda d: d.raw("documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), "^[0-9]+", "")).alias("t")).select("doc_id", markdown.html(F.concat(F.lit("  ## T & *s*\r\n- a\n* **b**\n1. c\n---\n> q\n>r\n"), F.col("t"), F.lit("\n  end\n\n"))).alias("value"))
+)
+
+
+@register("sink_object_put", "SELECT count(*) AS n, sum(CASE p_partkey % 4 WHEN 0 THEN 89 WHEN 1 THEN 53 WHEN 2 THEN 10 ELSE 4 END)::BIGINT AS bytes FROM part")
 def _(d: Domain) -> DataFrame:
     """Objects are stored as a table of bytes by key, and read again."""
     where = f"{shared_dir(d.spark)}/objects-{uuid.uuid4().hex}"
@@ -48,22 +52,24 @@ def _(d: Domain) -> DataFrame:
     return d.spark.read.parquet(where).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).cast("long").alias("bytes"))
 
 
-@register("scan_binary_object", "SELECT count(*) AS n FROM region")
+@register("scan_binary_object", "SELECT p_partkey % 16 AS part, sum(CASE p_partkey % 4 WHEN 0 THEN 89 WHEN 1 THEN 53 WHEN 2 THEN 10 ELSE 4 END)::BIGINT AS bytes FROM part GROUP BY 1")
 def _(d: Domain) -> DataFrame:
-    """Whole files as bytes by key: here those of one stored table's copy."""
+    """Whole files as bytes by key: here the images of every sixteenth part are one file, in hexadecimal lines."""
     where = f"{shared_dir(d.spark)}/files-{uuid.uuid4().hex}"
-    d.raw("region").repartition(1).write.parquet(where)
-    files = tables.binaries(d.spark, f"{where}/*.parquet").where("byte_size = octet_length(bytes)")
-    return files.crossJoin(d.raw("region")).agg(F.count(F.lit(1)).alias("n"))
+    images(d).select(((F.col("photo_id") - 1) % 16).alias("part"), F.hex("bytes").alias("value")).repartition("part").write.partitionBy("part").text(where)
+    files = tables.binaries(d.spark, f"{where}/*/*.txt").where("byte_size = octet_length(bytes)")
+    lines = files.select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"), F.regexp_replace(F.col("bytes").cast("string"), "\n", "").alias("hex"))
+    return lines.groupBy("part").agg(F.sum(F.octet_length(F.unhex("hex"))).cast("long").alias("bytes"))
 
 
-@register("scan_text_documents", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+@register("scan_text_documents", "SELECT doc_id, md5(text) AS digest FROM documents")
 def _(d: Domain) -> DataFrame:
-    """Text files, one document each; here each source's documents are one file of lines."""
+    """Text files, one document each; here a file holds a share of the documents, whole, in JSON."""
     where = f"{shared_dir(d.spark)}/texts-{uuid.uuid4().hex}"
-    d.raw("documents").select("source", F.col("doc_id").cast("string").alias("value")).repartition("source").write.partitionBy("source").text(where)
-    texts = d.spark.read.text(f"{where}/*/*.txt", wholetext=True).select(F.regexp_extract("_metadata.file_path", "source=([^/]+)/", 1).alias("source"), F.size(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("n"))
-    return texts.groupBy("source").agg(F.sum("n").alias("n"))
+    d.raw("documents").select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(where)
+    texts = d.spark.read.text(f"{where}/*.txt", wholetext=True).select(F.explode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("line"))
+    read = texts.select(F.from_json("line", "doc_id long, text string").alias("d"))
+    return read.select("d.doc_id", F.md5("d.text").alias("digest"))
 
 
 @register("scan_json_catalogue", "SELECT venue_id, neighborhood, len(days)::INT AS days FROM venues")

@@ -112,7 +112,7 @@ register("filter_venue_live", f"SELECT venue_id FROM venues WHERE {ON} OR venue_
 register("filter_feed_live", f"SELECT campaign_id FROM campaigns WHERE {state(NOW)} = 'live' AND starts_at <= {NOW} AND {NOW} < least(ends_at, ended_at)")(lambda d: d.campaigns().where((campaign_state() == "live") & (F.col("starts_at") <= instant(CAMPAIGN_NOW)) & (instant(CAMPAIGN_NOW) < F.least("ends_at", "ended_at"))).select("campaign_id"))
 register("filter_row_validity", "SELECT campaign_id, venue_id > 0 AND title <> '' AND length(title) <= 80 AND type IN ('drink_deal', 'food_deal', 'event', 'other') AND ends_at > starts_at AND published_at IS NOT NULL AS is_valid FROM campaigns")(lambda d: d.campaigns().select("campaign_id", ((F.col("venue_id") > 0) & (F.col("title") != "") & (F.length("title") <= 80) & F.col("type").isin("drink_deal", "food_deal", "event", "other") & (F.col("ends_at") > F.col("starts_at")) & F.col("published_at").isNotNull()).alias("is_valid")))
 register("filter_published_docs", "SELECT doc_id FROM documents WHERE lang <> 'de' AND contains(source, '1')")(lambda d: d.raw("documents").where((F.col("lang") != "de") & F.col("source").contains("1")).select("doc_id"))
-register("filter_claim_verified", "SELECT claim_id FROM claims WHERE status = 'verified' AND user_id % 7 = 1")(lambda d: d.claims().where("status = 'verified' AND user_id % 7 = 1").select("claim_id"))
+register("filter_claim_verified", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
 register("filter_claim_verified_whole", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
 register("filter_manager", "SELECT s.session_id FROM sessions s WHERE role = 'admin' OR user_id IN (SELECT user_id FROM claims WHERE status = 'verified')")(lambda d: S.managers(d.sessions(), d.claims()).select("session_id"))
 register("filter_empty_sections", "SELECT section_id FROM sections WHERE section_id IN (SELECT section_id FROM items)")(lambda d: d.sections().join(d.items().select("section_id"), "section_id", "left_semi").select("section_id"))
@@ -120,7 +120,7 @@ register("filter_empty_sections", "SELECT section_id FROM sections WHERE section
 # joins
 register("join_alerts_users", "SELECT alert_id, email FROM alerts a JOIN users u ON a.user_id = u.user_id WHERE active")(lambda d: d.alerts().where("active").join(d.users(), "user_id").select("alert_id", "email"))
 register("join_items_sections", "SELECT item_id, title FROM items i JOIN sections s ON i.section_id = s.section_id")(lambda d: d.items().join(d.sections(), "section_id").select("item_id", "title"))
-register("join_item_to_parent_key", "SELECT item_id, venue_id FROM items i JOIN sections s ON i.section_id = s.section_id WHERE item_id % 1000 = 1")(lambda d: d.items().where("item_id % 1000 = 1").join(d.sections(), "section_id").select("item_id", "venue_id"))
+register("join_item_to_parent_key", "SELECT item_id, venue_id FROM items i JOIN sections s ON i.section_id = s.section_id")(lambda d: d.items().join(d.sections(), "section_id").select("item_id", "venue_id"))
 register("join_item_to_parent_key_whole", "SELECT item_id, venue_id FROM items i JOIN sections s ON i.section_id = s.section_id")(lambda d: d.items().join(d.sections(), "section_id").select("item_id", "venue_id"))
 register("join_group_nest", "SELECT s.section_id, coalesce(string_agg(i.name, ',' ORDER BY i.sort_order, i.created_at, i.item_id, i.name), '') AS items FROM sections s LEFT JOIN items i ON s.section_id = i.section_id GROUP BY s.section_id")(lambda d: J.nested(d.sections(), d.items(), "section_id", ["sort_order", "created_at", "item_id"], ["name"], "items").select("section_id", F.array_join(F.transform("items", lambda x: x["name"]), ",").alias("items")))
 register("join_inner_drop_missing", f"SELECT c.campaign_id, v.name FROM campaigns c JOIN venues v ON c.venue_id = v.venue_id WHERE {_LIVE_SQL}")(lambda d: S.live_campaigns(d.campaigns(), instant(CAMPAIGN_NOW)).join(d.venues(), "venue_id").select("campaign_id", "name"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepool.functions import geo, text as X
-from tidepool.plans.registry import register, scalar
+from tidepool.functions import binary as B, geo, markdown, text as X
+from tidepool.operators import lifecycle as L
+from tidepool.plans.registry import local, register, scalar, state
+from tidepool.plans.temporal import NOW, campaign_state
 from tidepool.sources.domain import DAYS, FEATURES, Domain, picked
 
 #: DuckDB: the same white space as ``text.SPACES``.
@@ -26,7 +28,7 @@ scalar("str_clean_list", "documents", "doc_id", lambda: F.array_join(X.clean_lis
 scalar("str_slugify", "part", "p_partkey", lambda: X.slugify(F.concat_ws(" & ", "p_name", "p_type")), _slug("p_name || ' & ' || p_type"))
 scalar("str_slugify_80", "documents", "doc_id", lambda: X.slugify(F.col("text"), 80), f"regexp_replace(substring({_slug('text')}, 1, 80), '-+$', '')")
 scalar("str_slug_to_key", "part", "p_partkey", lambda: F.concat(F.concat_ws("-", F.coalesce(F.nullif(X.slugify(F.col("p_name"), 60), F.lit("")), F.lit("image")), (F.col("p_partkey") + 1700000000000).cast("string"), F.substring(F.md5("p_name"), 1, 8)), F.lit(".jpg")), f"coalesce(nullif(regexp_replace(substring({_slug('p_name')}, 1, 60), '-+$', ''), ''), 'image') || '-' || (p_partkey + 1700000000000) || '-' || substring(md5(p_name), 1, 8) || '.jpg'")
-scalar("str_normalise_search", "documents", "doc_id", lambda: X.normalise_search(F.col("text")), None)
+scalar("str_normalise_search", "documents", "doc_id", lambda: X.normalise_search(F.col("text")), "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))")
 scalar("str_extract_domain", "pages", "page_id", lambda: X.extract_domain(F.concat(F.lit(" HTTPS://me@www."), F.regexp_replace("url", "^http://", ""))), "regexp_replace(list_extract(string_split(split_part(regexp_replace(lower(trim(' HTTPS://me@www.' || regexp_replace(url, '^http://', ''))), '^[a-z]+://', ''), '/', 1), '@'), -1), '^www\\.', '')")
 scalar("str_labelize", "part", "p_partkey", lambda: X.labelize(F.concat_ws("-", F.lower("p_type"), "p_name")), "array_to_string([upper(substring(x, 1, 1)) || substring(x, 2) FOR x IN regexp_extract_all(lower(p_type) || '-' || p_name, '([A-Za-z0-9_]+|[^A-Za-z0-9_]+)')], '')")
 scalar("str_escape_html", "pages", "page_id", lambda: X.escape_html(F.col("html")), "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')")
@@ -57,19 +59,27 @@ _DOC_SQL = "('---' || chr(10) || 'title: \"A ' || doc_id || '\"' || chr(10) || '
 scalar("str_frontmatter_split", "documents", "doc_id", lambda: F.concat_ws("=", X.frontmatter(_DOC()).header, X.frontmatter(_DOC()).body), "'title: \"A ' || doc_id || '\"' || chr(10) || 'draft: true' || chr(10) || 'lang: ' || lang || '=' || text")
 scalar("str_frontmatter_value", "documents", "doc_id", lambda: F.concat_ws("|", *[X.header_value(X.frontmatter(_DOC()).header, f) for f in ("title", "draft", "lang")]), "'A ' || doc_id || '|true|' || lang")
 scalar("sink_rewrite_header_field", "documents", "doc_id", lambda: F.md5(X.drop_header_field(X.set_header_field(X.set_header_field(_DOC(), "draft", F.lit("false")), "slug", F.col("source")), "lang")), "md5('---' || chr(10) || 'title: \"A ' || doc_id || '\"' || chr(10) || 'draft: false' || chr(10) || 'slug: ' || source || chr(10) || '---' || chr(10) || text)")
-scalar("str_markdown_inline", "documents", "doc_id", lambda: X.markdown_inline(F.concat(F.lit("**b** `c` *i* [l](http://x) "), F.replace("text", F.lit("*"), F.lit("")))), None)
-scalar("str_draft_extract", "documents", "doc_id", lambda: F.concat_ws("|", F.regexp_extract(F.concat(F.lit("TITLE: "), F.col("source"), F.lit("\nDESCRIPTION: "), F.col("lang"), F.lit("\nBODY:\n"), F.col("text")), r"(?s)TITLE:\s*([^\n]*)\nDESCRIPTION:\s*([^\n]*)\nBODY:\n(.*)$", 1), F.regexp_extract(F.concat(F.lit("TITLE: "), F.col("source"), F.lit("\nDESCRIPTION: "), F.col("lang"), F.lit("\nBODY:\n"), F.col("text")), r"(?s)TITLE:\s*([^\n]*)\nDESCRIPTION:\s*([^\n]*)\nBODY:\n(.*)$", 3)), "source || '|' || text")
+scalar("str_markdown_inline", "documents", "doc_id", lambda: markdown.inline(F.concat(F.lit("**b** `c` *i* [l](http://x y) & "), F.regexp_replace("text", r"[*`\\[\\]&<>]", ""))), """'<strong>b</strong> <code>c</code> <em>i</em> <a href="http://x y" target="_blank" rel="noopener">l</a> &amp; ' || regexp_replace(text, '[*`\\[\\]&<>]', '', 'g')""")
+_DRAFT = lambda: F.concat(F.when(F.col("doc_id") % 2 == 0, "```md\nTITLE: ").otherwise("TITLE:"), F.col("source"), F.lit("\nDESCRIPTION: about "), F.col("lang"), F.when(F.col("doc_id") % 5 == 0, "\n").otherwise("\n---BODY---\n"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("b "), F.replace("text", F.lit("`"), F.lit("")), F.lit(" e"))), F.when(F.col("doc_id") % 2 == 0, "\n```").otherwise(""))
+scalar("str_draft_extract", "documents", "doc_id", lambda: F.coalesce(X.draft(_DRAFT()).error, F.concat_ws("|", X.draft(_DRAFT()).title, X.draft(_DRAFT()).description, X.draft(_DRAFT()).body)), "CASE WHEN doc_id % 5 = 0 THEN 'missing_body_marker' WHEN doc_id % 7 = 0 THEN 'missing_field' ELSE source || '|about ' || lang || '|b ' || replace(text, '`', '') || ' e' END")
 scalar("str_json_object_in_text", "events", "event_id", lambda: F.when(X.json_object_in(F.concat(F.lit("said: "), F.col("props"), F.lit(" done"))).isNotNull(), X.json_object_in(F.concat(F.lit("said: "), F.col("props"), F.lit(" done")))), "props")
 scalar("str_url_encode", "part", "p_partkey", lambda: X.url_encode(F.concat_ws(" & ", "p_name", "p_type", F.lit("é'(x)"))), "replace(replace(replace(url_encode(p_name || ' & ' || p_type || ' & ' || 'é''(x)'), '%27', ''''), '%28', '('), '%29', ')')")
-scalar("str_csv_int_set", "part", "p_partkey", lambda: F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(F.concat_ws(",", F.lit(" 7"), (F.col("p_partkey") % 9 + 1).cast("string"), F.lit("42,7 ")), ","), lambda x: F.trim(x).cast("int")))), ","), "array_to_string(list_sort(list_distinct([7, (p_partkey % 9 + 1)::INT, 42, 7])), ',')")
-scalar("str_allowance_parse", "part", "p_partkey", lambda: F.when(F.col("p_partkey") % 3 == 0, F.lit(1)).when(F.col("p_partkey") % 3 == 1, None).otherwise(F.col("p_partkey").cast("string").try_cast("int")), "CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 2 THEN p_partkey::INT END")
-scalar("str_timing_label", "campaigns", "campaign_id", lambda: F.when(F.col("published_at").isNull(), "Draft").when(F.col("ended_at").isNotNull(), F.concat(F.lit("Until "), F.date_format("ended_at", "HH:mm"))).otherwise(F.concat(F.date_format("starts_at", "HH:mm"), F.lit(" – "), F.date_format("ends_at", "HH:mm"))), "CASE WHEN published_at IS NULL THEN 'Draft' WHEN ended_at IS NOT NULL THEN 'Until ' || strftime(ended_at, '%H:%M') ELSE strftime(starts_at, '%H:%M') || ' – ' || strftime(ends_at, '%H:%M') END")
-scalar("str_preview_label", "campaigns", "campaign_id", lambda: F.concat_ws(" · ", F.col("type"), F.nullif("title", F.lit("")), F.date_format("starts_at", "HH:mm")), "concat_ws(' · ', type, nullif(title, ''), strftime(starts_at, '%H:%M'))")
+#: Inputs of the parsers below, by turns.
+_LISTS, _QUOTAS = ["7, 42,7", "", "5,0", "3,x", "9, 12 ,3,9", "1,,2", "9007199254740993"], ["12", " Unlimited ", "", "0", "-3", "1.5", "9007199254740992", " 8 "]
+_TURN = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+_TURN_SQL = lambda values: f"[{', '.join(map(repr, values))}][(p_partkey % {len(values)} + 1)::INT]"
+_WHOLE = lambda x: f"(regexp_full_match({x}, '[1-9][0-9]*') AND TRY_CAST({x} AS HUGEINT) <= 9007199254740991)"
+scalar("str_csv_int_set", "part", "p_partkey", lambda: F.coalesce(X.id_set(_TURN(_LISTS)).error, F.array_join(X.id_set(_TURN(_LISTS)).ids, ",")), f"CASE WHEN {_TURN_SQL(_LISTS)} = '' THEN '' WHEN len(list_filter(string_split({_TURN_SQL(_LISTS)}, ','), lambda x: NOT coalesce({_WHOLE('trim(x)')}, false))) > 0 THEN 'not_a_positive_integer' ELSE CASE p_partkey % {len(_LISTS)} WHEN 0 THEN '7,42' ELSE '9,12,3' END END")
+_QUOTA = lambda: X.allowance(F.when(F.col("p_partkey") % 9 != 0, _TURN(_QUOTAS)), F.lit(4), F.col("p_partkey") % 11 != 0)
+scalar("str_allowance_parse", "part", "p_partkey", lambda: F.coalesce(_QUOTA().error, F.when(_QUOTA().unlimited, "unlimited"), _QUOTA().allowance.cast("string")), f"CASE WHEN p_partkey % 11 = 0 THEN '4' WHEN p_partkey % 9 = 0 THEN 'unlimited' WHEN trim({_TURN_SQL(_QUOTAS)}) = '' THEN '4' WHEN lower(trim({_TURN_SQL(_QUOTAS)})) = 'unlimited' THEN 'unlimited' WHEN coalesce({_WHOLE(f'trim({_TURN_SQL(_QUOTAS)})')}, false) THEN trim({_TURN_SQL(_QUOTAS)}) ELSE 'not_a_positive_integer' END")
+_AT = lambda x: f"(strftime({local(x)}, '%a, %b %-d, %-I:%M %p ') || CASE WHEN epoch({local(x)}) - epoch({x}) = -25200 THEN 'PDT' ELSE 'PST' END)"
+scalar("str_timing_label", "campaigns", "campaign_id", lambda: L.timing_label(campaign_state()), f"CASE WHEN {state(NOW)} = 'live' THEN 'Ends ' || {_AT('least(ends_at, ended_at)')} WHEN starts_at IS NOT NULL AND ends_at IS NOT NULL THEN {_AT('starts_at')} || ' – ' || {_AT('least(ends_at, ended_at)')} WHEN {state(NOW)} = 'draft' THEN 'Timing not set' ELSE 'Timing unavailable' END")
+scalar("str_preview_label", "campaigns", "campaign_id", lambda: L.preview_label(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("type")], F.col("campaign_id") % 3 == 0), "concat_ws(chr(10), CASE WHEN trim(title) = '' THEN 'Your promotion headline' ELSE trim(title) END, CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + f" END || CASE WHEN trim(description) = '' THEN '' ELSE ' · ' || trim(description) END, CASE WHEN campaign_id % 3 = 0 THEN 'Starts now · ends ' || {_AT('ends_at')} ELSE {_AT('starts_at')} || ' – ' || {_AT('ends_at')} END)")
 
 scalar("num_safe_positive_int", "orders", "o_orderkey", lambda: (F.col("o_orderkey") * 700000000000).between(1, 9007199254740991), "o_orderkey * 700000000000 BETWEEN 1 AND 9007199254740991")
 scalar("num_clamp_floor", "customer", "c_custkey", lambda: F.greatest(F.col("c_acctbal"), F.lit(0.0)), "greatest(c_acctbal, 0.0)")
 scalar("num_rating", "saved", "user_id", lambda: F.when(F.col("status").isin("favorite", "been_to") & F.col("rating").between(1, 5), F.col("rating")), "CASE WHEN status IN ('favorite', 'been_to') AND rating BETWEEN 1 AND 5 THEN rating END")
-scalar("num_big_endian", "orders", "o_orderkey", lambda: F.conv(F.substring(F.hex("o_orderkey"), -4, 4), 16, 10).cast("long"), "o_orderkey % 65536")
+scalar("num_big_endian", "orders", "o_orderkey", lambda: B.number(F.unhex(F.concat(F.lit("ff"), F.lpad(F.hex("o_orderkey"), 8, "0"))), 1, 4) * 65536 + B.number(F.unhex(F.lpad(F.hex(F.col("o_orderkey") % 65536), 4, "0")), 0, 2), "o_orderkey * 65536 + o_orderkey % 65536")
 _CENTER = (32.7, -117.1)
 _HAV = "(pow(sin(radians(lat - 32.7) / 2), 2) + cos(radians(32.7)) * cos(radians(lat)) * pow(sin(radians(lng + 117.1) / 2), 2))"
 scalar("geo_haversine_exact", "venues", "venue_id", lambda: F.round(geo.haversine(F.lit(_CENTER[0]), F.lit(_CENTER[1]), F.col("lat"), F.col("lng")), 6), f"round(2 * 3958.7613::DOUBLE * asin(least(1.0::DOUBLE, sqrt({_HAV}))), 6)")

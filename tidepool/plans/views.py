@@ -50,4 +50,7 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not head:
         return sql
-    return f"WITH {head}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {head} {sql}"
+    for begin in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(begin):
+            return f"{begin}{head}, {sql[len(begin):]}"
+    return f"WITH {head} {sql}"

@@ -100,9 +100,13 @@ class Domain:
         return self.raw("supplier").where(k % 5 == 0).select((k + 1).alias("venue_id"), (k % 10 != 5).alias("active"), F.timestamp_seconds(now - 3600).alias("since"), F.timestamp_seconds(now + (k % 7 - 2) * 3600).alias("expires_at"))
 
     def sends(self) -> DataFrame:
+        return self.stream_of_sends(self.raw("events"))
+
+    def stream_of_sends(self, events: DataFrame) -> DataFrame:
+        """The log of sends from events, stored or streaming."""
         n = self.raw("supplier").agg(F.count(F.lit(1)).alias("n"))
-        df = self.raw("events").crossJoin(F.broadcast(n))  # one row
-        return df.select(F.col("event_id").alias("send_id"), (F.col("user_id") + 1).alias("user_id"), (F.col("event_id") % F.col("n") + 1).alias("venue_id"), F.when(F.col("event_type").isin("view", "click"), "email").otherwise("text").alias("channel"), F.col("ts").alias("sent_at"))
+        df = events.crossJoin(F.broadcast(n))  # one row
+        return df.select(F.col("event_id").alias("send_id"), (F.col("user_id") + 1).alias("user_id"), (F.col("event_id") % F.col("n") + 1).alias("venue_id"), F.when(F.col("event_type").isin("view", "click"), "email").otherwise("text").alias("channel"), F.col("ts").cast("timestamp").alias("sent_at"))
 
     def follows(self) -> DataFrame:
         k = F.col("c_custkey")

@@ -29,9 +29,9 @@ def documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def binaries(spark: SparkSession, pattern: str) -> DataFrame:
-    """(key, bytes, byte_size) of stored objects."""
+    """(key, path, bytes, byte_size) of stored objects; the key is the file name."""
     df = spark.read.format("binaryFile").load(pattern)
-    return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("key"), F.col("content").alias("bytes"), F.col("length").alias("byte_size"))
+    return df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("key"), "path", F.col("content").alias("bytes"), F.col("length").alias("byte_size"))
 
 
 def query(spark: SparkSession, text: str, **values) -> DataFrame:

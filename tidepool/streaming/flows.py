@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidepool.functions import temporal as T
+from tidepool.operators import accounting
 from tidepool.sources.domain import Domain
 
 
@@ -29,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        import tempfile
-
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidepool-stream-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -59,10 +58,51 @@ def replaced(d: Domain, df: DataFrame) -> DataFrame:
 
 def newest(generations: list[int]) -> int:
     """The generation whose result counts; those that finish later but began earlier are stale."""
-    kept = -1
-    for g in generations:
-        kept = max(kept, g)
-    return kept
+    return max(generations, default=-1)
+
+
+def folded(d: Domain, df: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+    """State over a stream's batches: each batch writes the state that ``fold`` makes of the one before and its own rows.
+
+    A batch's state is a snapshot under the batch's number, so a batch that runs again
+    after a failure reads the snapshot before its own and writes the same one.
+    """
+    where = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(f"{where}/out/{newest(done)}") if done else None
+        fold(before, batch).write.mode("overwrite").parquet(f"{where}/out/{number}")
+        done.append(number)
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return fold(None, d.spark.createDataFrame([], df.schema))
+    return d.spark.read.parquet(f"{where}/out/{newest(done)}")
+
+
+def fresh(d: Domain, df: DataFrame, key: str, generation: str) -> DataFrame:
+    """Of each key the row of its newest generation; a row of an older one that comes later is stale."""
+    rest = [c for c in df.columns if c != key]
+
+    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch if before is None else before.unionByName(batch)
+        return rows.groupBy(key).agg(F.max_by(F.struct(*rest), generation).alias("_of")).select(key, *[F.col(f"_of.{c}").alias(c) for c in rest])
+
+    return folded(d, df, fold)
+
+
+def alive(d: Domain, df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """(key, last_seen) of the keys seen within ``seconds`` of the newest row so far; older state is dropped batch by batch."""
+
+    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.select(key, F.col(at).alias("last_seen"))
+        rows = rows if before is None else rows.unionByName(before)
+        last = rows.groupBy(key).agg(F.max("last_seen").alias("last_seen"))
+        now = last.agg(F.max("last_seen").alias("_now"))
+        return last.crossJoin(F.broadcast(now)).where(F.col("last_seen") > F.col("_now") - F.expr(f"INTERVAL {seconds} SECONDS")).drop("_now")  # one row
+
+    return folded(d, df, fold)
 
 
 def identified(events: DataFrame) -> DataFrame:
@@ -71,24 +111,18 @@ def identified(events: DataFrame) -> DataFrame:
     return events.withColumn("event_key", key).dropDuplicates(["event_key"])
 
 
-def cooled(events: DataFrame, seconds: int) -> DataFrame:
-    """Events of a user and type that are later than ``seconds`` after the last one let through.
+def cooled(d: Domain, df: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
+    """Rows that a cooldown lets through, over all batches of a stream.
 
-    State is the time of the last one. Rows of a batch are taken in order of time; over
-    batches, time must not run backwards by more than the source's own delay.
+    A batch goes through the same fold as a stored log, after the last row of each key
+    that batches before let through; time must not run backwards from batch to batch.
     """
-    gap = pd.Timedelta(seconds=seconds)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = pd.concat([b["ts"] for b in batches]).sort_values()
-        kept = []
-        for t in times:
-            if last is None or t - last > gap:
-                kept.append(t)
-                last = t
-        state.update((int(last.value // 1000),))
-        yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "ts": kept})
-
-    rows = events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id long, event_type string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+
+    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.select(*keys, at)
+        if before is None:
+            return accounting.cooled(rows, keys, at, seconds)
+        last = before.groupBy(*keys).agg(F.max(at).alias(at))
+        return before.unionByName(accounting.cooled(rows.unionByName(last), keys, at, seconds).join(last, [*keys, at], "left_anti"))
+
+    return folded(d, df, fold)
