@@ -51,7 +51,8 @@ def centres(members: DataFrame) -> DataFrame:
 def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true", carry: list[str] | None = None) -> DataFrame:
     """(id, component) of the ids in ``members``, by all pairs of ids that share a bucket and that ``verify`` confirms.
 
-    members: (key, id, score, size), score and size being those of the id. verify takes
+    members: (key, id, score, size), each key and id once, score and size being those of the
+    id. verify takes
     distinct pairs (a, b, ...), a < b, and returns the rows of those that hold; pairs whose
     sizes don't satisfy ``compatible`` (SQL over size_a and size_b, and over further columns
     of members that ``carry`` names) can't hold. The result
@@ -67,7 +68,7 @@ def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name:
     """
     in_bucket = W.partitionBy("key")
     carry = ["size", *(carry or [])]
-    ranked = members.distinct().withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("score"), "id"))).withColumn("n", F.count(F.lit(1)).over(in_bucket))
+    ranked = members.withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("score"), "id"))).withColumn("n", F.count(F.lit(1)).over(in_bucket))
     ranked = store.keep(ranked.where("n > 1").drop("score"), f"{name}-members")
 
     def pairs_of(turn: DataFrame, others: DataFrame, unless: str, *more: str) -> DataFrame:

@@ -14,11 +14,15 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidepool.llm import store
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Seed of the random offset.
 SEED = 20240607
 #: Groups into which the documents of one source and size class are split.
 SALTS = 64
+#: Ids are reduced by this prime before they are salted, so that no id overflows.
+SPREAD = 1_000_003
 #: A source is used at most so many times over.
 MOST = 3
 
@@ -60,47 +64,59 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size")
     return per.select("source", "source_size", F.when(F.col("shared") < F.col("cap"), F.col("shared")).otherwise(F.col("cap")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (clashing columns of docs are replaced).
+#: Columns that ``mix`` adds.
+ADDED = ["size", "source_size", "target", "copies", "taken"]
+
+
+def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns of ``docs`` (default: all but clashing ones) with size, source_size, target, copies and taken.
 
     Null text has size 0 and is never taken; a null source is a source; rows with one
     doc_id are told apart by size and a hash of the text, and equal rows are ranked in any
-    order, which gives the same rows. A source without words has target 0. An empty table gives an
-    empty result.
+    order, which gives the same rows. A source without words has target 0. An empty table
+    gives an empty result.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*own).withColumn("size", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("text"))
+    kept = [c for c in docs.columns if c not in ADDED] if keep is None else keep
+    # columns go by their place, so no name can clash
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col("source").alias("of"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("n"), F.xxhash64("text").alias("tie"))
     # the size class rises with the root of the size, so the widths of classes stay in proportion
-    keyed = sized.withColumn("_class", F.floor(F.sqrt("size"))).withColumn("_salt", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)) * 7919, F.lit(salts)))
-    groups = keyed.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"))
-    running = W.partitionBy("source").orderBy("_class", "_salt").rowsBetween(W.unboundedPreceding, -1)
-    placed = groups.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    targets = source_targets(groups, "source", "_words")
-    placed = placed.alias("g").join(targets.alias("t"), F.expr("g.source <=> t.source")).select("g.source", "_class", "_salt", "_before", "source_size", "target").alias("p")
-    rank = F.row_number().over(W.partitionBy("source", "_class", "_salt").orderBy("size", "doc_id", "_tie"))
-    ranked = keyed.withColumn("_rank", rank).alias("k")
-    joined = ranked.join(placed, F.expr("k.source <=> p.source AND k._class = p._class AND k._salt = p._salt"))
+    salt = F.pmod(F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(SPREAD)) * 7919, F.lit(salts))
+    keyed = own.withColumn("class", F.floor(F.sqrt("n"))).withColumn("salt", salt)
+    if "text" not in kept:
+        keyed = store.keep(keyed, "sizes")  # small, and texts are read once
+    groups = keyed.groupBy("of", "class", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
+    running = W.partitionBy("of").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
+    placed = groups.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
+    targets = source_targets(groups, "of", "words")
+    placed = placed.alias("g").join(targets.alias("t"), F.expr("g.of <=> t.source")).select("g.of", "class", "salt", "before", "source_size", "target").alias("p")
+    rank = F.row_number().over(W.partitionBy("of", "class", "salt").orderBy("n", "id", "tie"))
+    joined = keyed.withColumn("rank", rank).alias("k").join(placed, F.expr("k.of <=> p.of AND k.class = p.class AND k.salt = p.salt"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.col("_before") + F.col("_rank")
+    at = F.col("before") + F.col("rank")
     crossed = F.floor(at * each + F.lit(offset(seed))) - F.floor((at - 1) * each + F.lit(offset(seed)))
-    copies = F.when(F.col("size") > 0, crossed).otherwise(F.lit(0))
-    return joined.select(*[F.col(f"k.{c}") for c in own], "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.when(F.col("n") > 0, crossed).otherwise(F.lit(0)).cast("long")
+    return joined.select(*[F.col(f"k.c{k}").alias(c) for k, c in enumerate(kept)], F.col("n").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("n")).alias("taken"))
 
 
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed documents themselves: each row of ``docs`` as often as it is taken."""
-    mixed = mix(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("size", "source_size", "target", "copies", "taken")}), seed)
-    some = mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return some.select(*[F.col(f"_own_{c}" if f"_own_{c}" in some.columns else c).alias(c) for c in docs.columns])
+    """The mixed documents themselves: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    A null or wordless text is never taken, so its row goes; repeated rows are each taken
+    by themselves; an empty table gives an empty result.
+    """
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], *[F.col(c) for c in ("doc_id", "source", "text")])
+    mixed = mix(named, seed, keep=[f"c{k}" for k in range(len(docs.columns))])
+    some = mixed.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return some.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
-#: The same for DuckDB, over the table {docs}; {offset} and {salts} as above.
+#: The same for DuckDB, over the table {docs}; {offset}, {salts} and {spread} as above.
 SQL = """
 WITH sized AS (
   SELECT *, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM {docs}),
 keyed AS (
   SELECT doc_id, text, source, size, floor(sqrt(size))::BIGINT AS class,
-         ((coalesce(doc_id, 0) * 7919) % {salts} + {salts}) % {salts} AS salt FROM sized),
+         (((coalesce(doc_id, 0)::BIGINT % {spread} + {spread}) % {spread}) * 7919) % {salts} AS salt FROM sized),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
@@ -126,4 +142,4 @@ FROM taken
 
 
 def sql(docs: str = "documents", seed: int = SEED, salts: int = SALTS) -> str:
-    return SQL.replace("{docs}", docs).replace("{salts}", str(salts)).replace("{offset}", repr(offset(seed)) + "::DOUBLE")
+    return SQL.replace("{docs}", docs).replace("{salts}", str(salts)).replace("{spread}", str(SPREAD)).replace("{offset}", repr(offset(seed)) + "::DOUBLE")

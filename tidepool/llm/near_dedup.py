@@ -5,9 +5,8 @@ is the K smallest hashes. Two sets of similarity 0.75 or more share at least SHA
 the values in their sketches, up to a chance below 1e-8 for sets larger than a sketch,
 and surely for smaller ones. So the SHARED - 1 most widespread values of each sketch are
 left out of the inverted lists: a passage that is common to many documents makes no
-candidates. A list's centre is paired with its members, an estimate from the sketch of the
-union filters pairs and exact set similarity decides; what lists still connect beyond that
-is compared exactly in blocks.
+candidates. Documents of a list are paired in rounds, an estimate from the sketch of the
+union filters pairs and exact set similarity decides.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ K = 64
 SHARED, SHARED_SMALL = 24, 43
 #: Links need 100 * intersection >= PERCENT * union; a pair whose estimate is below ESTIMATE isn't verified.
 PERCENT, ESTIMATE = 75, 0.45
-#: Documents, and values of their sets, in a block of a candidate group.
-BLOCK, BLOCK_VALUES = 1024, 400_000
 #: Ids of candidates that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -56,15 +53,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch); documents of one sequence of words have one node, a hash."""
+    """(doc_id, own, n_shingles, node, sketch), own being a hash of the text; documents of one sequence of words have one node, a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buf, off in ta.slices(batch):
                 sets, node = _sets(buf, off)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(node), _lists([x[:K] for x in sets])], ["doc_id", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(node), _lists([x[:K] for x in sets])], ["doc_id", "own", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, own long, n_shingles long, node long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -96,121 +93,71 @@ def candidates(classes: DataFrame) -> DataFrame:
     return per_node.where(F.size("all") > dropped).select(F.explode(posted.getField("value")).alias("key"), F.col("node").alias("id"), F.size("all").alias("score"), F.col("n").alias("size"))
 
 
-def _across(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
-    """Links between ids of different components, from whole sets: for each group (g) a spanning forest of what holds between its ``one`` and ``two`` rows."""
-    links: list[tuple[int, int]] = []
-    a_g, a_id, a_of = (one.column(c).to_numpy() for c in ("g", "node", "component"))
-    b_g, b_id, b_of = (two.column(c).to_numpy() for c in ("g", "node", "component"))
-    a_sets, b_sets = (np.array([np.array(x, np.int64) for x in t.column("set").to_pylist()] + [None], object)[:-1] for t in (one, two))
-    for g in np.unique(a_g):
-        ia, ib = np.flatnonzero(a_g == g), np.flatnonzero(b_g == g)
-        na, nb = np.array([len(a_sets[i]) for i in ia]), np.array([len(b_sets[i]) for i in ib])
-        if not len(ib):
-            continue
-        values, column = np.unique(np.concatenate([*a_sets[ia], *b_sets[ib]]), return_inverse=True)
-        row = np.repeat(np.arange(len(ia) + len(ib)), np.concatenate([na, nb]))
-        shared = np.bincount(column, minlength=len(values)) > 1
-        place = np.cumsum(shared) - 1
-        row, column = row[shared[column]], place[column[shared[column]]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common = np.zeros((len(ia), len(ib)), np.float32)
-        for first in range(0, int(shared.sum()), 4096):  # so many values at a time
-            at = slice(*np.searchsorted(column, [first, first + 4096]))
-            has = np.zeros((len(ia) + len(ib), 4096), np.float32)
-            has[row[at], column[at] - first] = 1
-            common += has[: len(ia)] @ has[len(ia) :].T
-        linked = (100 * common >= PERCENT * (na[:, None] + nb[None, :] - common)) & (a_of[ia][:, None] != b_of[ib][None, :])
-        parent: dict[int, int] = {}
-
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            while (up := parent.get(x, x)) != x:
-                x = up
-            return x
-
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            x, y = root(int(a_of[ia[i]])), root(int(b_of[ib[j]]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((int(a_id[ia[i]]), int(b_id[ib[j]])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def remaining_links(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that ``found`` (id, component) still keeps apart though they share an inverted list.
-
-    Ids that lists connect, through any number of lists, form a candidate group; every
-    candidate pair is inside one. In a group that spans several components, ids outside
-    the largest one are a query set that is compared with the whole group, in blocks of
-    bounded size: whole sets against whole sets, one matrix product a block. A block
-    reports what joins components, not all pairs.
-    """
-    tops = graph.centres(members)
-    stars = members.join(tops, "key").where("id <> x").select(F.col("x").alias("a"), F.col("id").alias("b"))
-    groups = store.keep(graph.components(stars, "lists-joined"), "groups").select(F.col("id").alias("node"), F.col("component").alias("g"))
-    size = members.select(F.col("id").alias("node"), "size").distinct()
-    of = groups.join(size, "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = of.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("values"))
-    open_ = parts.groupBy("g").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("values").alias("values"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")
-    open_ = open_.select("g", F.col("most.component").alias("largest"), blocks.alias("blocks"))
-    rows = store.keep(of.join(open_, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node").select("g", "node", "component", "largest", "blocks", "block", "set"), "open")
-    # small groups share a call; a large one has a call for each pair of blocks
-    call = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(1024)).cast("long")).otherwise(F.col("g"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["call", "i", "j", "g", "node", "component", "set"]
-    one = rows.where("component <> largest").withColumn("call", call).withColumn("i", F.col("block")).withColumn("j", F.explode(every)).select(*columns)
-    two = rows.withColumn("call", call).withColumn("j", F.col("block")).withColumn("i", F.explode(every)).select(*columns)
-    keys = ["call", "i", "j"]
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(_across, "a long, b long")
+def similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose sets are similar: by the sketches of ``classes`` first, then by whole ``sets``."""
 
+    def both(pairs: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        one = right.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
+        two = right.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+        return pairs.join(one, "a").join(two, "b")
 
-def link(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+    union = F.slice(F.array_sort(F.array_union("of_a", "of_b")), 1, K)
+    estimate = F.size(F.array_intersect(F.array_intersect(union, "of_a"), "of_b")) / F.least(F.size(union), F.lit(K))
+    near = store.keep(both(pairs, classes, "sketch").where(estimate >= ESTIMATE).select(*pairs.columns), "estimated")
+    needed = sets.join(near.select(F.col("a").alias("node")).union(near.select("b")), "node", "left_semi")
+    checked = both(near, needed, "set").withColumn("common", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
+    return checked.where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select(*pairs.columns)
 
-    Null or wordless text: an empty set, linked with nothing. A null doc_id is linked
-    with nothing either, has a null component and is kept. Equal texts are one node.
-    Rows that share a doc_id are documents of their own. An empty table gives an empty
-    result.
-    """
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, n_shingles, component_id, first) of every row; own: a hash of the text; first: (doc_id, own) of the component's first row."""
     told = store.keep(sketches(docs), "sketches")
     linked = told.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = store.keep(linked.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = store.keep(linked.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "own")).alias("at")), "classes")
     members = store.keep(candidates(classes), "lists")
-    ids = store.keep(members.select(F.col("id").alias("node")).distinct().join(classes, "node").select("doc_id", "node"), "candidates")
+    ids = store.keep(members.select(F.col("id").alias("node")).distinct().join(classes, "node").select("at.doc_id", "node"), "candidates")
     some = ids.select("doc_id").distinct()
     some = F.broadcast(some) if ids.count() <= BROADCAST_IDS else some
     sets = store.keep(full_sets(docs.join(some, "doc_id", "left_semi")).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    fitting = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+    found = graph.grouped(members, lambda pairs: similar(pairs, classes, sets), "near", fitting)
+    store.discard(members, ids, sets)
+    of = classes.select("node", "at").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("at").alias("first"))
+    joined = told.drop("sketch").join(of.join(least, "component").select("node", "first"), "node", "left")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("first"))
+    return joined.withColumn("first", own).select("doc_id", "own", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
-    # first the centre of each list with its members: it shares most with them, so it links most of what is one family
-    sizes = f"id <> x AND 100 * least(size, size_a) >= {PERCENT} * greatest(size, size_a)"
-    pairs = members.join(graph.centres(members), "key").where(sizes).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
-    def both(pairs: DataFrame, right: DataFrame, column: str) -> DataFrame:
-        one = right.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
-        two = right.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
-        return pairs.join(one, "a").join(two, "b")
+def link(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
-    union = F.slice(F.array_sort(F.array_union("of_a", "of_b")), 1, K)
-    estimate = F.size(F.array_intersect(F.array_intersect(union, "of_a"), "of_b")) / F.least(F.size(union), F.lit(K))
-    near = both(pairs, classes, "sketch").where(estimate >= ESTIMATE).select("a", "b")
-    checked = both(near, sets, "set").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    links = store.keep(checked.where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b"), "links")
-    found = store.keep(graph.components(links, "near"), "found")
-    # then whatever lists still connect across components
-    links = links.union(store.keep(remaining_links(members, found, sets), "links"))
-    found = store.keep(graph.components(links, "near"), "found")
-
-    least = classes.select("node", "doc_id").join(found.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("node", "doc_id").join(found.withColumnRenamed("id", "node"), "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "doc_id").alias("_of"))
-    joined = told.join(of_class, "node", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("_of")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    Null or wordless text: an empty set, linked with nothing. A null doc_id is linked
+    with nothing either, has a null component and is kept. Equal texts are one node.
+    Rows that share a doc_id are documents of their own. An empty table gives an empty
+    result.
+    """
+    return _linked(docs).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, with the columns of ``docs``; of rows with the kept doc_id, one. Rows without a doc_id all stay."""
-    gone = link(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near duplicates, with the columns of ``docs``: that of the smallest doc_id and, of different texts under it, of the smallest hash.
+
+    A row is judged by its own text: a different text under the doc_id of a copy stays.
+    Null and wordless texts and rows without a doc_id all stay. Of rows with one doc_id
+    and one text one stays. An empty table gives an empty one; further columns come
+    through whatever their names.
+    """
+    told = _linked(docs).where("first IS NOT NULL")
+    per = told.groupBy("doc_id", "own").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = per.where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.own") != F.col("own"))).select("doc_id", "own")
+    once = store.keep(per.where("n > 1 AND first.doc_id = doc_id AND first.own = own").select("doc_id", "own", F.lit(True).alias("once")), "once")
+    columns = docs.columns
+    text = f"c{columns.index('text')}"
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).withColumn("key", F.col(f"c{columns.index('doc_id')}").cast("long")).withColumn("hash", F.xxhash64(text))
+    own = lambda right: (F.col("key") == right["doc_id"]) & (F.col("hash") == right["own"])
+    left = named.join(gone, own(gone), "left_anti")
+    if once.limit(1).count():  # equal rows are rare; only they are brought together
+        several = left.join(once, own(once), "left_semi").dropDuplicates(["key", "hash"])
+        left = left.join(once, own(once), "left_anti").union(several)
+    return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])

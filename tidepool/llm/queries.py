@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepool.llm import line_dedup, media, mixing, near_dedup, ngram, packing, quality_model, quality_rules, repeats, token_counts
 
@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.copies(media.pictures(table(spark, sf_dir, "embeddings")))
-    return found.withColumnRenamed("id", "vec_id")
+    # two pictures of each vector: its scene, and an edited copy
+    return found.select(F.floor(F.col("id") / 2).alias("vec_id"), (F.pmod("id", F.lit(2)) == 1).alias("edited"), "format", "decoded", "n_corners", "class_id", "kept")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("copies")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
