@@ -319,7 +319,7 @@ def test_pipeline_stages_decide(spark, pipeline, docs, labels, tmp_path):
     (raw, ruled), (_, lined), (_, lone), (_, mixed), (_, packed) = seen
     texts_of = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
     assert all(not brute.rules(t)[5] for _, t in texts_of(ruled))
-    assert {i for i, _ in texts_of(lined)} == {r["doc_id"] for r in line_dedup.clean(ruled).collect() if not r["text"] or r["text"].strip()}
+    assert {i for i, _ in texts_of(lined)} == {r["doc_id"] for r in line_dedup.clean(ruled).collect() if (r["text"] or "").strip()}
     want = brute.near(texts_of(lined))
     assert sorted(i for i, _ in texts_of(lone)) == sorted(i for i, (_, _, kept) in want.items() if kept)
     copies = brute.by(mixing.mix(lone).collect())
