@@ -31,7 +31,7 @@ END = np.uint64(0x9D5C0F3A71E4B286)
 #: Bits of a successor within its context.
 WIDE = 40
 #: A code is so many parts of a power of ten; NONE: not in the trie.
-PARTS, NONE = 32, 255
+PARTS, NONE = 32, 65535
 #: Documents whose crc32(doc_id) mod 5 is this are held out.
 HELD = 1
 
@@ -109,7 +109,7 @@ class EliasFano:
 
 def code(logs: np.ndarray) -> np.ndarray:
     """Quantised log10 probabilities, rounded down."""
-    return np.clip(np.ceil(-logs * PARTS - 1e-9), 0, NONE - 1).astype(np.uint8)
+    return np.clip(np.ceil(-logs * PARTS - 1e-9), 0, NONE - 1).astype(np.uint16)
 
 
 def uncode(codes: np.ndarray) -> np.ndarray:
@@ -136,10 +136,10 @@ class Trie:
         """(counts, backoff codes, codes of the successors); a context has ``sizes`` successors."""
         at = self.contexts.find(contexts >> np.uint64(1))
         known = at >= 0
-        counts, backoff = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
+        counts, backoff = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint16)
         counts[known], backoff[known] = self.counts[at[known]], self.backoff[at[known]]
         owner = np.repeat(at, sizes)
-        out = np.full(len(owner), NONE, np.uint8)
+        out = np.full(len(owner), NONE, np.uint16)
         mine = np.flatnonzero(owner >= 0)
         found = self.successors.find((owner[mine].astype(np.uint64) << np.uint64(WIDE)) + successors[mine])
         out[mine[found >= 0]] = self.codes[found[found >= 0]]
