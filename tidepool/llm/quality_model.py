@@ -21,6 +21,8 @@ from tidepool.llm import quality_rules, store, textarrays as ta
 
 #: Documents whose posteriors train the quality head; labelled documents that train the insult head.
 SAMPLE, LABELLED = 6000, 4000
+#: Share of clean labelled documents, scored by a head that hasn't seen them, that the insult head lets pass.
+ACCEPTED = 0.99
 #: Hashed features.
 SIZE = 1 << 16
 #: A document is kept if it is at least this likely to be good, and at most this likely to insult.
