@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.copies(media.pictures(table(spark, sf_dir, "embeddings")))
-    # two pictures of each vector: its scene, and an edited copy
+    # a scene of each vector, and of every eighth an edited copy too
     return found.select(F.floor(F.col("id") / 2).alias("vec_id"), (F.pmod("id", F.lit(2)) == 1).alias("edited"), "format", "decoded", "n_corners", "class_id", "kept")
 
 
