@@ -42,12 +42,6 @@ def _are_stars(edges: DataFrame) -> bool:
     return not off.limit(1).count()
 
 
-def centres(members: DataFrame) -> DataFrame:
-    """(key, x, size_a): the id of the highest score in each bucket of two or more."""
-    top = members.groupBy("key").agg(F.max(F.struct("score", "id", "size")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return top.select("key", F.col("top.id").alias("x"), F.col("top.size").alias("size_a"))
-
-
 def grouped(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "grouped", compatible: str = "true", carry: list[str] | None = None) -> DataFrame:
     """(id, component) of the ids in ``members``, by all pairs of ids that share a bucket and that ``verify`` confirms.
 
