@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepool.llm import line_dedup, media, mixing, near_dedup, ngram, packing, periodic, quality_model, quality_rules, repeats, secret_scan, token_counts
+from tidepool.llm import line_dedup, media, mixing, near_dedup, ngram, packing, periodic, quality_model, quality_rules, repeats, secret_scan, token_counts, turn_repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.planted(table(spark, sf_dir, "documents")))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), copies="copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_copies, op2_token_counts, op3_repeats, op4_quality_model, op5_near_dedup, op6_mixing, op7_quality_rules, op8_line_dedup, op9_lm_scoring, op10_packing, op11_secrets, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_media_copies, op2_token_counts, op3_repeats, op4_quality_model, op5_near_dedup, op6_mixing, op7_quality_rules, op8_line_dedup, op9_lm_scoring, op10_packing, op11_secrets, op12_periodic_runs, op13_turn_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
