@@ -234,13 +234,105 @@ def test_transitions_of_one_snapshot(spark):
     assert {r["outcome"] for r in got.values()} >= {"ok", "wrong_state", "invalid", "start_passed", "overlap"}
 
 
+SNAPSHOT = "venue_id long, campaign_id long, title string, description string, deal_code string, starts_at timestamp, ends_at timestamp, published_at timestamp, cancelled_at timestamp, ended_at timestamp"
+EVENTS = "campaign_id long, venue_id long, available_at timestamp, expires_at timestamp, cancelled_at timestamp"
+COMMANDS = "venue_id long, seq long, campaign_id long, command string, at timestamp, allowance int, new_title string, new_starts_at timestamp, new_ends_at timestamp"
+
+
 def test_logs_replayed_on_tables(spark):
-    rows = [campaign(1, 5, published=False), campaign(2, 6, published=False), campaign(3, -1)]
-    table = spark.createDataFrame([(7, *[c[k] for k in L.COLUMNS]) for c in rows], L.SNAPSHOT)
-    log = spark.createDataFrame([(7, 2, 2, "publish", NOW, 5), (7, 1, 1, "publish", NOW, 5), (7, 3, 3, "end", NOW, 5), (7, 4, 2, "delete", NOW, 5)], "venue_id long, seq long, campaign_id long, command string, at timestamp, allowance int")
-    assert [r["outcome"] for r in L.replay(table, log).orderBy("seq").collect()] == ["ok", "overlap", "ok", "ok"]
+    rows = [campaign(1, 5, published=False), campaign(2, 6, published=False), campaign(3, -1), campaign(4, 30)]
+    table = spark.createDataFrame([(7, *[c[k] for k in L.COLUMNS]) for c in rows], SNAPSHOT)
+    events = spark.createDataFrame([(c["campaign_id"], 7, c["starts_at"], c["ends_at"], None) for c in rows if c["published_at"]], EVENTS)
+    commands = [(7, 2, 2, "publish"), (7, 1, 1, "publish"), (7, 3, 3, "end"), (7, 4, 2, "delete"), (7, 5, 4, "cancel"), (7, 6, 9, "publish")]
+    log = L.applied(table, spark.createDataFrame([(*c, NOW, 5, None, None, None) for c in commands], COMMANDS), events)
+    told = log.orderBy("seq").collect()
+    assert [r["outcome"] for r in told] == ["ok", "overlap", "ok", "ok", "ok", "not_found"]
     after = {r["campaign_id"]: r for r in L.replayed(table, log).collect()}
-    assert set(after) == {1, 3} and after[1]["published_at"] == NOW and after[3]["ended_at"] == NOW
+    assert set(after) == {1, 3, 4} and after[1]["published_at"] == NOW and after[3]["ended_at"] == NOW and after[4]["cancelled_at"] == NOW
+    left = {r["campaign_id"]: (r["available_at"], r["expires_at"], r["cancelled_at"]) for r in L.replayed_events(events, log).collect()}
+    hour = dt.timedelta(hours=1)
+    assert left == {1: (NOW + 5 * hour, NOW + 7 * hour, None), 3: (NOW - hour, NOW, None), 4: (NOW + 30 * hour, NOW + 32 * hour, NOW)}
+
+
+def test_several_commands_for_one_campaign_on_a_snapshot(spark):
+    """Each command is one row, judged by itself."""
+    rows = [campaign(1, 5, published=False), campaign(2, 6), campaign(3, 20, published=False)]
+    table = spark.createDataFrame([(7, *[c[k] for k in L.COLUMNS]) for c in rows], SNAPSHOT)
+    hour = dt.timedelta(hours=1)
+    asked = [(1, "publish", None, None), (1, "publish", NOW + 40 * hour, NOW + 41 * hour), (1, "update", NOW + hour, NOW + 90 * hour), (3, "publish", None, None), (3, "delete", None, None), (2, "update", NOW + 50 * hour, NOW + 51 * hour), (2, "cancel", None, None), (8, "end", None, None)]
+    commands = spark.createDataFrame([(k, *a, None) for k, a in enumerate(asked)], "nth int, campaign_id long, command string, new_starts_at timestamp, new_ends_at timestamp, new_title string")
+    claims = spark.createDataFrame([(7, "verified", "pro")], "venue_id long, status string, plan string")
+    events = spark.createDataFrame([(2, 7, NOW + 6 * hour, NOW + 8 * hour, None)], EVENTS)
+    told = {r["nth"]: r for r in L.transitions(table, commands, claims, F.lit(NOW), events=events).collect()}
+    assert [told[k]["outcome"] for k in range(len(asked))] == ["overlap", "ok", "invalid", "ok", "ok", "ok", "ok", "not_found"]
+    event = lambda k: tuple(told[k][c] for c in L.EVENT_TIMES)
+    assert event(1) == (NOW + 40 * hour, NOW + 41 * hour, None) and event(0) == (None,) * 3 == event(4)
+    assert event(5) == (NOW + 50 * hour, NOW + 51 * hour, None) and event(6) == (NOW + 6 * hour, NOW + 8 * hour, NOW)
+
+
+def random_log(rng, venues, campaigns, commands, days, allowance):
+    """Campaigns and commands of many venues; the first has most of both."""
+    venue = lambda: 0 if rng.random() < 0.5 else rng.randrange(venues)
+    rows = []
+    for i in range(campaigns):
+        own = campaign(i, round(rng.uniform(-3 * 24, days * 24), 1), rng.choice([1, 2, 5, 20]), published=rng.random() < 0.4)
+        if rng.random() < 0.05:
+            own |= {"starts_at": None, "ends_at": None, "published_at": None}
+        if own["published_at"] and rng.random() < 0.1:
+            own["cancelled_at"] = own["published_at"]
+        rows.append((venue(), own))
+    asked = []
+    for _ in range(commands):
+        home, own = rng.choice(rows)
+        near = own["starts_at"] or NOW
+        at = near - dt.timedelta(hours=rng.uniform(-3, 48))
+        start = near + dt.timedelta(hours=rng.uniform(-24, 48)) if rng.random() < 0.4 else None
+        end = start + dt.timedelta(hours=rng.choice([0, 1, 3, 23, 30])) if start and rng.random() < 0.9 else None
+        asked.append((at, home, own["campaign_id"] if rng.random() < 0.97 else 10**6 + len(asked), rng.choice(list(L.ALLOWED)), rng.choice([None, "", "New"]), start, end))
+    return rows, [(home, seq, id_, name, at, allowance, *new) for seq, (at, home, id_, name, *new) in enumerate(sorted(asked, key=lambda c: c[0]))]
+
+
+@pytest.mark.parametrize("allowance", [None, 3])
+def test_parts_of_a_log_give_what_the_whole_gives(spark, allowance):
+    rng = random.Random(4)
+    rows, asked = random_log(rng, 4, 400, 1200, 2500, allowance)
+    table = spark.createDataFrame([(v, *[c[k] for k in L.COLUMNS]) for v, c in rows], SNAPSHOT)
+    events = spark.createDataFrame([(c["campaign_id"], v, c["starts_at"], c["ends_at"], c["cancelled_at"]) for v, c in rows if c["published_at"]], EVENTS)
+    log = spark.createDataFrame(asked, COMMANDS)
+    cut, whole = (sorted(map(tuple, L.applied(table, log, events, split).collect()), key=lambda r: (r[0], r[1])) for split in (True, False))
+    assert cut == whole and len(cut) == len(asked)
+    assert {r[4] for r in whole} >= {"ok", "wrong_state", "invalid", "overlap", "not_found"} | ({"quota"} if allowance else set())
+    parts = L.parts(table, log)
+    sizes = {r["part"]: r["count"] for r in parts.where("venue_id = 0").groupBy("part").count().collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < sum(sizes.values()) / 3
+
+
+def test_components_of_chains_and_keys(spark):
+    from tidepool.operators import joins
+
+    edges = [(1, f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [(2, "n000", "n001"), (2, "z", "y"), (2, "y", "x")]
+    got = {(r["key"], r["node"]): r["component"] for r in joins.components(spark.createDataFrame(edges, "key long, a string, b string"), "key").collect()}
+    assert got == {(1, f"n{i:03}"): "n000" for i in range(61)} | {(2, "n000"): "n000", (2, "n001"): "n000", (2, "x"): "x", (2, "y"): "x", (2, "z"): "x"}
+    assert joins.components(spark.createDataFrame([], "key long, a string, b string"), "key").count() == 0
+
+
+def test_clusters_of_intervals(spark):
+    from tidepool.operators import joins
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        start = NOW + dt.timedelta(minutes=rng.randrange(60 * 24 * 40))
+        rows.append((rng.randrange(3), i, start, start + dt.timedelta(minutes=rng.choice([1, 30, 200, 60 * 24 * 2 if i % 40 == 0 else 60]))))
+    want, reach, first = {}, None, None
+    for key, i, start, end in sorted(rows, key=lambda r: (r[0], r[2])):
+        if reach is None or reach[0] != key or reach[1] <= start:
+            reach, first = (key, end), start
+        else:
+            reach = (key, max(reach[1], end))
+        want[i] = first
+    got = joins.clusters(spark.createDataFrame(rows, "key long, id long, s timestamp, e timestamp"), "key", "s", "e").collect()
+    assert {r["id"]: r["cluster"] for r in got} == want
 
 
 def test_digests(spark):

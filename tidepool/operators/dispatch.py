@@ -1,4 +1,4 @@
-"""Alert dispatch: one tick from saved alerts to an outbox, and its streaming form.
+"""Alert dispatch: one tick from saved alerts to an outbox; ``streaming.dispatch`` has its form over time.
 
 One tick: the live venues, alerts that match them, one digest for each user and channel,
 without venues that were sent within the cooldown, and without texts once the day's cap
@@ -52,14 +52,16 @@ def tick(alerts: DataFrame, users: DataFrame, venues: DataFrame, overrides: Data
     return left.where((F.col("channel") != "text") | (F.coalesce("texts", F.lit(0)) < rules.cap)).select("user_id", "channel", "venue_id", "place")
 
 
-def outbox(sends: DataFrame, users: DataFrame, venues: DataFrame, link: str = "") -> DataFrame:
+def outbox(sends: DataFrame, users: DataFrame, venues: DataFrame, link: str = "", site: str = "") -> DataFrame:
     """(user_id, channel, address, subject, body, n): one digest for each user and channel. Nothing is delivered here; a sender reads this table.
 
     venues: (venue_id, name, neighborhood, start_min, end_min, deals). A mail lists every
-    venue with its hours and first two deals, a text the first three names.
+    venue with its hours and first two deals and ends with ``link``, a text the first three
+    names and ``site``.
     """
     clock = lambda minutes: X.format_time(F.concat_ws(":", F.lpad((F.floor(minutes / 60) % 24).cast("string"), 2, "0"), F.lpad((minutes % 60).cast("string"), 2, "0")))
     hours = F.concat(clock(F.col("start_min")), F.lit("–"), clock(F.col("end_min")))
+    # fixed values: the sentences of mails and texts
     line = F.concat(F.lit("<li><strong>"), X.escape_html(F.col("name")), F.lit("</strong> — "), X.escape_html(F.col("neighborhood")), F.lit(" — "), hours, F.lit(". "), X.escape_html(F.array_join(F.slice("deals", 1, 2), ", ")), F.lit("</li>"))
     named = sends.join(venues.select("venue_id", "name", line.alias("line")), "venue_id")
     digest = named.groupBy("user_id", "channel").agg(F.array_sort(F.collect_list(F.struct("place", "venue_id", "name", "line"))).alias("venues"))
@@ -68,7 +70,7 @@ def outbox(sends: DataFrame, users: DataFrame, venues: DataFrame, link: str = ""
     subject = F.when(n == 1, F.concat(names[0], F.lit(" is live now"))).otherwise(F.concat(n.cast("string"), F.lit(" places are live now")))
     foot = f'<p><a href="{link}">Manage your alerts</a></p>' if link else ""
     mail = F.concat(F.lit("<p>Hi "), X.escape_html(F.coalesce("user_name", F.lit(""))), F.lit(",</p><p>These happy hours from your alerts are live right now:</p><ul>"), F.array_join(F.transform("venues", lambda v: v["line"]), ""), F.lit("</ul>" + foot))
-    body = F.when(F.col("channel") == "email", mail).otherwise(F.concat(F.lit("Live now: "), X.overflow_label(names)))
+    body = F.when(F.col("channel") == "email", mail).otherwise(F.concat(F.lit("Live now: "), X.overflow_label(names), F.lit(f". {site}" if site else "")))
     to = users.select("user_id", F.col("name").alias("user_name"), "email", "phone")
     return digest.join(to, "user_id").select("user_id", "channel", F.when(F.col("channel") == "email", F.col("email")).otherwise(F.col("phone")).alias("address"), subject.alias("subject"), body.alias("body"), n.alias("n"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepool.functions import text as X
-from tidepool.sources.domain import DAYS
+from tidepool.sources.domain import DAYS, KINDS
 
 #: Rules as SQL conditions that hold for good rows; a null condition holds.
 USER = {"credential": "google_id IS NOT NULL OR password_hash IS NOT NULL"}
@@ -61,14 +61,16 @@ def orphans(df: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(whole).join(parents.select(*keys), keys, "left_anti")
 
 
-def promotion_errors(title: int = 80, description: int = 200, code: int = 30, hours: float = 24, required: Column | bool = False) -> Column:
-    """What is wrong with a campaign; where ``required`` holds it also needs a headline and both times."""
+def promotion_errors(max_title: int = 80, max_description: int = 200, max_code: int = 30, hours: float = 24, required: Column | bool = False, title: str = "title", starts_at: str = "starts_at", ends_at: str = "ends_at", type_: str | None = None) -> Column:
+    """What is wrong with a campaign; where ``required`` holds (it is shown, not a draft) it also needs a headline and both times. ``type_`` names a column that must hold one of the types."""
     must = required if isinstance(required, Column) else F.lit(required)
-    headline = F.trim(F.coalesce("title", F.lit("")))
+    headline = F.trim(F.coalesce(title, F.lit("")))
+    start, end = F.col(starts_at), F.col(ends_at)
+    typed = {} if type_ is None else {"type": ~F.coalesce(F.col(type_).isin(*KINDS), F.lit(False))}
     return errors({
-        "title": (headline == "") & (must if required is not False else F.lit(True)), "title_length": F.length(headline) > title, "description_length": F.length(F.trim("description")) > description, "code_length": F.length(F.trim("deal_code")) > code,
-        "start": must & F.col("starts_at").isNull(), "end": must & F.col("ends_at").isNull(), "window": F.col("starts_at").isNull() != F.col("ends_at").isNull(),
-        "duration": F.unix_seconds("ends_at") - F.unix_seconds("starts_at") > hours * 3600, "order": F.col("ends_at") <= F.col("starts_at"),
+        **typed, "title": must & (headline == ""), "title_length": F.length(headline) > max_title, "description_length": F.length(F.trim("description")) > max_description, "code_length": F.length(F.trim("deal_code")) > max_code,
+        "start": must & start.isNull(), "end": must & end.isNull(), "window": start.isNull() != end.isNull(),
+        "duration": F.unix_seconds(end) - F.unix_seconds(start) > hours * 3600, "order": end <= start,
     })
 
 

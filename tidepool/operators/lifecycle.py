@@ -1,10 +1,12 @@
 """Campaign commands: what a command makes of a snapshot, and a log of commands in order.
 
 A command is checked in a fixed order (campaign, claim, state, content, start, overlap,
-quota) and either gives the campaign's new row or the first error's code. ``transitions``
-applies one command to each of many campaigns of one snapshot, in joins; ``replay`` and
-``replayed`` apply logs in order, each venue by itself, so a venue's log takes the place
-of its lock.
+quota) and either gives the campaign's new row or the first error's code. One that passes
+also changes the campaign's event: publishing, starting and moving put it (again) with the
+campaign's window, cancelling marks it, ending shortens it. ``transitions`` judges commands
+against one snapshot, each by itself, in joins. ``applied`` applies logs in order and gives
+each command's outcome with the rows of both tables after it; a venue's log takes the place
+of its lock, and ``parts`` cuts it into pieces that cannot meet.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from tidepool.functions import temporal as T, text as X
-from tidepool.operators import accounting, integrity, mutations
+from tidepool.operators import accounting, integrity, joins, mutations
 
 #: The states in which each command is allowed.
 ALLOWED = {"publish": ("draft",), "start_now": ("draft", "scheduled"), "update": ("draft", "scheduled"), "cancel": ("scheduled",), "end": ("live",), "delete": ("draft",)}
@@ -27,8 +30,10 @@ LIMITS = {"title": 80, "description": 200, "deal_code": 30}
 LONGEST = 24 * 3600
 TIMES = ["starts_at", "ends_at", "published_at", "cancelled_at", "ended_at"]
 COLUMNS = ["campaign_id", "title", "description", "deal_code", *TIMES]
-RESULT = "venue_id long, seq long, campaign_id long, command string, outcome string"
-SNAPSHOT = "venue_id long, campaign_id long, title string, description string, deal_code string, starts_at timestamp, ends_at timestamp, published_at timestamp, cancelled_at timestamp, ended_at timestamp"
+#: Times of a campaign's event, null if there is none.
+EVENT_TIMES = ["available_at", "expires_at", "event_cancelled_at"]
+RESULT = ["venue_id", "seq", "campaign_id", "command", "outcome"]
+APPLIED = "venue_id long, seq long, campaign_id long, command string, outcome string, deleted boolean, title string, description string, deal_code string, " + ", ".join(f"{c} timestamp" for c in TIMES + EVENT_TIMES)
 
 
 def guard(state: Column, command: Column) -> Column:
@@ -78,26 +83,57 @@ def preview_label(type_label: Column, at_once: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(F.nullif(title, F.lit("")), F.lit("Your promotion headline")), details, F.when(at_once, now).otherwise(later))
 
 
+_WINDOW = ["campaign_id", "venue_id", "starts_at", "ends_at"]
+
+
 def _overlapping(asked: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """(campaign_id): the asked (campaign_id, venue_id, starts_at, ends_at) whose window meets a published, not cancelled one of another campaign of the venue.
+    """Those of the asked windows (campaign_id, venue_id, starts_at, ends_at) that meet a published, not cancelled one of another campaign of the venue, each once.
 
     Windows meet in the days that they touch, so no venue's windows are all in one place.
+    Only windows that a campaign may have are asked about: the others fail before.
     """
     day = lambda t: F.floor(F.unix_seconds(t) / 86_400)
     touched = lambda s, e: F.explode(F.sequence(day(s), day(e)))
     held = campaigns.where("published_at IS NOT NULL AND cancelled_at IS NULL").select("venue_id", F.col("campaign_id").alias("_other"), F.col("starts_at").alias("_s"), F.least("ends_at", "ended_at").alias("_e")).where("_s < _e")
     held = held.withColumn("_day", touched(F.col("_s"), F.col("_e")))
-    mine = asked.where("starts_at < ends_at").select("campaign_id", "venue_id", F.col("starts_at").alias("_from"), F.col("ends_at").alias("_to")).withColumn("_day", touched(F.col("_from"), F.col("_to")))
-    return mine.join(held, ["venue_id", "_day"]).where("campaign_id <> _other AND _from < _e AND _s < _to").select("campaign_id").distinct()
+    span = F.unix_seconds("ends_at") - F.unix_seconds("starts_at")
+    mine = asked.where((F.col("starts_at") < F.col("ends_at")) & (span <= LONGEST)).select(*_WINDOW).distinct().withColumn("_day", touched(F.col("starts_at"), F.col("ends_at")))
+    return mine.join(held, ["venue_id", "_day"]).where("campaign_id <> _other AND starts_at < _e AND _s < ends_at").select(*_WINDOW).distinct()
 
 
-def transitions(campaigns: DataFrame, commands: DataFrame, claims: DataFrame, now: Column, allowances: dict[str, int | None] | None = None) -> DataFrame:
-    """(campaign_id, command, outcome, deleted and the campaign's columns after it) of commands (campaign_id, command, new_title, new_starts_at, new_ends_at) on one snapshot.
+def event_after(done: Column, name: Column, moved: Column, starts_at: Column, ends_at: Column, now: Column) -> list[Column]:
+    """Times of a campaign's event (available_at, expires_at, event_cancelled_at) after a command, from those before it.
 
-    Each command is judged by itself against the snapshot; null new_... values leave the
-    column as it is. "ok" comes with the new row, an error's code with the old one.
+    ``moved``: the command shows the campaign or moves one that is shown, so its event is put with
+    its window. An event that ends at its very beginning can't be shortened; it is cancelled.
     """
-    known = campaigns.select("venue_id", *COLUMNS)
+    old = {c: F.col(c) for c in EVENT_TIMES}
+    there = old["available_at"].isNotNull()
+    begun = old["available_at"] < now
+    available = F.when(done & moved, starts_at).otherwise(old["available_at"])
+    expires = F.when(done & moved, ends_at).when(done & there & (name == "end") & begun, F.least(old["expires_at"], now)).otherwise(old["expires_at"])
+    marked = done & there & ((name == "cancel") | ((name == "end") & ~begun))
+    cancelled = F.when(done & moved, F.lit(None).cast("timestamp")).when(marked, now).otherwise(old["event_cancelled_at"])
+    return [available.alias("available_at"), expires.alias("expires_at"), cancelled.alias("event_cancelled_at")]
+
+
+def _with_events(rows: DataFrame, events: DataFrame | None) -> DataFrame:
+    """Rows by campaign_id with the times of their events."""
+    if events is None:
+        return rows.withColumns({c: F.lit(None).cast("timestamp") for c in EVENT_TIMES})
+    return rows.join(events.select("campaign_id", "available_at", "expires_at", F.col("cancelled_at").alias("event_cancelled_at")), "campaign_id", "left")
+
+
+def transitions(campaigns: DataFrame, commands: DataFrame, claims: DataFrame, now: Column, allowances: dict[str, int | None] | None = None, events: DataFrame | None = None) -> DataFrame:
+    """``commands`` (campaign_id, command, new_title, new_starts_at, new_ends_at and others) on one snapshot, with outcome, deleted, and the campaign's columns and its event's times after it.
+
+    Each command is judged by itself against the snapshot and gives one row, also if a campaign
+    has several; null new_... values leave the column as it is. "ok" comes with the new
+    row, an error's code with the old one. ``events``: (campaign_id, available_at, expires_at,
+    cancelled_at), at most one for each campaign.
+    """
+    own_columns = [c for c in commands.columns if c not in ("new_title", "new_starts_at", "new_ends_at")]
+    known = _with_events(campaigns.select("venue_id", *COLUMNS), events)
     rows = commands.join(known, "campaign_id", "left").join(accounting.venue_allowances(claims, allowances), "venue_id", "left")
     name = F.col("command")
     state = T.lifecycle_state(now, *map(F.col, ("published_at", "starts_at", "ends_at", "ended_at", "cancelled_at")))
@@ -114,14 +150,14 @@ def transitions(campaigns: DataFrame, commands: DataFrame, claims: DataFrame, no
     for c, value in new.items():
         rows = rows.withColumn(f"_new_{c}", value)
     shown = name.isin("publish", "start_now") | (edits & (F.col("_state") == "scheduled"))
-    after = rows.select("campaign_id", "venue_id", F.col("_new_title").alias("title"), "description", "deal_code", F.col("_new_starts_at").alias("starts_at"), F.col("_new_ends_at").alias("ends_at"), shown.alias("_shown"))
-    bad = after.withColumn("_bad", (F.size(integrity.promotion_errors(*LIMITS.values(), LONGEST / 3600, required=F.col("_shown"))) > 0)).select("campaign_id", "_bad")
-    clash = _overlapping(after.where("_shown"), campaigns).withColumn("_clash", F.lit(True))
+    rows = rows.withColumn("_bad", F.size(integrity.promotion_errors(*LIMITS.values(), LONGEST / 3600, required=shown, title="_new_title", starts_at="_new_starts_at", ends_at="_new_ends_at")) > 0)
+    window = [F.col(c) if c in ("campaign_id", "venue_id") else F.col(f"_new_{c}").alias(c) for c in _WINDOW]
+    clash = _overlapping(rows.where(shown).select(*window), campaigns).withColumnsRenamed({"starts_at": "_new_starts_at", "ends_at": "_new_ends_at"}).withColumn("_clash", F.lit(True))
     used = accounting.usage(campaigns, now).select("venue_id", F.col("month").alias("_month"), (F.col("consumed") + F.col("reserved")).alias("_used"))
     old_month, month = T.month_key(F.col("starts_at")), T.month_key(F.col("_new_starts_at"))
     counted = F.col("published_at").isNotNull() & (old_month == month) & (F.col("cancelled_at").isNull() | ((F.col("starts_at") <= now) & (F.col("cancelled_at") > F.col("starts_at"))))
     own = F.coalesce(counted, F.lit(False)).cast("int")
-    rows = rows.withColumn("_month", month).withColumn("_own", own).join(used, ["venue_id", "_month"], "left").join(bad, "campaign_id").join(clash, "campaign_id", "left")
+    rows = rows.withColumn("_month", month).withColumn("_own", own).join(used, ["venue_id", "_month"], "left").join(clash, ["campaign_id", "venue_id", "_new_starts_at", "_new_ends_at"], "left")
     future = (name == "publish") | (edits & (F.col("_state") == "scheduled"))
     slot = (name == "publish") | ((name == "start_now") & ((F.col("_state") == "draft") | ~old_month.eqNullSafe(month))) | (edits & (F.col("_state") == "scheduled") & ~old_month.eqNullSafe(month))
     outcome = F.coalesce(
@@ -131,7 +167,8 @@ def transitions(campaigns: DataFrame, commands: DataFrame, claims: DataFrame, no
     )
     rows = rows.withColumn("outcome", outcome)
     done = F.col("outcome") == "ok"
-    return rows.select("campaign_id", "command", "outcome", (done & (name == "delete")).alias("deleted"), *[F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS[1:]])
+    event = event_after(done, name, shown, F.col("_new_starts_at"), F.col("_new_ends_at"), now)
+    return rows.select(*own_columns, "venue_id", "outcome", (done & (name == "delete")).alias("deleted"), *event, *[F.when(done, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in COLUMNS[1:]])
 
 
 def refused(requests: DataFrame, campaigns: DataFrame, claims: DataFrame) -> DataFrame:
@@ -186,7 +223,8 @@ class Venue:
     """A venue's campaigns while commands are applied one after another: published windows in order of their start, published campaigns by month."""
 
     def __init__(self, rows: list[dict]):
-        self.held = {r["campaign_id"]: r for r in rows}
+        self.held = {r["campaign_id"]: {c: r[c] for c in COLUMNS} for r in rows}
+        self.events = {r["campaign_id"]: {c: r[c] for c in EVENT_TIMES} for r in rows if r.get("available_at")}
         self.windows: list[tuple[dt.datetime, int]] = []
         self.months: dict[str, set[int]] = defaultdict(set)
         self.longest = dt.timedelta(0)
@@ -235,6 +273,7 @@ class Venue:
             error = self._revised(c, new, command, state, now)
             if error:
                 return error
+        self._tell(c["campaign_id"], name, state, new, now)
         self._place(c, False)
         del self.held[c["campaign_id"]]
         if name != "delete":
@@ -242,6 +281,16 @@ class Venue:
             self._place(new)
         return "ok"
 
+    def _tell(self, campaign: int, name: str, state: str, new: dict, now: dt.datetime) -> None:
+        """Change the campaign's event as its command asks."""
+        event = self.events.get(campaign)
+        if name in ("publish", "start_now") or name == "update" and state == "scheduled":
+            self.events[campaign] = {"available_at": new["starts_at"], "expires_at": new["ends_at"], "event_cancelled_at": None}
+        elif event and name == "end" and event["available_at"] < now:
+            event["expires_at"] = min(event["expires_at"], now)
+        elif event and name in ("cancel", "end"):
+            event["event_cancelled_at"] = now
+
     def _revised(self, c: dict, new: dict, command: dict, state: str, now: dt.datetime) -> str | None:
         """Fill in ``new`` for publish, start_now or update, or the reason against it."""
         name = command["command"]
@@ -275,29 +324,84 @@ def _plain(rows: pd.DataFrame) -> list[dict]:
     return [{k: clear(v) for k, v in r.items()} for r in rows.to_dict("records")]
 
 
-def _fold(campaigns: DataFrame, commands: DataFrame, snapshot: bool) -> DataFrame:
-    def run(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        venue = Venue(_plain(own[COLUMNS]))
-        told = [(key[0], c["seq"], c["campaign_id"], c["command"], venue.apply(c)) for c in _plain(log.sort_values("seq"))]
-        if not snapshot:
-            return pd.DataFrame(told, columns=["venue_id", "seq", "campaign_id", "command", "outcome"])
-        left = pd.DataFrame([{"venue_id": key[0], **{c: r[c] for c in COLUMNS}} for r in venue.held.values()], columns=["venue_id", *COLUMNS])
-        return left.astype({c: "datetime64[us]" for c in TIMES})
+def parts(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
+    """(venue_id, campaign_id, part) of venues with commands: campaigns of different parts can't meet, whatever commands come through.
 
-    own = campaigns.select("venue_id", *COLUMNS).toDF("venue_id", *COLUMNS)  # both may come from one table
-    log = commands.toDF(*commands.columns)
-    return own.groupBy(own["venue_id"]).cogroup(log.groupBy(log["venue_id"])).applyInPandas(run, SNAPSHOT if snapshot else RESULT)
+    Two campaigns meet in windows that overlap, or in a month whose offers are counted. A
+    campaign's windows are at most LONGEST long and begin where it begins now, where a command
+    would have it begin, or at the time of a command that starts it now. Windows of a
+    venue that overlap form clusters; clusters and months that one campaign touches are one
+    part. A part is named by its smallest member.
+    """
+    own = campaigns.join(commands.select("venue_id").distinct(), "venue_id", "left_semi").select("venue_id", "campaign_id", "starts_at", "ends_at")
+    asked = commands.select("venue_id", "campaign_id", F.when(F.col("command") == "start_now", F.col("at")).otherwise(F.col("new_starts_at")).alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"))
+    longest = T.plus(F.col("starts_at"), LONGEST)
+    windows = own.unionByName(asked).where("starts_at IS NOT NULL").withColumn("ends_at", F.coalesce(F.greatest("ends_at", longest), longest)).distinct()
+    clustered = joins.clusters(windows, "venue_id", "starts_at", "ends_at")
+    nodes = clustered.select("venue_id", "campaign_id", F.concat(F.lit("w"), F.unix_micros("cluster").cast("string")).alias("node"))
+    counted = commands.where("allowance IS NOT NULL").select("venue_id").distinct()
+    months = windows.join(counted, "venue_id", "left_semi").select("venue_id", "campaign_id", F.concat(F.lit("m"), T.month_key(F.col("starts_at"))).alias("node"))
+    nodes = nodes.unionByName(months).distinct()
+    first = nodes.groupBy("venue_id", "campaign_id").agg(F.min("node").alias("first"))
+    touching = nodes.join(first, ["venue_id", "campaign_id"])
+    named = joins.components(touching.where("node <> first").select("venue_id", F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "venue_id")
+    found = first.join(named, (first["venue_id"] == named["venue_id"]) & (first["first"] == named["node"]), "left").select(first["venue_id"], first["campaign_id"], F.coalesce(named["component"], first["first"]).alias("part"))
+    # a draft without times meets nobody
+    everyone = own.select("venue_id", "campaign_id").unionByName(commands.select("venue_id", "campaign_id")).distinct()
+    return everyone.join(found, ["venue_id", "campaign_id"], "left").withColumn("part", F.coalesce("part", F.concat(F.lit("c"), F.col("campaign_id").cast("string"))))
+
+
+def applied(campaigns: DataFrame, commands: DataFrame, events: DataFrame | None = None, split: bool = True) -> DataFrame:
+    """Each command (venue_id, seq, campaign_id, command, at, allowance, new_title, new_starts_at, new_ends_at), in order of seq within its venue: outcome, deleted, and the campaign's columns and its event's times after it.
+
+    One part of a venue's campaigns and log is one task's work: order is the point of it.
+    ``split=False`` takes a venue as one part. A command looks only at windows near its own
+    and at its month.
+    """
+    for c, kind in (("new_title", "string"), ("new_starts_at", "timestamp"), ("new_ends_at", "timestamp")):
+        if c not in commands.columns:
+            commands = commands.withColumn(c, F.lit(None).cast(kind))
+
+    def run(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        venue = Venue(_plain(own[COLUMNS + EVENT_TIMES]))
+        told = []
+        for c in _plain(log.sort_values("seq")):
+            outcome, id_ = venue.apply(c), c["campaign_id"]
+            after, event = venue.held.get(id_, {}), venue.events.get(id_, {})
+            told.append({"venue_id": key[0], "seq": c["seq"], "campaign_id": id_, "command": c["command"], "outcome": outcome, "deleted": outcome == "ok" and c["command"] == "delete", **{k: after.get(k) for k in COLUMNS[1:]}, **{k: event.get(k) for k in EVENT_TIMES}})
+        names = [f.name for f in schema]
+        return pd.DataFrame(told, columns=names).astype(dict.fromkeys(TIMES + EVENT_TIMES, "datetime64[us]"))
+
+    schema = StructType.fromDDL(APPLIED)
+    own = _with_events(campaigns.select("venue_id", *COLUMNS), events)
+    if split:
+        named = parts(campaigns, commands)
+        own, log = own.join(named, ["venue_id", "campaign_id"]), commands.join(named, ["venue_id", "campaign_id"])
+    else:
+        own, log = own.withColumn("part", F.lit("")), commands.withColumn("part", F.lit(""))
+    own, log = own.toDF(*own.columns), log.toDF(*log.columns)  # both may come from one table
+    return own.groupBy(own["venue_id"], own["part"]).cogroup(log.groupBy(log["venue_id"], log["part"])).applyInPandas(run, schema)
 
 
 def replay(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
-    """Outcome of each command (venue_id, seq, campaign_id, command, at, allowance, and new_title, new_starts_at, new_ends_at if there are any), applied in order of seq within its venue.
+    """(venue_id, seq, campaign_id, command, outcome) of ``applied``."""
+    return applied(campaigns, commands).select(*RESULT)
 
-    A venue's campaigns and log are one task's work: order is the point of it. A command
-    looks only at windows near its own and at its month.
-    """
-    return _fold(campaigns, commands, False)
+
+def _latest(log: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each campaign the columns after its last command that was carried out."""
+    return log.where("outcome = 'ok'").groupBy("campaign_id").agg(F.max_by(F.struct(*columns), "seq").alias("_after"))
+
+
+def replayed(campaigns: DataFrame, log: DataFrame) -> DataFrame:
+    """The campaigns after the commands of ``applied``; those without any are as they were, those that were deleted are gone."""
+    after = campaigns.join(_latest(log, ["deleted", *COLUMNS[1:]]), "campaign_id", "left").where("NOT coalesce(_after.deleted, false)")
+    changed = F.col("_after").isNotNull()
+    return after.select("venue_id", *[F.when(changed, F.col(f"_after.{c}")).otherwise(F.col(c)).alias(c) if c != "campaign_id" else F.col(c) for c in COLUMNS])
 
 
-def replayed(campaigns: DataFrame, commands: DataFrame) -> DataFrame:
-    """The campaigns after all commands of ``replay``; those of venues without commands are as they were."""
-    return _fold(campaigns, commands, True)
+def replayed_events(events: DataFrame, log: DataFrame) -> DataFrame:
+    """(campaign_id, venue_id, available_at, expires_at, cancelled_at): the events after the commands of ``applied``, one for each campaign that has been shown."""
+    after = _latest(log, ["venue_id", *EVENT_TIMES]).where("_after.available_at IS NOT NULL").select("campaign_id", F.col("_after.venue_id").alias("venue_id"), F.col("_after.available_at").alias("available_at"), F.col("_after.expires_at").alias("expires_at"), F.col("_after.event_cancelled_at").alias("cancelled_at"))
+    old = events.select("campaign_id", "venue_id", "available_at", "expires_at", "cancelled_at")
+    return after.unionByName(old.join(after.select("campaign_id"), "campaign_id", "left_anti"))

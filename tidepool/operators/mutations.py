@@ -110,14 +110,6 @@ def set_null(children: DataFrame, parents: DataFrame, key: str, parent_key: str)
     return children.join(there, key, "left").withColumn(key, F.when(F.col("_there"), F.col(key))).select(*children.columns)
 
 
-def replace_if_current(current: DataFrame, new: DataFrame, version: str, expected: Column) -> DataFrame:
-    """The new snapshot if the current one still has the expected version, else the current one."""
-    held = current.select(version).limit(1).select((F.col(version) == expected).alias("_ok"))
-    a = new.crossJoin(F.broadcast(held)).where("_ok").drop("_ok")  # one row
-    b = current.crossJoin(F.broadcast(held)).where("NOT _ok").drop("_ok")
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 def all_or_nothing(target: DataFrame, rows: DataFrame, valid: Column) -> DataFrame:
     """The snapshot with all rows, or as it is if one of them isn't valid."""
     good = rows.agg(F.coalesce(F.bool_and(valid), F.lit(True)).alias("_ok"))

@@ -11,6 +11,7 @@ from tidepool.operators import integrity as I, mutations as M, search as S
 from tidepool.plans.registry import iso, register
 from tidepool.plans.temporal import NOW
 from tidepool.sources.domain import CAMPAIGN_NOW, DAYS, DEAL_TYPES, KINDS, LOG_NOW, Domain, instant
+from tidepool.sources.generations import Versioned, own_folder, shared_dir
 
 _LOG = f"TIMESTAMP '{LOG_NOW}'"
 _PATCH = "SELECT v.venue_id, CASE WHEN p.venue_id IS NOT NULL THEN p.start_min ELSE v.start_min END AS start_min, CASE WHEN p.venue_id IS NOT NULL THEN p.end_min ELSE v.end_min END AS end_min FROM venues v FULL JOIN venue_patches p ON v.venue_id = p.venue_id"
@@ -50,13 +51,8 @@ register("sink_batch_in_tx", "SELECT count(*) AS n FROM sends")(lambda d: M.all_
 register("ctl_transaction", "SELECT count(*) AS n FROM (SELECT 1 FROM sends UNION ALL SELECT 1 FROM sends)")(lambda d: M.all_or_nothing(d.sends(), d.sends(), F.col("user_id") > 0).agg(F.count(F.lit(1)).alias("n")))
 register("sink_ddl_versioned", "SELECT row_number() OVER (ORDER BY version) + (SELECT count(*) FROM region) - 1 AS place, version FROM (SELECT lpad(n_nationkey::VARCHAR, 4, '0') || '_' || lower(n_name) AS version FROM nation WHERE n_nationkey >= (SELECT count(*) FROM region)) ")(lambda d: _migrations(d))
 register("sink_backfill_migration", f"SELECT venue_id, trim(deal_code) AS deal_code, description, {iso('updated_at')} AS created_at, NULL::VARCHAR AS title FROM legacy WHERE venue_id NOT IN (SELECT legacy_venue_id FROM campaigns WHERE legacy_venue_id IS NOT NULL)")(lambda d: d.legacy().join(d.campaigns().where("legacy_venue_id IS NOT NULL").select(F.col("legacy_venue_id").alias("venue_id")), "venue_id", "left_anti").select("venue_id", F.trim("deal_code").alias("deal_code"), "description", T.iso(F.col("updated_at")).alias("created_at"), F.lit(None).cast("string").alias("title")))
-register("sink_commit_versioned", "SELECT venue_id, CASE WHEN venue_id = 5 THEN 'Renamed' ELSE name END AS name FROM venues")(lambda d: _committed(d))
-
-
 def _migrations(d: Domain) -> DataFrame:
     """Files by name in a stored folder, those applied so far in a stored table: the first five of a nation each."""
-    from tidepool.streaming.flows import shared_dir
-
     where = f"{shared_dir(d.spark)}/migrations-{uuid.uuid4().hex}"
     version = F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.lit("_"), F.lower("n_name"))
     d.raw("nation").select(version.alias("version"), F.col("n_name").alias("value")).repartition("version").write.partitionBy("version").text(f"{where}/files")
@@ -65,24 +61,34 @@ def _migrations(d: Domain) -> DataFrame:
     return M.unapplied(files, d.spark.read.parquet(f"{where}/applied"))
 
 
-def _committed(d: Domain) -> DataFrame:
-    from tidepool.sources.tables import versioned
+_CATALOGUE = "venue_id long, name string, neighborhood string"
 
-    now = versioned(d.venues().select("venue_id", "name"))
-    token = F.lit(now.select("version").first()[0])  # what a writer has read before it edits
-    renamed = M.replace_if_current(now, M.update(now, F.col("venue_id") == 5, name=F.lit("Renamed")), "version", token).select("venue_id", "name")
-    # a second writer still has the old token: its change is refused
-    later = versioned(renamed)
-    return M.replace_if_current(later, M.update(later, F.col("venue_id") == 6, name=F.lit("Too late")), "version", token).select("venue_id", "name")
 
-
-register("scan_remote_json_versioned", "SELECT count(*) AS n, 1 AS versions FROM venues")(lambda d: _versions(d))
+def _catalogue(d: Domain) -> Versioned:
+    """The venues as one stored JSON object of version 1."""
+    stored = Versioned(d.spark, own_folder(d.spark), _CATALOGUE)
+    stored.replace(d.venues().select("venue_id", "name", "neighborhood"), 0)
+    return stored
 
 
+@register("sink_commit_versioned", "SELECT venue_id, CASE venue_id WHEN 5 THEN 'Renamed' WHEN 6 THEN 'Renamed too' ELSE name END AS name, neighborhood, 3 AS version FROM venues")
+def _committed(d: Domain) -> DataFrame:
+    """Two writers read one version: the first commits, the second is refused, reads again and commits."""
+    stored = _catalogue(d)
+    rows, token = stored.read()
+    stored.replace(M.update(rows, F.col("venue_id") == 5, name=F.lit("Renamed")), token)
+    if stored.replace(M.update(rows, F.col("venue_id") == 6, name=F.lit("Renamed too")), token) is None:
+        rows, token = stored.read()
+        stored.replace(M.update(rows, F.col("venue_id") == 6, name=F.lit("Renamed too")), token)
+    rows, token = stored.read()
+    return rows.withColumn("version", F.lit(token))
+
+
+@register("scan_remote_json_versioned", "SELECT venue_id, name, neighborhood, 1 AS version FROM venues")
 def _versions(d: Domain) -> DataFrame:
-    from tidepool.sources.tables import versioned
-
-    return versioned(d.venues().select("venue_id", "name")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("version").cast("int").alias("versions"))
+    """A stored JSON object under its schema, with the token that a writer gives back."""
+    rows, token = _catalogue(d).read()
+    return rows.withColumn("version", F.lit(token))
 
 
 # integrity rules: the rows that break them
@@ -150,6 +156,25 @@ _RULES_SQL = {
 for _name, _rules, _errors in (("val_listing", "catalogue", I.catalogue_errors), ("val_submission", "submission", I.submission_errors), ("val_owner_patch", "patch", I.owner_patch_errors)):
     _named = ", ".join(f"CASE WHEN {rule} THEN '{k}' END" for k, rule in _RULES_SQL[_rules].items())
     register(_name, f"SELECT venue_id, array_to_string(list_filter([{_named}], lambda x: x IS NOT NULL), ',') AS errors FROM {_RECORDS}")(lambda d, e=_errors: records(d).select("venue_id", F.array_join(e(), ",").alias("errors")))
-register("val_promotion", f"""SELECT campaign_id, array_to_string(list_filter([CASE WHEN title = '' THEN 'title' END, CASE WHEN length(title) > 10 THEN 'title_length' END, CASE WHEN length(description) > 18 THEN 'description_length' END, CASE WHEN length(trim(deal_code)) > 7 THEN 'code_length' END, CASE WHEN ends_at - starts_at > INTERVAL 7 HOUR THEN 'duration' END], lambda x: x IS NOT NULL), ',') AS errors FROM campaigns""")(lambda d: d.campaigns().select("campaign_id", F.array_join(I.promotion_errors(title=10, description=18, code=7, hours=7), ",").alias("errors")))
+_OFFERED = """(SELECT campaign_id, CASE WHEN campaign_id % 23 = 0 THEN 'flash_sale' ELSE type END AS type, repeat(title, (campaign_id % 10 + 1)::INT) AS title, repeat(description, (campaign_id % 15 + 1)::INT) AS description,
+  repeat(trim(deal_code), (campaign_id % 6 + 1)::INT) AS deal_code, CASE WHEN campaign_id % 19 > 0 THEN starts_at END AS starts_at, CASE WHEN campaign_id % 17 > 0 THEN starts_at + to_hours(campaign_id % 30) END AS ends_at, campaign_id % 2 = 0 AS shown FROM campaigns)"""
+_PROMOTION = {
+    "type": "type NOT IN ('special_deal', 'extended_happy_hour', 'event', 'other')", "title": "shown AND title = ''", "title_length": "length(title) > 80", "description_length": "length(description) > 200", "code_length": "length(deal_code) > 30",
+    "start": "shown AND starts_at IS NULL", "end": "shown AND ends_at IS NULL", "window": "(starts_at IS NULL) <> (ends_at IS NULL)", "duration": "ends_at - starts_at > INTERVAL 24 HOUR", "order": "ends_at <= starts_at",
+}
+
+
+@register("val_promotion", f"SELECT campaign_id, concat_ws(',', {', '.join(f'CASE WHEN {rule} THEN {k!r} END' for k, rule in _PROMOTION.items())}) AS errors FROM {_OFFERED}")
+def _promotions(d: Domain) -> DataFrame:
+    """Drafts and offers to be shown, in turn, of all lengths, kinds and windows."""
+    k = F.col("campaign_id")
+    often = lambda c, n: F.expr(f"repeat({c}, int(campaign_id % {n} + 1))")
+    offers = d.campaigns().select(
+        "campaign_id", F.when(k % 23 == 0, "flash_sale").otherwise(F.col("type")).alias("type"), often("title", 10).alias("title"), often("description", 15).alias("description"), often("trim(deal_code)", 6).alias("deal_code"),
+        F.when(k % 19 > 0, F.col("starts_at")).alias("starts_at"), F.when(k % 17 > 0, T.plus(F.col("starts_at"), k % 30 * 3600)).alias("ends_at"),
+    )
+    return offers.select("campaign_id", F.array_join(I.promotion_errors(required=k % 2 == 0, type_="type"), ",").alias("errors"))
+
+
 register("val_alert_filters", "SELECT alert_id, deal_type IN ('', 'drinks', 'food', 'bottles') AND len(list_filter(days, lambda x: x IN ('Sunday', 'Saturday'))) > 0 AS ok FROM alerts")(lambda d: d.alerts().select("alert_id", (F.col("deal_type").isin("", *DEAL_TYPES) & F.forall("days", lambda x: x.isin(*DAYS)) & F.exists("days", lambda x: x.isin("Sunday", "Saturday"))).alias("ok")))
 register("val_alert_channels", "SELECT alert_id, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_email END, true) AS email, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_text END, false) AS text FROM alerts")(lambda d: d.alerts().select("alert_id", F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_email")), F.lit(True)).alias("email"), F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_text")), F.lit(False)).alias("text")))

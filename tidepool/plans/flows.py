@@ -12,6 +12,7 @@ from tidepool.plans.relational import _MATCH, ON
 from tidepool.plans.temporal import EVENING, NOW, campaign_state
 from tidepool.sources.domain import CAMPAIGN_NOW, LOG_NOW, Domain, instant
 from tidepool.streaming import flows as F_
+from tidepool.streaming.dispatch import Dispatcher
 
 _EVE = f"TIMESTAMP '{EVENING}'"
 
@@ -38,7 +39,6 @@ SENDS = f"""WITH live AS (SELECT * FROM venues WHERE {ON} OR venue_id IN (SELECT
   wanted AS (SELECT DISTINCT f.user_id, c.channel, f.venue_id FROM found f JOIN per_user p ON f.user_id = p.user_id JOIN (VALUES ('email'), ('text')) c(channel) ON (c.channel = 'email' AND p.wants_email) OR (c.channel = 'text' AND p.wants_text)),
   texts AS (SELECT user_id, count(DISTINCT sent_at) AS n FROM log WHERE channel = 'text' AND sent_at >= date_trunc('day', {_EVE}) GROUP BY user_id),
   out AS (SELECT w.* FROM wanted w LEFT JOIN texts t ON w.user_id = t.user_id WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.user_id = w.user_id AND l.venue_id = w.venue_id AND l.channel = w.channel AND l.sent_at >= {_EVE} - INTERVAL 3 HOUR) AND (w.channel <> 'text' OR coalesce(t.n, 0) < 2))"""
-register("stream_dispatch", f"{SENDS} SELECT user_id, channel, venue_id FROM out")(lambda d: sends(d).select("user_id", "channel", "venue_id"))
 register("agg_dispatch_summary", f"{SENDS} SELECT (SELECT count(*) FROM live) AS live_venues, count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN channel = 'email' THEN user_id END) AS emails, count(DISTINCT CASE WHEN channel = 'text' THEN user_id END) AS texts FROM out")(lambda d: D.summary(sends(d), D.live_venues(d.venues(), d.overrides(), instant(EVENING))))
 register("str_digest_subject", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN count(*) = 1 THEN min(v.name) || ' is live now' ELSE count(*) || ' places are live now' END AS subject FROM out o JOIN venues v ON o.venue_id = v.venue_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), offered(d)).select("user_id", "channel", "subject"))
 _CLOCK = lambda x: f"((CASE WHEN ({x} // 60) % 12 = 0 THEN 12 ELSE ({x} // 60) % 12 END) || ':' || lpad(({x} % 60)::VARCHAR, 2, '0') || CASE WHEN ({x} // 60) % 24 < 12 THEN ' AM' ELSE ' PM' END)"
@@ -48,7 +48,8 @@ register("str_digest_body", f"{_PLACED} SELECT l.user_id, l.channel, CASE WHEN l
 register("sink_external_message", f"{SENDS} SELECT o.user_id, o.channel, CASE WHEN o.channel = 'email' THEN email ELSE phone END AS address, count(*)::INT AS n FROM out o JOIN users u ON o.user_id = u.user_id GROUP BY ALL")(lambda d: D.outbox(sends(d), d.users(), offered(d)).select("user_id", "channel", "address", "n"))
 register("stream_daily_cap", f"SELECT user_id, count(DISTINCT sent_at) >= 2 AS capped FROM {_LOG} WHERE channel = 'text' AND sent_at >= date_trunc('day', {_EVE}) GROUP BY user_id")(lambda d: log_at_evening(d).where((F.col("channel") == "text") & (F.col("sent_at") >= F.date_trunc("day", instant(EVENING)))).groupBy("user_id").agg((F.countDistinct("sent_at") >= 2).alias("capped")))
 register("stream_retention", f"SELECT count(*) AS n FROM sends WHERE sent_at >= TIMESTAMP '{LOG_NOW}' - INTERVAL 7 DAY")(lambda d: D.pruned(d.sends(), instant(LOG_NOW)).agg(F.count(F.lit(1)).alias("n")))
-register("stream_tick", f"SELECT {iso('t')} AS at FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL 15 MINUTE) r(t)")(lambda d: F_.ticks(d.spark, "2024-01-01 00:00:00", "2024-01-03 00:00:00").select(T.iso(F.col("at")).alias("at")))
+_SLOT = "time_bucket(INTERVAL 15 MINUTE, ts)"
+register("stream_tick", f"SELECT DISTINCT {iso(_SLOT)} AS at FROM events")(lambda d: F_.drained(d, F_.ticks(F_.stream(d, "events"), "ts"), ["at"]).select(T.iso(F.col("at")).alias("at")))
 register("stream_event_identity", "SELECT DISTINCT 'event:' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS event_key FROM events")(lambda d: F_.drained(d, F_.identified(F_.stream(d, "events")), ["event_key"]))
 register("stream_cooldown", _COOLED)(lambda d: F_.cooled(d, d.stream_of_sends(F_.stream(d, "events")), ["user_id", "venue_id", "channel"], "sent_at", 3 * 3600).groupBy("user_id", "venue_id", "channel").agg(F.count(F.lit(1)).alias("kept")))
 register("stream_ttl_state", "SELECT user_id, max(ts) - INTERVAL 0 HOUR AS last_seen FROM events GROUP BY user_id HAVING max(ts) > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")(lambda d: F_.alive(d, F_.stream(d, "events"), "user_id", "ts", 24 * 3600))
@@ -56,6 +57,45 @@ register("stream_replace_snapshot", "SELECT event_type, count(*) AS n FROM event
 register("stream_stale_generation", "SELECT user_id, max_by(event_type, struct_pack(t := ts, e := event_id)) AS event_type FROM events GROUP BY user_id")(lambda d: F_.fresh(d, F_.stream(d, "events").select("user_id", "event_type", F.struct("ts", "event_id").alias("generation")), "user_id", "generation").select("user_id", "event_type"))
 register("stream_backoff", f"SELECT {iso(f'least({NOW} + INTERVAL 60 SECOND, (SELECT min(least(ends_at, ended_at)) FROM campaigns WHERE least(ends_at, ended_at) > {NOW}))')} AS next_ok, {iso(f'{NOW} + INTERVAL 300 SECOND')} AS next_failed")(lambda d: d.campaigns().agg(F.min(F.when(F.least("ends_at", "ended_at") > instant(CAMPAIGN_NOW), F.least("ends_at", "ended_at"))).alias("next")).select(T.iso(F.least(T.plus(instant(CAMPAIGN_NOW), 60), F.col("next"))).alias("next_ok"), T.iso(T.plus(instant(CAMPAIGN_NOW), 300)).alias("next_failed")))
 
+_CLOCKED = "DISTINCT expires_at AS t FROM overrides"
+_AT = local("t.t")
+_ON_AT = f"(list_contains(v.days, dayname({_AT})) AND hour({_AT}) * 60 + minute({_AT}) >= v.start_min AND hour({_AT}) * 60 + minute({_AT}) < v.end_min)"
+#: Runs whenever a venue's override ends; the log of the runs before, carried from run to run.
+_DISPATCHED = f"""WITH RECURSIVE ticks AS (SELECT row_number() OVER (ORDER BY t) AS i, t FROM (SELECT {_CLOCKED})),
+  live AS (SELECT t.i, t.t, v.* FROM ticks t, venues v WHERE {_ON_AT} OR v.venue_id IN (SELECT venue_id FROM overrides o WHERE o.active AND o.expires_at > t.t)),
+  found AS (
+    SELECT v.i, v.t, a.user_id, a.channel_email, a.channel_text, v.venue_id, u.phone, u.consent_at FROM alerts a JOIN users u ON a.user_id = u.user_id JOIN live v ON {_MATCH}
+    WHERE a.active AND list_contains(a.kinds, 'happy_hour') AND (a.channel_email OR (a.channel_text AND u.consent_at IS NOT NULL))),
+  per_user AS (SELECT i, user_id, bool_or(channel_email) AS wants_email, bool_or(channel_text AND phone <> '' AND consent_at IS NOT NULL) AS wants_text FROM found GROUP BY i, user_id),
+  wanted AS (
+    SELECT DISTINCT f.i, f.t, f.user_id, c.channel, f.venue_id FROM found f JOIN per_user p ON f.i = p.i AND f.user_id = p.user_id
+    JOIN (VALUES ('email'), ('text')) c(channel) ON (c.channel = 'email' AND p.wants_email) OR (c.channel = 'text' AND p.wants_text)),
+  past AS (SELECT user_id, channel, venue_id, sent_at + (TIMESTAMP '{CAMPAIGN_NOW}' - TIMESTAMP '{LOG_NOW}') AS sent_at FROM sends),
+  steps AS (
+    SELECT 0 AS i, user_id, channel, venue_id, sent_at FROM past WHERE sent_at < (SELECT min(t) FROM ticks)
+    UNION ALL SELECT 0, NULL, NULL, NULL, NULL
+    UNION ALL (
+      SELECT i + 1, user_id, channel, venue_id, sent_at FROM steps WHERE i < (SELECT max(i) FROM ticks)
+      UNION ALL
+      SELECT w.i, w.user_id, w.channel, w.venue_id, w.t FROM wanted w
+      WHERE w.i = (SELECT max(i) + 1 FROM steps)
+        AND NOT EXISTS (SELECT 1 FROM steps l WHERE l.user_id = w.user_id AND l.venue_id = w.venue_id AND l.channel = w.channel AND l.sent_at >= w.t - INTERVAL 3 HOUR)
+        AND (w.channel <> 'text' OR (SELECT count(DISTINCT l.sent_at) FROM steps l WHERE l.user_id = w.user_id AND l.channel = 'text' AND l.sent_at >= date_trunc('day', w.t)) < 2)))
+  SELECT user_id, channel, venue_id, {iso('sent_at')} AS sent_at FROM steps WHERE i = (SELECT max(i) FROM ticks) AND sent_at >= (SELECT min(t) FROM ticks)"""
+
+
+@register("stream_dispatch", _DISPATCHED)
+def _dispatched(d: Domain) -> DataFrame:
+    """The log after runs at all instants at which an override ends, read as a stream."""
+    clock = d.overrides_of(F_.stream(d, "supplier")).select(F.col("expires_at").alias("at"))
+    first = d.overrides().agg(F.min("expires_at").alias("first"))
+    shift = F.unix_seconds(instant(CAMPAIGN_NOW)) - F.unix_seconds(instant(LOG_NOW))
+    past = d.sends().withColumn("sent_at", T.plus(F.col("sent_at"), shift)).join(F.broadcast(first), F.col("sent_at") < F.col("first")).drop("first")  # one row
+    runs = Dispatcher(d.alerts(), d.users(), offered(d), d.overrides(), F_.own_folder(d.spark), history=past)
+    runs.follow(clock)
+    return runs.log().join(F.broadcast(first), F.col("sent_at") >= F.col("first")).select("user_id", "channel", "venue_id", T.iso(F.col("sent_at")).alias("sent_at"))
+
+
 # lifecycle
 #: Monthly offers in these queries: venues have some hundred campaigns a month at the sizes tested.
 _QUOTAS = {"free": 20, "pro": 60, "founding_partner": None}
@@ -84,6 +124,12 @@ def _life_sql(name: str) -> str:
     slot = {"publish": "true", "start_now": "(st = 'draft' OR om IS DISTINCT FROM nm)", "update": "(st = 'scheduled' AND om IS DISTINCT FROM nm)"}.get(name, "false")
     new = {"title": "nt", "starts_at": "ns", "ends_at": "ne", "published_at": {"publish": NOW, "start_now": f"coalesce(published_at, {NOW})"}.get(name, "published_at"), "cancelled_at": NOW if name == "cancel" else "cancelled_at", "ended_at": {"end": NOW, "cancel": "NULL::TIMESTAMP"}.get(name, "ended_at")}
     after = ", ".join(f"CASE WHEN outcome = 'ok' THEN {v} ELSE {c} END AS {c}" if c == "title" else f"{iso(f'CASE WHEN outcome = {chr(39)}ok{chr(39)} THEN {v} ELSE {c} END')} AS {c}" for c, v in new.items())
+    event = {
+        "available_at": "CASE WHEN outcome = 'ok' AND shown THEN ns WHEN published_at IS NOT NULL THEN starts_at END",
+        "expires_at": f"CASE WHEN outcome = 'ok' AND shown THEN ne WHEN published_at IS NOT NULL THEN CASE WHEN outcome = 'ok' AND {name == 'end'} AND starts_at < {NOW} THEN least(ends_at, {NOW}) ELSE ends_at END END",
+        "event_cancelled_at": f"CASE WHEN outcome = 'ok' AND shown THEN NULL WHEN published_at IS NOT NULL THEN CASE WHEN outcome = 'ok' AND ({name == 'cancel'} OR {name == 'end'} AND starts_at >= {NOW}) THEN {NOW} ELSE cancelled_at END END",
+    }
+    after += "".join(f", {iso(v)} AS {c}" for c, v in event.items())
     return f"""WITH best AS (SELECT venue_id, max({_PLAN}) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id),
       asked AS (SELECT c.*, {state(NOW)} AS st, {title} AS nt, {starts} AS ns, {ends} AS ne FROM campaigns c),
       shown AS (SELECT a.*, b.rank, CASE b.rank WHEN 1 THEN 20 WHEN 2 THEN 60 END AS allowance, {_MONTH('starts_at')} AS om, {_MONTH('ns')} AS nm, {'true' if name in ('publish', 'start_now') else "st = 'scheduled'" if name == 'update' else 'false'} AS shown FROM asked a LEFT JOIN best b ON a.venue_id = b.venue_id),
@@ -99,8 +145,13 @@ def _life(d: Domain, name: str) -> DataFrame:
     """One command for every campaign of the snapshot, each judged by itself."""
     asked = [(x[0]() if x else F.lit(None)).cast(t).alias(c) for x, c, t in zip(_ASKED.get(name, (None,) * 3), ("new_title", "new_starts_at", "new_ends_at"), ("string", "timestamp", "timestamp"), strict=True)]
     commands = d.campaigns().select("campaign_id", F.lit(name).alias("command"), *asked)
-    told = L.transitions(d.campaigns(), commands, d.claims(), instant(CAMPAIGN_NOW), _QUOTAS)
-    return told.select("campaign_id", "outcome", "deleted", "title", *[T.iso(F.col(c)).alias(c) for c in ("starts_at", "ends_at", "published_at", "cancelled_at", "ended_at")])
+    told = L.transitions(d.campaigns(), commands, d.claims(), instant(CAMPAIGN_NOW), _QUOTAS, events(d))
+    return told.select("campaign_id", "outcome", "deleted", "title", *[T.iso(F.col(c)).alias(c) for c in ("starts_at", "ends_at", "published_at", "cancelled_at", "ended_at", *L.EVENT_TIMES)])
+
+
+def events(d: Domain) -> DataFrame:
+    """The events of campaigns that have been shown, before any command."""
+    return d.campaigns().where("published_at IS NOT NULL").select("campaign_id", "venue_id", F.col("starts_at").alias("available_at"), F.col("ends_at").alias("expires_at"), "cancelled_at")
 
 
 for _name in L.ALLOWED:

@@ -10,7 +10,7 @@ from tidepool.functions import binary as B, markdown
 from tidepool.plans.registry import register
 from tidepool.sources import tables
 from tidepool.sources.domain import Domain
-from tidepool.streaming.flows import shared_dir
+from tidepool.sources.generations import shared_dir
 
 
 def _hex(x: Column, size: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepool.functions import binary as B, geo, markdown, text as X
 from tidepool.operators import lifecycle as L
@@ -48,9 +48,21 @@ scalar("str_regex_valid_uuid", "part", "p_partkey", lambda: F.when(F.col("p_part
 scalar("str_phone_digits", "users", "user_id", lambda: F.regexp_replace("phone", "[^0-9+]", ""), "regexp_replace(phone, '[^0-9+]', '', 'g')")
 scalar("str_trust_label", "venues", "venue_id", lambda: F.when(F.col("verified") & (F.col("ordinal") % 2 == 0), F.concat(F.lit("Verified "), F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), F.col("ordinal").cast("int")), "MMM d"))).when(F.col("verified"), "Verified").otherwise("Needs verification"), "CASE WHEN verified AND ordinal % 2 = 0 THEN 'Verified ' || strftime(DATE '1998-01-01' + ordinal::INT, '%b %-d') WHEN verified THEN 'Verified' ELSE 'Needs verification' END")
 scalar("str_pluralise", "follows", "user_id", lambda: F.concat((F.col("user_id") % 3).cast("string"), F.when(F.col("user_id") % 3 == 1, " offer left").otherwise(" offers left")), "(user_id % 3) || CASE WHEN user_id % 3 = 1 THEN ' offer left' ELSE ' offers left' END")
-#: Labels of campaign types.
-LABELS = {"drink_deal": "Drink deal", "food_deal": "Food deal", "event": "Event", "other": "Other"}
-scalar("str_enum_label", "campaigns", "campaign_id", lambda: F.coalesce(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.col("type")], F.col("type")), "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE type END")
+#: Labels of campaign types and states.
+LABELS = {"special_deal": "Special Deal", "extended_happy_hour": "Extended Happy Hour", "event": "Event", "other": "Other"}
+STATE_LABELS = {"draft": "Draft", "scheduled": "Scheduled", "live": "Live", "ended": "Ended", "cancelled": "Cancelled"}
+
+
+def labelled(labels: dict[str, str], name: Column) -> Column:
+    """The label of a name; one without a label is shown as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[name], name)
+
+
+def _case(labels: dict[str, str], x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {x} END"
+
+
+scalar("str_enum_label", "campaigns", "campaign_id", lambda: F.concat_ws(" / ", labelled(LABELS, F.col("type")), labelled(STATE_LABELS, campaign_state())), f"concat_ws(' / ', {_case(LABELS, 'type')}, {_case(STATE_LABELS, state(NOW))})")
 scalar("str_filter_summary", "alerts", "alert_id", lambda: F.coalesce(F.nullif(F.array_join(F.filter(F.array(F.array_join("days", ", "), "neighborhood", "deal_type", "feature", "query"), lambda x: x != ""), " | "), F.lit("")), F.lit("Any")), "coalesce(nullif(array_to_string(list_filter([array_to_string(days, ', '), neighborhood, deal_type, feature, query], lambda x: x <> ''), ' | '), ''), 'Any')")
 scalar("str_event_key_schedule", "venues", "venue_id", lambda: F.concat_ws(":", F.lit("hh"), F.col("venue_id").cast("string"), F.lit("1998-06-15"), F.concat(F.lpad(F.floor(F.col("start_min") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("start_min") % 60).cast("string"), 2, "0"))), "'hh:' || venue_id || ':1998-06-15:' || lpad((start_min // 60)::VARCHAR, 2, '0') || ':' || lpad((start_min % 60)::VARCHAR, 2, '0')")
 scalar("str_event_key_campaign", "campaigns", "campaign_id", lambda: F.concat(F.lit("promotion:"), F.col("campaign_id").cast("string")), "'promotion:' || campaign_id")

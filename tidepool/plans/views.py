@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {
       FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (1), (2)) t(j)""",
     "campaigns": """SELECT o_orderkey + 1 AS campaign_id, o_custkey % n + 1 AS venue_id, st AS starts_at, st + to_hours(1 + o_orderkey % 8) AS ends_at, CASE WHEN o_orderstatus <> 'P' THEN st - INTERVAL 1 DAY END AS published_at,
       CASE WHEN o_orderkey % 11 = 0 THEN st - INTERVAL 2 HOUR END AS cancelled_at, CASE WHEN o_orderkey % 7 = 0 THEN st + INTERVAL 30 MINUTE END AS ended_at,
-      CASE o_orderkey % 4 WHEN 0 THEN 'drink_deal' WHEN 1 THEN 'food_deal' WHEN 2 THEN 'event' ELSE 'other' END AS type, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Offer ' || o_orderkey END AS title, 'Deal of order ' || o_orderkey AS description,
+      CASE o_orderkey % 4 WHEN 0 THEN 'special_deal' WHEN 1 THEN 'extended_happy_hour' WHEN 2 THEN 'event' ELSE 'other' END AS type, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'Offer ' || o_orderkey END AS title, 'Deal of order ' || o_orderkey AS description,
       CASE WHEN o_orderkey % 3 = 0 THEN ' CODE' || o_orderkey END AS deal_code, o_orderdate AS created_at, st - to_hours(o_orderkey % 5) AS updated_at, CASE WHEN o_orderkey % 17 = 0 THEN o_custkey % n + 1 END AS legacy_venue_id, o_custkey + 1 AS created_by
       FROM (SELECT *, TIMESTAMP '1998-06-01' + to_hours(o_orderkey * 7 % 720) AS st FROM orders), (SELECT count(*) AS n FROM supplier)""",
     "overrides": """SELECT s_suppkey + 1 AS venue_id, s_suppkey % 10 <> 5 AS active, TIMESTAMP '1998-06-15 19:00:00' AS since, TIMESTAMP '1998-06-15 20:00:00' + to_hours(s_suppkey % 7 - 2) AS expires_at FROM supplier WHERE s_suppkey % 5 = 0""",

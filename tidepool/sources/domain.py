@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepool.sources.tables import table
 
-#: Weekdays, deal types and features, in canonical order.
+#: Weekdays, deal types, features and types of campaigns, in canonical order.
 DAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 DEAL_TYPES = ["drinks", "food", "bottles"]
 FEATURES = ["patio", "dog-friendly", "late-night", "live-music"]
-KINDS = ["drink_deal", "food_deal", "event", "other"]
+KINDS = ["special_deal", "extended_happy_hour", "event", "other"]
 #: "Now" of queries over campaigns, and over the log of sends.
 CAMPAIGN_NOW, LOG_NOW = "1998-06-15 20:00:00", "2024-01-15 20:00:00"
 ZONE = "America/Los_Angeles"
@@ -95,9 +95,13 @@ class Domain:
 
     def overrides(self) -> DataFrame:
         """Venues switched on by hand; times around the campaigns' now."""
+        return self.overrides_of(self.raw("supplier"))
+
+    def overrides_of(self, suppliers: DataFrame) -> DataFrame:
+        """The same of suppliers, stored or streaming."""
         k = F.col("s_suppkey")
         now = F.unix_seconds(instant(CAMPAIGN_NOW))
-        return self.raw("supplier").where(k % 5 == 0).select((k + 1).alias("venue_id"), (k % 10 != 5).alias("active"), F.timestamp_seconds(now - 3600).alias("since"), F.timestamp_seconds(now + (k % 7 - 2) * 3600).alias("expires_at"))
+        return suppliers.where(k % 5 == 0).select((k + 1).alias("venue_id"), (k % 10 != 5).alias("active"), F.timestamp_seconds(now - 3600).alias("since"), F.timestamp_seconds(now + (k % 7 - 2) * 3600).alias("expires_at"))
 
     def sends(self) -> DataFrame:
         return self.stream_of_sends(self.raw("events"))

@@ -17,11 +17,6 @@ def catalogue(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def versioned(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows with a token of the whole snapshot, equal for equal contents in any order; a writer passes the token back."""
-    return df.crossJoin(df.agg(F.sum(F.xxhash64(*(columns or df.columns)).cast("decimal(38,0)")).alias("_sum"), F.count(F.lit(1)).alias("_n")).select(F.sha2(F.concat_ws("-", F.col("_sum").cast("string"), F.col("_n").cast("string")), 256).alias("version")))
-
-
 def documents(spark: SparkSession, pattern: str) -> DataFrame:
     """(slug, text) of text files, one row each; the slug is the file name without its ending."""
     df = spark.read.text(pattern, wholetext=True)

@@ -1,128 +1,210 @@
-"""Structured Streaming forms of the operators that keep state over time."""
+"""Structured Streaming forms of the operators that keep state over time.
+
+State is kept in one of two ways. ``cooled`` and ``alive`` keep a value for each key in
+Spark's state store, with event-time timers that drop it, so state is bounded by the keys
+that are active. ``replaced``, ``folded`` and ``fresh`` keep whole results as committed
+generations. Both live in the folder that is given, beside the stream's checkpoint: a
+stream that is started again with the same folder goes on where it stopped.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidepool.operators import accounting
 from tidepool.sources.domain import Domain
+from tidepool.sources.generations import Generations, own_folder
+
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def ticks(spark: SparkSession, first: str, last: str, minutes: int = 15) -> DataFrame:
-    """(at): the runs of a replayed schedule, aligned to its interval."""
-    step = F.expr(f"INTERVAL {minutes} MINUTES")
-    return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp") - step, step)).alias("at"))
+def ticks(events: DataFrame, at: str, minutes: int = 15) -> DataFrame:
+    """(at): the aligned intervals in which rows of a stream fall, each once: the runs of a schedule that is replayed over them."""
+    step = 60 * minutes
+    aligned = events.select(F.timestamp_seconds(F.floor(F.unix_seconds(at) / step) * step).alias("at"))
+    return aligned.withWatermark("at", "0 seconds").dropDuplicates(["at"]) if events.isStreaming else aligned.distinct()
 
 
 def stream(d: Domain, name: str) -> DataFrame:
-    """A stored table as a stream of its files."""
+    """A stored table as a stream of its files; zone-less timestamps are instants in UTC."""
     df = d.spark.read.parquet(f"{d.folder}/{name}.parquet")
-    return d.spark.readStream.schema(df.schema).parquet(f"{d.folder}/{name}.parquet*")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidepool-stream-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return d.spark.readStream.schema(df.schema).parquet(f"{d.folder}/{name}.parquet*").withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def drained(d: Domain, df: DataFrame, columns: list[str]) -> DataFrame:
-    """All that a stream gives for what is there now, as a table."""
-    where = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
+def drained(d: Domain, df: DataFrame, columns: list[str], folder: str | None = None) -> DataFrame:
+    """All that a stream gave up to what is there now, as a table."""
+    where = folder or own_folder(d.spark)
     query = df.select(*columns).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return d.spark.read.schema(df.select(*columns).schema).parquet(f"{where}/out")
 
 
-def replaced(d: Domain, df: DataFrame) -> DataFrame:
-    """The last complete result of a stream: each batch writes a new snapshot, and the newest batch wins; a batch that fails leaves the one before."""
-    where = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
-    done: list[int] = []
+def _batches(df: DataFrame, where: str, mode: str, put: Callable[[DataFrame, int], None]) -> None:
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+class Rejected(ValueError):
+    """A batch with rows that aren't what they should be."""
+
+
+def replaced(d: Domain, df: DataFrame, folder: str | None = None, valid: Column | None = None, mode: str = "complete") -> DataFrame | None:
+    """The result of a stream's last good batch: each batch replaces the whole one before.
+
+    In mode "complete" a batch is an aggregate of all so far, in "append" a snapshot by itself.
+    A batch with a row that isn't ``valid`` (false or null) raises, and its stream stops; what
+    counts is then the batch before, also after a restart. None before the first good batch.
+    """
+    where = folder or own_folder(d.spark)
+    results = Generations(d.spark, f"{where}/out")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out/{number}")
-        done.append(number)
+        staged = results.stage()
+        batch.write.parquet(staged)
+        kept = d.spark.read.parquet(staged)
+        if valid is not None and not kept.where(~F.coalesce(valid, F.lit(False))).isEmpty():
+            raise Rejected(f"batch {number}")
+        results.publish(number, staged)
+        results.drop(*results.numbers()[:-2])
 
-    df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(df.schema).parquet(f"{where}/out/{newest(done)}")
+    _batches(df, where, mode, put)
+    return results.read()
 
 
-def newest(generations: list[int]) -> int:
-    """The generation whose result counts; those that finish later but began earlier are stale."""
-    return max(generations, default=-1)
+def last_good(results: Generations, now: Column, expires: str) -> DataFrame | None:
+    """The current generation's rows that have not run out; what a reader gets while later batches fail."""
+    found = results.read()
+    return None if found is None else found.where(F.col(expires) > now)
 
 
-def folded(d: Domain, df: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """State over a stream's batches: each batch writes the state that ``fold`` makes of the one before and its own rows.
+def folded(d: Domain, df: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """State over a stream's batches: each batch commits the state that ``fold`` makes of the one before and its own rows.
 
-    A batch's state is a snapshot under the batch's number, so a batch that runs again
-    after a failure reads the snapshot before its own and writes the same one.
+    The one before is the committed generation below the batch's number, so a batch that
+    runs again after a failure starts from the same state, and one that counts already isn't
+    folded twice.
     """
-    where = f"{shared_dir(d.spark)}/stream-{uuid.uuid4().hex}"
-    done: list[int] = []
+    where = folder or own_folder(d.spark)
+    states = Generations(d.spark, f"{where}/out")
 
     def put(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{where}/out/{newest(done)}") if done else None
-        fold(before, batch).write.mode("overwrite").parquet(f"{where}/out/{number}")
-        done.append(number)
+        before = states.newest(below=number)
+        if states.commit(number, fold(None if before is None else states.read(before), batch)):
+            states.drop(*states.numbers()[:-2])
 
-    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return fold(None, d.spark.createDataFrame([], df.schema))
-    return d.spark.read.parquet(f"{where}/out/{newest(done)}")
+    _batches(df, where, "append", put)
+    state = states.read()
+    return fold(None, d.spark.createDataFrame([], df.schema)) if state is None else state
 
 
-def fresh(d: Domain, df: DataFrame, key: str, generation: str) -> DataFrame:
-    """Of each key the row of its newest generation; a row of an older one that comes later is stale."""
+def fresh(d: Domain, df: DataFrame, key: str, generation: str, folder: str | None = None) -> DataFrame:
+    """Of each key the row of its newest generation; a row of an older one that comes later, even after a restart, is stale."""
     rest = [c for c in df.columns if c != key]
 
     def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch if before is None else before.unionByName(batch)
         return rows.groupBy(key).agg(F.max_by(F.struct(*rest), generation).alias("_of")).select(key, *[F.col(f"_of.{c}").alias(c) for c in rest])
 
-    return folded(d, df, fold)
+    return folded(d, df, fold, folder)
 
 
-def alive(d: Domain, df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(key, last_seen) of the keys seen within ``seconds`` of the newest row so far; older state is dropped batch by batch."""
+@contextlib.contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Values and timers of keys need a store that can be scanned in order; other streams keep the session's choice."""
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ROCKS[0]) if before is None else spark.conf.set(_ROCKS[0], before)
 
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.select(key, F.col(at).alias("last_seen"))
-        rows = rows if before is None else rows.unionByName(before)
-        last = rows.groupBy(key).agg(F.max("last_seen").alias("last_seen"))
-        now = last.agg(F.max("last_seen").alias("_now"))
-        return last.crossJoin(F.broadcast(now)).where(F.col("last_seen") > F.col("_now") - F.expr(f"INTERVAL {seconds} SECONDS")).drop("_now")  # one row
 
-    return folded(d, df, fold)
+class _Timed(StatefulProcessor):
+    """One time for each key, in microseconds; it is dropped once the watermark is ``keep`` microseconds past it."""
 
+    def __init__(self, keys: list[str], keep: int):
+        self.names, self.keep = [*keys, "_at"], keep
 
-def identified(events: DataFrame) -> DataFrame:
-    """Events with an identity, each identity once."""
-    key = F.concat(F.lit("event:"), F.col("user_id").cast("string"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd"))
-    return events.withColumn("event_key", key).dropDuplicates(["event_key"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last = before
+        for at in self.passing(rows, before):
+            last = at
+            yield Row(**dict(zip(self.names, (*key, at), strict=True)))
+        if last != before:
+            self.last.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((last + self.keep) // 1000 + 1)
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        yield from ()
 
-def cooled(d: Domain, df: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
-    """Rows that a cooldown lets through, over all batches of a stream.
+    def passing(self, rows: Iterator[Row], last: int | None) -> Iterator[int]:
+        """The times that pass, in order; the last of them is kept."""
+        raise NotImplementedError
 
-    A batch goes through the same fold as a stored log, after the last row of each key
-    that batches before let through; time must not run backwards from batch to batch.
+    def close(self) -> None:
+        pass
+
+
+class _Cooldown(_Timed):
+    def passing(self, rows: Iterator[Row], last: int | None) -> Iterator[int]:
+        for at in sorted({r["_at"] for r in rows}):
+            if last is None or at - last > self.keep:
+                last = at
+                yield at
+
+
+class _Seen(_Timed):
+    def passing(self, rows: Iterator[Row], last: int | None) -> Iterator[int]:
+        newest = max(r["_at"] for r in rows)
+        if last is None or newest > last:
+            yield newest
+
+
+def _timed(df: DataFrame, keys: list[str], at: str, late: str, processor: _Timed) -> DataFrame:
+    sent = df.select(*keys, F.col(at).alias("_time"), F.unix_micros(at).alias("_at")).withWatermark("_time", late)
+    schema = df.select(*keys).schema.add("_at", "long")
+    return sent.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
+
+
+def cooled(d: Domain, df: DataFrame, keys: list[str], at: str, seconds: int, folder: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """Rows that a cooldown lets through, over all batches of a stream: (keys, at).
+
+    A key's rows go in order within a batch, after the last one that batches before let
+    through; that one time is all that is kept of a key, and only until the cooldown is over.
+    A row that comes in a later batch, but ``late`` behind the newest, is dropped; an earlier
+    one than the last let through waits like any within the cooldown.
     """
+    where = folder or own_folder(d.spark)
+    with _state_store(d.spark):
+        out = drained(d, _timed(df, keys, at, late, _Cooldown(keys, seconds * 1_000_000)), [*keys, "_at"], where)
+    return out.select(*keys, F.timestamp_micros("_at").alias(at))
 
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.select(*keys, at)
-        if before is None:
-            return accounting.cooled(rows, keys, at, seconds)
-        last = before.groupBy(*keys).agg(F.max(at).alias(at))
-        return before.unionByName(accounting.cooled(rows.unionByName(last), keys, at, seconds).join(last, [*keys, at], "left_anti"))
 
-    return folded(d, df, fold)
+def alive(d: Domain, df: DataFrame, key: str, at: str, seconds: int, folder: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """(key, last_seen) of the keys seen within ``seconds`` of the newest row so far, read from the state itself: timers have dropped all others."""
+    where = folder or own_folder(d.spark)
+    seen = _timed(df, [key], at, late, _Seen([key], seconds * 1_000_000))
+    with _state_store(d.spark):
+        seen.writeStream.format("noop").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    state = d.spark.read.format("statestore").option("path", f"{where}/state").option("stateVarName", "last").load()
+    kept = state.select(F.col(f"key.{key}").alias(key), F.col("value.at").alias("_at"))
+    # timers count milliseconds, rows microseconds
+    newest = kept.agg((F.max("_at") - seconds * 1_000_000).alias("_after"))
+    return kept.join(F.broadcast(newest), F.col("_at") > F.col("_after")).select(key, F.timestamp_micros("_at").alias("last_seen"))  # one row
+
+
+def identified(events: DataFrame) -> DataFrame:
+    """Events with an identity, each identity once; identities of days that the stream has passed are forgotten."""
+    key = F.concat(F.lit("event:"), F.col("user_id").cast("string"), F.lit(":"), F.date_format("ts", "yyyy-MM-dd"))
+    return events.withColumn("event_key", key).withColumn("event_day", F.date_trunc("day", "ts")).withWatermark("event_day", "1 day").dropDuplicates(["event_key", "event_day"])
