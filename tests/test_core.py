@@ -127,6 +127,56 @@ def test_cooldown_is_the_fold_over_a_key(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def plain_cooldown(times, wait):
+    kept = []
+    for t in sorted(set(times)):
+        if not kept or t - kept[-1] > wait:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_of_a_key_leave_off_where_the_fold_does(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    for _ in range(200):
+        wait = rng.choice([0, 1, 5, 30])
+        times = np.array(sorted({rng.randrange(rng.choice([20, 200, 2000])) + 1000 for _ in range(rng.randint(1, 60))}))
+        steps, exits = accounting._exits(times, wait)
+        for last in [None, *range(int(times[0]) - wait - 2, int(times[0]))]:
+            kept = accounting._let_through(times, last, wait).tolist()
+            at = 0 if last is None else int(np.searchsorted(steps, last + wait, "right"))
+            assert (exits[at] if at < len(steps) else last) == (kept[-1] if kept else last)
+
+
+def test_cooldown_of_one_key_with_most_rows(spark, monkeypatch):
+    """A steady run of one-minute gaps is dealt over many tasks, none of which has much more than another."""
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    hot = [(1, None, start + dt.timedelta(minutes=i)) for i in range(60_000)]
+    cold = [(rng.randrange(2, 40), rng.choice(["a", None]), start + dt.timedelta(seconds=rng.randrange(10**6))) for _ in range(20_000)]
+    rows = hot + cold + cold[:500] + [(3, "a", None)]
+    log = spark.createDataFrame(rows, "user long, channel string, at timestamp").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    folders = []
+    keep = accounting.own_folder
+    monkeypatch.setattr(accounting, "own_folder", lambda s: folders.append(keep(s)) or folders[-1])
+    try:
+        got = accounting.cooled(log, ["user", "channel"], "at", 3 * 3600).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_key = {}
+    for user, channel, at in rows:
+        if at:
+            by_key.setdefault((user, channel), []).append(at)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*k, t)) for k, times in by_key.items() for t in plain_cooldown(times, dt.timedelta(hours=3)))
+    sizes = [r["n"] for r in spark.read.parquet(folders[0]).where("user = 1").groupBy("_part").agg(F.sum(F.size("_times")).alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_delivery_rules(spark):
     columns = "status string, channel string, attempt_count int, next_attempt_at string, lease_expires_at string, sent_at string, batch_id string"
     rows = [

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepool.functions import text as X
+from tidepool.operators import nearby
+
+
+#: What an alert looks for; two alerts with the same filters are duplicates.
+FILTERS = ["neighborhood", "deal_type", "feature", "days", "query"]
 
 
 def overlaid(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -61,13 +66,28 @@ def managers(sessions: DataFrame, claims: DataFrame) -> DataFrame:
     return sessions.join(verified, "user_id", "left").where((F.col("role") == "admin") | F.col("_verified").isNotNull()).drop("_verified")
 
 
-def matches(alerts: DataFrame, venues: DataFrame) -> DataFrame:
-    """Alerts with each venue that passes all their filters; an empty filter passes every venue.
+def _grams(text: Column, n: Column) -> Column:
+    """Strings of ``n`` characters in a text."""
+    some = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
 
-    Alerts with a neighbourhood meet venues by it, the others by deal type or feature if
-    they have one, or by weekday. Only alerts without any such filter meet all venues.
-    Filters are grouped first, as far fewer differ than there are alerts.
+
+def by_text(kinds: DataFrame, v: DataFrame) -> DataFrame:
+    """Candidates (filters, venue_id): venues whose text holds the rarest gram of each filter's query; an empty query has the empty gram, which every venue holds.
+
+    The index has each venue under the grams of one to three characters of its text, so a query
+    meets the venues of one short list, not all.
     """
+    held = v.select("venue_id", F.explode(F.array_union(F.array(F.lit("")), F.concat(*[_grams(F.col("v_text"), F.lit(n)) for n in (1, 2, 3)]))).alias("_gram"))
+    asked, n = F.lower("query"), F.least(F.length("query"), F.lit(3))
+    mine = kinds.withColumn("_gram", F.explode(F.when(n == 0, F.array(F.lit(""))).otherwise(_grams(asked, n))))
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = mine.join(often, "_gram", "left").groupBy(*FILTERS).agg(F.min_by("_gram", F.coalesce("_n", F.lit(0))).alias("_gram"))
+    return rarest.join(held, "_gram").drop("_gram")
+
+
+def _kinds_matched(kinds: DataFrame, venues: DataFrame) -> DataFrame:
+    """(filters, venue_id, venue_ordinal) of different filters."""
     v = venues.select("venue_id", F.col("neighborhood").alias("v_neighborhood"), F.col("days").alias("v_days"), "deal_types", "features", haystack("name", "neighborhood", "vibe").alias("v_text"), F.col("ordinal").alias("venue_ordinal") if "ordinal" in venues.columns else F.col("venue_id").alias("venue_ordinal"))
     passes = (
         ((F.size("days") == 0) | F.arrays_overlap("days", "v_days"))
@@ -75,17 +95,35 @@ def matches(alerts: DataFrame, venues: DataFrame) -> DataFrame:
         & ((F.col("feature") == "") | F.array_contains("features", F.col("feature")))
         & ((F.col("query") == "") | F.col("v_text").contains(F.lower("query")))
     )
-    filters = ["neighborhood", "deal_type", "feature", "days", "query"]
-    kinds = alerts.select(*filters).distinct()  # alerts with equal filters match equal venues
     near = kinds.where("neighborhood <> ''").join(v, F.col("neighborhood") == F.col("v_neighborhood"))
     dealt = kinds.where("neighborhood = '' AND deal_type <> ''").join(v.withColumn("one", F.explode("deal_types")), F.col("deal_type") == F.col("one")).drop("one")
     featured = kinds.where("neighborhood = '' AND deal_type = '' AND feature <> ''").join(v.withColumn("one", F.explode("features")), F.col("feature") == F.col("one")).drop("one")
     rest = kinds.where("neighborhood = '' AND deal_type = '' AND feature = ''")
-    dated = rest.where(F.size("days") > 0).withColumn("one", F.explode("days")).join(v.withColumn("one", F.explode("v_days")), "one").drop("one").dropDuplicates([*filters, "venue_id"])
-    # no filter but perhaps a text: every venue is to be looked at, for each different text once
-    anywhere = rest.where(F.size("days") == 0).join(v, F.lit(True))
-    matched = near.unionByName(dealt).unionByName(featured).unionByName(dated).unionByName(anywhere).where(passes).select(*filters, "venue_id", "venue_ordinal")
-    return alerts.join(matched, filters)
+    texts = rest.where((F.size("days") == 0) | (F.col("query") != ""))
+    by_query = by_text(texts, v).join(v, "venue_id")
+    dated = rest.where((F.size("days") > 0) & (F.col("query") == "")).withColumn("one", F.explode("days")).join(v.withColumn("one", F.explode("v_days")), "one").drop("one").dropDuplicates([*FILTERS, "venue_id"])
+    return near.unionByName(dealt).unionByName(featured).unionByName(dated).unionByName(by_query).where(passes).select(*FILTERS, "venue_id", "venue_ordinal")
+
+
+def matches(alerts: DataFrame, venues: DataFrame) -> DataFrame:
+    """Alerts with each venue that passes all their filters; an empty filter passes every venue.
+
+    Alerts with a neighbourhood meet venues by it, the others by deal type or feature if
+    they have one, by the text they ask for, or by weekday. Only an alert without any filter
+    meets all venues. Filters are grouped first, as far fewer differ than there are alerts.
+    """
+    return alerts.join(_kinds_matched(alerts.select(*FILTERS).distinct(), venues), FILTERS)
+
+
+def match_counts(alerts: DataFrame, venues: DataFrame, first: int = 12) -> DataFrame:
+    """(alert_id, n, first) of alerts that match any venue: how many, and the ``first`` smallest ids in order.
+
+    Counted once for different filters, and no task holds more than ``first`` ids of one.
+    """
+    matched = _kinds_matched(alerts.select(*FILTERS).distinct(), venues)
+    few = nearby.smallest(matched, FILTERS, [F.col("venue_id")], first).groupBy(*FILTERS).agg(F.array_sort(F.collect_list("venue_id")).alias("first"))
+    counts = matched.groupBy(*FILTERS).agg(F.count(F.lit(1)).alias("n")).join(few, FILTERS)
+    return alerts.join(counts, FILTERS).select("alert_id", "n", "first")
 
 
 def recipients(campaigns: DataFrame, follows: DataFrame, alerts: DataFrame, venues: DataFrame) -> DataFrame:
@@ -101,10 +139,6 @@ def by_slug(mentions: DataFrame, venues: DataFrame) -> DataFrame:
     return mentions.join(venues.select("venue_id", X.slugify(F.col("name")).alias("slug")), "slug").select("doc_id", "venue_id")
 
 
-#: What an alert looks for; two alerts with the same filters are duplicates.
-FILTERS = ["neighborhood", "deal_type", "feature", "days", "query"]
-
-
 def cloned(alerts: DataFrame, existing: DataFrame, user: Column) -> DataFrame:
     """Copies of alerts for another user, by mail only; where that user has an alert with the same filters there is none."""
     copies = alerts.withColumn("user_id", user).withColumn("channel_email", F.lit(True)).withColumn("channel_text", F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepool.functions import geo, temporal as T
-from tidepool.operators import accounting as A, search as S
+from tidepool.operators import accounting as A, nearby as N, search as S
 from tidepool.plans.registry import iso, local, register, state
 from tidepool.plans.relational import _HAV, _LIVE_SQL, _MATCH, ON, on
 from tidepool.plans.temporal import NOW, campaign_state
@@ -45,7 +45,7 @@ register("set_distinct", "SELECT DISTINCT neighborhood FROM venues")(lambda d: d
 _BUCKET = f"CASE {state(NOW)} WHEN 'live' THEN 'active' WHEN 'scheduled' THEN 'scheduled' WHEN 'draft' THEN 'drafts' ELSE 'past' END"
 register("agg_partition_by_state", f"SELECT bucket, venue_id, count(*) AS n FROM (SELECT venue_id, {_BUCKET} AS bucket FROM campaigns) GROUP BY bucket, venue_id")(lambda d: A.bucketed(d.campaigns(), campaign_state()).groupBy("bucket", "venue_id").agg(F.count(F.lit(1)).alias("n")))
 register("agg_keyed_last_wins", f"SELECT venue_id, arg_max(campaign_id, (ends_at, campaign_id)) AS campaign_id FROM campaigns WHERE {_LIVE_SQL} GROUP BY venue_id")(lambda d: S.live_campaigns(d.campaigns(), instant(CAMPAIGN_NOW)).groupBy("venue_id").agg(F.max_by("campaign_id", F.struct("ends_at", "campaign_id")).alias("campaign_id")))
-register("agg_match_count", f"SELECT a.alert_id, count(*) AS n, array_to_string(list_slice(list(v.venue_id ORDER BY v.venue_id), 1, 12), ',') AS first FROM alerts a JOIN venues v ON {_MATCH} GROUP BY a.alert_id")(lambda d: S.matches(d.alerts(), d.venues()).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("venue_id")), 1, 12), lambda x: x.cast("string")), ",").alias("first")))
+register("agg_match_count", f"SELECT a.alert_id, count(*) AS n, array_to_string(list_slice(list(v.venue_id ORDER BY v.venue_id), 1, 12), ',') AS first FROM alerts a JOIN venues v ON {_MATCH} GROUP BY a.alert_id")(lambda d: S.match_counts(d.alerts(), d.venues()).select("alert_id", "n", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first")))
 register("agg_min_future_boundary", f"SELECT venue_id, {iso(f'min(t)')} AS next FROM (SELECT venue_id, starts_at AS t FROM campaigns UNION ALL SELECT venue_id, ends_at FROM campaigns) WHERE t > {NOW} GROUP BY venue_id")(lambda d: d.campaigns().select("venue_id", F.explode(F.array("starts_at", "ends_at")).alias("t")).where(F.col("t") > instant(CAMPAIGN_NOW)).groupBy("venue_id").agg(T.iso(F.min("t")).alias("next")))
 register("agg_live_count", f"SELECT count(*) AS shown, (SELECT count(*) FROM venues WHERE {ON}) AS live FROM venues WHERE verified")(lambda d: d.venues().agg(F.count_if("verified").alias("shown"), F.count_if(on()).alias("live")))
 register("agg_referrers_by_key", "SELECT image_key, string_agg(photo_id::VARCHAR, ',' ORDER BY photo_id) AS referrers FROM photos GROUP BY image_key")(lambda d: d.photos().groupBy("image_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("photo_id")), lambda x: x.cast("string")), ",").alias("referrers")))
@@ -83,5 +83,18 @@ register("sort_drafts", f"SELECT campaign_id, row_number() OVER (PARTITION BY ve
 register("sort_past", f"SELECT campaign_id, row_number() OVER (PARTITION BY venue_id ORDER BY coalesce(cancelled_at, ended_at, ends_at) DESC NULLS LAST, updated_at DESC NULLS LAST, campaign_id) AS place FROM campaigns WHERE {state(NOW)} IN ('ended', 'cancelled')")(lambda d: placed(d, campaign_state().isin("ended", "cancelled"), [F.coalesce("cancelled_at", "ended_at", "ends_at").desc_nulls_last(), F.desc_nulls_last("updated_at")]))
 register("sort_docs_newest", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")(lambda d: d.raw("documents").select("doc_id", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place")))
 register("limit_n", "SELECT photo_id FROM photos ORDER BY sort_order, photo_id LIMIT 50")(lambda d: d.photos().orderBy("sort_order", "photo_id").limit(50).select("photo_id"))
+register("limit_n_per_key", "SELECT venue_id, photo_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY sort_order, photo_id)::INT AS nth FROM photos) WHERE nth <= 8")(lambda d: N.smallest(d.photos(), ["venue_id"], [F.col("sort_order"), F.col("photo_id")], 8).select("venue_id", "photo_id", "nth"))
+_CENTRES = "(SELECT c_custkey AS centre, 32.45::DOUBLE + (c_custkey % 53) * 0.01::DOUBLE AS y, -117.35::DOUBLE + (c_custkey % 47) * 0.01::DOUBLE AS x FROM customer)"
+_APART = "(2 * 3958.7613::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lng - x) / 2), 2)))))"
+register("sort_by_distance_nearest", f"SELECT centre, venue_id, distance, nth FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY distance, venue_id)::INT AS nth FROM (SELECT centre, venue_id, round({_APART}, 6) AS distance FROM {_CENTRES}, venues)) WHERE nth <= 5")(lambda d: N.nearest(centres(d), d.venues(), "centre", 5))
+register("filter_radius_join", f"SELECT centre, venue_id FROM {_CENTRES}, venues WHERE {_APART} <= 3.1")(lambda d: N.within(centres(d), d.venues(), 3.1).select("centre", "venue_id"))
+
+
+def centres(d: Domain) -> DataFrame:
+    """A point for each customer, in and around the venues' town."""
+    k = F.col("c_custkey")
+    return d.raw("customer").select(k.alias("centre"), (32.45 + (k % 53) * 0.01).alias("lat"), (-117.35 + (k % 47) * 0.01).alias("lng"))
+
+
 register("set_union_priority", f"""SELECT venue_id, arg_max(title, (prio, t, id)) AS title FROM (SELECT venue_id, description AS title, 0 AS prio, updated_at AS t, 0 AS id FROM legacy UNION ALL SELECT venue_id, title, 1, ends_at, campaign_id FROM campaigns WHERE {_LIVE_SQL}) GROUP BY venue_id""")(lambda d: A.prioritised(d.legacy().select("venue_id", F.col("description").alias("title"), F.col("updated_at").alias("t"), F.lit(0).cast("long").alias("id")), S.live_campaigns(d.campaigns(), instant(CAMPAIGN_NOW)).select("venue_id", "title", F.col("ends_at").alias("t"), F.col("campaign_id").alias("id"))))
 register("set_offsets", f"SELECT o_orderkey, array_to_string(list_sort(list_distinct([(epoch({local('o_orderdate - INTERVAL 1 DAY')}) - epoch(o_orderdate - INTERVAL 1 DAY))::BIGINT, (epoch({local('o_orderdate + INTERVAL 1 DAY')}) - epoch(o_orderdate + INTERVAL 1 DAY))::BIGINT])), ',') AS value FROM orders")(lambda d: d.raw("orders").select("o_orderkey", F.array_join(F.transform(F.array_sort(F.array_distinct(F.array(*[T.zone_offset(T.plus(F.col("o_orderdate"), s)) for s in (-86400, 86400)]))), lambda x: x.cast("string")), ",").alias("value")))

@@ -8,7 +8,7 @@ from tidepool.functions import geo, temporal as T, text as X
 from tidepool.operators import joins as J, search as S
 from tidepool.plans.registry import candidates, iso, local, register, state
 from tidepool.plans.temporal import EVENING, NOW, campaign_state
-from tidepool.sources.domain import CAMPAIGN_NOW, DAYS, LOG_NOW, Domain, instant
+from tidepool.sources.domain import KINDS, CAMPAIGN_NOW, DAYS, LOG_NOW, Domain, instant
 
 _LOG = f"TIMESTAMP '{LOG_NOW}'"
 _EVE = f"TIMESTAMP '{EVENING}'"
@@ -110,7 +110,7 @@ register("filter_live_schedule_closed", f"SELECT venue_id FROM venues WHERE list
 register("filter_live_schedule_local", f"SELECT venue_id FROM venues v WHERE (list_contains(days, dayname({_EVE} + INTERVAL 17 HOUR)) AND hour({_EVE} + INTERVAL 17 HOUR) * 60 + minute({_EVE} + INTERVAL 17 HOUR) BETWEEN start_min AND end_min) OR venue_id IN (SELECT venue_id FROM overrides WHERE active AND expires_at > {NOW})")(lambda d: S.with_overrides(d.venues(), d.overrides(), instant(CAMPAIGN_NOW)).where(F.col("overridden") | T.schedule_live_closed(T.plus(instant(EVENING), 17 * 3600), F.col("days"), F.col("start_min"), F.col("end_min"), "UTC")).select("venue_id"))
 register("filter_venue_live", f"SELECT venue_id FROM venues WHERE {ON} OR venue_id IN (SELECT venue_id FROM overrides WHERE active AND expires_at > {NOW})")(lambda d: S.with_overrides(d.venues(), d.overrides(), instant(CAMPAIGN_NOW)).where(F.col("overridden") | on()).select("venue_id"))
 register("filter_feed_live", f"SELECT campaign_id FROM campaigns WHERE {state(NOW)} = 'live' AND starts_at <= {NOW} AND {NOW} < least(ends_at, ended_at)")(lambda d: d.campaigns().where((campaign_state() == "live") & (F.col("starts_at") <= instant(CAMPAIGN_NOW)) & (instant(CAMPAIGN_NOW) < F.least("ends_at", "ended_at"))).select("campaign_id"))
-register("filter_row_validity", "SELECT campaign_id, venue_id > 0 AND title <> '' AND length(title) <= 80 AND type IN ('special_deal', 'extended_happy_hour', 'event', 'other') AND ends_at > starts_at AND published_at IS NOT NULL AS is_valid FROM campaigns")(lambda d: d.campaigns().select("campaign_id", ((F.col("venue_id") > 0) & (F.col("title") != "") & (F.length("title") <= 80) & F.col("type").isin("drink_deal", "food_deal", "event", "other") & (F.col("ends_at") > F.col("starts_at")) & F.col("published_at").isNotNull()).alias("is_valid")))
+register("filter_row_validity", "SELECT campaign_id, venue_id > 0 AND title <> '' AND length(title) <= 80 AND type IN ('special_deal', 'extended_happy_hour', 'event', 'other') AND ends_at > starts_at AND published_at IS NOT NULL AS is_valid FROM campaigns")(lambda d: d.campaigns().select("campaign_id", ((F.col("venue_id") > 0) & (F.col("title") != "") & (F.length("title") <= 80) & F.col("type").isin(*KINDS) & (F.col("ends_at") > F.col("starts_at")) & F.col("published_at").isNotNull()).alias("is_valid")))
 register("filter_published_docs", "SELECT doc_id FROM documents WHERE lang <> 'de' AND contains(source, '1')")(lambda d: d.raw("documents").where((F.col("lang") != "de") & F.col("source").contains("1")).select("doc_id"))
 register("filter_claim_verified", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
 register("filter_claim_verified_whole", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
