@@ -104,6 +104,20 @@ def test_allowances(spark, value, want):
     assert tuple(one(spark, X.allowance(F.col("x"), F.lit(4), False), x=value)) == (4, False, None)
 
 
+def test_keys_of_occurrences(spark):
+    key = lambda v, date, start: one(spark, X.schedule_event_key(F.lit(v), F.lit(date), F.lit(start)))
+    assert key(5, "1998-06-15", "16:30") == "hh:5:1998-06-15:16:30"
+    assert key(0, "1998-06-15", "16:30") is key(5, "98-06-15", "16:30") is key(5, "1998-06-15", "24:00") is key(5, "1998-06-15", "9:00") is None
+
+
+def test_configured_partners(spark):
+    claims = spark.createDataFrame([(1, "verified", "free"), (2, "verified", "Pro"), (3, "pending", "Pro"), (4, "verified", "paid")], "venue_id long, status string, plan string")
+    got = lambda partners: {r["venue_id"]: r["allowance"] for r in accounting.venue_allowances(claims, partners=partners).collect()}
+    assert got("") == {1: 1, 2: 8, 4: 8} and got("1, 4,3,4") == {1: None, 2: 8, 4: None}
+    with pytest.raises(Exception, match="partner venues"):
+        got("1,x")
+
+
 def test_id_sets(spark):
     ids = lambda t: tuple(one(spark, X.id_set(F.col("x")), x=t))
     assert ids("7, 42,7") == ([7, 42], None)

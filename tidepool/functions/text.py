@@ -170,3 +170,9 @@ def id_set(x: Column) -> Column:
     ids = F.transform(entries, _positive)
     bad = F.exists(ids, lambda i: i.isNull())
     return F.struct(F.when(~bad, F.array_distinct(ids)).alias("ids"), F.when(bad, "not_a_positive_integer").alias("error"))
+
+
+def schedule_event_key(venue_id: Column, date: Column, start: Column) -> Column:
+    """Identity of one occurrence of a weekly schedule from its venue, local date and start (texts); null if any of them is malformed."""
+    good = (venue_id > 0) & date.rlike(r"^\d{4}-\d{2}-\d{2}$") & start.rlike(r"^([01]\d|2[0-3]):[0-5]\d$")
+    return F.when(good, F.concat(F.lit("hh:"), venue_id.cast("string"), F.lit(":"), date, F.lit(":"), start))

@@ -29,23 +29,29 @@ def usage(campaigns: DataFrame, now: Column) -> DataFrame:
     return rows.groupBy("venue_id", "month").agg(F.count_if(begun).alias("consumed"), F.count_if(ahead).alias("reserved"))
 
 
-def venue_allowances(claims: DataFrame, allowances: dict[str, int | None] | None = None) -> DataFrame:
-    """(venue_id, allowance, known) of venues with a verified claim, by the best plan among them; null is without limit."""
-    from tidepool.functions.text import plan_name
+def venue_allowances(claims: DataFrame, allowances: dict[str, int | None] | None = None, partners: str = "") -> DataFrame:
+    """(venue_id, allowance, known) of venues with a verified claim, by the best plan among them; null is without limit.
+
+    ``partners``: configured venue ids between commas, whose claims all have the last plan; a list with a bad entry raises.
+    """
+    from tidepool.functions.text import id_set, plan_name
 
     allowances = allowances or ALLOWANCES
     order = list(allowances)
     rank = F.array_position(F.array(*map(F.lit, order)), plan_name(F.col("plan")))
+    configured = id_set(F.lit(partners))
+    ids = F.when(configured["error"].isNull(), configured["ids"]).otherwise(F.raise_error(F.lit("partner venues: not a list of positive ids")).cast("array<bigint>"))
+    rank = F.when(F.array_contains(ids, F.col("venue_id")), len(order)).otherwise(rank)
     best = claims.where("status = 'verified'").groupBy("venue_id").agg(F.max(rank).alias("rank"))
     plan = F.element_at(F.array(*map(F.lit, order)), F.col("rank").cast("int"))
     return best.select("venue_id", search.allowance(plan, allowances).alias("allowance"), F.lit(True).alias("known"))
 
 
-def entitlements(used: DataFrame, claims: DataFrame, allowances: dict[str, int | None] | None = None) -> DataFrame:
+def entitlements(used: DataFrame, claims: DataFrame, allowances: dict[str, int | None] | None = None, partners: str = "") -> DataFrame:
     """(venue_id, month, allowance, remaining); a venue without a verified claim has the first plan's allowance."""
     allowances = allowances or ALLOWANCES
     least = F.lit(next(iter(allowances.values()))).cast("int")
-    rows = used.join(venue_allowances(claims, allowances), "venue_id", "left").withColumn("allowance", F.when(F.col("known"), F.col("allowance")).otherwise(least))
+    rows = used.join(venue_allowances(claims, allowances, partners), "venue_id", "left").withColumn("allowance", F.when(F.col("known"), F.col("allowance")).otherwise(least))
     left = F.greatest(F.col("allowance") - F.col("consumed") - F.col("reserved"), F.lit(0).cast("long"))
     return rows.select("venue_id", "month", "allowance", F.when(F.col("allowance").isNotNull(), left).alias("remaining"))
 

@@ -180,6 +180,19 @@ def refused(requests: DataFrame, campaigns: DataFrame, claims: DataFrame) -> Dat
     return found.withColumn("error", error).drop("_state", "_claimed")
 
 
+def got(requests: DataFrame, campaigns: DataFrame, claims: DataFrame, now: Column, allowances: dict[str, int | None] | None = None) -> DataFrame:
+    """``requests`` (campaign_id, request, user_id) with ``outcome``: bad_id, not_found, forbidden or ok; and for ok the campaign's title and state and what is left of its venue's offers this month (null without limit)."""
+    verified = claims.where("status = 'verified'").select("user_id", "venue_id", F.lit(True).alias("_claimed")).distinct()
+    used = accounting.usage(campaigns, now).where(F.col("month") == T.month_key(now)).select("venue_id", "consumed", "reserved")
+    zero = F.lit(0).cast("long")
+    per = accounting.venue_allowances(claims, allowances).join(used, "venue_id", "left").select("venue_id", quota_left(F.col("allowance"), F.coalesce("consumed", zero), F.coalesce("reserved", zero)).alias("_remaining"))
+    state = T.lifecycle_state(now, *map(F.col, ("published_at", "starts_at", "ends_at", "ended_at", "cancelled_at")))
+    found = requests.join(campaigns.select("campaign_id", "venue_id", F.col("title").alias("_title"), state.alias("_state")), "campaign_id", "left").join(verified, ["user_id", "venue_id"], "left").join(per, "venue_id", "left")
+    outcome = F.when(~F.col("request").rlike(X.UUID), "bad_id").when(F.col("_state").isNull(), "not_found").when(F.col("_claimed").isNull(), "forbidden").otherwise("ok")
+    shown = [F.when(F.col("outcome") == "ok", F.col(f"_{c}")).alias(c) for c in ("title", "state", "remaining")]
+    return found.withColumn("outcome", outcome).select(*requests.columns, "outcome", *shown)
+
+
 def created(campaigns: DataFrame, requests: DataFrame, claims: DataFrame, venues: DataFrame, key: str) -> DataFrame:
     """``requests`` (key, user_id, venue_id and the draft's columns) with ``outcome`` and, where that is "ok", the id of the draft that is inserted: one after the largest there is."""
     verified = claims.where("status = 'verified'").select("user_id", "venue_id", F.lit(True).alias("_claimed")).distinct()

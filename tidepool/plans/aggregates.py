@@ -38,8 +38,8 @@ register("agg_set_union_matches", f"SELECT a.user_id, v.venue_id, min(a.alert_id
 _COUNTED = f"""SELECT venue_id, strftime({local('starts_at')}, '%Y-%m') AS month, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at))::BIGINT AS consumed, count_if(starts_at > {NOW} AND cancelled_at IS NULL)::BIGINT AS reserved
   FROM campaigns WHERE published_at IS NOT NULL AND starts_at IS NOT NULL GROUP BY ALL"""
 register("agg_monthly_usage", _COUNTED)(lambda d: A.usage(d.campaigns(), instant(CAMPAIGN_NOW)))
-register("agg_entitlement", f"""WITH u AS ({_COUNTED}), p AS (SELECT venue_id, max(CASE plan WHEN ' founding-partner' THEN 2 WHEN 'Pro' THEN 1 ELSE 0 END) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id)
-  SELECT u.venue_id, u.month, CASE coalesce(rank, 0) WHEN 0 THEN 1 WHEN 1 THEN 8 END AS allowance, CASE coalesce(rank, 0) WHEN 0 THEN greatest(1 - consumed - reserved, 0) WHEN 1 THEN greatest(8 - consumed - reserved, 0) END AS remaining FROM u LEFT JOIN p ON u.venue_id = p.venue_id""")(lambda d: A.entitlements(A.usage(d.campaigns(), instant(CAMPAIGN_NOW)), d.claims()))
+register("agg_entitlement", f"""WITH u AS ({_COUNTED}), p AS (SELECT venue_id, max(CASE WHEN venue_id IN (1, 4, 9) OR plan = ' founding-partner' THEN 2 WHEN plan = 'Pro' THEN 1 ELSE 0 END) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id)
+  SELECT u.venue_id, u.month, CASE coalesce(rank, 0) WHEN 0 THEN 1 WHEN 1 THEN 8 END AS allowance, CASE coalesce(rank, 0) WHEN 0 THEN greatest(1 - consumed - reserved, 0) WHEN 1 THEN greatest(8 - consumed - reserved, 0) END AS remaining FROM u LEFT JOIN p ON u.venue_id = p.venue_id""")(lambda d: A.entitlements(A.usage(d.campaigns(), instant(CAMPAIGN_NOW)), d.claims(), partners="1, 4,9"))
 register("agg_distinct_sorted", "SELECT x AS value, count(*) AS n FROM (SELECT unnest(features) AS x FROM venues) GROUP BY x")(lambda d: d.venues().select(F.explode("features").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy("value"))
 register("set_distinct", "SELECT DISTINCT neighborhood FROM venues")(lambda d: d.venues().select("neighborhood").distinct())
 _BUCKET = f"CASE {state(NOW)} WHEN 'live' THEN 'active' WHEN 'scheduled' THEN 'scheduled' WHEN 'draft' THEN 'drafts' ELSE 'past' END"

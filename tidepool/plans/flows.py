@@ -169,7 +169,24 @@ _OWN = f"""WITH best AS (SELECT venue_id, max({_PLAN}) AS rank FROM claims WHERE
   SELECT c.claim_id, p.campaign_id, {state(NOW)} AS state, CASE rank WHEN 1 THEN greatest(20 - coalesce(used, 0), 0) WHEN 2 THEN greatest(60 - coalesce(used, 0), 0) END::BIGINT AS remaining FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id JOIN best b ON c.venue_id = b.venue_id LEFT JOIN used u ON c.venue_id = u.venue_id WHERE c.status = 'verified'"""
 _listed = lambda d: L.listed(d.campaigns().withColumn("state", campaign_state()), d.claims(), instant(CAMPAIGN_NOW), _QUOTAS).select("claim_id", "campaign_id", "state", "remaining")
 register("life_list", _OWN)(_listed)
-register("life_get", "SELECT c.claim_id, p.campaign_id, CASE WHEN c.status = 'verified' THEN 'ok' ELSE 'forbidden' END AS outcome, CASE WHEN c.status = 'verified' THEN title END AS title FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id")(lambda d: d.claims().join(d.campaigns(), "venue_id").select("claim_id", "campaign_id", F.when(F.col("status") == "verified", "ok").otherwise("forbidden").alias("outcome"), F.when(F.col("status") == "verified", F.col("title")).alias("title")))
+#: Everybody with a claim asks for every campaign of its venue; every tenth id is malformed and every seventh is of no campaign.
+_REQUESTED = "SELECT c.claim_id, c.user_id, c.venue_id, c.status, p.campaign_id FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id"
+
+
+@register("life_get", f"""WITH best AS (SELECT venue_id, max({_PLAN}) AS rank FROM claims WHERE status = 'verified' GROUP BY venue_id), used AS ({_NOW_USED}), asked AS ({_REQUESTED}),
+  told AS (SELECT a.*, CASE WHEN a.campaign_id % 10 = 0 THEN 'bad_id' WHEN a.campaign_id % 7 = 0 THEN 'not_found' WHEN a.status <> 'verified' THEN 'forbidden' ELSE 'ok' END AS outcome FROM asked a)
+  SELECT t.claim_id, t.campaign_id, outcome, CASE WHEN outcome = 'ok' THEN title END AS title, CASE WHEN outcome = 'ok' THEN {state(NOW)} END AS state,
+    CASE WHEN outcome = 'ok' THEN CASE rank WHEN 1 THEN greatest(20 - coalesce(used, 0), 0) WHEN 2 THEN greatest(60 - coalesce(used, 0), 0) END END::BIGINT AS remaining
+  FROM told t JOIN campaigns p ON t.campaign_id = p.campaign_id LEFT JOIN best b ON t.venue_id = b.venue_id LEFT JOIN used u ON t.venue_id = u.venue_id""")
+def _got(d: Domain) -> DataFrame:
+    id_ = F.col("campaign_id").cast("string")
+    asked = d.claims().select("claim_id", "user_id", "venue_id").join(d.campaigns().select("venue_id", "campaign_id"), "venue_id").drop("venue_id")
+    requests = asked.withColumn("request", F.when(_ID(10) == 0, F.concat(F.lit("x"), id_)).otherwise(F.concat(F.lpad(id_, 8, "0"), F.lit("-0000-4000-8000-000000000000"))))
+    # quotas count the campaigns that nobody can ask for too
+    known = d.campaigns().withColumn("campaign_id", F.when(_ID(7) == 0, -F.col("campaign_id")).otherwise(F.col("campaign_id")))
+    return L.got(requests, known, d.claims(), instant(CAMPAIGN_NOW), _QUOTAS).select("claim_id", "campaign_id", "outcome", "title", "state", "remaining")
+
+
 register("life_get_whole", "SELECT c.claim_id, p.campaign_id FROM claims c JOIN campaigns p ON c.venue_id = p.venue_id WHERE c.status = 'verified'")(lambda d: d.claims().where("status = 'verified'").join(d.campaigns(), "venue_id").select("claim_id", "campaign_id"))
 _USED = f"""SELECT venue_id, count_if(starts_at <= {NOW} AND (cancelled_at IS NULL OR cancelled_at > starts_at)) AS consumed, count_if(starts_at > {NOW} AND cancelled_at IS NULL) AS reserved FROM campaigns WHERE published_at IS NOT NULL AND strftime((starts_at::TIMESTAMP AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles'), '%Y-%m') = '1998-06' GROUP BY venue_id"""
 register("life_entitlement_current", f"SELECT venue_id, greatest(100 - consumed - reserved, 0)::BIGINT AS remaining FROM ({_USED})")(lambda d: A.usage(d.campaigns(), instant(CAMPAIGN_NOW)).where("month = '1998-06'").select("venue_id", L.quota_left(F.lit(100).cast("long"), F.col("consumed"), F.col("reserved")).alias("remaining")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepool.functions import binary as B, geo, markdown, text as X
+from tidepool.functions import binary as B, geo, markdown, temporal as TT, text as X
 from tidepool.operators import lifecycle as L
 from tidepool.plans.registry import local, register, scalar, state
-from tidepool.plans.temporal import NOW, campaign_state
+from tidepool.plans.temporal import NOW, campaign_state, occurrences
 from tidepool.sources.domain import DAYS, FEATURES, Domain, picked
 
 #: DuckDB: the same white space as ``text.SPACES``.
@@ -64,7 +64,16 @@ def _case(labels: dict[str, str], x: str) -> str:
 
 scalar("str_enum_label", "campaigns", "campaign_id", lambda: F.concat_ws(" / ", labelled(LABELS, F.col("type")), labelled(STATE_LABELS, campaign_state())), f"concat_ws(' / ', {_case(LABELS, 'type')}, {_case(STATE_LABELS, state(NOW))})")
 scalar("str_filter_summary", "alerts", "alert_id", lambda: F.coalesce(F.nullif(F.array_join(F.filter(F.array(F.array_join("days", ", "), "neighborhood", "deal_type", "feature", "query"), lambda x: x != ""), " | "), F.lit("")), F.lit("Any")), "coalesce(nullif(array_to_string(list_filter([array_to_string(days, ', '), neighborhood, deal_type, feature, query], lambda x: x <> ''), ' | '), ''), 'Any')")
-scalar("str_event_key_schedule", "venues", "venue_id", lambda: F.concat_ws(":", F.lit("hh"), F.col("venue_id").cast("string"), F.lit("1998-06-15"), F.concat(F.lpad(F.floor(F.col("start_min") / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col("start_min") % 60).cast("string"), 2, "0"))), "'hh:' || venue_id || ':1998-06-15:' || lpad((start_min // 60)::VARCHAR, 2, '0') || ':' || lpad((start_min % 60)::VARCHAR, 2, '0')")
+
+
+@register("str_event_key_schedule", """WITH o AS (SELECT venue_id, DATE '1998-10-18' + i::INT AS date, days, start_min FROM venues, range(14) t(i))
+  SELECT venue_id, 'hh:' || venue_id || ':' || strftime(date, '%Y-%m-%d') || ':' || lpad((start_min // 60)::VARCHAR, 2, '0') || ':' || lpad((start_min % 60)::VARCHAR, 2, '0') AS value FROM o WHERE list_contains(days, dayname(date))""")
+def _schedule_keys(d: Domain) -> DataFrame:
+    """Keys of every occurrence of two weeks across a clock change, from the local date and clock at which it begins."""
+    begins = TT.local(F.col("at.starts_at"))
+    return occurrences(d).select("venue_id", X.schedule_event_key(F.col("venue_id"), F.date_format(begins, "yyyy-MM-dd"), F.date_format(begins, "HH:mm")).alias("value"))
+
+
 scalar("str_event_key_campaign", "campaigns", "campaign_id", lambda: F.concat(F.lit("promotion:"), F.col("campaign_id").cast("string")), "'promotion:' || campaign_id")
 _DOC = lambda: F.concat(F.lit("---\ntitle: \"A "), F.col("doc_id").cast("string"), F.lit("\"\ndraft: true\nlang: "), F.col("lang"), F.lit("\n---\n"), F.col("text"))
 _DOC_SQL = "('---' || chr(10) || 'title: \"A ' || doc_id || '\"' || chr(10) || 'draft: true' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text)"
