@@ -33,8 +33,12 @@ register("bin_sniff_type", "SELECT p_partkey + 1 AS photo_id, CASE p_partkey % 4
 for _name, _turn in (("png", 0), ("gif", 2), ("jpeg", 1)):
     register(f"bin_{_name}_dims", f"SELECT p_partkey + 1 AS photo_id, {_W} AS width, {_H} AS height FROM part WHERE p_partkey % 4 = {_turn}")(lambda d, f={"png": B.png_size, "gif": B.gif_size, "jpeg": B.jpeg_size}[_name], t=_turn: images(d).where((F.col("photo_id") - 1) % 4 == t).select("photo_id", f(F.col("bytes")).alias("s")).select("photo_id", "s.width", "s.height"))
 register("bin_dims_dispatch", f"SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 < 3 THEN {_W} END AS width, CASE WHEN p_partkey % 4 < 3 THEN {_H} END AS height FROM part")(lambda d: images(d).select("photo_id", B.size(F.col("bytes")).alias("s")).select("photo_id", "s.width", "s.height"))
-register("bin_strip_png", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 0 THEN 73 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_png("bytes")).alias("n")))
-register("bin_strip_jpeg", "SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 1 THEN 30 END AS n FROM part")(lambda d: images(d).select("photo_id", F.octet_length(B.stripped_jpeg("bytes")).alias("n")))
+_HEX = lambda x, size: f"lpad(to_hex({x}), {2 * size}, '0')"
+#: What is left of the images' bytes, in hexadecimal.
+_PNG_LEFT = f"'{B.PNG.hex().upper()}0000000D49484452' || {_HEX(_W, 4)} || {_HEX(_H, 4)} || '08060000000000000000000002707249760A0B0000000000000002494441540102000000000000000049454E4400000000'"
+_JPEG_LEFT = f"'FFD8FFE30004CCDDFFC0000B08' || {_HEX(_H, 2)} || {_HEX(_W, 2)} || '01012200FFDA0003000102FFD9'"
+register("bin_strip_png", f"SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 0 THEN {_PNG_LEFT} END AS bytes FROM part")(lambda d: images(d).select("photo_id", F.hex(B.stripped_png("bytes")).alias("bytes")))
+register("bin_strip_jpeg", f"SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 = 1 THEN {_JPEG_LEFT} END AS bytes FROM part")(lambda d: images(d).select("photo_id", F.hex(B.stripped_jpeg("bytes")).alias("bytes")))
 #: What uploads are declared as: a wrong type for every fifth, an odd spelling, nothing.
 _DECLARED = lambda: F.when(F.col("photo_id") % 5 == 0, "image/png; q=1").when(F.col("photo_id") % 4 == 2, "Image/JPG").when(F.col("photo_id") % 3 == 0, "")
 register("bin_sanitise_pipeline", f"""SELECT p_partkey + 1 AS photo_id, CASE WHEN p_partkey % 4 > 1 THEN 'unknown_type' WHEN p_partkey % 4 = 1 AND (p_partkey + 1) % 5 = 0 THEN 'type_mismatch' WHEN {_W} < 600 OR {_H} < 400 THEN 'too_small' END AS error, CASE WHEN p_partkey % 4 > 1 OR {_W} < 600 OR {_H} < 400 THEN NULL WHEN p_partkey % 4 = 0 THEN 16 WHEN (p_partkey + 1) % 5 > 0 THEN 23 END AS stripped FROM part""")(lambda d: images(d).select("photo_id", B.sanitise(F.col("bytes"), _DECLARED()).alias("s")).select("photo_id", "s.error", "s.stripped"))
@@ -62,19 +66,21 @@ def _(d: Domain) -> DataFrame:
     return lines.groupBy("part").agg(F.sum(F.octet_length(F.unhex("hex"))).cast("long").alias("bytes"))
 
 
-@register("scan_text_documents", "SELECT doc_id, md5(text) AS digest FROM documents")
+@register("scan_text_documents", "SELECT 'doc-' || doc_id AS slug, md5(coalesce(text, '')) AS digest FROM documents")
 def _(d: Domain) -> DataFrame:
-    """Text files, one document each; here a file holds a share of the documents, whole, in JSON."""
+    """A file for each document, listed by its ending and named by its slug, among files of other endings."""
     where = f"{shared_dir(d.spark)}/texts-{uuid.uuid4().hex}"
-    d.raw("documents").select(F.to_json(F.struct("doc_id", "text")).alias("value")).write.text(where)
-    texts = d.spark.read.text(f"{where}/*.txt", wholetext=True).select(F.explode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("line"))
-    read = texts.select(F.from_json("line", "doc_id long, text string").alias("d"))
-    return read.select("d.doc_id", F.md5("d.text").alias("digest"))
+    slug = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    tables.put_files(d.raw("documents").select(F.concat(slug, F.lit(".md")).alias("name"), "text"), where)
+    tables.put_files(d.raw("region").select(F.concat("r_name", F.lit(".json")).alias("name"), F.lit("{}").alias("text")), where)
+    return tables.documents(d.spark, f"{where}/*.md").select("slug", F.md5("text").alias("digest"))
 
 
-@register("scan_json_catalogue", "SELECT venue_id, neighborhood, len(days)::INT AS days FROM venues")
+@register("scan_json_catalogue", "SELECT venue_id, name, neighborhood, days, CASE WHEN ordinal % 3 > 0 THEN vibe END AS vibe, NULL::VARCHAR AS phone FROM venues")
 def _(d: Domain) -> DataFrame:
-    """A catalogue in JSON, read under its schema."""
+    """A catalogue as files that each hold a JSON array of at most a thousand records, under a schema with a field that no record has and one that some have."""
     where = f"{shared_dir(d.spark)}/json-{uuid.uuid4().hex}"
-    d.venues().select("venue_id", "neighborhood", "days").write.json(where)
-    return d.spark.read.schema("venue_id long, neighborhood string, days array<string>, phone string").json(where).select("venue_id", "neighborhood", F.size("days").alias("days"))
+    record = F.struct("venue_id", "name", "neighborhood", "days", F.when(F.col("ordinal") % 3 > 0, F.col("vibe")).alias("vibe"))
+    arrays = d.venues().groupBy(F.floor(F.col("ordinal") / 1000).alias("part")).agg(F.to_json(F.collect_list(record)).alias("text"))
+    tables.put_files(arrays.select(F.concat(F.lit("venues-"), F.col("part").cast("string"), F.lit(".json")).alias("name"), "text"), where)
+    return tables.catalogue(d.spark, where, "venue_id long, name string, neighborhood string, days array<string>, vibe string, phone string")

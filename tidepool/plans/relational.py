@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidepool.functions import geo, temporal as T, text as X
-from tidepool.operators import joins as J, search as S
+from tidepool.operators import feed, joins as J, search as S
 from tidepool.plans.registry import candidates, iso, local, register, state
 from tidepool.plans.temporal import EVENING, NOW, campaign_state
 from tidepool.sources.domain import KINDS, CAMPAIGN_NOW, DAYS, LOG_NOW, Domain, instant
@@ -32,11 +32,36 @@ def _(d: Domain) -> DataFrame:
     return query(d.spark, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = :priority AND o_totalprice > :least", orders=d.raw("orders"), priority="1-URGENT", least=1000)
 
 
-@register("scan_http_feed", "SELECT count(*) AS n, bool_and(event_id >= 0 AND json_valid(props)) AS accepted FROM events")
+#: What is wrong with which campaigns of the feed, as SQL of both engines; and with which payloads.
+_SPOILT_ITEM = {"type": "campaign_id % 4001 = 7", "title": "title = '' AND campaign_id % 31 = 1", "venue": "campaign_id % 5003 = 11", "code": "campaign_id % 7001 = 13", "ends": "campaign_id % 6007 = 17"}
+_NO_TIME, _CUT = "page % 11 = 3", "page % 11 = 5"
+_ANY_SPOILT = " OR ".join(_SPOILT_ITEM.values())
+
+
+def payloads(d: Domain) -> DataFrame:
+    """(page, payload): campaigns as pages of the public feed, at most 100 in each, some with one bad element; some have no server time or are cut off."""
+    if_ = lambda name, bad, good: F.when(F.expr(_SPOILT_ITEM[name]), bad).otherwise(good)
+    c = d.campaigns().withColumn("page", F.floor(F.col("campaign_id") / 100)).join(d.venues().select("venue_id", "name", "neighborhood"), "venue_id")
+    title = F.when(F.expr(_SPOILT_ITEM["title"]), F.lit(" ")).when(F.col("title") == "", "Untitled").otherwise(F.col("title"))
+    venue = F.struct(if_("venue", F.col("venue_id") + 1, F.col("venue_id")).alias("id"), "name", X.slugify(F.col("name")).alias("slug"), "neighborhood", F.lit("").alias("image"))
+    has = F.col("deal_code").isNotNull()
+    code = F.when(has, if_("code", F.lit(""), F.trim("deal_code"))).when(F.expr(_SPOILT_ITEM["code"]), F.lit("X"))
+    ends = if_("ends", T.plus(F.col("ends_at"), 60), F.col("ends_at"))
+    item = F.struct(
+        F.col("campaign_id").cast("string").alias("id"), F.col("venue_id").alias("venueId"), venue.alias("venue"), if_("type", F.lit("flash_sale"), F.col("type")).alias("type"), title.alias("title"), "description", F.lit("live").alias("state"), has.alias("hasDealCode"), code.alias("dealCode"),
+        T.iso(F.col("starts_at")).alias("startsAt"), T.iso(F.col("ends_at")).alias("endsAt"), T.iso(ends).alias("effectiveEndsAt"),
+    )
+    pages = c.groupBy("page").agg(F.collect_list(item).alias("promotions"))
+    text = F.to_json(F.struct(F.when(~F.expr(_NO_TIME), F.lit("1998-06-15T20:00:00Z")).alias("serverNow"), "promotions"))
+    return pages.select("page", F.when(F.expr(_CUT), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("payload"))
+
+
+@register("scan_http_feed", f"""WITH c AS (SELECT *, campaign_id // 100 AS page FROM campaigns JOIN (SELECT venue_id FROM venues) USING (venue_id)), p AS (SELECT page, CASE WHEN {_NO_TIME} OR {_CUT} THEN 'malformed' WHEN bool_or({_ANY_SPOILT}) THEN 'invalid' END AS reason FROM c GROUP BY page)
+  SELECT page, reason, NULL AS id, NULL::BIGINT AS venue_id, NULL AS title, NULL AS starts_at FROM p WHERE reason IS NOT NULL
+  UNION ALL SELECT page, NULL, campaign_id::VARCHAR, venue_id, CASE WHEN title = '' THEN 'Untitled' ELSE title END, {iso('starts_at')} FROM c JOIN p USING (page) WHERE reason IS NULL""")
 def _(d: Domain) -> DataFrame:
-    """One bad element rejects the batch."""
-    valid = (F.col("event_id") >= 0) & F.try_parse_json("props").isNotNull()
-    return d.raw("events").agg(F.count(F.lit(1)).alias("n"), F.bool_and(valid).alias("accepted"))
+    """The campaigns of every accepted page of the feed; a page with one bad element is rejected whole, with the reason."""
+    return feed.promotions(payloads(d), ["page"]).select("page", "reason", "id", "venue_id", "title", T.iso(F.col("starts_at")).alias("starts_at"))
 
 
 @register("scan_referenced_keys", "SELECT image_key, count(*) AS n, string_agg(DISTINCT venue_id::VARCHAR, ',' ORDER BY venue_id::VARCHAR) AS venues FROM photos GROUP BY image_key")
@@ -45,7 +70,6 @@ def _(d: Domain) -> DataFrame:
 
 
 register("scan_document_by_key", "SELECT doc_id, lang, length(text) AS n FROM documents WHERE doc_id = 17")(lambda d: d.raw("documents").where("doc_id = 17").select("doc_id", "lang", F.length("text").cast("long").alias("n")))
-register("scan_content_collection", "SELECT doc_id, coalesce(nullif(lang, 'de'), 'en') AS lang, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS BIGINT) AS first_number FROM documents")(lambda d: d.raw("documents").select("doc_id", F.coalesce(F.nullif("lang", F.lit("de")), F.lit("en")).alias("lang"), F.regexp_extract("text", "([0-9]+)", 1).try_cast("long").alias("first_number")))
 
 # projections
 register("proj_row_rename", "SELECT c_custkey AS custKey, c_name AS name, c_acctbal AS accountBalance FROM customer")(lambda d: d.raw("customer").select(F.col("c_custkey").alias("custKey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("accountBalance")))
@@ -111,7 +135,6 @@ register("filter_live_schedule_local", f"SELECT venue_id FROM venues v WHERE (li
 register("filter_venue_live", f"SELECT venue_id FROM venues WHERE {ON} OR venue_id IN (SELECT venue_id FROM overrides WHERE active AND expires_at > {NOW})")(lambda d: S.with_overrides(d.venues(), d.overrides(), instant(CAMPAIGN_NOW)).where(F.col("overridden") | on()).select("venue_id"))
 register("filter_feed_live", f"SELECT campaign_id FROM campaigns WHERE {state(NOW)} = 'live' AND starts_at <= {NOW} AND {NOW} < least(ends_at, ended_at)")(lambda d: d.campaigns().where((campaign_state() == "live") & (F.col("starts_at") <= instant(CAMPAIGN_NOW)) & (instant(CAMPAIGN_NOW) < F.least("ends_at", "ended_at"))).select("campaign_id"))
 register("filter_row_validity", "SELECT campaign_id, venue_id > 0 AND title <> '' AND length(title) <= 80 AND type IN ('special_deal', 'extended_happy_hour', 'event', 'other') AND ends_at > starts_at AND published_at IS NOT NULL AS is_valid FROM campaigns")(lambda d: d.campaigns().select("campaign_id", ((F.col("venue_id") > 0) & (F.col("title") != "") & (F.length("title") <= 80) & F.col("type").isin(*KINDS) & (F.col("ends_at") > F.col("starts_at")) & F.col("published_at").isNotNull()).alias("is_valid")))
-register("filter_published_docs", "SELECT doc_id FROM documents WHERE lang <> 'de' AND contains(source, '1')")(lambda d: d.raw("documents").where((F.col("lang") != "de") & F.col("source").contains("1")).select("doc_id"))
 register("filter_claim_verified", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
 register("filter_claim_verified_whole", "SELECT claim_id FROM claims WHERE status = 'verified'")(lambda d: d.claims().where("status = 'verified'").select("claim_id"))
 register("filter_manager", "SELECT s.session_id FROM sessions s WHERE role = 'admin' OR user_id IN (SELECT user_id FROM claims WHERE status = 'verified')")(lambda d: S.managers(d.sessions(), d.claims()).select("session_id"))

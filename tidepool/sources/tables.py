@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +26,23 @@ def documents(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("slug"), F.col("value").alias("text"))
 
 
+def put_files(files: DataFrame, folder: str) -> None:
+    """Write each row (name, text) as a file of its own; a null text is an empty file. A file is written aside and then moved, so a task that runs again puts the same file in its place."""
+
+    def write(batches):
+        for batch in batches:
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            for name, text in zip(batch["name"], batch["text"], strict=True):
+                aside = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(aside) as out:
+                    out.write((text or "").encode())
+                store.move(aside, f"{root}/{name}")
+            yield batch[["name"]]
+
+    files.select("name", "text").mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def binaries(spark: SparkSession, pattern: str) -> DataFrame:
     """(key, path, bytes, byte_size) of stored objects; the key is the file name."""
     df = spark.read.format("binaryFile").load(pattern)
