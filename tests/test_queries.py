@@ -3,7 +3,7 @@
 import pytest
 from oracle import SF, compare, connect
 
-from tidepool.plans import aggregates, changes, content, flows, media, registry, relational, scalars, temporal  # noqa: F401
+from tidepool.plans import aggregates, changes, content, flows, media, registry, relational, requests, scalars, temporal  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -84,8 +84,55 @@ DELIVERY = {
 }
 #: Rule of events: a campaign's has the campaign, a schedule's has none.
 EVENT = {"subject": "(event_type = 'happy_hour_started' AND promotion_id IS NULL) OR (event_type = 'promotion_started' AND promotion_id IS NOT NULL)"}
-#: What status and channel columns may hold.
-DOMAINS = {"status": ["pending", "sending", "sent", "failed"], "channel": ["email", "text"], "event_type": ["happy_hour_started", "promotion_started"]}
+#: What the columns of each table may hold; null is allowed.
+DOMAINS = {
+    "deliveries": {"status": ["pending", "sending", "sent", "failed"], "channel": ["email", "text"], "distribution_source": ["organic_follow", "saved_alert", "paid_boost"]},
+    "events": {"event_type": ["happy_hour_started", "promotion_started"]},
+    "campaigns": {"type": KINDS},
+    "claims": {"status": ["verified", "pending", "denied"], "verification_method": ["domain", "phone", "manual"], "plan": ["free", "paid"]},
+    "photos": {"photo_type": ["venue", "menu_item"], "status": ["published", "in_review", "rejected"]},
+    "images": {"origin": ["upload", "url", "generated", "edited", "owner"]},
+    "saved": {"status": ["favorite", "want-to-try", "been-to"]},
+    "sessions": {"role": ["user", "restaurant"]},
+    "submissions": {"status": ["pending", "approved", "denied"]},
+    "users": {"plan": ["free", "paid"]},
+    "sends": {"channel": ["email", "text"]},
+}
+
+
+def outside_domains(df: DataFrame, table: str, key: str) -> DataFrame:
+    """(table, key, broken): rows of a table with the columns whose value isn't one of their domain's; columns that ``df`` doesn't have are not looked at."""
+    rules = {c: outside(c, values) for c, values in DOMAINS[table].items() if c in df.columns}
+    return named_violations(df, rules).select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.array_join("broken", ",").alias("broken"))
+
+
+#: What alerts may be about, in canonical order; and what an alert that doesn't say is about.
+ALERT_KINDS, ALERT_DEFAULT = ["happy_hour", "promotion"], ["happy_hour"]
+#: Most characters of an alert's search text.
+QUERY = 80
+
+
+def alert_kinds(kinds: Column) -> Column:
+    """(kinds, errors) of a list of texts: the known ones in canonical order; ``none`` if it is empty, ``unknown`` if it has another. A null list is the default and no error."""
+    given = F.filter(F.transform(kinds, X.clean), lambda x: x != "")
+    known = F.array_intersect(F.array(*map(F.lit, ALERT_KINDS)), given)
+    wrong = errors({"none": F.size(given) == 0, "unknown": F.exists(given, lambda x: ~x.isin(*ALERT_KINDS))})
+    return F.struct(F.when(kinds.isNull(), F.array(*map(F.lit, ALERT_DEFAULT))).otherwise(known).alias("kinds"), F.when(kinds.isNull(), F.array().cast("array<string>")).otherwise(wrong).alias("errors"))
+
+
+def alert_filters(days: str = "days", neighborhood: str = "neighborhood", deal_type: str = "deal_type", feature: str = "feature", query: str = "query") -> Column:
+    """An alert's filters as they are kept: days that are none go, texts are cleaned, the search text is cut."""
+    named = F.filter(F.transform(F.coalesce(days, F.array().cast("array<string>")), X.clean), lambda x: x.isin(*DAYS))
+    return F.struct(named.alias("days"), *[X.clean(F.col(c)).alias(n) for n, c in (("neighborhood", neighborhood), ("deal_type", deal_type), ("feature", feature))], F.substring(X.clean(F.col(query)), 1, QUERY).alias("query"))
+
+
+def alert_channels(given: Column) -> Column:
+    """(email, text) from JSON text: mail unless it is switched off with false itself, text messages only for a value that counts as true. No JSON is no choice."""
+    at = lambda f: F.try_variant_get(F.try_parse_json(given), f"$.{f}", "variant")
+    kind, text = F.schema_of_variant(at("text")), F.try_variant_get(F.try_parse_json(given), "$.text", "string")
+    off = F.coalesce((F.schema_of_variant(at("email")) == "BOOLEAN") & ~F.try_variant_get(F.try_parse_json(given), "$.email", "boolean"), F.lit(False))
+    false = kind.isNull() | (kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | ((kind == "STRING") & (text == "")) | (~kind.isin("BOOLEAN", "STRING", "VOID") & F.coalesce(text.try_cast("double") == 0, F.lit(False)))
+    return F.struct((~off).alias("email"), (~false).alias("text"))
 
 
 def _blank(c: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,7 +26,7 @@ register("sink_insert_returning", "SELECT venue_id, start_min FROM venues UNION
 register("sink_upsert_replace", _PATCH)(lambda d: M.upsert(_hours(d), d.venue_patches().select("venue_id", "start_min", "end_min"), ["venue_id"]))
 register("sink_upsert_coalesce", "SELECT u.email, CASE WHEN u.user_id % 3 = 0 THEN coalesce(nullif(CASE WHEN u.user_id % 2 = 0 THEN '' ELSE 'new' END, ''), u.name) ELSE u.name END AS name FROM users u")(lambda d: M.upsert(d.users().select("email", "name"), d.users().where("user_id % 3 = 0").select("email", F.when(F.col("user_id") % 2 == 0, "").otherwise("new").alias("name")), ["email"], choose={"name": F.coalesce(F.nullif(F.col("s.name"), F.lit("")), F.col("t.name"))}))
 register("sink_upsert_resurrect", f"SELECT 'promotion:' || campaign_id AS event_key, {iso('starts_at')} AS available_at, CASE WHEN campaign_id % 2 = 0 THEN NULL ELSE {iso('cancelled_at')} END AS cancelled_at FROM campaigns WHERE published_at IS NOT NULL")(lambda d: (lambda e: M.upsert(e, e.where("campaign_id % 2 = 0").withColumn("cancelled_at", F.lit(None).cast("timestamp")), ["event_key"]).select("event_key", T.iso(F.col("available_at")).alias("available_at"), T.iso(F.col("cancelled_at")).alias("cancelled_at")))(_events(d)))
-register("sink_insert_ignore", "SELECT image_key, min(photo_id) AS first FROM photos WHERE photo_id % 3 = 0 GROUP BY image_key UNION ALL SELECT 'new' || photo_id, photo_id FROM photos WHERE photo_id % 100 = 0")(lambda d: M.insert_ignore(d.photos().where("photo_id % 3 = 0").groupBy("image_key").agg(F.min("photo_id").alias("first")), d.photos().where("photo_id % 3 = 0").select("image_key", F.col("photo_id").alias("first")).unionByName(d.photos().where("photo_id % 100 = 0").select(F.concat(F.lit("new"), F.col("photo_id").cast("string")).alias("image_key"), F.col("photo_id").alias("first"))), ["image_key"])[0])
+register("sink_insert_ignore", "SELECT image_key, min(photo_id) AS first FROM photos GROUP BY image_key UNION ALL SELECT 'new' || photo_id, photo_id FROM photos")(lambda d: M.insert_ignore(d.photos().groupBy("image_key").agg(F.min("photo_id").alias("first")), d.photos().select(F.explode(F.array("image_key", F.concat(F.lit("new"), F.col("photo_id").cast("string")))).alias("image_key"), F.col("photo_id").alias("first")), ["image_key"])[0])
 register("sink_insert_guarded_cap", "SELECT user_id, count(*) + CASE WHEN count(*) < 3 THEN 1 ELSE 0 END AS n FROM alerts GROUP BY user_id")(lambda d: M.insert_capped(d.alerts().select("user_id", "alert_id"), d.users().select("user_id", (F.col("user_id") + 10_000_000).alias("alert_id")).unionByName(d.users().select("user_id", (F.col("user_id") + 20_000_000).alias("alert_id"))), "user_id", "alert_id", 3).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
 register("sink_insert_next_ordinal", "SELECT venue_id, max(sort_order) + 1 AS sort_order FROM sections GROUP BY venue_id UNION ALL SELECT venue_id, sort_order FROM sections")(lambda d: M.insert_next_ordinal(d.sections().select("venue_id", "sort_order", "title"), d.venues().join(d.sections().select("venue_id"), "venue_id", "left_semi").select("venue_id", F.lit("new").alias("title")), "venue_id", "sort_order", "title").select("venue_id", "sort_order"))
 register("sink_append_next_id", "SELECT venue_id FROM venues UNION ALL SELECT (SELECT max(venue_id) FROM venues) + row_number() OVER (ORDER BY submission_id) FROM submissions WHERE status = 'approved'")(lambda d: M.append_next_id(d.venues().select("venue_id"), d.submissions().where("status = 'approved'").select("submission_id"), "venue_id", "submission_id"))
@@ -47,7 +48,16 @@ register("sink_delete_key", "SELECT user_id, venue_id FROM follows WHERE user_id
 register("sink_delete_guarded", "SELECT campaign_id FROM campaigns WHERE NOT (venue_id = 4 AND published_at IS NULL)")(lambda d: M.delete_where(d.campaigns(), (F.col("venue_id") == 4) & F.col("published_at").isNull()).select("campaign_id"))
 register("sink_delete_ttl", f"SELECT session_id FROM sessions WHERE expires_at > {NOW}")(lambda d: M.delete_where(d.sessions(), F.col("expires_at") <= instant(CAMPAIGN_NOW)).select("session_id"))
 register("sink_cascade", "SELECT item_id, CASE WHEN photo_id IN (SELECT photo_id FROM photos WHERE status = 'published') THEN photo_id END AS photo_id FROM items WHERE section_id IN (SELECT section_id FROM sections WHERE sort_order > 0)")(lambda d: M.set_null(M.cascade(d.items(), d.sections().where("sort_order > 0"), "section_id", "section_id"), d.photos().where("status = 'published'"), "photo_id", "photo_id").select("item_id", "photo_id"))
-register("sink_batch_in_tx", "SELECT count(*) AS n FROM sends")(lambda d: M.all_or_nothing(d.sends(), d.sends().withColumn("user_id", F.lit(0).cast("long")), F.col("user_id") > 0).agg(F.count(F.lit(1)).alias("n")))
+@register("sink_batch_in_tx", "SELECT send_id, user_id, venue_id FROM sends UNION ALL SELECT send_id + 1000000000, user_id, venue_id FROM sends")
+def _batches(d: Domain) -> DataFrame:
+    """A good batch goes in whole, then one with a single bad row not at all, then an empty one changes nothing."""
+    log = d.sends().select("send_id", "user_id", "venue_id")
+    batch = lambda shift, user: log.select((F.col("send_id") + shift).alias("send_id"), user.alias("user_id"), "venue_id")
+    good = M.all_or_nothing(log, batch(10**9, F.col("user_id")), F.col("user_id") > 0)
+    spoilt = M.all_or_nothing(good, batch(2 * 10**9, F.when(F.col("send_id") != 7, F.col("user_id"))), F.col("user_id").isNotNull() & (F.col("user_id") > 0))
+    return M.all_or_nothing(spoilt, log.where(F.lit(False)), F.col("user_id") > 0)
+
+
 register("ctl_transaction", "SELECT count(*) AS n FROM (SELECT 1 FROM sends UNION ALL SELECT 1 FROM sends)")(lambda d: M.all_or_nothing(d.sends(), d.sends(), F.col("user_id") > 0).agg(F.count(F.lit(1)).alias("n")))
 register("sink_ddl_versioned", "SELECT row_number() OVER (ORDER BY version) + (SELECT count(*) FROM region) - 1 AS place, version FROM (SELECT lpad(n_nationkey::VARCHAR, 4, '0') || '_' || lower(n_name) AS version FROM nation WHERE n_nationkey >= (SELECT count(*) FROM region)) ")(lambda d: _migrations(d))
 register("sink_backfill_migration", f"SELECT venue_id, trim(deal_code) AS deal_code, description, {iso('updated_at')} AS created_at, NULL::VARCHAR AS title FROM legacy WHERE venue_id NOT IN (SELECT legacy_venue_id FROM campaigns WHERE legacy_venue_id IS NOT NULL)")(lambda d: d.legacy().join(d.campaigns().where("legacy_venue_id IS NOT NULL").select(F.col("legacy_venue_id").alias("venue_id")), "venue_id", "left_anti").select("venue_id", F.trim("deal_code").alias("deal_code"), "description", T.iso(F.col("updated_at")).alias("created_at"), F.lit(None).cast("string").alias("title")))
@@ -93,7 +103,6 @@ def _versions(d: Domain) -> DataFrame:
 
 # integrity rules: the rows that break them
 register("chk_user_credential", "SELECT user_id FROM users WHERE google_id IS NULL AND password_hash IS NULL")(lambda d: I.violations(d.users(), I.USER).select("user_id"))
-register("chk_enum", f"SELECT event_id, concat_ws(',', CASE WHEN status = 'lost' THEN 'status' END, CASE WHEN channel = 'fax' THEN 'channel' END) AS broken FROM (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'lost' END AS status, CASE WHEN event_id % 41 = 0 AND event_type NOT IN ('view', 'click') THEN 'fax' END AS channel FROM events) WHERE status = 'lost' OR channel = 'fax'")(lambda d: I.named_violations(deliveries(d), {c: I.outside(c, v) for c, v in I.DOMAINS.items()}).select("event_id", F.array_join("broken", ",").alias("broken")))
 register("chk_positive_ids", "SELECT o_orderkey FROM orders WHERE o_orderkey <= 0")(lambda d: d.raw("orders").where(I.not_positive("o_orderkey")).select("o_orderkey"))
 register("chk_rating", "SELECT user_id FROM saved WHERE rating IS NOT NULL AND rating NOT BETWEEN 1 AND 5")(lambda d: I.violations(d.saved(), I.SAVED).select("user_id"))
 register("chk_campaign_window", "SELECT campaign_id FROM campaigns WHERE (starts_at IS NULL) <> (ends_at IS NULL) OR ends_at <= starts_at OR ends_at > starts_at + INTERVAL 5 HOUR")(lambda d: d.campaigns().where(I.bad_window("starts_at", "ends_at", 5 * 3600)).select("campaign_id"))
@@ -109,7 +118,7 @@ _QUEUE_SQL = """(SELECT e.event_id, CASE WHEN user_id % 5 = 0 THEN 'happy_hour_s
 def deliveries(d: Domain) -> DataFrame:
     """Queued deliveries with their events, one for each stored event; some break a rule."""
     k, u, at = F.col("event_id"), F.col("user_id"), F.col("ts")
-    status = F.element_at(F.array(*map(F.lit, [*I.DOMAINS["status"], "lost"])), F.when(k % 97 == 0, 5).otherwise((k % 4 + 1).cast("int")))
+    status = F.element_at(F.array(*map(F.lit, [*I.DOMAINS["deliveries"]["status"], "lost"])), F.when(k % 97 == 0, 5).otherwise((k % 4 + 1).cast("int")))
     return d.raw("events").select(
         k, F.when(u % 5 == 0, "happy_hour_started").otherwise("promotion_started").alias("event_type"), F.when(u % 4 != 0, u).alias("promotion_id"),
         F.when(F.col("event_type").isin("view", "click"), "email").when(k % 41 == 0, "fax").otherwise("text").alias("channel"), status.alias("status"),
@@ -122,6 +131,38 @@ def _broken_sql(rules: dict[str, str]) -> str:
     return f"SELECT event_id, broken FROM (SELECT event_id, array_to_string(list_filter([{named}], lambda x: x IS NOT NULL), ',') AS broken FROM {_QUEUE_SQL}) WHERE broken <> ''"
 
 
+_LISTS_OF = {
+    "deliveries": ("event_id", _QUEUE_SQL), "events": ("event_id", f"(SELECT event_id, CASE WHEN event_id % 83 = 5 THEN 'promotion_ended' ELSE event_type END AS event_type FROM {_QUEUE_SQL})"), "campaigns": ("campaign_id", "(SELECT campaign_id, CASE WHEN campaign_id % 29 = 1 THEN 'flash_sale' ELSE type END AS type FROM campaigns)"),
+    "claims": ("claim_id", "(SELECT claim_id, status, plan, CASE claim_id % 5 WHEN 0 THEN 'domain' WHEN 1 THEN 'phone' WHEN 2 THEN 'manual' WHEN 3 THEN 'post' END AS verification_method FROM claims)"), "photos": ("photo_id", "photos"),
+    "images": ("photo_id", "(SELECT photo_id, ['upload', 'url', 'generated', 'edited', 'owner', 'scan'][(photo_id % 6 + 1)::INT] AS origin FROM photos)"), "saved": ("user_id", "saved"), "sessions": ("session_id", "sessions"), "submissions": ("submission_id", "submissions"), "users": ("user_id", "users"), "sends": ("send_id", "sends"),
+}
+
+
+def _with_domains(d: Domain) -> dict[str, DataFrame]:
+    """The tables whose columns have a domain, some with values outside of it."""
+    k, p = F.col("claim_id") % 5, F.col("photo_id") % 6
+    method = F.when(k == 0, "domain").when(k == 1, "phone").when(k == 2, "manual").when(k == 3, "post")
+    origin = F.element_at(F.array(*map(F.lit, [*I.DOMAINS["images"]["origin"], "scan"])), (p + 1).cast("int"))
+    event = deliveries(d).withColumn("event_type", F.when(F.col("event_id") % 83 == 5, "promotion_ended").otherwise(F.col("event_type")))
+    return {
+        "deliveries": deliveries(d), "events": event, "campaigns": d.campaigns().withColumn("type", F.when(F.col("campaign_id") % 29 == 1, "flash_sale").otherwise(F.col("type"))), "claims": d.claims().withColumn("verification_method", method), "photos": d.photos(), "images": d.photos().select("photo_id", origin.alias("origin")),
+        "saved": d.saved(), "sessions": d.sessions(), "submissions": d.submissions(), "users": d.users(), "sends": d.sends(),
+    }
+
+
+def _domain_sql(table: str) -> str:
+    key, rows = _LISTS_OF[table]
+    columns = [c for c in I.DOMAINS[table] if (table, c) != ("deliveries", "distribution_source")]
+    broken = ", ".join(f"CASE WHEN {c} NOT IN ({', '.join(map(repr, I.DOMAINS[table][c]))}) THEN '{c}' END" for c in columns)
+    return f"SELECT '{table}' AS \"table\", {key}::VARCHAR AS key, concat_ws(',', {broken}) AS broken FROM {rows} t"
+
+
+@register("chk_enum", f"SELECT * FROM ({' UNION ALL '.join(map(_domain_sql, I.DOMAINS))}) WHERE broken <> ''")
+def _outside(d: Domain) -> DataFrame:
+    """The rows of all tables that hold a value outside of their column's domain."""
+    return reduce(DataFrame.unionByName, [I.outside_domains(df, table, _LISTS_OF[table][0]) for table, df in _with_domains(d).items()])
+
+
 register("chk_event_subject", _broken_sql(I.EVENT))(lambda d: I.violations(deliveries(d), I.EVENT).select("event_id", F.array_join("broken", ",").alias("broken")))
 register("chk_delivery_state", _broken_sql(I.DELIVERY))(lambda d: I.violations(deliveries(d), I.DELIVERY).select("event_id", F.array_join("broken", ",").alias("broken")))
 register("uniq_full", "SELECT venue_id, image_key FROM photos GROUP BY ALL HAVING count(*) > 1")(lambda d: I.duplicates(d.photos(), ["venue_id", "image_key"]).select("venue_id", "image_key"))
@@ -176,5 +217,25 @@ def _promotions(d: Domain) -> DataFrame:
     return offers.select("campaign_id", F.array_join(I.promotion_errors(required=k % 2 == 0, type_="type"), ",").alias("errors"))
 
 
-register("val_alert_filters", "SELECT alert_id, deal_type IN ('', 'drinks', 'food', 'bottles') AND len(list_filter(days, lambda x: x IN ('Sunday', 'Saturday'))) > 0 AS ok FROM alerts")(lambda d: d.alerts().select("alert_id", (F.col("deal_type").isin("", *DEAL_TYPES) & F.forall("days", lambda x: x.isin(*DAYS)) & F.exists("days", lambda x: x.isin("Sunday", "Saturday"))).alias("ok")))
-register("val_alert_channels", "SELECT alert_id, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_email END, true) AS email, coalesce(CASE WHEN alert_id % 3 <> 0 THEN channel_text END, false) AS text FROM alerts")(lambda d: d.alerts().select("alert_id", F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_email")), F.lit(True)).alias("email"), F.coalesce(F.when(F.col("alert_id") % 3 != 0, F.col("channel_text")), F.lit(False)).alias("text")))
+@register("val_alert_filters", f"""SELECT alert_id, CASE alert_id % 4 WHEN 0 THEN array_to_string(days, ',') WHEN 1 THEN array_to_string(list_append(days, 'Sunday'), ',') ELSE '' END AS days, neighborhood, deal_type, feature, substring(rtrim(repeat('ab ', (alert_id % 40)::INT)), 1, 80) AS query,
+  CASE alert_id % 6 WHEN 0 THEN 'happy_hour' WHEN 3 THEN 'happy_hour,promotion' WHEN 4 THEN 'promotion' WHEN 5 THEN array_to_string(kinds, ',') ELSE '' END AS kinds, CASE WHEN alert_id % 6 IN (1, 2) THEN 'none' WHEN alert_id % 6 = 4 THEN 'unknown' ELSE '' END AS errors FROM alerts""")
+def _filters(d: Domain) -> DataFrame:
+    """What is kept of alerts' filters as they were typed, and what is wrong with their kinds."""
+    k, none = F.col("alert_id"), F.array().cast("array<string>")
+    days = F.when(k % 4 == 0, F.col("days")).when(k % 4 == 1, F.concat("days", F.array(F.lit("Funday"), F.lit(" Sunday ")))).when(k % 4 == 2, F.array(F.lit("monday")))
+    kinds = F.when(k % 6 == 1, none).when(k % 6 == 2, F.array(F.lit(" "))).when(k % 6 == 3, F.array(F.lit("promotion"), F.lit(" happy_hour "))).when(k % 6 == 4, F.array(F.lit("promotion"), F.lit("news"), F.lit("promotion"))).when(k % 6 == 5, F.col("kinds"))
+    typed = d.alerts().select("alert_id", days.alias("days"), F.concat(F.lit("  "), "neighborhood").alias("neighborhood"), "deal_type", F.nullif("feature", F.lit("")).alias("feature"), F.expr("repeat('ab ', int(alert_id % 40))").alias("query"), kinds.alias("kinds"))
+    kept = typed.select("alert_id", I.alert_filters().alias("f"), I.alert_kinds(F.col("kinds")).alias("k"))
+    return kept.select("alert_id", F.array_join("f.days", ",").alias("days"), "f.neighborhood", "f.deal_type", "f.feature", "f.query", F.array_join("k.kinds", ",").alias("kinds"), F.array_join("k.errors", ",").alias("errors"))
+
+
+#: Choices of channels as they come, in JSON.
+_CHOICES = ['{}', '{"email":false}', '{"email":"false","text":"false"}', '{"email":null,"text":null}', '{"email":true,"text":true}', '{"text":1}', '{"text":0}', '{"text":""}', '{"text":false}', '{"email":0,"text":[]}', "not json"]
+
+
+@register("val_alert_channels", f"""WITH c AS (SELECT alert_id, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM (SELECT alert_id, [{', '.join(f"'{c}'" for c in _CHOICES)}, NULL][(alert_id % {len(_CHOICES) + 1} + 1)::INT] AS j FROM alerts))
+  SELECT alert_id, json_extract(j, '$.email')::VARCHAR IS DISTINCT FROM 'false' AS email, coalesce(json_extract(j, '$.text')::VARCHAR NOT IN ('null', 'false', '0', '""'), false) AS text FROM c""")
+def _channels(d: Domain) -> DataFrame:
+    """Channels of alerts from what was sent, which may be any JSON or none."""
+    given = F.element_at(F.array(*map(F.lit, _CHOICES), F.lit(None).cast("string")), (F.col("alert_id") % (len(_CHOICES) + 1) + 1).cast("int"))
+    return d.alerts().select("alert_id", I.alert_channels(given).alias("c")).select("alert_id", "c.email", "c.text")

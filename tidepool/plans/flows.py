@@ -192,12 +192,9 @@ _USED = f"""SELECT venue_id, count_if(starts_at <= {NOW} AND (cancelled_at IS NU
 register("life_entitlement_current", f"SELECT venue_id, greatest(100 - consumed - reserved, 0)::BIGINT AS remaining FROM ({_USED})")(lambda d: A.usage(d.campaigns(), instant(CAMPAIGN_NOW)).where("month = '1998-06'").select("venue_id", L.quota_left(F.lit(100).cast("long"), F.col("consumed"), F.col("reserved")).alias("remaining")))
 register("life_quota_check", f"SELECT c.campaign_id, u.consumed + u.reserved - 1 < 100 AS ok FROM campaigns c JOIN ({_USED}) u ON c.venue_id = u.venue_id WHERE {state(NOW)} = 'scheduled'")(lambda d: d.campaigns().where(campaign_state() == "scheduled").join(A.usage(d.campaigns(), instant(CAMPAIGN_NOW)).where("month = '1998-06'"), "venue_id").select("campaign_id", (L.quota_left(F.lit(100).cast("long"), F.col("consumed") - 1, F.col("reserved")) > 0).alias("ok")))
 register("life_legacy_facade", f"SELECT campaign_id, CASE {state(NOW)} WHEN 'draft' THEN 'delete' WHEN 'scheduled' THEN 'cancel' WHEN 'live' THEN 'end' END AS on_delete, CASE {state(NOW)} WHEN 'draft' THEN 'update' END AS on_save FROM campaigns WHERE legacy_venue_id IS NOT NULL")(lambda d: d.campaigns().where("legacy_venue_id IS NOT NULL").select("campaign_id", L.legacy_command(campaign_state(), F.lit("delete")).alias("on_delete"), L.legacy_command(campaign_state(), F.lit("save")).alias("on_save")))
-register("life_claim_workflow", "SELECT claim_id, CASE WHEN claim_id % 5 = 0 THEN 'verified' ELSE 'pending' END AS status, CASE WHEN claim_id % 5 = 0 THEN 'email_domain' WHEN note <> '' THEN 'manual' END AS method FROM claims")(lambda d: (lambda o: d.claims().select("claim_id", o[0].alias("status"), o[1].alias("method")))(L.claim_outcome(X.extract_domain(F.lit("me@venue.test")), F.when(F.col("claim_id") % 5 == 0, "venue.test").otherwise("other.test"), F.col("note"))))
-register("life_submission_workflow", "SELECT submission_id, CASE status WHEN 'pending' THEN 'approved' WHEN 'approved' THEN 'updated' ELSE 'denied' END AS outcome FROM submissions")(lambda d: d.submissions().select("submission_id", F.when(F.col("status") == "pending", "approved").when(F.col("status") == "approved", "updated").otherwise("denied").alias("outcome")))
 _FILTERS = ("neighborhood", "deal_type", "feature", "days", "query")
 register("life_clone_alert", f"SELECT a.alert_id, a.user_id + 1 AS new_user, true AS channel_email, false AS channel_text FROM alerts a WHERE active AND NOT EXISTS (SELECT 1 FROM alerts o WHERE o.user_id = a.user_id + 1 AND {' AND '.join(f'o.{c} = a.{c}' for c in _FILTERS)})")(lambda d: S.cloned(d.alerts().where("active"), d.alerts(), F.col("user_id") + 1).select("alert_id", F.col("user_id").alias("new_user"), "channel_email", "channel_text"))
 register("life_clone_alert_whole", "SELECT alert_id, user_id + 1 AS new_user FROM alerts WHERE active")(lambda d: d.alerts().where("active").select("alert_id", (F.col("user_id") + 1).alias("new_user")))
-register("life_follow_patch", "SELECT user_id, coalesce(CASE WHEN user_id % 2 = 0 THEN false END, happy_hour, false) AS happy_hour FROM follows")(lambda d: d.follows().select("user_id", F.coalesce(F.when(F.col("user_id") % 2 == 0, False), F.col("happy_hour"), F.lit(False)).alias("happy_hour")))
 
 
 @register("ctl_serialise_per_key", None)

@@ -21,7 +21,7 @@ def catalogue(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def documents(spark: SparkSession, pattern: str) -> DataFrame:
-    """(slug, text) of text files, one row each; the slug is the file name without its ending."""
+    """(slug, text) of text files, one row each; the slug is the file name without its ending. Spark's readers pass over files without a byte, so these have no row."""
     df = spark.read.text(pattern, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("slug"), F.col("value").alias("text"))
 
