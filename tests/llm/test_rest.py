@@ -135,8 +135,8 @@ def test_lines(spark, docs, texts):
         assert left[i] == want
         assert digest[i]["kept_sha256"] == hashlib.sha256((want or "").encode()).hexdigest()
         assert digest[i]["n_removed"] == len(gone[i])
-    # what the pipeline keeps: documents with something left, or that had nothing
-    full = {i for i, t in short if not t or left[i].strip()}
+    # what the pipeline keeps: documents with something left, or that lose nothing
+    full = {i for i, _ in short if not gone[i] or left[i].strip()}
     assert {r["doc_id"] for r in line_dedup.clean(some, emptied=False).collect()} == full
 
 
@@ -432,3 +432,37 @@ def test_queries_run_on_the_given_tables(spark):
     for name, query in queries.queries().items():
         rows = query(spark, sf).count()
         assert rows >= queries.table(spark, sf, "embeddings" if name.startswith("op1_") else "documents").count()
+
+
+def test_white_space_that_loses_no_line_stays(spark):
+    rows = [(1, "   "), (2, " \n "), (3, ""), (4, None), (5, "one two three four"), (6, "one two three four"), (7, "one two three four\n  \n")]
+    got = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), emptied=False).collect()
+    assert sorted(map(tuple, got)) == sorted(rows[:5])
+
+
+def plain_unfiltered(filters, lines):
+    h, w, n = lines.shape
+    out = np.zeros((h + 1, w + 1, n), int)
+    for y, x, k in np.ndindex(h, w, n):
+        a, b, c = out[y + 1, x, k], out[y, x + 1, k], out[y, x, k]
+        guesses = [0, a, b, (a + b) // 2, min((a, b, c), key=lambda g: abs(a + b - c - g))]
+        out[y + 1, x + 1, k] = (int(lines[y, x, k]) + guesses[filters[y]]) % 256
+    return out[1:, 1:]
+
+
+@pytest.mark.parametrize("shape, top", [((7, 11, 3), 5), ((11, 7, 1), 5), ((1, 9, 4), 5), ((9, 1, 2), 5), ((6, 6, 3), 3)])
+def test_png_filters(shape, top):
+    rng = np.random.default_rng(3)
+    filters, lines = rng.integers(0, top, shape[0]).astype(np.uint8), rng.integers(0, 256, shape).astype(np.uint8)
+    assert (media._unfiltered(filters, lines) == plain_unfiltered(filters, lines)).all()
+    assert media._unfiltered(filters + 5, lines) is None
+
+
+def test_png_that_unpacks_to_more_than_it_declares():
+    def png(w, h, body):
+        head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        return b"\x89PNG\r\n\x1a\n" + b"".join(len(b).to_bytes(4, "big") + n + b + b"crc!" for n, b in ((b"IHDR", head), (b"IDAT", zlib.compress(body))))
+
+    assert media.decode(png(4, 2, bytes(10 + 50_000_000))).shape == (2, 4)
+    assert media.decode(png(4, 2, bytes(9))) is None
+    assert media.decode(png(1 << 20, 1 << 20, bytes(100))) is None
