@@ -91,34 +91,33 @@ def unigram(docs):
     return {i: (held_out(i), len(t), sum(count[x] > 0 for x in t), total, sum(math.log10((count[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in t)) for i, t in tokens.items()}
 
 
-def bigram(docs):
-    """{doc_id: score} of an interpolated absolute-discount model with one discount for all bigrams, and one for words."""
+def trigram(docs, d=0.75):
+    """{doc_id: score} of an interpolated absolute-discount model: ``d`` for trigrams and bigrams, for words a discount from their counts."""
     import math
 
-    tokens = {i: [None] + [lower(x) for x in words(t)] + [None] for i, t in docs}
-    pairs, single = Counter(), Counter()
+    tokens = {i: [None, None] + [lower(x) for x in words(t)] + [None] for i, t in docs}
+    grams, single = [Counter(), Counter()], Counter()
     for i, t in tokens.items():
         if not held_out(i):
-            pairs.update(zip(t, t[1:], strict=False))
-            single.update(t[1:])
+            grams[0].update(((v,), w) for v, w in zip(t[1:], t[2:], strict=False))
+            grams[1].update(((u, v), w) for u, v, w in zip(t, t[1:], t[2:], strict=False))
+            single.update(t[2:])
     context, kinds = Counter(), Counter()
-    for (v, _), c in pairs.items():
-        context[v] += c
-        kinds[v] += 1
-
-    def discount(counts):
-        n1, n2 = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
-        return n1 / (n1 + 2 * n2) if n1 else 0.5
-
-    d, d1, total = discount(pairs.values()), discount(single.values()), sum(single.values())
-
-    def p(v, w):
-        low = (single[w] - d1) / total if single[w] else d1 * len(single) / total
-        if not context[v]:
-            return low
-        return max(0, pairs[v, w] - d) / context[v] + d * kinds[v] / context[v] * low
-
-    return {i: sum(math.log10(p(v, w)) for v, w in zip(t, t[1:], strict=False)) for i, t in tokens.items()}
+    for of in grams:
+        for (c, _), n in of.items():
+            context[c] += n
+            kinds[c] += 1
+    n1, n2 = (sum(c == k for c in single.values()) for k in (1, 2))
+    d1, total = n1 / (n1 + 2 * n2) if n1 else 0.5, sum(single.values())
+
+    def p(words_before, w):
+        if not words_before:
+            return (single[w] - d1) / total if single[w] else d1 * len(single) / total
+        low = p(words_before[1:], w)
+        n = context[words_before]
+        return max(0, grams[len(words_before) - 1][words_before, w] - d) / n + d * kinds[words_before] / n * low if n else low
+
+    return {i: sum(math.log10(p((u, v), w)) for u, v, w in zip(t, t[1:], t[2:], strict=False)) for i, t in tokens.items()}
 
 
 def edit_distance(a, b):

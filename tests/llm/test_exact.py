@@ -139,13 +139,13 @@ def test_kept_is_that_of_plain_scans(spark):
 
 def test_language_model(docs, texts):
     got = {r["doc_id"]: r for r in ngram.score(docs).collect()}
-    base, full = brute.unigram(texts), brute.bigram(texts)
+    base, full = brute.unigram(texts), brute.trigram(texts)
     for i, _ in texts:
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == base[i][:4]
         assert r["base_score"] == pytest.approx(base[i][4])
-        # codes are rounded down by at most a part, and shards have their own discounts
-        assert r["score"] == pytest.approx(full[i], abs=0.12 * r["n_tokens"])
+        # three codes at most make a probability, each rounded down by less than a part
+        assert full[i] - 3 / ngram.PARTS * r["n_tokens"] - 1e-6 <= r["score"] <= full[i] + 1e-6
 
 
 def test_model_is_better_than_words_alone_on_held_out_texts(spark):
@@ -165,19 +165,45 @@ def test_probabilities_of_a_context_sum_to_one_at_most(tmp_path):
     seen = rng.integers(1, 9, len(successors))
     pointers = np.concatenate([[0], np.cumsum(kinds)])
     counts = np.add.reduceat(seen, pointers[:-1])
-    trie = ngram.Trie(contexts, counts, pointers, successors, seen, str(tmp_path))
-    assert trie.pointers.get(np.arange(41)).tolist() == pointers.tolist()
-    c, backoff, codes = trie.ask(contexts, kinds, successors)
+    level = ngram.Level(contexts, pointers, successors, seen, str(tmp_path), "one")
+    assert level.pointers.get(np.arange(41)).tolist() == pointers.tolist()
+    assert isinstance(level.codes, np.memmap) and isinstance(level.successors.low, np.memmap)
+    c, backoff, codes = level.ask(contexts, kinds, successors)
     assert c.tolist() == counts.tolist()
     assert (codes != ngram.NONE).all()
     mass = np.add.reduceat(ngram.uncode(codes), pointers[:-1]) + ngram.uncode(backoff)
     assert (mass <= 1 + 1e-9).all() and (mass > 0.85).all()
-    other = trie.ask(contexts + np.uint64(2), np.ones(40, int), successors[:40])
-    assert (other[0] == 0).all() and (other[2] == ngram.NONE).all()
-    wrong = trie.ask(contexts, np.ones(40, int), (successors[pointers[:-1]] + np.uint64(1)))[2]
+    other = level.ask(contexts + np.uint64(2), np.ones(40, int), successors[:40])
+    assert (other[0] == 0).all() and (other[1] == 0).all() and (other[2] == ngram.NONE).all()
+    wrong = level.ask(contexts, np.ones(40, int), (successors[pointers[:-1]] + np.uint64(1)))[2]
     assert (wrong == ngram.NONE).mean() > 0.9
 
 
+@pytest.mark.parametrize("sums", [62, 12])
+def test_successors_are_those_of_their_context(tmp_path, monkeypatch, sums):
+    """Every successor asked of every context; with few bits for the sums, successors keep fewer of theirs."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram, "SUMS", sums)
+    rng = np.random.default_rng(sums)
+    contexts = np.arange(1, 31).astype(np.uint64) << np.uint64(8)
+    few = (np.arange(8).astype(np.uint64) << np.uint64(ngram.WIDE - 3)) + np.uint64(5)
+    own = [np.sort(rng.choice(few, rng.integers(1, 8), replace=False)) for _ in contexts]
+    own[0], own[1] = few[-1:], few[:1]  # a context's first follows the last of the one before
+    kinds = np.array([len(x) for x in own])
+    pointers = np.concatenate([[0], np.cumsum(kinds)])
+    seen = rng.integers(1, 5, pointers[-1])
+    level = ngram.Level(contexts, pointers, np.concatenate(own), seen, str(tmp_path), "two")
+    _, _, codes = level.ask(contexts, np.full(30, 8), np.tile(few, 30))
+    want = np.full((30, 8), ngram.NONE, np.uint16)
+    for k, x in enumerate(own):
+        n = seen[pointers[k] : pointers[k + 1]]
+        want[k, np.isin(few, x)] = ngram.code(np.log10((n - ngram.DISCOUNT) / n.sum()))
+    assert codes.reshape(30, 8).tolist() == want.tolist()
+    none = ngram.Level(contexts[:0], np.zeros(1, int), few[:0], seen[:0], str(tmp_path), "none")
+    assert none.ask(contexts, kinds, np.concatenate(own))[2].tolist() == [ngram.NONE] * len(seen)
+
+
 @pytest.mark.parametrize("low", [0, 5, 40])
 def test_elias_fano_round_trip(tmp_path, low):
     import numpy as np

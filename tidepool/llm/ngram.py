@@ -1,17 +1,20 @@
-"""Scores of a word bigram model kept as an Elias-Fano trie.
+"""Scores of a word trigram model kept as an Elias-Fano trie.
 
 Counts, trie and scores never pass through the driver. Each block of documents sends the
 distinct contexts and successors of its texts, with their counts in training documents,
-to shards by context. A shard adds them up, builds the trie of its contexts in
-memory-mapped levels and answers every question of every block: the context's count and
-backoff, and the quantised probability of each successor. A block then scores its texts.
-Training counts and questions travel together, so held-out words cost nothing more.
-
-The model: P(w | v) = max(0, c(vw) - d) / c(v) + d * T(v) / c(v) * P(w), T(v) being the
-number of different successors of v; P(w) = (c(w) - d1) / N, and d1 * V / N for the one
-class of unseen words. Discounts are n1 / (n1 + 2 * n2) of the counts that are one and
-two, for bigrams in each shard (a context's counts are all in one shard, so its
-probabilities still sum to one). Codes are rounded down, so they never sum to more.
+to shards by context: contexts of one word, and of two. A context of two words has a hash
+of its own, so the trigrams of a frequent word lie in many shards. A shard adds them up,
+builds the levels of its contexts in memory-mapped files and answers every question of
+every block: the context's count and backoff, and the quantised probability of each
+successor. A block then scores its texts. Training counts and questions travel together,
+so held-out words cost nothing more.
+
+The model: P(w | uv) = max(0, c(uvw) - d) / c(uv) + d * T(uv) / c(uv) * P(w | v), T being
+the number of different successors, P(w | v) the same one word shorter, and
+P(w) = (c(w) - d1) / N, or d1 * V / N for the one class of unseen words. A document
+follows two ends. d is DISCOUNT in both orders, whatever the input; d1 is n1 / (n1 + 2 * n2)
+of the words that occur once and twice. Codes are rounded down, so a context's
+probabilities never sum to more than one.
 """
 
 from __future__ import annotations
@@ -28,16 +31,32 @@ from tidepool.llm import blocks, store, textarrays as ta
 
 #: Hash of the token that ends, and as a context begins, every document.
 END = np.uint64(0x9D5C0F3A71E4B286)
-#: Bits of a successor within its context.
-WIDE = 40
+#: Bits of a successor within its context, and of the sum of all contexts' last successors.
+WIDE, SUMS = 40, 62
+#: What is taken from the count of each bigram and trigram.
+DISCOUNT = 0.75
 #: A code is so many parts of a power of ten; NONE: not in the trie.
 PARTS, NONE = 32, 65535
 #: Documents whose crc32(doc_id) mod 5 is this are held out.
 HELD = 1
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(axis=1, dtype=np.int64)
+#: Place of the k-th one of a byte, and of its k-th zero.
+_PLACE = [np.argsort(_BITS != bit, axis=1, kind="stable").astype(np.uint8) for bit in (0, 1)]
+
+
+def _mapped(x: np.ndarray, folder: str, name: str) -> np.ndarray:
+    """The array as a memory-mapped file."""
+    if not x.size:
+        return x
+    path = os.path.join(folder, name)
+    np.ascontiguousarray(x).tofile(path)
+    return np.memmap(path, x.dtype, "r", shape=x.shape)
+
 
 class EliasFano:
-    """A growing sequence of integers below 2**63: low bits as they are, high bits in unary; searched where it lies, in memory-mapped files."""
+    """A sequence of integers below 2**63 that never fall: low bits as they are, high bits in unary; searched where it lies, in memory-mapped files."""
 
     def __init__(self, values: np.ndarray, folder: str, name: str):
         self.n = len(values)
@@ -49,32 +68,18 @@ class EliasFano:
         low = (values & np.uint64((1 << self.l) - 1)).astype("<u8").view(np.uint8).reshape(self.n, 8)[:, :planes]
         bits = np.zeros((int(high[-1]) if self.n else 0) + self.n + 2, np.uint8)
         bits[high + np.arange(self.n)] = 1
-        bits = np.concatenate([bits, np.zeros(-len(bits) % 64, np.uint8)])
-        ones = bits.reshape(-1, 64).sum(axis=1)
-        self.low = self._mapped(low, folder, f"{name}.low")
-        self.bits = self._mapped(np.packbits(bits, bitorder="little").reshape(-1, 8), folder, f"{name}.high")
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
-
-    @staticmethod
-    def _mapped(x: np.ndarray, folder: str, name: str) -> np.ndarray:
-        if not x.size:
-            return x
-        path = os.path.join(folder, name)
-        np.ascontiguousarray(x).tofile(path)
-        return np.memmap(path, x.dtype, "r", shape=x.shape)
+        packed = np.packbits(bits, bitorder="little")
+        ones = np.concatenate([[0], np.cumsum(_ONES[packed])])
+        self.low = _mapped(low, folder, f"{name}.low")
+        self.bits = _mapped(packed, folder, f"{name}.high")
+        # ones, and zeros, before each byte
+        self.before = [np.arange(len(ones)) * 8 - ones, ones]
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
-        before = self.ones if bit else self.zeros
-        out = np.empty(len(k), np.int64)
-        for at in range(0, len(k), 100_000):
-            part = k[at : at + 100_000]
-            word = np.searchsorted(before, part, "right") - 1
-            inside = np.unpackbits(self.bits[word], axis=1, bitorder="little")
-            count = np.cumsum(inside if bit else 1 - inside, axis=1, dtype=np.uint8)
-            out[at : at + 100_000] = word * 64 + (count > (part - before[word])[:, None]).argmax(axis=1)
-        return out
+        before = self.before[bit]
+        byte = np.searchsorted(before, k, "right") - 1
+        return byte * 8 + _PLACE[bit][self.bits[byte], k - before[byte]]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -91,7 +96,7 @@ class EliasFano:
         x = x.astype(np.uint64)
         out = np.full(len(x), -1, np.int64)
         high = (x >> np.uint64(self.l)).astype(np.int64)
-        able = np.flatnonzero(high < self.zeros[-1] - 1) if self.n else np.zeros(0, np.int64)
+        able = np.flatnonzero(x <= self.get(np.array([self.n - 1]))) if self.n else np.zeros(0, np.int64)
         high, low = high[able], x[able] & np.uint64((1 << self.l) - 1)
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) - (high - 1), 0)
         hi = self._select(high, 0) - high
@@ -116,33 +121,50 @@ def uncode(codes: np.ndarray) -> np.ndarray:
     return 10.0 ** (-codes.astype(float) / PARTS)
 
 
-class Trie:
-    """Contexts, pointers to their successors, and successors relative to their context, each level an Elias-Fano sequence."""
+class Level:
+    """The contexts of one order, pointers to where the successors of each begin, and the successors, each an Elias-Fano sequence.
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, folder: str):
-        self.counts = counts
-        self.contexts = EliasFano(contexts >> np.uint64(1), folder, "contexts")
-        self.pointers = EliasFano(pointers, folder, "pointers")
-        owner = np.repeat(np.arange(len(contexts)), np.diff(pointers))
-        self.successors = EliasFano((owner.astype(np.uint64) << np.uint64(WIDE)) + successors, folder, "successors")
-        n1, n2 = int((seen == 1).sum()), int((seen == 2).sum())
-        self.discount = n1 / (n1 + 2 * n2) if n1 else 0.5
+    Successors are kept relative to their context: what precedes them is added, the last
+    of the context before, so the sequence rises over all contexts. A successor is looked
+    for from there on, between its context's two pointers.
+    """
+
+    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, folder: str, name: str):
         kinds = np.diff(pointers)
-        with np.errstate(divide="ignore"):
-            self.backoff = code(np.log10(self.discount * kinds / np.maximum(counts, 1)))
-            self.codes = code(np.log10(np.maximum(seen - self.discount, 1e-12) / counts[owner]))
+        self.wide = WIDE - max(0, WIDE + len(contexts).bit_length() - SUMS)
+        last = np.where(kinds > 0, self._own(successors)[np.maximum(pointers[1:] - 1, 0)], np.uint64(0)) if len(successors) else np.zeros(0, np.uint64)
+        base = np.cumsum(last, dtype=np.uint64) - last
+        counts = np.add.reduceat(seen, pointers[:-1]) if len(contexts) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(contexts)), kinds)
+        self.contexts = EliasFano(contexts >> np.uint64(1), folder, f"{name}.contexts")
+        self.pointers = EliasFano(pointers, folder, f"{name}.pointers")
+        self.successors = EliasFano(base[owner] + self._own(successors), folder, f"{name}.successors")
+        self.counts = _mapped(counts, folder, f"{name}.counts")
+        self.backoff = _mapped(code(np.log10(DISCOUNT * kinds / np.maximum(counts, 1))), folder, f"{name}.backoff")
+        self.codes = _mapped(code(np.log10((seen - DISCOUNT) / counts[owner])), folder, f"{name}.codes")
+
+    def _own(self, successors: np.ndarray) -> np.ndarray:
+        """A successor as it is kept: one more, so that it is never what precedes it; with very many contexts, fewer of its bits."""
+        return (successors >> np.uint64(WIDE - self.wide)) + np.uint64(1)
 
     def ask(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts, backoff codes, codes of the successors); a context has ``sizes`` successors."""
+        """(counts, backoff codes, codes of the successors); a context has ``sizes`` successors. A context that isn't here has count 0, and a backoff of one."""
         at = self.contexts.find(contexts >> np.uint64(1))
-        known = at >= 0
+        known = np.flatnonzero(at >= 0)
+        here = at[known]
         counts, backoff = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint16)
-        counts[known], backoff[known] = self.counts[at[known]], self.backoff[at[known]]
-        owner = np.repeat(at, sizes)
+        counts[known], backoff[known] = self.counts[here], self.backoff[here]
+        begin, end, base = (np.zeros(len(at), np.int64) for _ in range(3))
+        begin[known], end[known] = self.pointers.get(here).astype(np.int64), self.pointers.get(here + 1).astype(np.int64)
+        before = known[begin[known] > 0]
+        base[before] = self.successors.get(begin[before] - 1).astype(np.int64)
+        owner = np.repeat(np.arange(len(at)), sizes)
         out = np.full(len(owner), NONE, np.uint16)
-        mine = np.flatnonzero(owner >= 0)
-        found = self.successors.find((owner[mine].astype(np.uint64) << np.uint64(WIDE)) + successors[mine])
-        out[mine[found >= 0]] = self.codes[found[found >= 0]]
+        mine = np.flatnonzero(at[owner] >= 0)
+        of = owner[mine]
+        found = self.successors.find(base[of].astype(np.uint64) + self._own(successors[mine]))
+        inside = (found >= begin[of]) & (found < end[of])
+        out[mine[inside]] = self.codes[found[inside]]
         return counts, backoff, out
 
 
@@ -158,8 +180,19 @@ def _whole(planes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shares(contexts: np.ndarray, owner: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the contexts, and the n-grams, of each shard begin: a shard has a range of hashes."""
+    edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
+    at = np.append(np.searchsorted(contexts, edge), len(contexts))
+    return at, np.searchsorted(owner, at)
+
+
 class Tokens:
-    """The tokens of a block: distinct words, distinct pairs of neighbours, and where they occur."""
+    """The tokens of a block: distinct words, distinct bigrams and trigrams, and where they occur.
+
+    ``grams`` has for each order (hashes of the contexts, rising; context, successor and
+    training count of each n-gram).
+    """
 
     def __init__(self, data: bytes):
         self.ids, self.known, off, buf, held = blocks.expand(data)
@@ -167,77 +200,81 @@ class Tokens:
         n = len(self.ids)
         h, doc = ta.word_hashes(buf, off)
         count = ta.counts(doc, n)
-        # every document is followed by its end, and the end before it is its first context
+        # every document is followed by its end, and follows two
         to = np.cumsum(count)
         token = np.insert(h, to, END) if n else h
         self.doc = np.insert(doc, to, np.arange(n)) if n else doc
-        context = np.empty_like(token)
-        context[1:] = token[:-1]
-        if len(token):
-            context[0] = END
-        self.words, index = np.unique(token, return_inverse=True)
-        before = np.empty_like(index)
-        before[1:] = index[:-1]
-        if len(index):
-            before[0] = np.searchsorted(self.words, END)
-        self.token = index
-        pair, self.pair = np.unique(before * len(self.words) + index, return_inverse=True)
-        self.before, self.after = pair // max(1, len(self.words)), pair % max(1, len(self.words))
-        self.count = np.bincount(self.pair, weights=~self.held[self.doc], minlength=len(pair)).astype(np.int64)
+        self.words, self.token = np.unique(token, return_inverse=True)
+        kinds = max(1, len(self.words))
+        first = np.cumsum(count + 1) - count - 1
+        end = int(np.searchsorted(self.words, END))
+        before = np.append(end, self.token[:-1])[: len(token)]
+        earlier = np.append(end, before[:-1])[: len(token)]
+        earlier[first] = end
+        pair, self.pair = np.unique(before * kinds + self.token, return_inverse=True)
+        self.before, self.after = pair // kinds, pair % kinds
+        both, at = np.unique(earlier * kinds + before, return_inverse=True)
+        two = ta.mix(ta.mix(self.words[both // kinds]) + self.words[both % kinds]) if len(both) else self.words
+        order = np.argsort(two)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        triple, example, self.triple = np.unique(rank[at] * kinds + self.token, return_index=True, return_inverse=True)
+        #: the context of each trigram, and its last two words as a bigram
+        self.context, self.last_two = triple // kinds, self.pair[example]
+        taught = ~self.held[self.doc]
+        seen = [np.bincount(of, weights=taught, minlength=k).astype(np.int64) for of, k in ((self.pair, len(pair)), (self.triple, len(triple)))]
+        self.grams = [(self.words, self.before, self.after, seen[0]), (two[order], self.context, triple % kinds, seen[1])]
         self.n_tokens = count + 1
 
-    def shares(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words, and the pairs, of each shard begin: a shard has a range of hashes."""
-        edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
-        word = np.append(np.searchsorted(self.words, edge), len(self.words))
-        return word, np.searchsorted(self.before, word)
-
 
 def _send(shards: int) -> Callable:
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Tokens(data)
-                word, pair = t.shares(shards)
+                short = t.words >> np.uint64(64 - WIDE)
+                where = [_shares(g[0], g[1], shards) for g in t.grams]
                 for s in range(shards):
-                    w, p = slice(word[s], word[s + 1]), slice(pair[s], pair[s + 1])
-                    if word[s] < word[s + 1]:
-                        sizes = np.bincount(t.before[p] - word[s], minlength=word[s + 1] - word[s])
-                        after = t.words[t.after[p]] >> np.uint64(64 - WIDE)
-                        blob = blocks.squeeze(_planes(np.diff(t.words[w], prepend=np.uint64(0)), 8), sizes.astype(np.uint32), _planes(after, WIDE // 8), t.count[p].astype(np.uint32))
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["shard", "block", "blob"])
+                    told = []
+                    for (contexts, owner, after, seen), (c, g) in zip(t.grams, where, strict=True):
+                        some, mine = slice(c[s], c[s + 1]), slice(g[s], g[s + 1])
+                        sizes = np.bincount(owner[mine] - c[s], minlength=c[s + 1] - c[s])
+                        told += [_planes(np.diff(contexts[some], prepend=np.uint64(0)), 8), sizes.astype(np.uint32), _planes(short[after[mine]], WIDE // 8), seen[mine].astype(np.uint32)]
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blocks.squeeze(*told)], pa.binary())], ["shard", "block", "blob"])
 
     return run
 
 
+def _answers(got: list[tuple], folder: str, name: str) -> tuple[list[tuple], np.ndarray]:
+    """(what each message is told: counts, backoff codes and codes of its contexts and successors; counts of the contexts that are known). A message: hashes of contexts, successors of each, successors, training counts."""
+    words, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+    owner = np.repeat(at, np.concatenate([x[1] for x in got]))
+    kinds, after = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
+    gram, index = np.unique(owner * max(1, len(kinds)) + after, return_inverse=True)
+    seen = np.bincount(index, weights=np.concatenate([x[3] for x in got]), minlength=len(gram)).astype(np.int64)
+    del index, owner, at, after
+    gram, seen = gram[seen > 0], seen[seen > 0]
+    context = gram // max(1, len(kinds))
+    sizes = np.bincount(context, minlength=len(words))
+    has = sizes > 0
+    level = Level(words[has], np.concatenate([[0], np.cumsum(sizes[has])]), kinds[gram % max(1, len(kinds))], seen, folder, name)
+    return [level.ask(*x[:3]) for x in got], np.asarray(level.counts)
+
+
 def _answer(key: tuple, sent: pa.Table) -> pa.Table:
     number = sent.column("block").to_pylist()
-    got = []
+    got: list[list[tuple]] = [[], []]
     for x in sent.column("blob").to_pylist():
-        words, sizes, after, count = blocks.expand(x)
-        got.append((np.cumsum(_whole(words)), sizes.astype(np.int64), _whole(after), count.astype(np.int64)))
-    words, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-    owner = np.repeat(at, np.concatenate([x[1] for x in got]))
-    pair, index = np.unique((owner.astype(np.uint64) << np.uint64(WIDE)) + np.concatenate([x[2] for x in got]), return_inverse=True)
-    seen = np.bincount(index, weights=np.concatenate([x[3] for x in got])).astype(np.int64)
-    del index, owner, at
-    pair, seen = pair[seen > 0], seen[seen > 0]
-    context = (pair >> np.uint64(WIDE)).astype(np.int64)
-    counts = np.bincount(context, weights=seen, minlength=len(words)).astype(np.int64)
-    kinds = np.bincount(context, minlength=len(words))
-    has = counts > 0
-    pointers = np.concatenate([[0], np.cumsum(kinds[has])])
-    out = []
+        parts = blocks.expand(x)
+        for of, (contexts, sizes, after, seen) in zip(got, (parts[:4], parts[4:]), strict=True):
+            of.append((np.cumsum(_whole(contexts), dtype=np.uint64), sizes.astype(np.int64), _whole(after), seen.astype(np.int64)))
     with tempfile.TemporaryDirectory() as folder:
-        trie = Trie(words[has], counts[has], pointers, pair & np.uint64((1 << WIDE) - 1), seen, folder)
-        for k, (w, sizes, after, _) in zip(number, got, strict=True):
-            c, backoff, codes = trie.ask(w, sizes, after)
-            out.append((k, blocks.squeeze(c, backoff, codes), 0, 0, 0, 0))
-        del trie
-    c = counts[has]
+        one, c = _answers(got[0], folder, "one")
+        two, _ = _answers(got[1], folder, "two")
+        out = [(k, blocks.squeeze(*a, *b[1:]), 0, 0, 0, 0) for k, a, b in zip(number, one, two, strict=True)]
     out.append((-1, None, int(c.sum()), len(c), int((c == 1).sum()), int((c == 2).sum())))
-    kinds_ = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    table = pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(["block", "answer", "n", "v", "n1", "n2"], kinds_, strict=True))})
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    table = pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(["block", "answer", "n", "v", "n1", "n2"], kinds, strict=True))})
     return table.append_column("shard", pa.array([key[0].as_py()] * len(out), pa.int64()))
 
 
@@ -252,17 +289,16 @@ def _score(total: int, kinds: int, n1: int, n2: int) -> Callable:
             t = Tokens(data)
             answers = sorted(zip(told.column("shard").to_pylist(), told.column("answer").to_pylist(), strict=True))
             parts = [blocks.expand(x) for _, x in answers]
-            c, backoff, codes = (np.concatenate([x[k] for x in parts]) for k in range(3))
+            c, backoff, codes, backoff2, codes2 = (np.concatenate([x[k] for x in parts]) for k in range(5))
             base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+            p = np.ones(len(t.context))
             if total:
                 single = np.where(c > 0, (c - d1) / total, d1 * kinds / total)
-                rest = np.where(c > 0, uncode(backoff), 1.0)
-                p = rest[t.before] * single[t.after] + np.where(codes < NONE, uncode(codes), 0.0)
-            else:
-                p = np.ones(len(t.before))
+                double = uncode(backoff)[t.before] * single[t.after] + np.where(codes < NONE, uncode(codes), 0.0)
+                p = uncode(backoff2)[t.context] * double[t.last_two] + np.where(codes2 < NONE, uncode(codes2), 0.0)
             n = len(t.ids)
             log = np.log10(np.maximum(p, 1e-300))
-            cols = [t.ids, t.held, t.n_tokens, np.bincount(t.doc, weights=(c > 0)[t.token], minlength=n).astype(np.int64), np.full(n, total), np.bincount(t.doc, weights=base[t.token], minlength=n), np.bincount(t.doc, weights=log[t.pair], minlength=n)]
+            cols = [t.ids, t.held, t.n_tokens, np.bincount(t.doc, weights=(c > 0)[t.token], minlength=n).astype(np.int64), np.full(n, total), np.bincount(t.doc, weights=base[t.token], minlength=n), np.bincount(t.doc, weights=log[t.triple], minlength=n)]
             out.append(pa.table({m: pa.array(x, ty, mask=~t.known if m == "doc_id" else None) for m, x, ty in zip(names, cols, types, strict=True)}))
         return pa.concat_tables(out)
 
