@@ -180,6 +180,11 @@ def _whole(planes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _of_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of contexts of two words, by WIDE bits of each."""
+    return ta.mix(ta.mix(first) + second)
+
+
 def _shares(contexts: np.ndarray, owner: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the contexts, and the n-grams, of each shard begin: a shard has a range of hashes."""
     edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
@@ -214,7 +219,8 @@ class Tokens:
         pair, self.pair = np.unique(before * kinds + self.token, return_inverse=True)
         self.before, self.after = pair // kinds, pair % kinds
         both, at = np.unique(earlier * kinds + before, return_inverse=True)
-        two = ta.mix(ta.mix(self.words[both // kinds]) + self.words[both % kinds]) if len(both) else self.words
+        self.short = self.words >> np.uint64(64 - WIDE)
+        two = _of_two(self.short[both // kinds], self.short[both % kinds]) if len(both) else self.words
         order = np.argsort(two)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -224,27 +230,45 @@ class Tokens:
         taught = ~self.held[self.doc]
         seen = [np.bincount(of, weights=taught, minlength=k).astype(np.int64) for of, k in ((self.pair, len(pair)), (self.triple, len(triple)))]
         self.grams = [(self.words, self.before, self.after, seen[0]), (two[order], self.context, triple % kinds, seen[1])]
+        #: the two words of each context of two
+        self.first, self.second = both[order] // kinds, both[order] % kinds
         self.n_tokens = count + 1
 
 
+def _indices(x: np.ndarray, below: int) -> np.ndarray:
+    return _planes(x, max(1, -(-below.bit_length() // 8)))
+
+
 def _send(shards: int) -> Callable:
+    """Messages of a block: a dictionary of the words in it, the bigrams and the trigrams by their places there; a context of two words is told by them."""
+
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Tokens(data)
-                short = t.words >> np.uint64(64 - WIDE)
-                where = [_shares(g[0], g[1], shards) for g in t.grams]
+                (one, of_one, after_one, seen_one), (two, of_two, after_two, seen_two) = t.grams
+                (c1, g1), (c2, g2) = _shares(one, of_one, shards), _shares(two, of_two, shards)
                 for s in range(shards):
-                    told = []
-                    for (contexts, owner, after, seen), (c, g) in zip(t.grams, where, strict=True):
-                        some, mine = slice(c[s], c[s + 1]), slice(g[s], g[s + 1])
-                        sizes = np.bincount(owner[mine] - c[s], minlength=c[s + 1] - c[s])
-                        told += [_planes(np.diff(contexts[some], prepend=np.uint64(0)), 8), sizes.astype(np.uint32), _planes(short[after[mine]], WIDE // 8), seen[mine].astype(np.uint32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blocks.squeeze(*told)], pa.binary())], ["shard", "block", "blob"])
+                    w, p, c, g = (slice(x[s], x[s + 1]) for x in (c1, g1, c2, g2))
+                    lists = [after_one[p], after_two[g], t.first[c], t.second[c]]
+                    named, index = np.unique(np.concatenate(lists), return_inverse=True)
+                    index = np.split(index, np.cumsum([len(x) for x in lists])[:-1])
+                    sizes = [np.bincount(of[x] - y.start, minlength=y.stop - y.start).astype(np.uint32) for of, x, y in ((of_one, p, w), (of_two, g, c))]
+                    told = [np.diff(t.short[named], prepend=np.uint64(0)), np.diff(one[w], prepend=np.uint64(0))]
+                    blob = blocks.squeeze(_planes(told[0], 8), _planes(told[1], 8), *[_indices(x, len(named)) for x in index], *sizes, seen_one[p].astype(np.uint32), seen_two[g].astype(np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["shard", "block", "blob"])
 
     return run
 
 
+def _read(blob: bytes) -> tuple[tuple, tuple]:
+    """(contexts, successors of each, successors, training counts) of both orders in a message."""
+    named, one, after_one, after_two, first, second, of_one, of_two, seen_one, seen_two = blocks.expand(blob)
+    short = np.cumsum(_whole(named), dtype=np.uint64)
+    after_one, after_two, first, second = (short[_whole(x).astype(np.int64)] for x in (after_one, after_two, first, second))
+    return (np.cumsum(_whole(one), dtype=np.uint64), of_one.astype(np.int64), after_one, seen_one.astype(np.int64)), (_of_two(first, second), of_two.astype(np.int64), after_two, seen_two.astype(np.int64))
+
+
 def _answers(got: list[tuple], folder: str, name: str) -> tuple[list[tuple], np.ndarray]:
     """(what each message is told: counts, backoff codes and codes of its contexts and successors; counts of the contexts that are known). A message: hashes of contexts, successors of each, successors, training counts."""
     words, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
@@ -263,14 +287,10 @@ def _answers(got: list[tuple], folder: str, name: str) -> tuple[list[tuple], np.
 
 def _answer(key: tuple, sent: pa.Table) -> pa.Table:
     number = sent.column("block").to_pylist()
-    got: list[list[tuple]] = [[], []]
-    for x in sent.column("blob").to_pylist():
-        parts = blocks.expand(x)
-        for of, (contexts, sizes, after, seen) in zip(got, (parts[:4], parts[4:]), strict=True):
-            of.append((np.cumsum(_whole(contexts), dtype=np.uint64), sizes.astype(np.int64), _whole(after), seen.astype(np.int64)))
+    got = [_read(x) for x in sent.column("blob").to_pylist()]
     with tempfile.TemporaryDirectory() as folder:
-        one, c = _answers(got[0], folder, "one")
-        two, _ = _answers(got[1], folder, "two")
+        one, c = _answers([x for x, _ in got], folder, "one")
+        two, _ = _answers([x for _, x in got], folder, "two")
         out = [(k, blocks.squeeze(*a, *b[1:]), 0, 0, 0, 0) for k, a, b in zip(number, one, two, strict=True)]
     out.append((-1, None, int(c.sum()), len(c), int((c == 1).sum()), int((c == 2).sum())))
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
