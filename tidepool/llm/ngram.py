@@ -1,13 +1,11 @@
 """Scores of a word trigram model kept as an Elias-Fano trie.
 
 Counts, trie and scores never pass through the driver. Each block of documents sends the
-distinct contexts and successors of its texts, with their counts in training documents,
-to shards by context: contexts of one word, and of two. A context of two words has a hash
-of its own, so the trigrams of a frequent word lie in many shards. A shard adds them up,
-builds the levels of its contexts in memory-mapped files and answers every question of
-every block: the context's count and backoff, and the quantised probability of each
-successor. A block then scores its texts. Training counts and questions travel together,
-so held-out words cost nothing more.
+distinct bigrams and trigrams of its texts, with their counts in training documents, to
+shards by first word. A shard adds them up, builds the levels of its trie in
+memory-mapped files and answers every question of every block: counts and backoffs of
+contexts, and the quantised probability of each successor. A block then scores its texts.
+Training counts and questions travel together, so held-out words cost nothing more.
 
 The model: P(w | uv) = max(0, c(uvw) - d) / c(uv) + d * T(uv) / c(uv) * P(w | v), T being
 the number of different successors, P(w | v) the same one word shorter, and
@@ -31,8 +29,8 @@ from tidepool.llm import blocks, store, textarrays as ta
 
 #: Hash of the token that ends, and as a context begins, every document.
 END = np.uint64(0x9D5C0F3A71E4B286)
-#: Bits of a successor within its context, and of the sum of all contexts' last successors.
-WIDE, SUMS = 40, 62
+#: Bits of a successor within its context; a shard may have 2 ** (62 - WIDE) contexts.
+WIDE = 32
 #: What is taken from the count of each bigram and trigram.
 DISCOUNT = 0.75
 #: A code is so many parts of a power of ten; NONE: not in the trie.
@@ -122,34 +120,33 @@ def uncode(codes: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The contexts of one order, pointers to where the successors of each begin, and the successors, each an Elias-Fano sequence.
+    """Successors of the nodes of the level above: pointers to where those of each begin, and the successors, each an Elias-Fano sequence; quantised probabilities beside them.
 
     Successors are kept relative to their context: what precedes them is added, the last
     of the context before, so the sequence rises over all contexts. A successor is looked
-    for from there on, between its context's two pointers.
+    for from there on, between its context's two pointers. A successor that was not seen
+    is a node without probability: only a way to the level below.
     """
 
-    def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, folder: str, name: str):
+    def __init__(self, pointers: np.ndarray, successors: np.ndarray, seen: np.ndarray, folder: str, name: str):
+        n = len(pointers) - 1
+        own = successors + np.uint64(1)  # so that it is never what precedes it
         kinds = np.diff(pointers)
-        self.wide = WIDE - max(0, WIDE + len(contexts).bit_length() - SUMS)
-        last = np.where(kinds > 0, self._own(successors)[np.maximum(pointers[1:] - 1, 0)], np.uint64(0)) if len(successors) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(n), kinds)
+        last = np.zeros(n, np.uint64)
+        some = np.flatnonzero(kinds)
+        last[some] = own[pointers[1:][some] - 1]
         base = np.cumsum(last, dtype=np.uint64) - last
-        counts = np.add.reduceat(seen, pointers[:-1]) if len(contexts) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(contexts)), kinds)
-        self.contexts = EliasFano(contexts >> np.uint64(1), folder, f"{name}.contexts")
+        counts = np.bincount(owner, weights=seen, minlength=n).astype(np.int64)
+        types = np.bincount(owner[seen > 0], minlength=n)
         self.pointers = EliasFano(pointers, folder, f"{name}.pointers")
-        self.successors = EliasFano(base[owner] + self._own(successors), folder, f"{name}.successors")
+        self.successors = EliasFano(base[owner] + own, folder, f"{name}.successors")
         self.counts = _mapped(counts, folder, f"{name}.counts")
-        self.backoff = _mapped(code(np.log10(DISCOUNT * kinds / np.maximum(counts, 1))), folder, f"{name}.backoff")
-        self.codes = _mapped(code(np.log10((seen - DISCOUNT) / counts[owner])), folder, f"{name}.codes")
+        self.backoff = _mapped(code(np.log10(np.where(counts > 0, DISCOUNT * types / np.maximum(counts, 1), 1.0))), folder, f"{name}.backoff")
+        self.codes = _mapped(np.where(seen > 0, code(np.log10(np.maximum(seen - DISCOUNT, DISCOUNT / 4) / np.maximum(counts[owner], 1))), NONE).astype(np.uint16), folder, f"{name}.codes")
 
-    def _own(self, successors: np.ndarray) -> np.ndarray:
-        """A successor as it is kept: one more, so that it is never what precedes it; with very many contexts, fewer of its bits."""
-        return (successors >> np.uint64(WIDE - self.wide)) + np.uint64(1)
-
-    def ask(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(counts, backoff codes, codes of the successors); a context has ``sizes`` successors. A context that isn't here has count 0, and a backoff of one."""
-        at = self.contexts.find(contexts >> np.uint64(1))
+    def ask(self, at: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(counts and backoff codes of contexts, node and code of each successor) of contexts by their node above, -1 for none, each with ``sizes`` successors. No context has count 0 and a backoff of one."""
         known = np.flatnonzero(at >= 0)
         here = at[known]
         counts, backoff = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint16)
@@ -159,13 +156,27 @@ class Level:
         before = known[begin[known] > 0]
         base[before] = self.successors.get(begin[before] - 1).astype(np.int64)
         owner = np.repeat(np.arange(len(at)), sizes)
-        out = np.full(len(owner), NONE, np.uint16)
-        mine = np.flatnonzero(at[owner] >= 0)
+        node, codes = np.full(len(owner), -1, np.int64), np.full(len(owner), NONE, np.uint16)
+        mine = np.flatnonzero(begin[owner] < end[owner])
         of = owner[mine]
-        found = self.successors.find(base[of].astype(np.uint64) + self._own(successors[mine]))
+        found = self.successors.find(base[of].astype(np.uint64) + successors[mine] + np.uint64(1))
         inside = (found >= begin[of]) & (found < end[of])
-        out[mine[inside]] = self.codes[found[inside]]
-        return counts, backoff, out
+        node[mine[inside]], codes[mine[inside]] = found[inside], self.codes[found[inside]]
+        return counts, backoff, node, codes
+
+
+class Trie:
+    """First words, their successors, and the successors of both."""
+
+    def __init__(self, words: np.ndarray, two: tuple, three: tuple, folder: str):
+        self.words = EliasFano(words >> np.uint64(1), folder, "words")
+        self.two, self.three = Level(*two, folder, "two"), Level(*three, folder, "three")
+
+    def ask(self, words: np.ndarray, sizes: np.ndarray, after: np.ndarray, sizes3: np.ndarray, after3: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(counts, backoffs of words, codes of bigrams, backoffs of bigrams, codes of trigrams)."""
+        counts, backoff, node, codes = self.two.ask(self.words.find(words >> np.uint64(1)), sizes, after)
+        _, backoff3, _, codes3 = self.three.ask(node, sizes3, after3)
+        return counts, backoff, codes, backoff3, codes3
 
 
 def _planes(x: np.ndarray, n: int) -> np.ndarray:
@@ -180,23 +191,11 @@ def _whole(planes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _of_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of contexts of two words, by WIDE bits of each."""
-    return ta.mix(ta.mix(first) + second)
-
-
-def _shares(contexts: np.ndarray, owner: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the contexts, and the n-grams, of each shard begin: a shard has a range of hashes."""
-    edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
-    at = np.append(np.searchsorted(contexts, edge), len(contexts))
-    return at, np.searchsorted(owner, at)
-
-
 class Tokens:
     """The tokens of a block: distinct words, distinct bigrams and trigrams, and where they occur.
 
-    ``grams`` has for each order (hashes of the contexts, rising; context, successor and
-    training count of each n-gram).
+    A bigram is ``before``, ``after`` (places in ``words``), a trigram ``context`` (a place
+    in the bigrams), ``last``; both in order, ``seen`` their training counts.
     """
 
     def __init__(self, data: bytes):
@@ -214,84 +213,81 @@ class Tokens:
         first = np.cumsum(count + 1) - count - 1
         end = int(np.searchsorted(self.words, END))
         before = np.append(end, self.token[:-1])[: len(token)]
-        earlier = np.append(end, before[:-1])[: len(token)]
-        earlier[first] = end
-        pair, self.pair = np.unique(before * kinds + self.token, return_inverse=True)
+        # two ends are what precedes a document
+        pair, self.pair = np.unique(np.append(before * kinds + self.token, end * kinds + end), return_inverse=True)
+        ends, self.pair = self.pair[-1], self.pair[:-1]
         self.before, self.after = pair // kinds, pair % kinds
-        both, at = np.unique(earlier * kinds + before, return_inverse=True)
-        self.short = self.words >> np.uint64(64 - WIDE)
-        two = _of_two(self.short[both // kinds], self.short[both % kinds]) if len(both) else self.words
-        order = np.argsort(two)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        triple, example, self.triple = np.unique(rank[at] * kinds + self.token, return_index=True, return_inverse=True)
-        #: the context of each trigram, and its last two words as a bigram
-        self.context, self.last_two = triple // kinds, self.pair[example]
+        context = np.append(ends, self.pair[:-1])[: len(token)]
+        context[first] = ends
+        triple, example, self.triple = np.unique(context * kinds + self.token, return_index=True, return_inverse=True)
+        self.context, self.last = triple // kinds, triple % kinds
+        #: the last two words of each trigram as a bigram
+        self.last_two = self.pair[example]
         taught = ~self.held[self.doc]
-        seen = [np.bincount(of, weights=taught, minlength=k).astype(np.int64) for of, k in ((self.pair, len(pair)), (self.triple, len(triple)))]
-        self.grams = [(self.words, self.before, self.after, seen[0]), (two[order], self.context, triple % kinds, seen[1])]
-        #: the two words of each context of two
-        self.first, self.second = both[order] // kinds, both[order] % kinds
+        self.seen, self.seen3 = (np.bincount(of, weights=taught, minlength=k).astype(np.int64) for of, k in ((self.pair, len(pair)), (self.triple, len(triple))))
         self.n_tokens = count + 1
 
 
-def _indices(x: np.ndarray, below: int) -> np.ndarray:
-    return _planes(x, max(1, -(-below.bit_length() // 8)))
-
-
 def _send(shards: int) -> Callable:
-    """Messages of a block: a dictionary of the words in it, the bigrams and the trigrams by their places there; a context of two words is told by them."""
+    """A message to each shard, which has a range of hashes of first words."""
+    edge = np.array([-(-(s << 64) // shards) for s in range(shards)], np.uint64)
 
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Tokens(data)
-                (one, of_one, after_one, seen_one), (two, of_two, after_two, seen_two) = t.grams
-                (c1, g1), (c2, g2) = _shares(one, of_one, shards), _shares(two, of_two, shards)
+                short = t.words >> np.uint64(64 - WIDE)
+                word = np.append(np.searchsorted(t.words, edge), len(t.words))
+                pair = np.searchsorted(t.before, word)
+                triple = np.searchsorted(t.context, pair)
                 for s in range(shards):
-                    w, p, c, g = (slice(x[s], x[s + 1]) for x in (c1, g1, c2, g2))
-                    lists = [after_one[p], after_two[g], t.first[c], t.second[c]]
-                    named, index = np.unique(np.concatenate(lists), return_inverse=True)
-                    index = np.split(index, np.cumsum([len(x) for x in lists])[:-1])
-                    sizes = [np.bincount(of[x] - y.start, minlength=y.stop - y.start).astype(np.uint32) for of, x, y in ((of_one, p, w), (of_two, g, c))]
-                    told = [np.diff(t.short[named], prepend=np.uint64(0)), np.diff(one[w], prepend=np.uint64(0))]
-                    blob = blocks.squeeze(_planes(told[0], 8), _planes(told[1], 8), *[_indices(x, len(named)) for x in index], *sizes, seen_one[p].astype(np.uint32), seen_two[g].astype(np.uint32))
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["shard", "block", "blob"])
+                    w, p, q = (slice(x[s], x[s + 1]) for x in (word, pair, triple))
+                    if w.start < w.stop:
+                        sizes = [np.bincount(of - x.start, minlength=x.stop - x.start).astype(np.uint32) for of, x in ((t.before[p], w), (t.context[q], p))]
+                        after = [_planes(short[x], WIDE // 8) for x in (t.after[p], t.last[q])]
+                        blob = blocks.squeeze(_planes(np.diff(t.words[w], prepend=np.uint64(0)), 8), sizes[0], after[0], t.seen[p].astype(np.uint32), sizes[1], after[1], t.seen3[q].astype(np.uint32))
+                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["shard", "block", "blob"])
 
     return run
 
 
-def _read(blob: bytes) -> tuple[tuple, tuple]:
-    """(contexts, successors of each, successors, training counts) of both orders in a message."""
-    named, one, after_one, after_two, first, second, of_one, of_two, seen_one, seen_two = blocks.expand(blob)
-    short = np.cumsum(_whole(named), dtype=np.uint64)
-    after_one, after_two, first, second = (short[_whole(x).astype(np.int64)] for x in (after_one, after_two, first, second))
-    return (np.cumsum(_whole(one), dtype=np.uint64), of_one.astype(np.int64), after_one, seen_one.astype(np.int64)), (_of_two(first, second), of_two.astype(np.int64), after_two, seen_two.astype(np.int64))
+def _summed(owner: np.ndarray, after: np.ndarray, kinds: int, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(owner, successor, count of each n-gram; the n-gram of each row)."""
+    gram, index = np.unique(owner * kinds + after, return_inverse=True)
+    return gram // kinds, gram % kinds, np.bincount(index, weights=seen, minlength=len(gram)).astype(np.int64), index
 
 
-def _answers(got: list[tuple], folder: str, name: str) -> tuple[list[tuple], np.ndarray]:
-    """(what each message is told: counts, backoff codes and codes of its contexts and successors; counts of the contexts that are known). A message: hashes of contexts, successors of each, successors, training counts."""
+def _trie(got: list[tuple], folder: str) -> Trie:
+    """The trie of all messages: words, bigrams of each, their successors and counts, trigrams of each, their successors and counts."""
     words, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-    owner = np.repeat(at, np.concatenate([x[1] for x in got]))
-    kinds, after = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
-    gram, index = np.unique(owner * max(1, len(kinds)) + after, return_inverse=True)
-    seen = np.bincount(index, weights=np.concatenate([x[3] for x in got]), minlength=len(gram)).astype(np.int64)
-    del index, owner, at, after
-    gram, seen = gram[seen > 0], seen[seen > 0]
-    context = gram // max(1, len(kinds))
-    sizes = np.bincount(context, minlength=len(words))
-    has = sizes > 0
-    level = Level(words[has], np.concatenate([[0], np.cumsum(sizes[has])]), kinds[gram % max(1, len(kinds))], seen, folder, name)
-    return [level.ask(*x[:3]) for x in got], np.asarray(level.counts)
+    sizes, after, seen, sizes3, after3, seen3 = (np.concatenate([x[k] for x in got]) for k in range(1, 7))
+    names, index = np.unique(np.concatenate([after, after3]), return_inverse=True)
+    kinds = max(1, len(names))
+    owner, after, seen, node = _summed(np.repeat(at, sizes), index[: len(after)], kinds, seen)
+    owner3, after3, seen3, _ = _summed(np.repeat(node, sizes3), index[len(index) - len(after3) :], kinds, seen3)
+    del index, node, at
+    taught = seen3 > 0
+    owner3, after3, seen3 = owner3[taught], after3[taught], seen3[taught]
+    below = np.bincount(owner3, minlength=len(owner))
+    kept = np.flatnonzero((seen > 0) | (below > 0))
+    owner, after, seen, below = owner[kept], after[kept], seen[kept], below[kept]
+    own = np.bincount(owner, minlength=len(words))
+    has = own > 0
+    return Trie(words[has], (np.append(0, np.cumsum(own[has])), names[after], seen), (np.append(0, np.cumsum(below)), names[after3], seen3), folder)
 
 
 def _answer(key: tuple, sent: pa.Table) -> pa.Table:
     number = sent.column("block").to_pylist()
-    got = [_read(x) for x in sent.column("blob").to_pylist()]
+    got = []
+    for x in sent.column("blob").to_pylist():
+        words, sizes, after, seen, sizes3, after3, seen3 = blocks.expand(x)
+        got.append((np.cumsum(_whole(words), dtype=np.uint64), sizes.astype(np.int64), _whole(after), seen.astype(np.int64), sizes3.astype(np.int64), _whole(after3), seen3.astype(np.int64)))
     with tempfile.TemporaryDirectory() as folder:
-        one, c = _answers([x for x, _ in got], folder, "one")
-        two, _ = _answers([x for _, x in got], folder, "two")
-        out = [(k, blocks.squeeze(*a, *b[1:]), 0, 0, 0, 0) for k, a, b in zip(number, one, two, strict=True)]
+        trie = _trie(got, folder)
+        out = [(k, blocks.squeeze(*trie.ask(x[0], x[1], x[2], x[4], x[5])), 0, 0, 0, 0) for k, x in zip(number, got, strict=True)]
+        c = np.array(trie.two.counts)
+        del trie
+    c = c[c > 0]
     out.append((-1, None, int(c.sum()), len(c), int((c == 1).sum()), int((c == 2).sum())))
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     table = pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(["block", "answer", "n", "v", "n1", "n2"], kinds, strict=True))})
@@ -309,13 +305,13 @@ def _score(total: int, kinds: int, n1: int, n2: int) -> Callable:
             t = Tokens(data)
             answers = sorted(zip(told.column("shard").to_pylist(), told.column("answer").to_pylist(), strict=True))
             parts = [blocks.expand(x) for _, x in answers]
-            c, backoff, codes, backoff2, codes2 = (np.concatenate([x[k] for x in parts]) for k in range(5))
+            c, backoff, codes, backoff3, codes3 = (np.concatenate([x[k] for x in parts]) for k in range(5))
             base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
             p = np.ones(len(t.context))
             if total:
                 single = np.where(c > 0, (c - d1) / total, d1 * kinds / total)
                 double = uncode(backoff)[t.before] * single[t.after] + np.where(codes < NONE, uncode(codes), 0.0)
-                p = uncode(backoff2)[t.context] * double[t.last_two] + np.where(codes2 < NONE, uncode(codes2), 0.0)
+                p = uncode(backoff3)[t.context] * double[t.last_two] + np.where(codes3 < NONE, uncode(codes3), 0.0)
             n = len(t.ids)
             log = np.log10(np.maximum(p, 1e-300))
             cols = [t.ids, t.held, t.n_tokens, np.bincount(t.doc, weights=(c > 0)[t.token], minlength=n).astype(np.int64), np.full(n, total), np.bincount(t.doc, weights=base[t.token], minlength=n), np.bincount(t.doc, weights=log[t.triple], minlength=n)]
