@@ -33,6 +33,8 @@ END = np.uint64(0x9D5C0F3A71E4B286)
 WIDE = 32
 #: What is taken from the count of each bigram and trigram.
 DISCOUNT = 0.75
+#: Shards for each bucket of blocks: what of a shard is in memory at once.
+SHARDS = 2
 #: A code is so many parts of a power of ten; NONE: not in the trie.
 PARTS, NONE = 32, 65535
 #: Documents whose crc32(doc_id) mod 5 is this are held out.
@@ -251,21 +253,19 @@ def _send(shards: int) -> Callable:
     return run
 
 
-def _summed(owner: np.ndarray, after: np.ndarray, kinds: int, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+def _summed(owner: np.ndarray, after: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
     """(owner, successor, count of each n-gram; the n-gram of each row)."""
-    gram, index = np.unique(owner * kinds + after, return_inverse=True)
-    return gram // kinds, gram % kinds, np.bincount(index, weights=seen, minlength=len(gram)).astype(np.int64), index
+    gram, index = np.unique((owner.astype(np.uint64) << np.uint64(WIDE)) + after, return_inverse=True)
+    return (gram >> np.uint64(WIDE)).astype(np.int64), gram & np.uint64((1 << WIDE) - 1), np.bincount(index, weights=seen, minlength=len(gram)).astype(np.int64), index
 
 
 def _trie(got: list[tuple], folder: str) -> Trie:
     """The trie of all messages: words, bigrams of each, their successors and counts, trigrams of each, their successors and counts."""
     words, at = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
     sizes, after, seen, sizes3, after3, seen3 = (np.concatenate([x[k] for x in got]) for k in range(1, 7))
-    names, index = np.unique(np.concatenate([after, after3]), return_inverse=True)
-    kinds = max(1, len(names))
-    owner, after, seen, node = _summed(np.repeat(at, sizes), index[: len(after)], kinds, seen)
-    owner3, after3, seen3, _ = _summed(np.repeat(node, sizes3), index[len(index) - len(after3) :], kinds, seen3)
-    del index, node, at
+    owner, after, seen, node = _summed(np.repeat(at, sizes), after, seen)
+    owner3, after3, seen3, _ = _summed(np.repeat(node, sizes3), after3, seen3)
+    del node, at
     taught = seen3 > 0
     owner3, after3, seen3 = owner3[taught], after3[taught], seen3[taught]
     below = np.bincount(owner3, minlength=len(owner))
@@ -273,7 +273,7 @@ def _trie(got: list[tuple], folder: str) -> Trie:
     owner, after, seen, below = owner[kept], after[kept], seen[kept], below[kept]
     own = np.bincount(owner, minlength=len(words))
     has = own > 0
-    return Trie(words[has], (np.append(0, np.cumsum(own[has])), names[after], seen), (np.append(0, np.cumsum(below)), names[after3], seen3), folder)
+    return Trie(words[has], (np.append(0, np.cumsum(own[has])), after, seen), (np.append(0, np.cumsum(below)), after3, seen3), folder)
 
 
 def _answer(key: tuple, sent: pa.Table) -> pa.Table:
@@ -281,7 +281,7 @@ def _answer(key: tuple, sent: pa.Table) -> pa.Table:
     got = []
     for x in sent.column("blob").to_pylist():
         words, sizes, after, seen, sizes3, after3, seen3 = blocks.expand(x)
-        got.append((np.cumsum(_whole(words), dtype=np.uint64), sizes.astype(np.int64), _whole(after), seen.astype(np.int64), sizes3.astype(np.int64), _whole(after3), seen3.astype(np.int64)))
+        got.append((np.cumsum(_whole(words), dtype=np.uint64), sizes, _whole(after).astype(np.uint32), seen, sizes3, _whole(after3).astype(np.uint32), seen3))
     with tempfile.TemporaryDirectory() as folder:
         trie = _trie(got, folder)
         out = [(k, blocks.squeeze(*trie.ask(x[0], x[1], x[2], x[4], x[5])), 0, 0, 0, 0) for k, x in zip(number, got, strict=True)]
@@ -331,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == HELD, F.lit(False))
     n = blocks.buckets(docs)
     table = blocks.write(docs.select("doc_id", "text", held.cast("long").alias("held")), n, ["held"])
-    sent = table.mapInArrow(_send(n), "shard long, block long, blob binary")
+    sent = table.mapInArrow(_send(SHARDS * n), "shard long, block long, blob binary")
     told = store.keep(sent.groupBy("shard").applyInArrow(_answer, "block long, answer binary, n long, v long, n1 long, n2 long, shard long"), "answers")
     sums = told.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")]).first()
     answers = told.where("block <> -1").select("shard", "block", "answer")
