@@ -106,3 +106,19 @@ def test_alerts_without_a_place_meet_venues_by_their_text(spark):
     counts = {r["alert_id"]: (r["n"], r["first"]) for r in search.match_counts(a, v).collect()}
     assert counts == {i: (len(js), sorted(js)[:12]) for i in {i for i, _ in want} if (js := [j for k, j in want if k == i])}
     assert "NestedLoop" not in plan(search.matches(d.alerts(), d.venues()))
+
+
+def test_equal_coordinates_meet_once(spark):
+    """Many points and places on few spots: right pairs, no broadcast of either, and few candidates for each point."""
+    p = spark.range(400).select("id", (32.0 + F.col("id") % 4 * 0.01).alias("lat"), F.lit(-117.0).alias("lng"))
+    v = spark.range(300).select(F.col("id").alias("venue_id"), (32.0 + F.col("id") % 3 * 0.01).alias("lat"), F.lit(-117.0).alias("lng"))
+    got = nearby.nearest(p, v, "id", 2)
+    on = {i: [j for j in range(300) if j % 3 == min(i % 4, 2)][:2] for i in range(400)}
+    have = {}
+    for r in got.orderBy("id", "nth").collect():
+        have.setdefault(r["id"], []).append(r["venue_id"])
+    assert have == on
+    assert plan(got).count("BroadcastHashJoin") <= 1
+    near = nearby.within(p, v, 0.1)
+    assert sorted((r["id"], r["venue_id"]) for r in near.collect()) == [(i, j) for i in range(400) for j in range(300) if i % 4 == j % 3]
+    assert plan(near).index("Generate inline(") < plan(near).index("SortMergeJoin")
