@@ -6,7 +6,8 @@ import uuid
 
 import pytest
 from oracle import SF
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import Row, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from tidepool.operators import accounting
 from tidepool.plans import flows as plans
@@ -121,6 +122,41 @@ def test_state_with_time_to_live_goes_on_where_it_stopped(spark, folder):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_state_is_asked_for_by_bucket_not_by_key():
+    """Calls of the state store don't grow with keys whose cooldown is over by the end of their own batch."""
+    calls, stored, timers = [], {}, []
+
+    class Fake:
+        def getMapState(self, *_):
+            return self
+
+        def iterator(self):
+            calls.append("iterator")
+            return iter([(k, v) for k, v in stored.items()])
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            stored[key] = value
+
+        def listTimers(self):
+            calls.append("timers")
+            return iter(timers)
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    cool = flows._Cooldown(StructType().add("k", "long"), 10_000)
+    cool.init(Fake())
+    rows = [Row(k=k, _at=k * 1000, _watermark=k) for k in range(1000)] + [Row(k=5, _at=5001, _watermark=5), Row(k=5, _at=20_000, _watermark=20)]
+    got = [(r["k"], r["_at"]) for r in cool.handleInputRows((0,), iter(rows), Fake())]
+    assert sorted(got) == sorted([(k, k * 1000) for k in range(1000)] + [(5, 20_000)])
+    assert len(calls) < 20 and sorted(stored) == [(k,) for k in range(990, 1000)] and timers == [(990_000 + 10_000) // 1000 + 1]
+
+
 def test_newest_generation_of_a_key_goes_on_where_it_stopped(spark, folder):
     d, rows = Domain(spark, SF), []
     for k, batch in enumerate([[(1, 5, "a"), (2, 1, "b")], [(1, 4, "stale"), (2, 2, "c")], [(1, 6, "d"), (3, 1, "e")]]):
