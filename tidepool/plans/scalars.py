@@ -82,7 +82,7 @@ scalar("str_frontmatter_value", "documents", "doc_id", lambda: F.concat_ws("|",
 scalar("sink_rewrite_header_field", "documents", "doc_id", lambda: F.md5(X.drop_header_field(X.set_header_field(X.set_header_field(_DOC(), "draft", F.lit("false")), "slug", F.col("source")), "lang")), "md5('---' || chr(10) || 'title: \"A ' || doc_id || '\"' || chr(10) || 'draft: false' || chr(10) || 'slug: ' || source || chr(10) || '---' || chr(10) || text)")
 scalar("str_markdown_inline", "documents", "doc_id", lambda: markdown.inline(F.concat(F.lit("**b** `c` *i* [l](http://x y) & "), F.regexp_replace("text", r"[*`\\[\\]&<>]", ""))), """'<strong>b</strong> <code>c</code> <em>i</em> <a href="http://x y" target="_blank" rel="noopener">l</a> &amp; ' || regexp_replace(text, '[*`\\[\\]&<>]', '', 'g')""")
 _DRAFT = lambda: F.concat(F.when(F.col("doc_id") % 2 == 0, "```md\nTITLE: ").otherwise("TITLE:"), F.col("source"), F.lit("\nDESCRIPTION: about "), F.col("lang"), F.when(F.col("doc_id") % 5 == 0, "\n").otherwise("\n---BODY---\n"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("b "), F.replace("text", F.lit("`"), F.lit("")), F.lit(" e"))), F.when(F.col("doc_id") % 2 == 0, "\n```").otherwise(""))
-scalar("str_draft_extract", "documents", "doc_id", lambda: F.coalesce(X.draft(_DRAFT()).error, F.concat_ws("|", X.draft(_DRAFT()).title, X.draft(_DRAFT()).description, X.draft(_DRAFT()).body)), "CASE WHEN doc_id % 5 = 0 THEN 'missing_body_marker' WHEN doc_id % 7 = 0 THEN 'missing_field' ELSE source || '|about ' || lang || '|b ' || replace(text, '`', '') || ' e' END")
+scalar("str_draft_extract", "documents", "doc_id", lambda: X.let(X.draft(_DRAFT()), lambda f: F.coalesce(f.error, F.concat_ws("|", f.title, f.description, f.body))), "CASE WHEN doc_id % 5 = 0 THEN 'missing_body_marker' WHEN doc_id % 7 = 0 THEN 'missing_field' ELSE source || '|about ' || lang || '|b ' || replace(text, '`', '') || ' e' END")
 scalar("str_json_object_in_text", "events", "event_id", lambda: F.when(X.json_object_in(F.concat(F.lit("said: "), F.col("props"), F.lit(" done"))).isNotNull(), X.json_object_in(F.concat(F.lit("said: "), F.col("props"), F.lit(" done")))), "props")
 scalar("str_url_encode", "part", "p_partkey", lambda: X.url_encode(F.concat_ws(" & ", "p_name", "p_type", F.lit("é'(x)"))), "replace(replace(replace(url_encode(p_name || ' & ' || p_type || ' & ' || 'é''(x)'), '%27', ''''), '%28', '('), '%29', ')')")
 #: Inputs of the parsers below, by turns.
