@@ -14,7 +14,7 @@ def reads(spark, column):
     return len(re.findall(r"\bodd#", plan.split("LogicalRDD")[0].split("LocalRelation")[0]))
 
 
-@pytest.mark.parametrize("column", [lambda x: X.draft(x), lambda x: X.draft(x).body])
+@pytest.mark.parametrize("column", [lambda x: X.draft(x), lambda x: X.draft(x).body, lambda x: X.drop_header_field(X.set_header_field(X.set_header_field(x, "a", F.lit("1")), "b", F.lit("2")), "c"), lambda x: X.frontmatter(x)])
 def test_a_text_is_computed_once(spark, column):
     assert reads(spark, column(F.col("odd"))) == 1
 
