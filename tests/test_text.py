@@ -1,6 +1,7 @@
 """Texts that are read once, whatever is made of them, and odd ones among them."""
 
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +42,14 @@ def test_odd_drafts(spark):
     odd = [plain, f"```\n{plain}```", f"x ```md  {plain} \n``` y ``` z ```", f"```{plain}", f"``` {plain.replace('b', '``')} ```", "``````", f"````{plain}````", "```md```", f"```md{plain}```", f"　```md\n{plain} ```", "---BODY---", "TITLE: \nDESCRIPTION: d\n---BODY---x", "", None, "TITLE: t\nDESCRIPTION: d\n---BODY---\r\nx---BODY---"]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", X.draft(F.col("x")).alias("d")).select("i", "d.*").orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [drafted(x) for x in odd]
+
+
+def test_searched_texts_need_no_python(spark):
+    """Every character beyond ASCII by itself and between letters, as its compatible form without accents."""
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [c for k in range(0, len(chars), 4096) for c in ["a".join(chars[k : k + 4096])]] + ["É1½ ﬁx", "éá֑b", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", X.normalise_search(F.col("x")).alias("v"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    want = ["".join(c for c in unicodedata.normalize("NFKD", x or "") if not "̀" <= c <= "ͯ") for x in texts]
+    want = [re.sub("[^a-z0-9]+", " ", w.lower()).strip(" ") for w in want]
+    assert [r["v"] for r in df.orderBy("i").collect()] == want
