@@ -6,6 +6,7 @@ import random
 import brute
 import pytest
 from made import SCHEMA, sentence
+from pyspark.sql import Window as W, functions as F
 
 from tidepool.llm import near_dedup, ngram, quality_rules, repeats
 
@@ -85,6 +86,21 @@ def test_verdicts_hold_their_bound_per_stratum():
     assert quality_rules.certified(path, [0, 0, 0], 58, 0.05) == []  # too few to be sure
 
 
+def test_all_labels_order_the_rules(spark):
+    """Of many labelled documents the bad ones are the last by their hash, and each of two strata has a rule of its own."""
+    n = 9000
+    own = spark.range(n + 400).withColumnRenamed("id", "doc_id").withColumn("nth", F.row_number().over(W.orderBy(F.xxhash64("doc_id"))))
+    bad = (F.col("nth") > n) & (F.col("doc_id") < n)
+    part = F.when(F.col("doc_id") < n, 1).otherwise(2).cast("long")
+    known = own.select("doc_id", F.when(bad, 0).otherwise(1).alias("_clean"), part.alias("_part"))
+    stratum = F.when(F.col("doc_id") % 2 == 0, "even")
+    fixed = {"n_words": 100, "word_chars": 500, "n_lines": 10, "n_letters": 500, "n_distinct": 80}
+    counts = [F.lit(fixed.get(c, 0)).cast("long").alias(c) for c in quality_rules.BASE + quality_rules.MORE if c not in ("n_symbols", "n_marks")]
+    measured = own.select("doc_id", stratum.alias("_stratum"), *counts, F.when(bad & stratum.isNull(), 90).otherwise(0).alias("n_symbols"), F.when(bad & stratum.isNotNull(), 150).otherwise(0).alias("n_marks"))
+    found = quality_rules.cutoffs(measured, known)
+    assert {k: [rule for rule, _ in v] for k, v in found.items()} == {None: ["symbols"], "even": ["marks"]}
+
+
 def plain_kept(rows, labels, part):
     """kept of measured documents, with rules ordered and certified by scans in plain Python."""
     q = quality_rules
