@@ -199,3 +199,14 @@ def test_files(spark, tmp_path):
     tables.put_files(spark.createDataFrame([("a.md", "again")], "name string, text string"), where)
     assert sorted(map(tuple, tables.documents(spark, f"{where}/*.md").collect())) == [("a", "again"), ("b.c", "x\n\n")]  # none of the empty one
     assert sorted(map(tuple, tables.catalogue(spark, f"{where}/*.json", "k long, s string, none string").collect())) == [(1, None, None), (2, "t", None)]
+
+
+def test_text_files_are_listed_by_folder(spark, tmp_path):
+    """One folder is listed, not each file; files below it and of other endings aren't read."""
+    for name in ("a.md", "b-c.md", "c.txt", "sub/d.md", "k=1/e.md", f"sub/{tmp_path.name}/f.md"):
+        where = tmp_path / name
+        where.parent.mkdir(parents=True, exist_ok=True)
+        where.write_text(name)
+    found = tables.documents(spark, f"file://{tmp_path}/*.md")
+    assert sorted(map(tuple, found.collect())) == [("a", "a.md"), ("b-c", "b-c.md")]
+    assert f"{tmp_path}]" in found._jdf.queryExecution().executedPlan().toString().replace("a.md", "?")
