@@ -49,3 +49,10 @@ def test_recipients_make_no_pair_before_the_last_shuffle(spark):
 
 def test_unions_make_no_pair_before_the_last_shuffle(spark):
     assert streamed(registry.QUERIES["agg_set_union_matches"](spark, SF))
+
+
+def test_cells_are_small_and_lean(spark):
+    rows = spark.range(5000).selectExpr("'hot' AS k", "id AS i")
+    assert products.packed(rows, "k", "p").selectExpr("max(size(p)) AS n").first()["n"] < 700
+    plan = registry.QUERIES["join_theta_alert_venue"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_left" in plan and "created_at" not in plan and "venue_ordinal" not in plan.split("Generate inline(")[1].split("LocalRelation")[0].split("parquet")[0]
