@@ -5,8 +5,9 @@ is the K smallest hashes. Two sets of similarity 0.75 or more share at least SHA
 the values in their sketches, up to a chance below 1e-8 for sets larger than a sketch,
 and surely for smaller ones. So the SHARED - 1 most widespread values of each sketch are
 left out of the inverted lists: a passage that is common to many documents makes no
-candidates. Documents of a list are paired in rounds, an estimate from the sketch of the
-union filters pairs and exact set similarity decides.
+candidates. Documents of a list are paired in rounds. A pair is formed only if enough bits
+of both agree, each bit being one of the smallest of the whole set's hashes under a function
+of its own: sets that merely share a passage make no row. Exact set similarity decides.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ SHINGLE = 5
 K = 64
 #: Values that sketches of similar sets share at least: for sets larger than a sketch, and the most for smaller ones.
 SHARED, SHARED_SMALL = 24, 43
-#: Links need 100 * intersection >= PERCENT * union; a pair whose estimate is below ESTIMATE isn't verified.
-PERCENT, ESTIMATE = 75, 0.45
+#: Links need 100 * intersection >= PERCENT * union.
+PERCENT = 75
+#: Bits of a set, and those in which a pair may differ: a bit differs with chance (1 - similarity) / 2, so more differ in a similar pair with a chance below 1e-8.
+BITS, DIFFER = 512, 109
 #: Ids of candidates that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -64,16 +67,37 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, own long, n_shingles long, node long, sketch array<long>")
 
 
+#: Factors of the functions whose smallest values give the bits.
+_FACTORS = np.random.default_rng(75).integers(0, 1 << 32, BITS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_WORDS = [f"w{k}" for k in range(BITS // 64)]
+
+
+def minhash_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS bits of each set as 64-bit integers, a row for each: of the smallest product of its hashes and a factor, one mixed bit. An empty set has none."""
+    out = np.zeros((len(sets), BITS), bool)
+    size = np.array([len(x) for x in sets], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        begin = np.cumsum(size[some]) - size[some]
+        h = np.concatenate([sets[k] for k in some]).astype(np.uint64)
+        h = ta.mix(h).astype(np.uint32)
+        for k, factor in enumerate(_FACTORS):
+            least = np.minimum.reduceat(h * factor, begin)
+            out[some, k] = ((least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(31)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, set): whole sets, sorted."""
+    """(node, set, w0, w1, ...): whole sets, sorted, and their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, buf, off in ta.slices(batch, limit=1 << 20):
                 sets, node = _sets(buf, off)
-                yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets)], ["node", "set"])
+                bits = minhash_bits(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(node), _lists(sets), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(_WORDS))]], ["node", "set", *_WORDS])
 
-    return docs.select("text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("text").mapInArrow(run, "node long, set array<long>, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -93,19 +117,11 @@ def candidates(classes: DataFrame) -> DataFrame:
     return per_node.where(F.size("all") > dropped).select(F.explode(posted.getField("value")).alias("key"), F.col("node").alias("id"), F.size("all").alias("score"), F.col("n").alias("size"))
 
 
-def similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose sets are similar: by the sketches of ``classes`` first, then by whole ``sets``."""
-
-    def both(pairs: DataFrame, right: DataFrame, column: str) -> DataFrame:
-        one = right.select(F.col("node").alias("a"), F.col(column).alias("of_a"))
-        two = right.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
-        return pairs.join(one, "a").join(two, "b")
-
-    union = F.slice(F.array_sort(F.array_union("of_a", "of_b")), 1, K)
-    estimate = F.size(F.array_intersect(F.array_intersect(union, "of_a"), "of_b")) / F.least(F.size(union), F.lit(K))
-    near = store.keep(both(pairs, classes, "sketch").where(estimate >= ESTIMATE).select(*pairs.columns), "estimated")
-    needed = sets.join(near.select(F.col("a").alias("node")).union(near.select("b")), "node", "left_semi")
-    checked = both(near, needed, "set").withColumn("common", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose whole ``sets`` are similar."""
+    one = sets.select(F.col("node").alias("a"), F.col("set").alias("of_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("set").alias("of_b"))
+    checked = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")).cast("long"))
     return checked.where(100 * F.col("common") >= PERCENT * (F.size("of_a") + F.size("of_b") - F.col("common"))).select(*pairs.columns)
 
 
@@ -119,8 +135,10 @@ def _linked(docs: DataFrame) -> DataFrame:
     some = ids.select("doc_id").distinct()
     some = F.broadcast(some) if ids.count() <= BROADCAST_IDS else some
     sets = store.keep(full_sets(docs.join(some, "doc_id", "left_semi")).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    fitting = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-    found = graph.grouped(members, lambda pairs: similar(pairs, classes, sets), "near", fitting)
+    alike = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in _WORDS)
+    fitting = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b) AND {alike} <= {DIFFER}"
+    told_apart = members.join(sets.select(F.col("node").alias("id"), *_WORDS), "id")
+    found = graph.grouped(told_apart, lambda pairs: similar(pairs, sets), "near", fitting, _WORDS)
     store.discard(members, ids, sets)
     of = classes.select("node", "at").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("at").alias("first"))
