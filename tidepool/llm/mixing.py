@@ -84,13 +84,16 @@ def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS, keep: list[str] |
     keyed = own.withColumn("class", F.floor(F.sqrt("n"))).withColumn("salt", salt)
     if "text" not in kept:
         keyed = store.keep(keyed, "sizes")  # small, and texts are read once
-    groups = keyed.groupBy("of", "class", "salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
+    # a null source is told by a flag, so that the rows are ranked and joined by one shuffle
+    group = ["named", "nameless", "class", "salt"]
+    keyed = keyed.withColumns({"named": F.coalesce(F.col("of").cast("string"), F.lit("")), "nameless": F.col("of").isNull()})
+    groups = keyed.groupBy("of", *group).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words"))
     running = W.partitionBy("of").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
     placed = groups.withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))
     targets = source_targets(groups, "of", "words")
-    placed = placed.alias("g").join(targets.alias("t"), F.expr("g.of <=> t.source")).select("g.of", "class", "salt", "before", "source_size", "target").alias("p")
-    rank = F.row_number().over(W.partitionBy("of", "class", "salt").orderBy("n", "id", "tie"))
-    joined = keyed.withColumn("rank", rank).alias("k").join(placed, F.expr("k.of <=> p.of AND k.class = p.class AND k.salt = p.salt"))
+    placed = placed.alias("g").join(targets.alias("t"), F.expr("g.of <=> t.source")).select(*group, "before", "source_size", "target")
+    rank = F.row_number().over(W.partitionBy(*group).orderBy("n", "id", "tie"))
+    joined = keyed.withColumn("rank", rank).alias("k").join(placed, group)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("before") + F.col("rank")
     crossed = F.floor(at * each + F.lit(offset(seed))) - F.floor((at - 1) * each + F.lit(offset(seed)))
