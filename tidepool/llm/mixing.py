@@ -68,8 +68,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size")
 ADDED = ["size", "source_size", "target", "copies", "taken"]
 
 
-def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (default: all but clashing ones) with size, source_size, target, copies and taken.
+def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS, keep: list[str] | None = None, texts: bool = False) -> DataFrame:
+    """``keep`` columns of ``docs`` (default: all but clashing ones) with size, source_size, target, copies and taken. ``texts``: some of ``keep`` holds the texts, under another name.
 
     Null text has size 0 and is never taken; a null source is a source; rows with one
     doc_id are told apart by size and a hash of the text, and equal rows are ranked in any
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, seed: int = SEED, salts: int = SALTS, keep: list[str] |
     # the size class rises with the root of the size, so the widths of classes stay in proportion
     salt = F.pmod(F.pmod(F.coalesce(F.col("id").cast("long"), F.lit(0)), F.lit(SPREAD)) * 7919, F.lit(salts))
     keyed = own.withColumn("class", F.floor(F.sqrt("n"))).withColumn("salt", salt)
-    if "text" not in kept:
+    if not texts and "text" not in kept:
         keyed = store.keep(keyed, "sizes")  # small, and texts are read once
     # a null source is told by a flag, so that the rows are ranked and joined by one shuffle
     group = ["named", "nameless", "class", "salt"]
@@ -108,7 +108,7 @@ def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     by themselves; an empty table gives an empty result.
     """
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], *[F.col(c) for c in ("doc_id", "source", "text")])
-    mixed = mix(named, seed, keep=[f"c{k}" for k in range(len(docs.columns))])
+    mixed = mix(named, seed, keep=[f"c{k}" for k in range(len(docs.columns))], texts=True)
     some = mixed.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return some.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
