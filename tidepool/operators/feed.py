@@ -33,19 +33,23 @@ def _filled(x: Column, path: str) -> Column:
 
 def _id(x: Column, path: str) -> Column:
     """The safe positive integer at a path, however it is written; null for anything else."""
-    number = F.when(_is(x, path, "BIGINT") | _is(x, path, "DECIMAL") | _is(x, path, "DOUBLE"), F.try_variant_get(x, path, "decimal(38,6)"))
-    return F.when(number.between(1, SAFE) & (number == F.floor(number)), number.cast("long"))
+    long = F.try_variant_get(x, path, "long")
+    number = F.when(_is(x, path, "DECIMAL") | _is(x, path, "DOUBLE"), F.try_variant_get(x, path, "decimal(38,6)"))
+    whole = F.when(number.between(1, SAFE) & (number == F.floor(number)), number.cast("long"))
+    return F.when(_is(x, path, "BIGINT"), F.when(long.between(1, SAFE), long)).otherwise(whole)
 
 
 def valid(x: Column) -> Column:
     """Whether an element is a live campaign as it is shown in public; never null."""
-    starts, ends, effective = (T.parse_instant(_text(x, f"$.{c}")) for c in ("startsAt", "endsAt", "effectiveEndsAt"))
+    # texts and instants are bound to one row, as they cost more to read than to compare
+    texts = F.array(F.struct(*[_text(x, f"$.{c}").alias(c) for c in ("startsAt", "endsAt", "effectiveEndsAt")]))
+    times = F.transform(texts, lambda t: F.struct(*[T.parse_instant(t[c]).alias(c) for c in ("startsAt", "endsAt", "effectiveEndsAt")]))
     code = _kind(x, "$.dealCode")
     rules = [
         _filled(x, "$.id"), _id(x, "$.venueId") == _id(x, "$.venue.id"), _filled(x, "$.venue.name"), _filled(x, "$.venue.slug"), _is(x, "$.venue.neighborhood", "STRING"), _is(x, "$.venue.image", "STRING"),
         _text(x, "$.type").isin(*KINDS), _filled(x, "$.title"), _is(x, "$.description", "STRING"), _text(x, "$.state") == "live", _is(x, "$.hasDealCode", "BOOLEAN"),
         F.when(F.try_variant_get(x, "$.hasDealCode", "boolean"), code.isNull() | _filled(x, "$.dealCode")).otherwise(code.isNull() | (code == "VOID")),
-        starts < effective, effective <= ends,
+        F.exists(times, lambda t: (t["startsAt"] < t["effectiveEndsAt"]) & (t["effectiveEndsAt"] <= t["endsAt"])),
     ]
     return reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(False)) for r in rules])
 
