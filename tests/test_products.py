@@ -56,3 +56,18 @@ def test_cells_are_small_and_lean(spark):
     assert products.packed(rows, "k", "p").selectExpr("max(size(p)) AS n").first()["n"] < 700
     plan = registry.QUERIES["join_theta_alert_venue"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_left" in plan and "created_at" not in plan and "venue_ordinal" not in plan.split("Generate inline(")[1].split("LocalRelation")[0].split("parquet")[0]
+
+
+def test_a_cell_is_not_made_by_one_generated_loop(spark):
+    """Spark holds what such a loop makes of one row; that must be a row's pairs, not those of a whole cell."""
+    rows = spark.range(2000).selectExpr("'hot' AS k", "id AS i")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = products.paired(rows, rows.withColumnRenamed("i", "j"), "k")
+        plan = pairs._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    inner, outer = [line for line in plan if "Generate inline" in line]
+    assert "*(" in inner and "*(" not in outer
+    assert pairs.count() == 4_000_000
