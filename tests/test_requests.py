@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import feed, requests as R
+from tidepool.plans import media, registry  # noqa: F401
 from tidepool.sources import content, tables
 
 
@@ -210,3 +211,15 @@ def test_text_files_are_listed_by_folder(spark, tmp_path):
     found = tables.documents(spark, f"file://{tmp_path}/*.md")
     assert sorted(map(tuple, found.collect())) == [("a", "a.md"), ("b-c", "b-c.md")]
     assert f"{tmp_path}]" in found._jdf.queryExecution().executedPlan().toString().replace("a.md", "?")
+
+
+def test_files_in_many_folders_are_not_listed_by_the_driver(spark, tmp_path):
+    where = f"file://{tmp_path}/files"
+    texts = [(f"doc-{k}.md", f"text {k}\n") for k in range(50)] + [("a.b.md", "é\n\n"), ("none.md", None), ("x.json", "{}"), ("_hidden.md", "h")]
+    tables.put_files(spark.createDataFrame(texts, "name string, text string"), where, 7)
+    tables.put_files(spark.createDataFrame([("doc-3.md", "again")], "name string, text string"), where, 7)
+    found = tables.dealt_documents(spark, where, "*.md", 7)
+    want = {(name[:-3], text) for name, text in texts if text and name.endswith(".md") and name[0] != "_"} - {("doc-3", "text 3\n")} | {("doc-3", "again")}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert len({p.parent.name for p in (tmp_path / "files").glob("*/*")}) == 7
+    assert not registry.QUERIES["scan_text_documents"](spark, "/root/testdata/sf0.001").inputFiles()
